@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import mixing, pii
+from hybridmail.llm import decontaminate, mixing, pii, tokens
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op3_mixing": mixing.op3,
+    "op4_tokens": tokens.op4,
+    "op8_decontaminate": decontaminate.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.SQL}
