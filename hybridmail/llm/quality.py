@@ -158,7 +158,6 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, keep: flo
         return fit(np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
     rows = rows.combine_chunks()
     ids, vals = rows.column(1).chunk(0), rows.column(2).chunk(0)
-    order = None
     offsets = ids.offsets.to_numpy().astype(np.int64)
     return fit(offsets - offsets[0], ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), vals.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.float64), rows.column(0).to_numpy().astype(np.int64))
 

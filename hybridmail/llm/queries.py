@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import decontaminate, mixing, pii, tokens
+from hybridmail.llm import decontaminate, mixing, pii, quality, substrings, tokens
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op3_mixing": mixing.op3,
     "op4_tokens": tokens.op4,
+    "op5_substrings": substrings.op5,
+    "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
 }
 
