@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import decontaminate, mixing, pii, quality, substrings, tokens
+from hybridmail.llm import decontaminate, mixing, neardups, pii, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
     "op3_mixing": mixing.op3,
     "op4_tokens": tokens.op4,
     "op5_substrings": substrings.op5,
+    "op6_neardups": neardups.op6,
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
+    "op9_warc": warc.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": decontaminate.SQL,
+    "op9_warc": warc.SQL,
+}
