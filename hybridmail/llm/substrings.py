@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from hybridmail.llm.common import forget, partitions, ship, slices, stored, table, texts_of
 
 WINDOW = 50
-ROUNDS = 4
+ROUNDS = 5
 #: Bits of a choice that hold the place (the least hash wins, then the first place); the same for all batches.
 _PLACE = 26
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -158,13 +158,10 @@ def rows_of(line: np.ndarray, bounds: np.ndarray, window: int = WINDOW, rounds:
     at = np.flatnonzero(new)
     until = np.append(at[1:], total) - 1
     p0, p1, chosen, text = p[at], p[until], choice[at], text[at]
-    prints = Prints(line, _B1, 1)
-    whole = prints.of(p0, p1 + window)
-    symbol = name[np.maximum(chosen, 0)]
-    own = chosen < 0
-    if own.any():
-        symbol = np.where(own, Prints(line, _B2, 2).of(p0, p1 + window), symbol)
-    # The place of the symbol in the stretch belongs to the fingerprint, as does its extent.
+    whole = Prints(line, _B1, 1).of(p0, p1 + window)
+    # All words that the symbol depends on name it; they are in each of its windows, and rarely occur twice by chance.
+    own, i = chosen < 0, np.maximum(chosen, 0)
+    symbol = Prints(line, _B2, 2).of(np.where(own, p0, dl[i] if len(dl) else 0), np.where(own, p0 + window, dr[i] if len(dr) else 0))
     return symbol, whole, text, p0 - bounds[text], p1 - bounds[text]
 
 
