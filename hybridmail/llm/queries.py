@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import decontaminate, mixing, neardups, pii, quality, substrings, tokens, warc
+from hybridmail.llm import ann, decontaminate, mixing, neardups, ngrams, pii, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
+    "op2_ann": ann.op2,
     "op3_mixing": mixing.op3,
     "op4_tokens": tokens.op4,
     "op5_substrings": substrings.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_warc": warc.op9,
+    "op10_ngrams": ngrams.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
