@@ -7,8 +7,9 @@ is dictionary-encoded where the ids of a row group fit a dictionary and delta-en
 the sizes given below. A count or an id is read without touching the tokens.
 
 Tokenizing: the pre-tokenizer of the byte-level vocabulary never joins text across a single space that follows a
-non-space character, so a text is cut there and each distinct piece is encoded once by the library and remembered (up to
-CACHE pieces). A text with other white space beside a space (runs, line ends next to spaces) is encoded whole.
+non-space character, nor a single line end between two such with what is around it, so a text is cut there and each
+distinct piece is encoded by the library once for a batch, and remembered (the first CACHE pieces). A text with runs of
+white space, white space at an end, or other white space is encoded whole.
 
 Null texts count as empty: an empty document is its end id alone. Null ids come first. Repeated rows and equal ids are
 written each for itself; rows of an equal id follow each other in the order of their tokens. An empty table gives no
@@ -17,8 +18,8 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from hybridmail.llm.common import scratch, ship, slices
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered by one Python worker.
-CACHE = 400_000
+CACHE = 600_000
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -43,40 +44,84 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-#: A single space between two that aren't white space is where a text can be cut; any other use of a space keeps it whole.
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
+
+def cut_at_spaces(text: str) -> list[str] | None:
+    """The pieces of a text, or None if it has white space at an end or beside white space, or other than spaces and line ends."""
+    pieces = text.replace("\n", " \n").split(" ")
+    return None if "" in pieces or "\n" in pieces or len(text.split()) != len(pieces) else pieces
 
 
 class Pieces(dict):
-    """A piece (without its leading space) to the bytes of its ids, as little-endian unsigned 32-bit integers."""
+    """A piece to the bytes of its ids, as little-endian unsigned 32-bit integers; None where it isn't known yet.
+
+    A piece stands for itself after a space, or after nothing if it begins with a line end. A word and one mark at its
+    end are encoded apart, as the pre-tokenizer parts them.
+    """
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, words):
+        """words: the same model without the pre-tokenizer's pattern, for pieces that are one word of letters."""
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
-
-    def learn(self, pieces: list[str]) -> None:
-        new = list({x for x in pieces if x not in self})
-        if not new:
-            return
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set(pieces))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([self.lead + x for x in new], add_special_tokens=False), strict=True):
-            self[piece] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-
-def _encoded(texts: list[str], tokenizer, inner: Pieces, end: bytes) -> list[bytes]:
-    cut, whole = [], []
-    for i, text in enumerate(texts):
-        (whole if UNEVEN.search(text) else cut).append(i)
+        self.tokenizer, self.words, self.unknown = tokenizer, words, []
+        self.marks = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,;:!?"}
+
+    def __missing__(self, piece: str) -> None:
+        self.unknown.append(piece)
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.__getitem__, pieces))
+        if self.unknown:
+            new = list(dict.fromkeys(self.unknown))
+            self.unknown.clear()
+            cut = [(x[:-1], self.marks[x[-1]]) if x[-1:] in self.marks and x[:-1].isalpha() else (x, b"") for x in new]
+            bodies = {x for x, _ in cut if x not in self}
+            self.unknown.clear()
+            alpha, rest = [x for x in bodies if x.isalpha()], [x for x in bodies if not x.isalpha()]
+            learned = {}
+            for some, how, texts in ((alpha, self.words, [" " + x for x in alpha]), (rest, self.tokenizer, [x if x[:1] == "\n" else " " + x for x in rest])):
+                learned.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, how.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+            found = {x: (learned[body] if body in learned else self[body]) + mark for x, (body, mark) in zip(new, cut, strict=True)}
+            for i in [i for i, x in enumerate(out) if x is None]:
+                out[i] = found[pieces[i]]
+            if len(self) < CACHE:
+                self.update(learned)
+                self.update(found)
+        return out
+
+
+#: One for each vocabulary in a Python worker, which lives longer than a task.
+_KNOWN: dict[str, Pieces] = {}
+
+
+def _pieces(vocabulary: str) -> Pieces:
+    if vocabulary not in _KNOWN:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer, words = (Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)) for _ in range(2))
+        tokenizer.encode_special_tokens = True
+        words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _KNOWN[vocabulary] = Pieces(tokenizer, words)
+    return _KNOWN[vocabulary]
+
+
+def _encoded(texts: list[str], known: Pieces, end: bytes) -> list[bytes]:
+    split = [cut_at_spaces(x) for x in texts]
+    cut, whole = ([i for i, p in enumerate(split) if (p is None) == no] for no in (False, True))
+    split = [p for p in split if p is not None]
     out: list[bytes] = [b""] * len(texts)
-    for i, e in zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
-        out[i] = np.asarray(e.ids, dtype="<u4").tobytes() + end
-    pieces = [texts[i].split(" ") for i in cut]
-    inner.learn([x for p in pieces for x in p[1:]])
-    heads = tokenizer.encode_batch_fast([p[0] for p in pieces], add_special_tokens=False) if pieces else ()
-    for i, p, head in zip(cut, pieces, heads, strict=True):
-        out[i] = np.asarray(head.ids, dtype="<u4").tobytes() + b"".join(map(inner.__getitem__, p[1:])) + end
+    # What can't be cut, and the first piece of each text, which has no space before it.
+    plain = known.tokenizer.encode_batch_fast([texts[i] for i in whole] + [p[0] for p in split], add_special_tokens=False) if texts else []
+    heads = [array("I", e.ids).tobytes() for e in plain]
+    for i, head in zip(whole, heads, strict=False):
+        out[i] = head + end
+    found = known.encode([x for p in split for x in p[1:]])
+    at = 0
+    for i, p, head in zip(cut, split, heads[len(whole) :], strict=True):
+        out[i] = head + b"".join(found[at : at + len(p) - 1]) + end
+        at += len(p) - 1
     return out
 
 
@@ -84,17 +129,9 @@ def encoder(vocabulary: str, end: int):
     """A mapInArrow function from (doc_id, text) to (doc_id, n_tokens, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-        tokenizer.encode_special_tokens = True
-        inner, tail = Pieces(tokenizer, " "), np.asarray([end], dtype="<u4").tobytes()
+        known, tail = _pieces(vocabulary), array("I", [end]).tobytes()
         for batch in slices(batches, "text"):
-            found = _encoded([x or "" for x in batch.column(1).to_pylist()], tokenizer, inner, tail)
+            found = _encoded([x or "" for x in batch.column(1).to_pylist()], known, tail)
             sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
