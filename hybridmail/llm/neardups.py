@@ -6,8 +6,8 @@
    band with probability at most MISS.
 3. In each bucket the classes are compared with the smallest one (a star: as many pairs as members, however large the
    group). Links give components. Only pairs of one bucket whose components then still differ are compared in a second
-   round, after which every pair that shares a band is either tested or connected: no connection is lost, and a group of
-   near copies doesn't make all its pairs.
+   round, in blocks of TILE by TILE members, out of which only links come. Then every pair that shares a band is
+   tested or connected: no connection is lost, and a group of near copies doesn't make all its pairs.
 4. A pair's signatures are compared in batches. With a uniform prior the similarity given m matches of n is Beta(m + 1,
    n - m + 1); the pair is dropped as soon as the posterior probability of the wanted similarity is below PRUNE.
 5. Survivors are confirmed on the full sets, of 64-bit shingle hashes: 100 * intersection >= percent * union.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import ship, slices, stored, table, texts_of
+from hybridmail.llm.common import partitions, ship, slices, stored, table, texts_of
 from hybridmail.llm.components import components
 from hybridmail.llm.substrings import WordHashes, hashed, mix
 
@@ -37,6 +37,8 @@ MISS = 2e-5
 PRUNE = 1e-6
 BATCH = 24
 MOST_HASHES = 150
+#: Members of a bucket that are compared in one block with as many others.
+TILE = 512
 _U = np.uint64
 
 
@@ -119,25 +121,99 @@ def _sketch(shingle: int, bands: int, rows: int):
     return sketch
 
 
+def survivors(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which of the pairs (x[p], y[q]) of signatures survive the sequential test."""
+    alive, matches, done = np.arange(len(p)), np.zeros(len(p), dtype=np.int64), 0
+    for n, m in least.items():
+        matches[alive] += (x[p[alive], done:n] == y[q[alive], done:n]).sum(axis=1)
+        alive, done = alive[matches[alive] >= m], n
+    return alive
+
+
+def _signs(column: pa.Array, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, hashes)
+
+
 def _likely(similarity: float, hashes: int):
     """Keeps the pairs whose signatures survive the sequential test."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_matches(similarity, hashes)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, hashes) for k in (2, 3))
-            alive, matches, done = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
-            for n, m in least.items():
-                matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                alive, done = alive[matches[alive] >= m], n
-            kept = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
+            if batch.num_rows:
+                each = np.arange(batch.num_rows)
+                kept = pa.array(survivors(_signs(batch.column(2), hashes), _signs(batch.column(3), hashes), each, each, least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 
     return likely
 
 
+class Sets:
+    """The members' full sets of one block, as bits over the shingles that two of them have at least: exact intersections of many pairs at once."""
+
+    def __init__(self, column: pa.Array):
+        found = [np.frombuffer(x, dtype=_U) for x in column.to_pylist()]
+        self.sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        _, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        place = np.cumsum(shared) - 1
+        words = int(shared.sum()) + 63 >> 6
+        self.bits = np.zeros((len(found), words), dtype=_U)
+        use = shared[inverse]
+        rows, at = np.repeat(np.arange(len(found)), self.sizes)[use], place[inverse[use]]
+        np.bitwise_or.at(self.bits, (rows, at >> 6), _U(1) << (at & 63).astype(_U))
+
+    def similar(self, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+        step = max(1, (1 << 20) // max(1, self.bits.shape[1]))
+        both = np.concatenate([np.bitwise_count(self.bits[p[i : i + step]] & self.bits[q[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(p), step)] or [np.zeros(0, dtype=np.int64)])
+        return 100 * both >= percent * (self.sizes[p] + self.sizes[q] - both)
+
+
+def _crossing(similarity: float, hashes: int, percent: int):
+    """Links between different labels within each block of a bucket: signatures first, then the full sets. Rows: key, i, j (the block: members of tile i with those of tile j), tile, doc_id, label, sign, hashes, sorted by block."""
+
+    def compare(tile: np.ndarray, doc: np.ndarray, label: np.ndarray, sign: np.ndarray, sets: pa.Array, i: int, j: int, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, other, full = np.flatnonzero(tile == i), np.flatnonzero(tile == j), None
+        step = max(1, 40_000 // max(1, len(other)))
+        for k in range(0, len(own), step):
+            p, q = np.repeat(own[k : k + step], len(other)), np.tile(other, len(own[k : k + step]))
+            apart = (label[p] != label[q]) & ((doc[p] < doc[q]) | (i != j))
+            p, q = p[apart], q[apart]
+            got = survivors(sign, sign, p, q, least)
+            if len(got):
+                full = full or Sets(sets)
+                got = got[full.similar(p[got], q[got], percent)]
+                yield np.minimum(doc[p[got]], doc[q[got]]), np.maximum(doc[p[got]], doc[q[got]])
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, held = least_matches(similarity, hashes), None
+        for batch in _with_last(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            block = np.stack([held.column(k).to_numpy() for k in range(3)])
+            edges = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+            edges = np.concatenate(([0], edges, [held.num_rows] if batch is None else []))  # the last block may go on
+            if len(edges) < 2:
+                continue
+            tile, doc, label = (held.column(k).to_numpy() for k in (3, 4, 5))
+            sign = _signs(held.column(6), hashes)
+            for a, b in zip(edges[:-1].astype(int), edges[1:].astype(int), strict=True):
+                if (label[a:b] != label[a]).any():
+                    for x, y in compare(tile[a:b], doc[a:b], label[a:b], sign[a:b], held.column(7).slice(a, b - a), int(block[1, a]), int(block[2, a]), least):
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            held = held.slice(int(edges[-1]))
+
+    return crossing
+
+
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -183,22 +259,24 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shing
     wanted = shared.select("doc_id").distinct()
     sets, _ = stored(docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, hashes binary"), "shingle-sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def tested(pairs: DataFrame) -> DataFrame:
         both = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("x")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("y")), "b")
-        likely = both.select("a", "b", "x", "y").mapInArrow(_likely(percent / 100, hashes), "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(_likely(percent / 100, hashes), "a long, b long")
+
+    def confirmed(likely: DataFrame) -> DataFrame:
         full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
     # Rows of one id with several texts are one node: their classes are linked as the id itself is.
     named = known.select("doc_id", "f1", "f2").join(classes.withColumnRenamed("doc_id", "first"), ["f1", "f2"])
-    links, _ = stored(confirmed(shared.filter("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "star-links")
+    links, _ = stored(confirmed(tested(shared.filter("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())), "star-links")
     label = components(links)
     labelled = shared.select("key", "doc_id").join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key")
-    left, _ = stored(labelled.join(open_keys, "key"), "open-buckets")
-    x, y = left.alias("x"), left.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more, _ = stored(confirmed(crossing), "cross-links")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).filter("l < m").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    left = labelled.join(open_keys, "key").join(signs, "doc_id").join(sets, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    blocks = left.select("key", "tile", "doc_id", "label", "sign", "hashes", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "label", "sign", "hashes")
+    crossing = blocks.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(percent / 100, hashes, percent), "a long, b long")
+    more, _ = stored(crossing.distinct(), "cross-links")
     several = named.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("doc_id", "least")
     by_id = named.join(several, "doc_id").filter("least < first").select(F.col("least").alias("a"), F.col("first").alias("b"))
     whole = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more).unionAll(by_id))
