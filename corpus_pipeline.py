@@ -1,13 +1,51 @@
-"""The corpus pipeline: stages on documents, each reading what the one before wrote."""
+"""The corpus pipeline: stages on documents, each reading what the one before wrote.
+
+Every stage but the last gives rows with the columns of documents; the last gives a row for each document of the mix, as it
+stands in the token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hybridmail.llm import decontaminate, mixing, neardups, quality, tokens
 from hybridmail.llm.common import stored, table
 
-STAGES: list = []
 
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier rejects go. Trained on the labelled ones among docs."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id: five-word shingles, similarity 0.8."""
+    return neardups.dedup(docs, shingle=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go: five-word shingles, containment 0.8."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights: documents are repeated or left out."""
+    return mixing.apply(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.encode_and_read(docs, "pipeline-tokens")
+
+
+STAGES = [
+    ("quality classifier", select_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("source mixing", mix_sources),
+    ("token output", write_tokens),
+]
+
+#: The classifier's fit and the tokenizer can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -109,5 +109,15 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     return got.unionByName(none).drop("sid", "at").withColumnRenamed("id", id_col)
 
 
+def apply(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as whole documents: each row of df as often as mix() takes its middle word, 0 to `most` times; all columns of df. Equal rows share what they are taken together, rounded up."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("row"))
+    keyed = df.withColumn("_key", key)
+    copies = mix(keyed, id_col="_key", text_col=text_col, source_col=source_col, **options).groupBy("_key").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).alias("_copies")).filter("_copies > 0")
+    once = copies.select(F.col("_key.id").alias("_id"), F.col("_key.row").alias("_row"), "_copies")
+    met = df.withColumn("_row_hash", F.xxhash64(*df.columns)).join(once, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")))
+    return met.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
