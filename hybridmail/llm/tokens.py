@@ -9,7 +9,7 @@ the sizes given below. A count or an id is read without touching the tokens.
 Tokenizing: the pre-tokenizer of the byte-level vocabulary never joins text across a single space that follows a
 non-space character, nor a single line end between two such with what is around it, so a text is cut there and each
 distinct piece is encoded by the library once for a batch, and remembered (the first CACHE pieces). A text with runs of
-white space, white space at an end, or other white space is encoded whole.
+white space, white space at an end, or unprintable characters is encoded whole.
 
 Null texts count as empty: an empty document is its end id alone. Null ids come first. Repeated rows and equal ids are
 written each for itself; rows of an equal id follow each other in the order of their tokens. An empty table gives no
@@ -18,21 +18,27 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridmail.llm.common import scratch, ship, slices
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
+SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 #: Pieces remembered by one Python worker.
-CACHE = 600_000
+CACHE = 700_000
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -46,9 +52,10 @@ LAYOUT = {
 }
 
 def cut_at_spaces(text: str) -> list[str] | None:
-    """The pieces of a text, or None if it has white space at an end or beside white space, or other than spaces and line ends."""
+    """The pieces of a text, or None if it has white space at an end or beside white space, or characters that can't be printed other than line ends."""
     pieces = text.replace("\n", " \n").split(" ")
-    return None if "" in pieces or "\n" in pieces or len(text.split()) != len(pieces) else pieces
+    # No white space but the space counts as printable.
+    return pieces if "" not in pieces and "\n" not in pieces and text.replace("\n", "").isprintable() else None
 
 
 class Pieces(dict):
@@ -62,7 +69,7 @@ class Pieces(dict):
         """words: the same model without the pre-tokenizer's pattern, for pieces that are one word of letters."""
         super().__init__()
         self.tokenizer, self.words, self.unknown = tokenizer, words, []
-        self.marks = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,;:!?"}
+        self.marks = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,;:!?\n"}
 
     def __missing__(self, piece: str) -> None:
         self.unknown.append(piece)
@@ -72,13 +79,15 @@ class Pieces(dict):
         if self.unknown:
             new = list(dict.fromkeys(self.unknown))
             self.unknown.clear()
-            cut = [(x[:-1], self.marks[x[-1]]) if x[-1:] in self.marks and x[:-1].isalpha() else (x, b"") for x in new]
+            cut = [(x[:-1], self.marks[x[-1]]) if x[-1] in self.marks and (x[:-1].isalpha() or x[0] == "\n" and x[1:-1].isalpha()) else (x, b"") for x in new]
             bodies = {x for x, _ in cut if x not in self}
             self.unknown.clear()
-            alpha, rest = [x for x in bodies if x.isalpha()], [x for x in bodies if not x.isalpha()]
+            alpha, heads, rest = [], [], []
+            for x in bodies:
+                (alpha if x.isalpha() else heads if x[0] == "\n" and x[1:].isalpha() else rest).append(x)
             learned = {}
-            for some, how, texts in ((alpha, self.words, [" " + x for x in alpha]), (rest, self.tokenizer, [x if x[:1] == "\n" else " " + x for x in rest])):
-                learned.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, how.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+            for some, how, before, texts in ((alpha, self.words, b"", [" " + x for x in alpha]), (heads, self.words, self.marks["\n"], [x[1:] for x in heads]), (rest, self.tokenizer, b"", [x if x[0] == "\n" else " " + x for x in rest])):
+                learned.update((x, before + array("I", e.ids).tobytes()) for x, e in zip(some, how.encode_batch_fast(texts, add_special_tokens=False), strict=True))
             found = {x: (learned[body] if body in learned else self[body]) + mark for x, (body, mark) in zip(new, cut, strict=True)}
             for i in [i for i, x in enumerate(out) if x is None]:
                 out[i] = found[pieces[i]]
@@ -130,6 +139,7 @@ def encoder(vocabulary: str, end: int):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tail = _pieces(vocabulary), array("I", [end]).tobytes()
+        gc.disable()  # nothing here makes cycles, and the collector would go through all that is remembered
         for batch in slices(batches, "text"):
             found = _encoded([x or "" for x in batch.column(1).to_pylist()], known, tail)
             sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
@@ -148,41 +158,52 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ties of the id have a defined order by their text.
     dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(encoder(vocabulary, end), "doc_id long, n_tokens long, ids array<int>").write.options(**LAYOUT).parquet(path)
+    dealt.mapInArrow(encoder(vocabulary, end), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, low: int | None = None, high: int | None = None) -> DataFrame:
     """Documents of the ids low to high (both included); pages outside aren't read."""
-    df = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path)
+    df = spark.read.schema(SCHEMA).parquet(path)
     if low is not None:
         df = df.filter(F.col("doc_id") >= low)
     return df if high is None else df.filter(F.col("doc_id") <= high)
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens in each file, from its count column alone."""
     for batch in batches:
-        ids = batch.column(2)
-        values, ends = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4"), ids.offsets.to_numpy()
-        view = memoryview(values).cast("B")
-        crc = np.fromiter((zlib.crc32(view[4 * int(a) : 4 * int(b)]) for a, b in zip(ends[:-1], ends[1:], strict=True)), dtype=np.int64, count=len(ids))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc), batch.column(3)], names=["doc_id", "counted", "n_tokens", "ids_crc32", "file"])
+        for part, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fs, path = FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as file:
+                counts = pq.read_table(file, columns=["n_tokens"]).column(0)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "tokens": pa.array([int(counts.to_numpy().sum())], pa.int64())})
 
 
-def _file() -> Column:
-    """The number of the part file a row is read from; parts are numbered in the order of the ids."""
-    return F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long")
+def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each file with their place in it."""
+    for batch in batches:
+        for part, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fs, path = FileSystem.from_uri(uri)
+            before = 0
+            with fs.open_input_file(path) as file:
+                for rows in pq.ParquetFile(file).iter_batches(2000, columns=["doc_id", "ids"]):
+                    ids = rows.column(1)
+                    ends = ids.offsets.to_numpy().astype(np.int64)
+                    view = memoryview(np.ascontiguousarray(ids.values.to_numpy(), dtype="<u4")).cast("B")
+                    crc = np.fromiter((zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), dtype=np.int64, count=len(ids))
+                    own = before + ends[:-1] - ends[0]
+                    before += int(ends[-1] - ends[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), rows.column(0), pa.array(own), pa.array(np.diff(ends)), pa.array(crc)], names=["part", "doc_id", "own", "n_tokens", "ids_crc32"])
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32. Starts come from sums within each file and over the files."""
+    """From the files: doc_id, start, n_tokens, ids_crc32. Starts come from places within each file and sums over the files."""
     ship(spark)
-    rows = read(spark, path).withColumn("file", _file())
-    rows = rows.mapInArrow(_crc, "doc_id long, counted long, n_tokens long, ids_crc32 long, file long")
-    files = read(spark, path).select("n_tokens", _file().alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("all"))
-    files = files.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "before")
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    uris = sorted(spark.read.schema(SCHEMA).parquet(path).inputFiles(), key=lambda x: int(re.search(r"part-(\d+)", x)[1]))  # parts are numbered in the order of the ids
+    files = spark.createDataFrame([(i, unquote(x)) for i, x in enumerate(uris)], "part long, uri string").repartition(max(1, len(uris)), "part")
+    sums = files.mapInArrow(_sums, "part long, tokens long")
+    sums = sums.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    return files.mapInArrow(_crc, "part long, doc_id long, own long, n_tokens long, ids_crc32 long").join(sums, "part").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_and_read(df: DataFrame, name: str = "tokens", **options) -> DataFrame:
