@@ -1,6 +1,502 @@
-"""The queries for the engine's own operators, by name."""
+"""The queries for the engine's own operators, by name, with SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hybridmail.functions import text as T
+from hybridmail.functions.analyzer import analyze_udf, plain_tokens
+from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, vectors
+from hybridmail.plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+QUERY = "thing contr"
+LIMIT = 20
+#: Similarities of the test vectors are low; the engine's own floor is fusion.FLOOR.
+FLOOR = 0.2
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def six(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# -- search ----------------------------------------------------------------------------------------------------------
+
+_BULK = "(lower(coalesce(body_plain, '')) like '%unsubscribe%' or lower(coalesce(sender_email, '')) like 'newsletter%' or lower(coalesce(sender_email, '')) like 'mailer%' or lower(coalesce(sender_email, '')) like '%notifications@%')"
+_DAYS = f"greatest(floor((epoch(timestamp '{V.AS_OF}') - epoch(received_at)) / 86400), 0)"
+_RECENCY = f"case when received_at is null then 1.0 else 0.5 + 0.5 * exp(-{_DAYS} / 180.0::double) end"
+
+
+def _keyword_sql(query: str, pool: int) -> str:
+    prefixes = ", ".join(f"({i}, '{w}')" for i, w in enumerate(query.split()))
+    return f"""
+    chunks as ({V.CHUNKS_SQL}),
+    words as (select message_id, chunk_index, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from chunks),
+    lengths as (select message_id, chunk_index, len(w) as len from words),
+    corpus as (select count(*)::double as n, avg(len) as a from lengths),
+    hits as (select message_id, chunk_index, phrase, count(*)::double as tf from (select message_id, chunk_index, unnest(w) as term from words) join (values {prefixes}) p(phrase, prefix) on starts_with(term, prefix) group by all),
+    df as (select phrase, count(*)::double as df from hits group by phrase),
+    scored as (select message_id, chunk_index, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) as bm25
+               from hits join df using (phrase) join lengths using (message_id, chunk_index), corpus group by message_id, chunk_index),
+    pooled as (select *, row_number() over (order by bm25, message_id, chunk_index) - 1 as chunk_rank from scored order by bm25, message_id, chunk_index limit {pool}),
+    kw as (select message_id, min(chunk_rank) as keyword_rank, 1.0::double - min(chunk_rank) / greatest((select count(*) from pooled), 1)::double as keyword_score from pooled group by message_id)"""
+
+
+def _vector_sql(pool: int, vec: int = 0) -> str:
+    return f"""
+    units as (select vec_id, message_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from ({V.VECTORS_SQL})),
+    best as (select message_id, max(list_dot_product(u, (select u from units where vec_id = {vec}))) as similarity from units group by message_id),
+    vec as (select message_id, similarity, row_number() over (order by similarity desc, message_id) - 1 as vector_rank from best order by similarity desc, message_id limit {pool})"""
+
+
+def _hits(spark: SparkSession, sf_dir: str, words: str = QUERY, limit: int = LIMIT) -> DataFrame:
+    postings, lengths = fulltext.index(V.chunks(spark, sf_dir), plain_tokens)
+    return fulltext.ranked(fulltext.search(postings, lengths, words, fusion.pool_size(limit), stems=False))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vectors(spark, sf_dir).select("vec_id", "message_id", vectors.normalised(F.col("embedding")).alias("unit"))
+
+
+def _query_vector(spark: SparkSession, sf_dir: str, vec: int = 0) -> list[float]:
+    row = V.table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec).select("embedding").first()
+    return row[0] if row else [0.0]
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.messages(spark, sf_dir).withColumn("is_bulk", T.is_bulk(F.col("body_plain"), F.col("sender_email")))
+
+
+_HYBRID = """select message_id, keyword_rank, round(keyword_score, 6) as keyword_score, round(similarity, 6) as similarity, vector_rank, is_bulk, round(combined_score, 6) as combined_score
+    from (select *, rrf * recency * case when is_bulk and not coalesce(keyword_score >= 0.85, false) then 0.4::double else 1.0::double end as combined_score
+          from (select *, coalesce(1.0::double / (61 + keyword_rank), 0) + coalesce(1.0::double / (61 + vector_rank), 0) as rrf from fused) join rows using (message_id))
+    order by combined_score desc, message_id limit {limit}"""
+_ROWS_SQL = f"rows as (select message_id, {_BULK} as is_bulk, {_RECENCY} as recency from ({V.MESSAGES_SQL}))"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("message_id", "keyword_rank", six("keyword_score"), six("similarity"), "vector_rank", "is_bulk", six("combined_score"))
+
+
+@query(f"with {_keyword_sql(QUERY, fusion.pool_size(LIMIT))}, fused as (select *, null::double as similarity, null::int as vector_rank from kw), {_ROWS_SQL} " + _HYBRID.format(limit=LIMIT))
+def q_h1_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "message_id long, similarity double, vector_rank int")
+    fused = fusion.fuse(fusion.keyword_messages(_hits(spark, sf_dir)), none)
+    return _shown(fusion.weigh(fused, _rows(spark, sf_dir), V.now(), LIMIT))
+
+
+@query(f"with {_vector_sql(fusion.pool_size(LIMIT))} select message_id, round(similarity, 6) as similarity, vector_rank from vec")
+def q_h1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.top_messages(_units(spark, sf_dir), _query_vector(spark, sf_dir), fusion.pool_size(LIMIT))
+    return found.select("message_id", six("similarity"), "vector_rank")
+
+
+@query(f"with {_keyword_sql(QUERY, fusion.pool_size(LIMIT))}, {_vector_sql(fusion.pool_size(LIMIT))}, fused as (select * from kw full outer join (select * from vec where similarity >= {FLOOR}) using (message_id)), {_ROWS_SQL} " + _HYBRID.format(limit=LIMIT))
+def q_h1_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.top_messages(_units(spark, sf_dir), _query_vector(spark, sf_dir), fusion.pool_size(LIMIT))
+    fused = fusion.fuse(fusion.keyword_messages(_hits(spark, sf_dir)), near, floor=FLOOR)
+    return _shown(fusion.weigh(fused, _rows(spark, sf_dir), V.now(), LIMIT))
+
+
+@query(f"""with units as (select vec_id, message_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from ({V.VECTORS_SQL})),
+    q as (select vec_id as query_id, u as qu from units where vec_id < 10),
+    best as (select query_id, message_id, max(list_dot_product(u, qu)) as similarity from units, q group by all),
+    ranked as (select *, row_number() over (partition by query_id order by similarity desc, message_id) - 1 as vector_rank from best),
+    fused as (select query_id, message_id, similarity, vector_rank, 1.0::double / (61 + vector_rank) as rrf from ranked where vector_rank < {fusion.pool_size(5)} and similarity >= {FLOOR}), {_ROWS_SQL},
+    scored as (select query_id, message_id, similarity, rrf * recency * case when is_bulk then 0.4::double else 1.0::double end as combined_score from fused join rows using (message_id))
+    select query_id, message_id, round(similarity, 6) as similarity, round(combined_score, 6) as combined_score from scored qualify row_number() over (partition by query_id order by combined_score desc, message_id) <= 5""")
+def q_h1_hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _units(spark, sf_dir)
+    asked = units.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_unit"))
+    near = vectors.top_messages_batch(units, asked, fusion.pool_size(5))
+    none = spark.createDataFrame([], "query_id long, message_id long, keyword_rank int, keyword_score double")
+    fused = fusion.fuse(none, near, floor=FLOOR, by=["query_id"])
+    return fusion.weigh(fused, _rows(spark, sf_dir), V.now(), 5, by=["query_id"]).select("query_id", "message_id", six("similarity"), six("combined_score"))
+
+
+@query(f"with {_keyword_sql('the ther', 80)} select message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
+def q_fts_prefix_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, "the ther", 8).select("message_id", "chunk_index", six("bm25"), "chunk_rank")
+
+
+@query()
+def q_fts_porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems, a prefix and a phrase of two terms; held against an SQLite index by a test."""
+    postings, lengths = fulltext.index(V.chunks(spark, sf_dir), analyze_udf)
+    return fulltext.ranked(fulltext.search(postings, lengths, "things the-th", 80)).select("message_id", "chunk_index", six("bm25"), "chunk_rank")
+
+
+@query(f"with chunks as ({V.CHUNKS_SQL}), lengths as (select len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as len from chunks) select count(*) as n_docs, round(avg(len), 6) as avg_len from lengths")
+def q_bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, lengths = fulltext.index(V.chunks(spark, sf_dir), plain_tokens)
+    return fulltext.corpus(lengths).select("n_docs", six("avg_len"))
+
+
+# -- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query(f"select message_id, {_BULK} as is_bulk from ({V.MESSAGES_SQL})")
+def q_bulk_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).select("message_id", "is_bulk")
+
+
+@query(f"select message_id, round({_RECENCY}, 6) as recency from ({V.MESSAGES_SQL})")
+def q_recency_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.messages(spark, sf_dir).select("message_id", F.round(T.recency_factor(F.col("received_at"), V.now()), 6).alias("recency"))
+
+
+@query(f"""with d as (select message_id, floor((epoch(timestamp '{V.AS_OF}') - epoch(received_at)) / 86400)::bigint as d from ({V.MESSAGES_SQL}))
+    select message_id, case when d is null then '' when d <= 1 then ' (today)' when d < 30 then ' (' || d || ' days ago)' when d < 365 then ' (' || (d // 30) || case when d // 30 = 1 then ' month ago)' else ' months ago)' end
+        else ' (' || (d // 365) || case when d // 365 = 1 then ' year ago)' else ' years ago)' end end as age,
+      case when d is null then null when d < 1 then 'just now' when d < 7 then d || 'd' when d < 30 then (d // 7) || 'w' when d < 365 then (d // 30) || 'mo' else (d // 365) || 'y' end as short from d""")
+def q_relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("received_at")
+    return V.messages(spark, sf_dir).select("message_id", T.relative_age(at, V.now()).alias("age"), F.when(at.isNotNull(), T.relative_time(at, V.now())).alias("short"))
+
+
+@query(f"with {_vector_sql(80)} select message_id, round(least(1.0, similarity / max(similarity) over ()), 6) as share, case when similarity / max(similarity) over () >= 0.75 then 'high' when similarity / max(similarity) over () >= 0.5 then 'medium' else 'low' end as tier from vec")
+def q_confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.top_messages(_units(spark, sf_dir), _query_vector(spark, sf_dir), 80)
+    share, tier = T.confidence(F.col("similarity"), F.max("similarity").over(Window.partitionBy()))
+    return found.select("message_id", F.round(share, 6).alias("share"), tier.alias("tier"))
+
+
+_WS = "regexp_replace(html, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')"
+
+
+@query(f"select page_id, trim(left({_WS}, 200)) as snippet, left(html, 360) as preview, case when length(html) > 800 then left(html, 800) || '…' else html end as clipped from pages")
+def q_compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return V.table(spark, sf_dir, "pages").select("page_id", T.compact(html, T.SNIPPET).alias("snippet"), T.preview(html).alias("preview"), T.clip(html, 800).alias("clipped"))
+
+
+@query("select page_id, md5(regexp_replace(html, '[\\x{200B}-\\x{200F}\\x{FEFF}\\x{034F}\\x{AD}]', '', 'g')) as stripped from pages")
+def q_strip_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_invisible(F.col("html"))).alias("stripped"))
+
+
+@query("select page_id, (starts_with(ltrim(html), '{') or starts_with(ltrim(html), '[{')) and (contains(html, '@context') or contains(html, '@type')) as is_markup from pages")
+def q_looks_like_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", T.looks_like_markup(F.col("html")).alias("is_markup"))
+
+
+@query()
+def q_decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", T.decode_entities_udf("html").alias("text"))
+
+
+@query()
+def q_strip_css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", T.strip_css_udf("html").alias("text"))
+
+
+@query()
+def q_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", T.compact(T.clean_body_udf("html"), T.SNIPPET).alias("snippet"))
+
+
+@query()
+def q_chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_chunks_udf("text")).alias("chunk_index", "text"))
+
+
+@query(f"select message_id, md5('Subject: ' || coalesce(subject, '') || chr(10) || 'From: ' || sender_email || chr(10) || 'To: ' || chr(10) || chr(10) || trim(left({_WS.replace('html', 'body_plain')}, 8000))) as input from ({V.MESSAGES_SQL})")
+def q_build_chunk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.messages(spark, sf_dir).select("message_id", F.md5(T.chunk_input(F.col("subject"), F.col("sender_email"), F.lit(None).cast("string"), F.col("body_plain"))).alias("input"))
+
+
+_HOST = "case when ends_with(lower(e), '@gmail.com') then 'imap.gmail.com' else 'imap.mail.me.com' end"
+_ADDRESS = "case c_custkey % 4 when 0 then c_name || '@Gmail.com' when 1 then c_name || '@me.com' when 2 then c_name || '@work.example' else c_name || '@icloud.com' end"
+
+
+@query(f"select c_custkey, {_HOST} as host from (select c_custkey, {_ADDRESS} as e from customer)")
+def q_imap_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    k = F.col("c_custkey") % 4
+    e = F.when(k == 0, F.concat(name, F.lit("@Gmail.com"))).when(k == 1, F.concat(name, F.lit("@me.com"))).when(k == 2, F.concat(name, F.lit("@work.example"))).otherwise(F.concat(name, F.lit("@icloud.com")))
+    return V.table(spark, sf_dir, "customer").select("c_custkey", T.imap_host(e).alias("host"))
+
+
+@query("select event_id, contains(lower(props), 'rate') or contains(lower(props), 'throttl') or contains(lower(props), 'unavailable') as is_rate_limit from (select event_id, event_type || case when event_id % 5 = 0 then ' Throttled' when event_id % 7 = 0 then ' UNAVAILABLE' else ' ok' end as props from events)")
+def q_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.concat("event_type", F.when(F.col("event_id") % 5 == 0, " Throttled").when(F.col("event_id") % 7 == 0, " UNAVAILABLE").otherwise(" ok"))
+    return V.table(spark, sf_dir, "events").select("event_id", T.is_rate_limit(note).alias("is_rate_limit"))
+
+
+@query("select conv_id, turn, regexp_matches(lower(text), '(" + "|".join(T.RECENCY_TERMS) + ")') as is_recency from conversations")
+def q_recency_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_recency_question(F.col("text")).alias("is_recency"))
+
+
+# -- relational ------------------------------------------------------------------------------------------------------
+
+
+def _marked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which every third has an embedding yet."""
+    done = (F.col("message_id") + F.col("chunk_index")) % 3 == 0
+    return V.chunks(spark, sf_dir).select("chunk_id", "message_id", "chunk_index", "text", F.when(done, F.array(F.lit(1.0))).alias("embedding"), F.timestamp_seconds(F.lit(1672531200) + F.col("message_id") * 60).alias("created_at"))
+
+
+_MARKED_SQL = f"select *, (message_id + chunk_index) % 3 = 0 as done from ({V.CHUNKS_SQL})"
+
+
+@query(f"""with m as ({V.MESSAGES_SQL}), c as ({_MARKED_SQL}), e as (select distinct message_id from c where done)
+    select account_id, count(*) as total, count(e.message_id) as embedded from m left join e using (message_id) group by account_id""")
+def q_embedded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.embedded_counts(V.messages(spark, sf_dir), _marked_chunks(spark, sf_dir))
+
+
+@query(f"select count(distinct message_id) as n_embedded from ({_MARKED_SQL}) where done")
+def q_embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.embedded_messages(_marked_chunks(spark, sf_dir))
+
+
+@query(f"select message_id, chunk_index from ({_MARKED_SQL}) where not done order by message_id, (message_id || ':' || chunk_index) limit 50")
+def q_pending_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.pending(_marked_chunks(spark, sf_dir), 50).select("message_id", "chunk_index")
+
+
+@query(f"select min(message_id) as message_id, account_id, rfc822_message_id from ({V.MESSAGES_SQL}) group by account_id, rfc822_message_id having min(message_id) >= 100")
+def q_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir)
+    return relational.first_wins(rows.filter("message_id >= 100"), rows.filter("message_id < 100"), "account_id", "rfc822_message_id", ["message_id"]).select("message_id", "account_id", "rfc822_message_id")
+
+
+@query(f"""select message_id, account_id, uid from (select message_id, account_id, case when message_id % 10 <> 0 then message_id % 300 end as uid, row_number() over (partition by account_id, message_id % 300 order by message_id) as r from ({V.MESSAGES_SQL})) where uid is null or message_id < 200 or (r = 1)
+    qualify uid is null or row_number() over (partition by account_id, uid order by message_id) = 1 or message_id < 200""")
+def q_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir).select("message_id", "account_id", F.when(F.col("message_id") % 10 != 0, F.col("message_id") % 300).alias("uid"))
+    return relational.insert_or_ignore(rows.filter("message_id < 200"), rows.filter("message_id >= 200"), ["account_id", "uid"], ["message_id"])
+
+
+_SYNC_OLD = f"select account_id, min(received_at) as last_sync_at, 'old' as last_error, true as is_running from ({V.MESSAGES_SQL}) where account_id <> 'es' group by account_id"
+_SYNC_NEW = f"select account_id, max(received_at) as last_sync_at, false as is_running from ({V.MESSAGES_SQL}) where account_id <> 'en' group by account_id"
+
+
+@query(f"with o as ({_SYNC_OLD}), n as ({_SYNC_NEW}) select coalesce(n.account_id, o.account_id) as account_id, coalesce(n.last_sync_at, o.last_sync_at) as last_sync_at, o.last_error, coalesce(n.is_running, o.is_running) as is_running from o full outer join n using (account_id)")
+def q_upsert_sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir)
+    old = rows.filter("account_id <> 'es'").groupBy("account_id").agg(F.min("received_at").alias("last_sync_at")).withColumns({"last_error": F.lit("old"), "is_running": F.lit(True)})
+    new = rows.filter("account_id <> 'en'").groupBy("account_id").agg(F.max("received_at").alias("last_sync_at")).withColumn("is_running", F.lit(False))
+    out = relational.upsert(old, new, ["account_id"])
+    return out.withColumn("last_sync_at", F.col("last_sync_at").cast("timestamp_ntz"))
+
+
+@query(f"""with m as ({V.MESSAGES_SQL}), c as ({V.CHUNKS_SQL}) select 'messages' as relation, count(*) as n from m where account_id <> 'en' union all select 'chunks', count(*) from c where message_id in (select message_id from m where account_id <> 'en')
+    union all select 'feedback', count(*) from m union all select 'feedback_kept', count(*) from m where account_id <> 'en'""")
+def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir)
+    tables = {"accounts": rows.select(F.col("account_id").alias("id")).distinct(), "messages": rows.select(F.col("message_id").alias("id"), "account_id"), "chunks": V.chunks(spark, sf_dir), "search_feedback": rows.select("message_id")}
+    left = relational.delete_account(tables, spark.createDataFrame([("en",)], "id string"))
+    counted = [(k, left[t], c) for k, t, c in (("messages", "messages", F.lit(1)), ("chunks", "chunks", F.lit(1)), ("feedback", "search_feedback", F.lit(1)), ("feedback_kept", "search_feedback", F.col("message_id")))]
+    out = None
+    for name, df, c in counted:
+        one = df.agg(F.count(c).alias("n")).select(F.lit(name).alias("relation"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_MARKS = f"select account_id, mailbox, max(uid) as last_seen_uid from ({V.ARRIVALS_SQL}) group by all"
+
+
+@query(f"select account_id, mailbox, max(case when uid % 2 = 0 or true then uid end) as last_seen_uid from ({V.ARRIVALS_SQL}) group by all")
+def q_uid_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.arrivals(spark, sf_dir)
+    old = rows.filter("uid % 2 = 0").groupBy("account_id", "mailbox").agg(F.max("uid").alias("last_seen_uid"))
+    return relational.merge_watermarks(old, rows.filter("uid % 2 = 1").select("account_id", "mailbox", "uid"))
+
+
+@query(f"select account_id, mailbox, uid, (row_number() over (partition by account_id, mailbox order by uid) - 1) // 20 as batch from ({V.ARRIVALS_SQL})")
+def q_uid_batches_of_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.uid_batches(V.arrivals(spark, sf_dir).select("account_id", "mailbox", "uid"))
+
+
+@query(f"select mailbox, time_bucket(interval '1 hour', ts) as window_start, count(*) as n from ({V.ARRIVALS_SQL}) group by all")
+def q_ingest_rate_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.streaming.ingest import ingest_rate
+
+    return ingest_rate(V.arrivals(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"select min(uid) as uid, account_id, message_id from (select event_id as uid, cast(user_id % 50 as varchar) as account_id, 'm' || (event_id % 400) as message_id from events) group by account_id, message_id")
+def q_incremental_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two syncs over a growing feed, with a restart between them, as the batch dedup of all of it."""
+    from hybridmail.streaming.ingest import Store, sync
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hybridmail-")
+    folder = f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}-ingest"
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_id"), "event_type", "ts")
+    rows = rows.select((F.col("user_id") % 50).cast("string").alias("account_id"), F.col("event_type").alias("mailbox"), F.col("event_id").alias("uid"), F.concat(F.lit("m"), (F.col("event_id") % 400).cast("string")).alias("message_id"), F.lit("s").alias("subject"), F.lit("b").alias("body"), F.col("ts").cast("timestamp").alias("internal_date"))
+    store = Store(spark, f"{folder}/store")
+    # A feed delivers in the order of the uids: one part after the other.
+    half = rows.agg(F.percentile_approx("uid", 0.5)).first()[0] or 0
+    for part in (rows.filter(F.col("uid") <= half), rows.filter(F.col("uid") > half)):
+        part.coalesce(1).sortWithinPartitions("uid").write.mode("append").parquet(f"{folder}/feed")
+        sync(spark, f"{folder}/feed", store, checkpoint=f"{folder}/checkpoint")
+    return store.messages().select("uid", "account_id", "message_id")
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then 'r' || doc_id when doc_id % 3 = 1 then 'x' || (doc_id % 10) else 'id' || doc_id end as thread_id from documents""")
+def q_thread_id_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import thread_id
+
+    n = F.col("doc_id").cast("string")
+    k = F.col("doc_id") % 3
+    df = V.table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, F.array(F.concat(F.lit("r"), n))).otherwise(F.array().cast("array<string>")).alias("in_reply_to"), F.when(k == 1, F.array(F.concat(F.lit("x"), (F.col("doc_id") % 10).cast("string")), F.lit("y"))).alias("refs"), F.concat(F.lit("id"), n).alias("message_id"))
+    return df.select("doc_id", thread_id(df).alias("thread_id"))
+
+
+@query(f"""with o as ({V.CHUNKS_SQL}), n as (select message_id, chunk_index, case when message_id % 4 = 1 then text || '!' else text end as text from o where message_id % 4 <> 2 or chunk_index > 0),
+    co as (select message_id, count(*) as a from o group by all), cn as (select message_id, count(*) as b from n group by all), ch as (select message_id, count(*) filter (o.text <> n.text) as c from o join n using (message_id, chunk_index) group by all)
+    select message_id, case when b is null then 'kept' when a is null then 'added' when a <> b then 'rechunk' when coalesce(c, 0) > 0 then 'in_place' else 'same' end as route from co full outer join cn using (message_id) left join ch using (message_id)""")
+def q_backfill_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = V.chunks(spark, sf_dir).select("message_id", "chunk_index", "text")
+    k = F.col("message_id") % 4
+    new = old.filter((k != 2) | (F.col("chunk_index") > 0)).withColumn("text", F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return relational.backfill_routes(old, new)
+
+
+_SETTINGS = "select 'cooldown:' || c_custkey as key, case when c_custkey % 3 = 0 then 'soon' else cast(1735689600 + (c_custkey % 20 - 10) * 60 as varchar) end as value from customer union all select 'chat_model', 'm'"
+
+
+@query(f"""with s as ({_SETTINGS}), u as (select substring(key, 10) as account_id, try_cast(value as bigint) as until from s where key like 'cooldown:%')
+    select account_id, greatest(coalesce(until, 0) - 1735689600, 0) as seconds_left, greatest(coalesce(until, 0) - 1735689600, 0) = 0 as may_sync, cast(ceil(greatest(coalesce(until, 0) - 1735689600, 0) / 60.0) as bigint) as minutes_left from u""")
+def q_settings_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    rows = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("cooldown:"), c.cast("string")).alias("key"), F.when(c % 3 == 0, "soon").otherwise((F.lit(1735689600) + (c % 20 - 10) * 60).cast("string")).alias("value"))
+    rows = rows.unionByName(spark.createDataFrame([("chat_model", "m")], "key string, value string"))
+    out = relational.can_sync(rows, F.lit(1735689600), F.lit(False))
+    return out.withColumn("minutes_left", T.minutes_left(F.lit(1735689600) + F.col("seconds_left"), F.lit(1735689600)))
+
+
+# -- questions -------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.keyword_messages(_hits(spark, sf_dir)).select("message_id", F.col("keyword_rank").alias("relevance_rank")).filter("relevance_rank < 30")
+    rows = V.messages(spark, sf_dir).join(hits, "message_id")
+    return rows.select("message_id", "relevance_rank", F.col("sender_email").alias("sender"), "subject", "received_at", T.preview(F.col("body_plain")).alias("body_preview"), F.lit("").alias("snippet"))
+
+
+@query(f"""with {_keyword_sql(QUERY, fusion.pool_size(LIMIT))}, m as ({V.MESSAGES_SQL}),
+    s as (select m.*, floor((epoch(timestamp '{V.AS_OF}') - epoch(received_at)) / 86400)::bigint as d, row_number() over (order by received_at desc nulls last, keyword_rank) as n from m join kw using (message_id) where keyword_rank < 30)
+    select message_id, n, '[' || n || '] From: ' || sender_email || chr(10) || '    Subject: ' || subject || chr(10) || '    Date: ' || coalesce(strftime(received_at, '%Y-%m-%dT%H:%M:%S+00:00'), '')
+      || case when d is null then '' when d <= 1 then ' (today)' when d < 30 then ' (' || d || ' days ago)' when d < 365 then ' (' || (d // 30) || case when d // 30 = 1 then ' month ago)' else ' months ago)' end else ' (' || (d // 365) || case when d // 365 = 1 then ' year ago)' else ' years ago)' end end
+      || chr(10) || '    Excerpt: ' || left(body_plain, 360) || chr(10) as block from s""")
+def q_ask_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.ordered(_sources(spark, sf_dir), "what is the latest thing?").select("message_id", "n", answers.context_block(V.now()).alias("block"))
+
+
+@query("""with a as (select doc_id as answer_id, 'see [' || (doc_id % 5) || '] and [' || (doc_id % 7) || '][' || (doc_id % 7) || ']' as answer from documents where doc_id % 2 = 0 union all select doc_id, 'none' from documents where doc_id % 2 = 1),
+    s as (select answer_id, n from (select answer_id, unnest(range(1, 5)) as n from a)), c as (select distinct answer_id, cast(unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) as int) as n from a)
+    select answer_id, cast(n as int) as n, c.n is not null as cited, c.n is not null or not max(c.n is not null) over (partition by answer_id) as shown from s left join c using (answer_id, n)""")
+def q_citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    text = F.concat(F.lit("see ["), (d % 5).cast("string"), F.lit("] and ["), (d % 7).cast("string"), F.lit("]["), (d % 7).cast("string"), F.lit("]"))
+    given = V.table(spark, sf_dir, "documents").select(d.alias("answer_id"), F.when(d % 2 == 0, text).otherwise("none").alias("answer"))
+    sources = given.select("answer_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("n"))
+    return answers.citations(given, sources)
+
+
+def _machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    tags = F.when(k % 3 == 0, F.array(F.lit("qwen3:8b-q4"), F.lit("nomic:latest"))).when(k % 3 == 1, F.array(F.lit("gpt-oss:20b"), F.lit("other:1b"))).otherwise(F.array().cast("array<string>"))
+    return V.table(spark, sf_dir, "customer").select(k.alias("machine"), F.element_at(F.array(*[F.lit(float(x)) for x in (4, 8, 16, 32, 48)]), (k % 5 + 1).cast("int")).alias("ram_gb"), tags.alias("installed"), F.lit("gpt-oss:20b").alias("current"))
+
+
+_PICK = """with m as (select c_custkey as machine, [4, 8, 16, 32, 48][c_custkey % 5 + 1] - 7 as b, c_custkey % 3 as k from customer)
+    select machine, case when pick is not null then 'model' when fit is not null then 'needs_pull' else 'search_only' end as state, coalesce(pick, fit) as pick
+    from (select machine, case when b >= 16 and k = 1 then 'gpt-oss:20b' when b >= 7.6 and k = 0 then 'qwen3:8b' end as pick, case when b >= 28 then 'qwen3.6:35b-mlx' when b >= 16 then 'gpt-oss:20b' when b >= 7.6 then 'qwen3:8b' end as fit from m)"""
+
+
+@query(_PICK)
+def q_model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.auto_pick(_machines(spark, sf_dir)).select("machine", "state", "pick")
+
+
+@query("""with m as (select c_custkey as machine, greatest([4, 8, 16, 32, 48][c_custkey % 5 + 1] - 7, 0) as b, c_custkey % 3 as k from customer)
+    select machine, r.rung, r.model, case when k = 0 then r.model = 'qwen3:8b' when k = 1 then r.model = 'gpt-oss:20b' else false end as installed, r.gb <= b as fits, r.model = 'gpt-oss:20b' as is_current
+    from m, (values (0, 'qwen3.6:35b-mlx', 28.0), (1, 'gpt-oss:20b', 16.0), (2, 'qwen3:8b', 7.6), (3, 'granite4.1:3b', 3.0)) r(rung, model, gb)
+    union all select machine, null, 'other:1b', true, null, false from m where k = 1""")
+def q_list_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.list_models(_machines(spark, sf_dir), "nomic")
+
+
+@query("""select c_custkey as machine, case when c_custkey % 2 = 0 then 'server_down' when c_custkey % 3 = 0 and c_custkey % 5 <> 0 then 'too_small' when c_custkey % 7 = 0 then 'not_installed' else 'open' end as gate from customer""")
+def q_ask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    gate = answers.ask_gate(k % 2 != 0, F.when(k % 3 == 0, "search_only").otherwise("model"), F.when(k % 5 == 0, "user"), k % 7 != 0)
+    return V.table(spark, sf_dir, "customer").select(k.alias("machine"), gate.alias("gate"))
+
+
+_CASES = (("thing", ["newsletter"], ["person"]), ("contr", ["bank"], ["mailer"]), ("ther", ["home"], ["list"]))
+
+
+@query(f"""with chunks as ({V.CHUNKS_SQL}), words as (select message_id, chunk_index, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from chunks),
+    tf as (select message_id, prefix, count(*) as tf from (select message_id, unnest(w) as term from words) join (values ('thing'), ('contr'), ('ther')) p(prefix) on starts_with(term, prefix) group by all),
+    ranked as (select *, row_number() over (partition by prefix order by tf desc, message_id) as rank from tf qualify rank <= 5),
+    j as (select prefix, rank, lower(subject || ' ' || sender_email) as h from ranked join ({V.MESSAGES_SQL}) using (message_id)),
+    v as (select prefix, rank, case when contains(h, case prefix when 'thing' then 'person' when 'contr' then 'mailer' else 'list' end) then 'junk' when contains(h, case prefix when 'thing' then 'newsletter' when 'contr' then 'bank' else 'home' end) then 'relevant' else 'other' end as verdict from j)
+    select prefix as query_id, count(*) as n_scored, count(*) filter (verdict = 'relevant') as n_relevant, count(*) filter (verdict = 'junk') as n_junk, count(*) filter (verdict = 'junk' and rank = 1) as junk_at_1, count(*) as n_weak, round(count(*) filter (verdict = 'relevant') / count(*), 6) as precision from v group by prefix""")
+def q_eval_precision_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = V.chunks(spark, sf_dir).select("message_id", F.explode(plain_tokens(F.col("text"))).alias("term"))
+    cases = spark.createDataFrame(_CASES, "query_id string, relevant array<string>, junk array<string>")
+    w = Window.partitionBy("query_id").orderBy(F.desc("tf"), "message_id")
+    hits = words.join(F.broadcast(cases.select("query_id")), F.col("term").startswith(F.col("query_id"))).groupBy("query_id", "message_id").agg(F.count(F.lit(1)).alias("tf")).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    rows = hits.join(V.messages(spark, sf_dir), "message_id").select("query_id", "rank", F.concat_ws(" ", "subject", "sender_email").alias("haystack"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("keyword_score"))
+    return evaluate.precision(evaluate.judged(rows, cases)).withColumn("precision", F.round("precision", 6))
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+def _raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An RFC 822 message for each document."""
+    i = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("From: Person <person"), i, F.lit("@Home.Example>\r\nTo: me@home.example\r\nSubject: "), F.lit("Nr "), i, F.lit("\r\nDate: Mon, 02 Jan 2023 10:00:00 +0100\r\nMessage-ID: <m"), i, F.lit("@home.example>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("raw"))
+
+
+@query("""select 'm' || doc_id || '@home.example' as message_id, 'Nr ' || doc_id as subject, 'Person' as sender, 'home.example' as sender_domain, timestamp '2023-01-02 09:00:00' as sent_at, md5(text) as body from documents""")
+def q_parse_rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import parse_files
+
+    files = _raw_messages(spark, sf_dir).select(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"), F.col("raw").cast("binary").alias("content"))
+    return parse_files(files).select("message_id", "subject", "sender", "sender_domain", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), F.md5("body_plain").alias("body"))
+
+
+@query("""select cast(doc_id // 50 as bigint) as box, cast(row_number() over (partition by doc_id // 50 order by doc_id) - 1 as int) as msg_index, 'Nr ' || doc_id as subject from documents""")
+def q_split_mbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import parse_files
+
+    boxes = _raw_messages(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 50).alias("box")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))).alias("m"))
+    whole = F.array_join(F.transform("m", lambda x: F.concat(F.lit("From person Mon Jan  2 10:00:00 2023\n"), F.regexp_replace(x["raw"], r"(?m)^(>*From )", ">$1"), F.lit("\n"))), "")
+    files = boxes.select(F.concat(F.lit("x/"), F.col("box").cast("string"), F.lit(".mbox")).alias("path"), whole.cast("binary").alias("content"))
+    return parse_files(files).select(F.regexp_extract("path", r"(\d+)\.mbox", 1).cast("long").alias("box"), "msg_index", "subject")
+
+
+@query("select 'Nr ' || doc_id as subject, md5(text) as body from documents")
+def q_parse_emlx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import parse_files
+
+    raw = F.col("raw").cast("binary")
+    content = F.concat(F.encode(F.concat(F.octet_length(raw).cast("string"), F.lit("\n")), "UTF-8"), raw, F.encode(F.lit("\n<?xml version='1.0'?><plist/>"), "UTF-8"))
+    files = _raw_messages(spark, sf_dir).select(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".emlx")).alias("path"), content.alias("content"))
+    return parse_files(files).select("subject", F.md5("body_plain").alias("body"))
