@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hybridmail.shipping import ship
+
+__all__ = ["WORD", "forget", "lower_ascii", "partitions", "scratch", "shared_folder", "ship", "slices", "stored", "table", "texts_of"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,22 +52,6 @@ def forget(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors: sends it unless they inherit a path that has it."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_hybridmail_sent", False):
-        return
-    path = Path(tempfile.mkdtemp(prefix="hybridmail-")) / "hybridmail.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((root / "hybridmail").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(path))
-    sc._hybridmail_sent = True
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
