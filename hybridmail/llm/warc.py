@@ -211,18 +211,19 @@ def decided(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, html (null for revisits), payload_bytes, digest, refers_to (null for responses)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
-    keepers = df.filter(F.col("payload_bytes") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    df = df.join(keepers, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= least), "left")
-    refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return df.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "payload_bytes", "digest", refers.alias("refers_to"))
+    long_ones = df.filter(F.col("payload_bytes") >= least).select("page_id", "digest")
+    keepers = long_ones.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = long_ones.join(keepers, "digest").filter(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct().select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper")
+    # Payloads are dealt once: the archives keep this partitioning.
+    df = df.repartition(partitions(pages.sparkSession), "page_id", "digest").join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    return df.select("page_id", "url", F.when(F.col("keeper").isNull(), F.col("html")).alias("html"), "payload_bytes", "digest", F.col("keeper").alias("refers_to"))
 
 
-def write_monolithic(records: DataFrame, folder: str, files: int | None = None) -> DataFrame:
-    """Writes archives of one gzip stream each; path and number of records of each."""
+def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
+    """Writes an archive of one gzip stream for each partition of the records; path and number of records of each."""
     spark = records.sparkSession
     ship(spark)
-    dealt = records.repartition(files or partitions(spark), "page_id").sortWithinPartitions("page_id")
-    return stored(dealt.mapInArrow(_write_monolithic(folder), "path string, records long"), "warc-whole")[0]
+    return stored(records.mapInArrow(_write_monolithic(folder), "path string, records long"), "warc-whole")[0]
 
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
