@@ -13,9 +13,9 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _ZERO_AT = np.array([([j for j in range(8) if not i >> j & 1] + [8] * 8)[:8] for i in range(256)], dtype=np.uint8)
 
 
-def _packed(bits: np.ndarray) -> np.ndarray:
-    data = np.packbits(bits, bitorder="little")
-    return np.concatenate((data, np.zeros(16 - len(data) % 8, dtype=np.uint8))).view("<u8")
+def _words(parts: list[np.ndarray]) -> np.ndarray:
+    size = sum(map(len, parts))
+    return np.concatenate((*parts, np.zeros(16 - size % 8, dtype=np.uint8))).view("<u8")
 
 
 class EliasFano:
@@ -31,10 +31,11 @@ class EliasFano:
         top = int(x[-1]) if n else 0
         l = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)  # noqa: E741
         step = 1 << 16
-        low = _packed(np.concatenate([((x[i : i + step, None] >> np.arange(l)) & 1).astype(np.uint8).ravel() for i in range(0, n, step)] or [np.zeros(0, np.uint8)]))
+        # step * l is a multiple of eight, so that the parts fit byte to byte.
+        low = _words([np.packbits(((x[i : i + step, None] >> np.arange(l)) & 1).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, step)])
         upper = np.zeros(n + (top >> l) + 1, dtype=np.uint8)
         upper[(x >> l) + np.arange(n)] = 1
-        high = _packed(upper)
+        high = _words([np.packbits(upper, bitorder="little")])
         ones = _ONES[high.view(np.uint8)].reshape(-1, 8).sum(axis=1, dtype=np.int64)
         return cls(n, l, low, high, np.concatenate(([0], np.cumsum(64 - ones))))
 
@@ -79,17 +80,19 @@ class EliasFano:
         hi = x >> self.l
         inside = np.flatnonzero((hi >= 0) & (hi < int(self.zeros[-1])))
         hi, lo = hi[inside], x[inside] & ((1 << self.l) - 1)
-        place = np.where(hi > 0, self._select(np.maximum(hi - 1, 0), False) + 1, 0)
-        index = place - hi
+        # The numbers with this high part are those between two zeros; their low parts ascend.
+        first = np.where(hi > 0, self._select(np.maximum(hi - 1, 0), False) + 1 - hi, 0)
+        end = np.minimum(self._select(hi, False) - hi, self.n)
         while len(inside):
-            # On a one there is a further number with this high part; the successor in it is the answer or there is none.
-            more = (index < self.n) & ((self.high[place >> 6] >> (place & 63).astype(_U)) & _U(1)).astype(bool)
-            inside, lo, place, index = inside[more], lo[more], place[more], index[more]
-            got = self._low(index)
+            some = first < end
+            inside, lo, first, end = inside[some], lo[some], first[some], end[some]
+            middle = (first + end) >> 1
+            got = self._low(middle)
             same = got == lo
-            out[inside[same]] = index[same]
-            on = got < lo
-            inside, lo, place, index = inside[on], lo[on], place[on] + 1, index[on] + 1
+            out[inside[same]] = middle[same]
+            first, end = np.where(got < lo, middle + 1, first), np.where(got > lo, middle, end)
+            on = ~same
+            inside, lo, first, end = inside[on], lo[on], first[on], end[on]
         return out
 
 
@@ -111,12 +114,12 @@ def mapped(uri: str) -> np.ndarray:
 
     fs, path = FileSystem.from_uri(uri)
     if isinstance(fs, LocalFileSystem):
-        return np.load(path, mmap_mode="r")
+        return np.asarray(np.load(path, mmap_mode="r"))
     with tempfile.NamedTemporaryFile(suffix=".npy") as copy, fs.open_input_stream(path, compression=None) as source:
         while data := source.read(1 << 20):
             copy.write(data)
         copy.flush()
-        return np.load(copy.name, mmap_mode="r")  # the map outlives the name
+        return np.asarray(np.load(copy.name, mmap_mode="r"))  # the map outlives the name
 
 
 def write_parts(uri: str, parts: dict[str, np.ndarray]) -> None:

@@ -66,7 +66,7 @@ def _tokens(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarr
 class _Counts:
     """Sums counts by key in bounded memory: gives them out when there are many."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.keys, self.counts, self.held, self.most = [], [], 0, most
 
     def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -182,7 +182,7 @@ class WordIds(dict):
             learned = dict(zip(new, ids.tolist(), strict=True))
             flat = (w for ws in split for w in ws)
             found = [learned[w] if x is None else x for x, w in zip(found, flat, strict=True)]
-            if len(self) < 500_000:
+            if len(self) < 300_000:
                 self.update(learned)
         line = np.array(found, dtype=np.int64)
         return np.insert(line, bounds[1:], self.end), bounds + np.arange(len(bounds))
