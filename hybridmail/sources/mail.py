@@ -154,19 +154,19 @@ def thread_id(df: DataFrame) -> Column:
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PARSED.split(", ")]
     for batch in batches:
-        rows = []
+        rows, none = [], dict.fromkeys(names)
         for path, data in zip(batch["path"], batch["content"], strict=True):
             try:
                 found = messages_of(path, bytes(data))
             except MailParse as e:
-                rows.append({"path": path, "msg_index": 0, "status": "error", "error": str(e)})
+                rows.append({"path": path, "msg_index": 0, "status": "error", "error": str(e)} | none)
                 continue
             for i, raw in enumerate(found):
                 try:
                     rows.append({"path": path, "msg_index": i, "status": "parsed", "error": None} | parse(raw))
                 except MailParse as e:
-                    rows.append({"path": path, "msg_index": i, "status": "skipped", "error": str(e)})
-        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *names])
+                    rows.append({"path": path, "msg_index": i, "status": "skipped", "error": str(e)} | none)
+        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *names], dtype=object)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
