@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.shipping import ship
+from hybridmail import shipping
 
 __all__ = ["WORD", "forget", "lower_ascii", "partitions", "scratch", "shared_folder", "ship", "slices", "stored", "table", "texts_of"]
 
@@ -52,11 +52,17 @@ def forget(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable on the executors, and keeps the batches that go to Python small."""
+    shipping.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches by the bytes of their text column, so that memory doesn't follow the length of the texts. A text stays whole."""
     for batch in batches:
         if not batch.num_rows:
