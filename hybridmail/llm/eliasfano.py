@@ -54,18 +54,14 @@ class EliasFano:
         """Places in the bit string of the k-th zeros (or ones)."""
         before = np.arange(len(self.zeros)) * 64 - self.zeros if ones else self.zeros
         word = np.searchsorted(before, k, "right") - 1
-        left = k - before[word]
         bits = self.high[word] ^ (_U(2**64 - 1) if ones else _U(0))
-        place = np.zeros(len(k), dtype=np.int64)
-        open_ = np.ones(len(k), dtype=bool)
-        for b in range(8):
-            byte = (bits >> _U(8 * b)).astype(np.uint8)
-            free = 8 - _ONES[byte].astype(np.int64)
-            here = open_ & (left < free)
-            place = np.where(here, 8 * b + _ZERO_AT[byte, np.minimum(left, 7)], place)
-            left = np.where(open_ & ~here, left - free, left)
-            open_ &= ~here
-        return word * 64 + place
+        parts = np.ascontiguousarray(bits, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(8 - _ONES[parts], axis=1, dtype=np.uint8)
+        left = (k - before[word]).astype(np.uint8)
+        byte = (upto <= left[:, None]).sum(axis=1)
+        each = np.arange(len(k))
+        left -= np.where(byte > 0, upto[each, byte - 1], np.uint8(0))
+        return word * 64 + byte * 8 + _ZERO_AT[parts[each, byte], left]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)

@@ -182,7 +182,7 @@ class WordIds(dict):
             learned = dict(zip(new, ids.tolist(), strict=True))
             flat = (w for ws in split for w in ws)
             found = [learned[w] if x is None else x for x, w in zip(found, flat, strict=True)]
-            if len(self) < 300_000:
+            if len(self) < 250_000:
                 self.update(learned)
         line = np.array(found, dtype=np.int64)
         return np.insert(line, bounds[1:], self.end), bounds + np.arange(len(bounds))
@@ -212,7 +212,7 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
             keys, n = got
             if cuts is None:
                 return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
-            return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], names=["shard", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int32))], names=["shard", "key", "n"])
 
         for batch in slices(batches, "text"):
             ids, _ = known.tokens(texts_of(batch))
@@ -225,12 +225,16 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
 
 
 def _build_shards(words: Words, folder: str, discount: float):
-    """One trie level for each shard of the sorted pairs of a partition; gives its files and its contexts' numbers of successors."""
+    """One trie level for each shard of a partition's pairs (as a rule it has one); gives its files and its contexts' numbers of successors."""
 
     def finish(shard: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, n = np.concatenate(keys), np.concatenate(counts)
+        keys.clear()
+        counts.clear()
+        order = np.argsort(k)
+        k, n = k[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        k, n = k[first], np.add.reduceat(n, first)
+        k, n = k[first], np.add.reduceat(n.astype(np.int64), first)
         context, word = k // words.size, k % words.size
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         place = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
@@ -247,23 +251,27 @@ def _build_shards(words: Words, folder: str, discount: float):
             yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int32()), pa.array([uri] * size), pa.array(own[part]), pa.array(types[part])], names=["shard", "uri", "context", "types"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
             shards, k, n = (batch.column(i).to_numpy() for i in range(3))
             for s in np.unique(shards).tolist():
-                if now is not None and s != now:
-                    yield from finish(now, keys, counts)
-                    keys, counts = [], []
-                now = s
+                keys, counts = held.setdefault(s, ([], []))
                 mine = shards == s
                 keys.append(k[mine])
                 counts.append(n[mine])
-        if now is not None:
-            yield from finish(now, keys, counts)
+        for s in sorted(held):
+            yield from finish(s, *held.pop(s))
 
     return build
 
 
+def _spread(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning sends there, so that shards meet in none."""
+    tried = spark.range(40 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("i"))
+    found = {r["p"]: r["i"] for r in tried.groupBy("p").agg(F.min("i").alias("i")).collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
 def _write_backoffs(words: Words, folder: str, discount: float):
     """For each file of level 1, the quantised weights of backing off: rows (file, place, types) sorted by file and place."""
 
@@ -316,8 +324,9 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(CUT_SAMPLE)) == 0).select("text").mapInArrow(_count_pairs(words, None), "key long")
     cuts = some.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20_000).alias("c")).first()["c"] if n > 1 else None
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
-    pairs = texts.mapInArrow(_count_pairs(words, cuts), "shard int, key long, n long")
-    built = pairs.repartition(n, "shard").sortWithinPartitions("shard", "key").mapInArrow(_build_shards(words, folder, discount), "shard int, uri string, context long, types long")
+    pairs = texts.mapInArrow(_count_pairs(words, cuts), "shard int, key long, n int")
+    to = F.element_at(F.array(*map(F.lit, _spread(spark, n))), F.col("shard") + 1)
+    built = pairs.repartition(n, to).mapInArrow(_build_shards(words, folder, discount), "shard int, uri string, context long, types long")
     built, _ = stored(built, "pair-shards")
     shards = built.select("shard", "uri").distinct().orderBy("shard").collect()  # a row for each shard
     starts = F.array(*[F.lit(x) for x in words.starts])
