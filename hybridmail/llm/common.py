@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hybridmail import shipping
 
-__all__ = ["WORD", "forget", "lower_ascii", "partitions", "scratch", "shared_folder", "ship", "slices", "stored", "table", "texts_of"]
+__all__ = ["WORD", "forget", "give_back", "lower_ascii", "partitions", "scratch", "shared_folder", "ship", "slices", "stored", "table", "texts_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +64,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives longer than its task, and the next one may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches by the bytes of their text column, so that memory doesn't follow the length of the texts. A text stays whole."""
     for batch in batches:
@@ -75,6 +84,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 2 << 20) ->
                 first, held = i, 0
             held += int(n) + 1
         yield batch.slice(first)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

@@ -47,7 +47,7 @@ class Hashed(dict):
     """A word to its features: the bucket of the stripped word, and that of its shape (-1: none)."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         plain = word.strip(_STRIP).lower()
         own = zlib.crc32(plain.encode()) % (WIDTH - 1024) + 1024 if plain else -1
