@@ -1,8 +1,8 @@
 """Full-text search: postings with positions, OR of prefix phrases, BM25.
 
 Index tables are ordinary DataFrames: postings(term, chunk_id, tf, positions), lengths(chunk_id, message_id, chunk_index,
-len). A query's prefixes are resolved against the vocabulary first, so that postings are met by an equi-join on the term
-(which prunes files if they are sorted by term) and never scanned with a pattern.
+len). A term or a prefix is a plain comparison of the term column, which is pushed down to the scan: postings sorted by term
+are read only where the term can be.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from hybridmail.functions.analyzer import analyze, fold, stem
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: A query's resolved terms are broadcast below this count; beyond, Spark joins by shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def index(chunks: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +48,7 @@ def phrases(query: str, stems: bool = True) -> list[list[str]]:
 def _matches(postings: DataFrame, terms: list[str]) -> DataFrame:
     """chunk_id, tf of one phrase: places where its terms follow each other, the last one as a prefix."""
     *exact, prefix = terms
-    vocabulary = postings.filter(F.col("term").startswith(prefix)).select("term").distinct()
-    last = postings.join(F.broadcast(vocabulary) if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else vocabulary, "term", "left_semi")
+    last = postings.filter(F.col("term").startswith(prefix))  # reaches the scan; files sorted by term are skipped by their bounds
     if not exact:
         return last.groupBy("chunk_id").agg(F.sum("tf").alias("tf"))
     # Positions of the phrase's start: those of its last term, moved back, met with those of the others.
