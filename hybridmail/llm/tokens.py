@@ -37,7 +37,7 @@ from hybridmail.llm.common import scratch, ship, slices
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
-#: Pieces remembered by one Python worker.
+#: Pieces remembered by one Python worker, of about 250 bytes each.
 CACHE = 700_000
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -68,7 +68,7 @@ class Pieces(dict):
     def __init__(self, tokenizer, words):
         """words: the same model without the pre-tokenizer's pattern, for pieces that are one word of letters."""
         super().__init__()
-        self.tokenizer, self.words, self.unknown = tokenizer, words, []
+        self.tokenizer, self.words, self.unknown, self.most = tokenizer, words, [], CACHE
         self.marks = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,;:!?\n"}
 
     def __missing__(self, piece: str) -> None:
@@ -91,7 +91,7 @@ class Pieces(dict):
             found = {x: (learned[body] if body in learned else self[body]) + mark for x, (body, mark) in zip(new, cut, strict=True)}
             for i in [i for i, x in enumerate(out) if x is None]:
                 out[i] = found[pieces[i]]
-            if len(self) < CACHE:
+            if len(self) < self.most:
                 self.update(learned)
                 self.update(found)
         return out
@@ -134,11 +134,12 @@ def _encoded(texts: list[str], known: Pieces, end: bytes) -> list[bytes]:
     return out
 
 
-def encoder(vocabulary: str, end: int):
+def encoder(vocabulary: str, end: int, cache: int = CACHE):
     """A mapInArrow function from (doc_id, text) to (doc_id, n_tokens, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tail = _pieces(vocabulary), array("I", [end]).tobytes()
+        known.most = cache
         gc.disable()  # nothing here makes cycles, and the collector would go through all that is remembered
         for batch in slices(batches, "text"):
             found = _encoded([x or "" for x in batch.column(1).to_pylist()], known, tail)
@@ -150,7 +151,7 @@ def encoder(vocabulary: str, end: int):
     return encode
 
 
-def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, files: int | None = None) -> None:
+def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, files: int | None = None, cache: int = CACHE) -> None:
     """Writes doc_id, n_tokens and ids (int32; an id is below 2**31) under path, in ascending order of id over the files."""
     spark = df.sparkSession
     ship(spark)
@@ -158,7 +159,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ties of the id have a defined order by their text.
     dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(encoder(vocabulary, end), SCHEMA).write.options(**LAYOUT).parquet(path)
+    dealt.mapInArrow(encoder(vocabulary, end, cache), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, low: int | None = None, high: int | None = None) -> DataFrame:
