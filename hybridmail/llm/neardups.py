@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hybridmail.llm.common import partitions, ship, slices, stored, table, texts_of
 from hybridmail.llm.components import components
-from hybridmail.llm.substrings import WordHashes, hashed, mix
+from hybridmail.llm.substrings import hashed, mix
 
 MISS = 2e-5
 PRUNE = 1e-6
@@ -71,9 +71,9 @@ def coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return (draw.randint(0, 2**32, hashes, dtype=np.uint32) | np.uint32(1)), draw.randint(0, 2**32, hashes, dtype=np.uint32)
 
 
-def shingle_sets(texts: list[bytes], shingle: int, cache: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; lower-cased A-Z."""
-    line, bounds = hashed([t.lower() for t in texts], cache)
+    line, bounds = hashed([t.lower() for t in texts])
     n = max(len(line) - shingle + 1, 0)
     rolled = np.zeros(n, dtype=_U)
     for k in range(shingle):
@@ -101,10 +101,10 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketch(shingle: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (a, b) = WordHashes(), coefficients(bands * rows)
+        a, b = coefficients(bands * rows)
         for batch in slices(batches, "text"):
             sizes, f1, f2, signs, keys = [], [], [], [], []
-            for found in shingle_sets(texts_of(batch), shingle, cache):
+            for found in shingle_sets(texts_of(batch), shingle):
                 sizes.append(len(found))
                 if not len(found):
                     for out in (f1, f2, signs, keys):
@@ -216,9 +216,8 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 def _sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches, "text"):
-            found = shingle_sets(texts_of(batch), shingle, cache)
+            found = shingle_sets(texts_of(batch), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "hashes"])
 
     return sets

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from hybridmail.llm.common import partitions, scratch, ship, slices, stored, table, texts_of
 from hybridmail.llm.eliasfano import EliasFano, mapped, mapped_sequence, write_array, write_parts
-from hybridmail.llm.substrings import WordHashes, hashed
+from hybridmail.llm.substrings import hashed
 
 DISCOUNT = 0.75
 #: Step of the quantised base-10 logarithms.
@@ -57,9 +57,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(True))
 
 
-def _tokens(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, ends included, and where each text begins."""
-    line, bounds = hashed([t.lower() for t in texts], cache)
+    line, bounds = hashed([t.lower() for t in texts])
     return np.insert(line, bounds[1:], END), bounds + np.arange(len(bounds))
 
 
@@ -88,14 +88,14 @@ class _Counts:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, counts = WordHashes(), _Counts()
+    counts = _Counts()
 
     def rows(got):
         # The sign bit is flipped, so that the order as signed numbers is that of the hashes.
         return pa.RecordBatch.from_arrays([pa.array((got[0] ^ _SIGN).view(np.int64)), pa.array(got[1].astype(np.int64))], names=["h", "n"])
 
     for batch in slices(batches, "text"):
-        if got := counts.add(_tokens(texts_of(batch), cache)[0]):
+        if got := counts.add(_tokens(texts_of(batch))[0]):
             yield rows(got)
     if got := counts.take():
         yield rows(got)
@@ -157,45 +157,16 @@ def ids_of(words: Words, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-class WordIds(dict):
-    """A word to its id; None where it isn't known yet."""
+def token_ids(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the tokens of all texts, ends included, and where each text begins."""
+    line, bounds = _tokens(texts)
+    own, inverse = np.unique(line, return_inverse=True)
+    return ids_of(words, own)[inverse], bounds
 
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words, self.unknown = words, []
-        self.end = int(ids_of(words, np.array([END]))[0]) if words.files else 0
 
-    def __missing__(self, word: bytes) -> None:
-        self.unknown.append(word)
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.lower().split() for t in texts]
-        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))))
-        found = [self[w] for ws in split for w in ws]
-        if self.unknown:
-            new = list(dict.fromkeys(self.unknown))
-            self.unknown.clear()
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), dtype=np.uint64, count=len(new))
-            order = np.argsort(hashes)
-            ids = np.empty(len(new), dtype=np.int64)
-            ids[order] = ids_of(self.words, hashes[order])
-            learned = dict(zip(new, ids.tolist(), strict=True))
-            flat = (w for ws in split for w in ws)
-            found = [learned[w] if x is None else x for x, w in zip(found, flat, strict=True)]
-            if len(self) < 250_000:
-                self.update(learned)
-        line = np.array(found, dtype=np.int64)
-        return np.insert(line, bounds[1:], self.end), bounds + np.arange(len(bounds))
-
-
-_IDS: dict[Words, WordIds] = {}
-
-
-def _ids(words: Words) -> WordIds:
-    if words not in _IDS:
-        _IDS.clear()
-        _IDS[words] = WordIds(words)
-    return _IDS[words]
+@lru_cache(maxsize=8)
+def end_of(words: Words) -> int:
+    return int(ids_of(words, np.array([END]))[0])
 
 
 def _pairs(ids: np.ndarray, words: Words, end: int) -> np.ndarray:
@@ -206,7 +177,7 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
     """Pairs with counts and the shard of each; without cuts, the keys alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _ids(words), _Counts()
+        counts = _Counts()
 
         def rows(got):
             keys, n = got
@@ -215,8 +186,8 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
             return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int32))], names=["shard", "key", "n"])
 
         for batch in slices(batches, "text"):
-            ids, _ = known.tokens(texts_of(batch))
-            if got := counts.add(_pairs(ids, words, known.end)):
+            ids, _ = token_ids(words, texts_of(batch))
+            if got := counts.add(_pairs(ids, words, end_of(words))):
                 yield rows(got)
         if got := counts.take():
             yield rows(got)
@@ -396,11 +367,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _ids(model.words)
         total = math.log10(model.words.tokens + 0.5 * (model.words.size + 1))
         for batch in slices(batches, "text"):
-            ids, bounds = known.tokens(texts_of(batch))
-            counts, p = probabilities(model, ids, known.end)
+            ids, bounds = token_ids(model.words, texts_of(batch))
+            counts, p = probabilities(model, ids, end_of(model.words))
             sums = [np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(counts + 0.5) - total, np.log10(p))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

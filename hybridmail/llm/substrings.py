@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,22 +52,38 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def hashed(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts on one line, and where each text begins (one more entry than texts)."""
-    words = [t.split() for t in texts]
-    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))))
-    line = np.fromiter((cache[w] for ws in words for w in ws), dtype=np.uint64, count=int(bounds[-1]))
-    return line, bounds
+#: The six bytes between words, and a fixed random number for each byte.
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
+_BYTE = mix(np.arange(256, dtype=_U), 11)
+#: Longer stretches are hashed one by one.
+_LONG = 64
+
+
+def hash_stretches(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, all at once, a byte of each at a time."""
+    line = np.frombuffer(data, dtype=np.uint8)
+    order = np.argsort(-size, kind="stable")
+    at, left = start[order], -size[order]
+    h = np.zeros(len(start), dtype=_U)
+    long = int(np.searchsorted(left, -_LONG, "left"))
+    for k in range(min(_LONG, int(-left[long]) if long < len(left) else 0)):
+        m = int(np.searchsorted(left, -k, "left"))
+        h[long:m] = h[long:m] * _U(_B1) + _BYTE[line[at[long:m] + k]]
+    for i in range(long):
+        h[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] - left[i]])
+    out = np.empty_like(h)
+    out[order] = mix(h ^ (-left).astype(_U), 12)
+    return out
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts on one line, and where each text begins (one more entry than texts)."""
+    data = b"\n".join([*texts, b""])
+    space = np.concatenate(([True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))))
+    return hash_stretches(data, start, size), np.searchsorted(start, begins)
 
 
 class Prints:
@@ -171,9 +188,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _parse(window: int, rounds: int):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches, "text"):
-            line, bounds = hashed(texts_of(batch), cache)
+            line, bounds = hashed(texts_of(batch))
             symbol, whole, text, p0, p1 = rows_of(line, bounds, window, rounds)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([_signed(symbol), _signed(whole), batch.column(0).take(at), batch.column(1).take(at), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))], names=["symbol", "print", "doc_id", "version", "p0", "p1"])
@@ -185,9 +201,8 @@ def _windows(window: int):
     """Fingerprints of the windows of the pending stretches."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches, "text"):
-            line, bounds = hashed(texts_of(batch), cache)
+            line, bounds = hashed(texts_of(batch))
             lists = batch.column(batch.schema.get_field_index("pending"))
             pairs = lists.flatten()
             text = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
