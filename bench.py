@@ -38,11 +38,12 @@ def main() -> None:
     postings, lengths = postings.repartition("term").sortWithinPartitions("term").persist(), lengths.persist()
     units = V.vectors(spark, SF_DIR).select("message_id", vectors.normalised(F.col("embedding")).alias("unit")).persist()
     n_units, query = units.count(), catalogue._query_vector(spark, SF_DIR)
-    postings.count(), lengths.count()
+    stats = fulltext.corpus(lengths).persist()
+    postings.count(), lengths.count(), stats.count()
     rows = catalogue._rows(spark, SF_DIR).drop("body_plain").persist()
     rows.count()
     pool = fusion.pool_size(20)
-    keyword = lambda: fusion.keyword_messages(fulltext.ranked(fulltext.search(postings, lengths, catalogue.QUERY, pool, stems=False)))
+    keyword = lambda: fusion.keyword_messages(fulltext.ranked(fulltext.search(postings, lengths, catalogue.QUERY, pool, stems=False, stats=stats)))
     near = lambda: vectors.top_messages(units, query, pool)
     queries = {
         "h1_keyword_search": timed(lambda: keyword().collect()),

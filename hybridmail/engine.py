@@ -219,7 +219,8 @@ class Engine:
         pool = fusion.pool_size(limit)
         postings, lengths = self._index()
         asked = bool(fulltext.phrases(words)) if words.strip() else False
-        hits = fulltext.search(postings, lengths, words if asked else "", pool)
+        stats = self.cached("chunks", "corpus", lambda: fulltext.corpus(lengths))
+        hits = fulltext.search(postings, lengths, words if asked else "", pool, stats=stats)
         keyword = fusion.keyword_messages(fulltext.ranked(hits))
         vector, query = None, None
         if semantic and words.strip():

@@ -1,14 +1,17 @@
 """Full-text search: postings with positions, OR of prefix phrases, BM25.
 
-Index tables are ordinary DataFrames: postings(term, chunk_id, tf, positions), lengths(chunk_id, message_id, chunk_index,
-len). A term or a prefix is a plain comparison of the term column, which is pushed down to the scan: postings sorted by term
-are read only where the term can be.
+Index tables are ordinary DataFrames: postings(term, chunk_id, message_id, chunk_index, len, tf, positions), which hold all
+that scoring needs, and lengths(chunk_id, message_id, chunk_index, len). A term or a prefix is a plain comparison of the
+term column, which is pushed down to the scan: postings sorted by term are read only where the term can be. A query is one
+shuffle of its hits by chunk.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +21,15 @@ from hybridmail.functions.analyzer import analyze, fold, stem
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+CHUNK = ("chunk_id", "message_id", "chunk_index", "len")
+
+
 def index(chunks: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """From chunk_id, message_id, chunk_index, text: postings and lengths."""
     words = chunks.select("chunk_id", "message_id", "chunk_index", tokens(F.col("text")).alias("words"))
     lengths = words.select("chunk_id", "message_id", "chunk_index", F.size("words").alias("len"))
-    each = words.select("chunk_id", F.posexplode("words").alias("pos", "term"))
-    postings = each.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    each = words.select("chunk_id", "message_id", "chunk_index", F.size("words").alias("len"), F.posexplode("words").alias("pos", "term"))
+    postings = each.groupBy("term", *CHUNK).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     return postings, lengths
 
 
@@ -45,18 +51,15 @@ def phrases(query: str, stems: bool = True) -> list[list[str]]:
     return out
 
 
-def _matches(postings: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, tf of one phrase: places where its terms follow each other, the last one as a prefix."""
+def _phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """CHUNK, tf of a phrase of several terms: places where they follow each other, the last one as a prefix."""
     *exact, prefix = terms
-    last = postings.filter(F.col("term").startswith(prefix))  # reaches the scan; files sorted by term are skipped by their bounds
-    if not exact:
-        return last.groupBy("chunk_id").agg(F.sum("tf").alias("tf"))
     # Positions of the phrase's start: those of its last term, moved back, met with those of the others.
-    met = last.select("chunk_id", F.explode("positions").alias("p")).select("chunk_id", (F.col("p") - len(exact)).alias("p"))
+    met = postings.filter(F.col("term").startswith(prefix)).select(*CHUNK, F.explode("positions").alias("p")).withColumn("p", F.col("p") - len(exact))
     for i, term in enumerate(exact):
         own = postings.filter(F.col("term") == term).select("chunk_id", F.explode("positions").alias("q")).select("chunk_id", (F.col("q") - i).alias("p"))
         met = met.join(own, ["chunk_id", "p"], "left_semi")
-    return met.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return met.select(*CHUNK, F.lit(1).cast("long").alias("tf"))
 
 
 def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column) -> Column:
@@ -65,19 +68,27 @@ def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column
     return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg_len))
 
 
-def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None = None, *, stems: bool = True) -> DataFrame:
-    """chunk_id, message_id, chunk_index, bm25 (more negative is better) of the best `pool` chunks; none for an empty query."""
+def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None = None, *, stems: bool = True, stats: DataFrame | None = None) -> DataFrame:
+    """chunk_id, message_id, chunk_index, bm25 (more negative is better) of the best `pool` chunks; none for an empty query. stats: corpus(lengths), if it is kept."""
     wanted = phrases(query, stems)
-    found = None
-    for i, terms in enumerate(wanted):
-        one = _matches(postings, terms).withColumn("phrase", F.lit(i))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    if not wanted:
         return lengths.select("chunk_id", "message_id", "chunk_index", F.lit(0.0).alias("bm25")).limit(0)
-    counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    rows = found.join(F.broadcast(counts), "phrase").join(lengths, "chunk_id").crossJoin(F.broadcast(corpus(lengths)))  # one row each: counts by phrase, and the corpus
-    part = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
-    scored = rows.groupBy("chunk_id", "message_id", "chunk_index").agg((-F.sum(part)).alias("bm25"))
+    alone = {i: t[0] for i, t in enumerate(wanted) if len(t) == 1}
+    rows = None
+    if alone:  # one pass for all words that aren't phrases; a term may begin with several of them
+        hit = [F.when(F.col("term").startswith(p), F.lit(i)) for i, p in alone.items()]
+        some = postings.filter(F.coalesce(*hit).isNotNull())
+        rows = some.select(*CHUNK, "tf", F.explode(F.array_compact(F.array(*hit))).alias("phrase"))
+    for i, terms in enumerate(wanted):
+        if i not in alone:
+            one = _phrase(postings, terms).withColumn("phrase", F.lit(i))
+            rows = one if rows is None else rows.unionByName(one)
+    each = range(len(wanted))
+    wide = rows.groupBy(*CHUNK).agg(*[F.sum(F.when(F.col("phrase") == i, F.col("tf"))).alias(f"tf{i}") for i in each])
+    counts = wide.agg(*[F.count(f"tf{i}").alias(f"df{i}") for i in each])
+    known = wide.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(corpus(lengths) if stats is None else stats))  # one row each
+    parts = [F.coalesce(bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len")), F.lit(0.0)) for i in each]
+    scored = known.select("chunk_id", "message_id", "chunk_index", (-reduce(add, parts)).alias("bm25"))
     return scored.orderBy("bm25", "message_id", "chunk_index").limit(pool) if pool else scored
 
 
