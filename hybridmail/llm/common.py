@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,12 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none (one machine, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="hybridmail-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="hybridmail-")
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), ignore_errors=True)
+        base = _OWN[app]
     return base.rstrip("/")
 
 
