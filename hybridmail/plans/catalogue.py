@@ -313,10 +313,7 @@ def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_MARKS = f"select account_id, mailbox, max(uid) as last_seen_uid from ({V.ARRIVALS_SQL}) group by all"
-
-
-@query(f"select account_id, mailbox, max(case when uid % 2 = 0 or true then uid end) as last_seen_uid from ({V.ARRIVALS_SQL}) group by all")
+@query(f"select account_id, mailbox, max(uid) as last_seen_uid from ({V.ARRIVALS_SQL}) group by all")
 def q_uid_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.arrivals(spark, sf_dir)
     old = rows.filter("uid % 2 = 0").groupBy("account_id", "mailbox").agg(F.max("uid").alias("last_seen_uid"))
@@ -386,6 +383,79 @@ def q_settings_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("minutes_left", T.minutes_left(F.lit(1735689600) + F.col("seconds_left"), F.lit(1735689600)))
 
 
+@query(f"select account_id, mailbox, max(uid) + 1 as uid_next, count(*) as messages from ({V.ARRIVALS_SQL}) group by all")
+def q_mailbox_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import mailboxes
+
+    return mailboxes(V.arrivals(spark, sf_dir))
+
+
+@query(f"""with m as (select account_id, mailbox, max(uid) as last_seen_uid from ({V.ARRIVALS_SQL}) where uid % 3 = 0 group by all)
+    select account_id, mailbox, uid from ({V.ARRIVALS_SQL}) left join m using (account_id, mailbox) where uid > coalesce(last_seen_uid, 0) and ts >= timestamp '2024-01-01 00:00:00' - interval '14' day""")
+def q_uid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import WINDOW_DAYS, uids_to_fetch
+
+    feed = V.arrivals(spark, sf_dir).withColumnRenamed("ts", "internal_date")
+    none = spark.createDataFrame([], "account_id string, mailbox string, last_seen_uid long")
+    marks = relational.merge_watermarks(none, feed.filter("uid % 3 = 0").select("account_id", "mailbox", "uid"))
+    since = F.date_sub(F.lit("2024-01-01").cast("date"), WINDOW_DAYS["two_weeks"]).cast("timestamp_ntz")
+    return uids_to_fetch(feed, marks, since).select("account_id", "mailbox", "uid")
+
+
+@query("select o_orderkey, strftime(o_orderdate - interval '30' day, '%d-%b-%Y') as since from orders")
+def q_fetch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hybridmail.sources.mail import DEFAULT_WINDOW, since_text
+
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", since_text(DEFAULT_WINDOW, F.col("o_orderdate")).alias("since"))
+
+
+@query(f"select account_id, mailbox, case when mailbox = 'view' then uid else 0 end as first_uid from (select account_id, mailbox, min(uid) as uid from ({V.ARRIVALS_SQL}) group by all)")
+def q_ensure_mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mailboxes that are there stay as they are; others are added once."""
+    rows = V.arrivals(spark, sf_dir)
+    old = rows.filter("mailbox = 'view'").groupBy("account_id", "mailbox").agg(F.min("uid").alias("first_uid"))
+    return relational.insert_or_ignore(old, rows.select("account_id", "mailbox", F.lit(0).cast("long").alias("first_uid"), "uid"), ["account_id", "mailbox"], ["uid"])
+
+
+@query(f"""with m as ({V.MESSAGES_SQL}), c as ({_MARKED_SQL}), e as (select distinct message_id from c where done), s as ({_SYNC_OLD})
+    select account_id, total, embedded, last_error, is_running from (select account_id, count(*) as total, count(e.message_id) as embedded from m left join e using (message_id) group by account_id) left join s using (account_id)""")
+def q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir)
+    state = rows.filter("account_id <> 'es'").select("account_id").distinct().withColumns({"last_error": F.lit("old"), "is_running": F.lit(True)})
+    return relational.sync_status(rows, _marked_chunks(spark, sf_dir), state)
+
+
+@query("select c_custkey, abs(case when h >= 2147483648 then h - 4294967296 else h end) % 8 as hue from (select c_custkey, list_reduce([0::bigint] || list_transform(string_split(c_name, ''), lambda x: ascii(x)::bigint), lambda a, x: (a * 31 + x) % 4294967296) as h from customer)")
+def q_avatar_hue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "customer").select("c_custkey", T.avatar_hue(F.col("c_name")).alias("hue"))
+
+
+@query("select page_id, 'message:%3C' || replace(url_encode(url), '+', '%20') || '%3E' as link from pages")
+def q_message_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", T.message_link(F.concat(F.lit("<"), "url", F.lit(">"))).alias("link"))
+
+
+@query("select page_id, length(html) as n_chars, len(regexp_extract_all(html, '</p>')) as n_marks from pages where html like '%</p>%' order by page_id limit 5")
+def q_markup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run's report: the first few bodies that hold a marker, their lengths and how often it occurs."""
+    html = F.col("html")
+    return V.table(spark, sf_dir, "pages").filter(html.contains("</p>")).orderBy("page_id").limit(5).select("page_id", F.length(html).alias("n_chars"), F.regexp_count(html, F.lit("</p>")).alias("n_marks"))
+
+
+@query("select conv_id, string_agg(text, '' order by turn) as answer from conversations group by conv_id")
+def q_token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of streamed answers put together in their order."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("answer"))
+
+
+@query(f"select vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm from (select vec_id, list_transform(embedding, lambda x: x::double * 3 / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double * 9)))) as u from ({V.VECTORS_SQL}))")
+def q_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tripled = F.transform("embedding", lambda x: x * 3)
+    unit = vectors.normalised(tripled)
+    return V.vectors(spark, sf_dir).select("vec_id", F.round(F.sqrt(vectors.dot(unit, unit)), 6).alias("norm"))
+
+
 # -- questions -------------------------------------------------------------------------------------------------------
 
 

@@ -191,3 +191,8 @@ def uids_to_fetch(feed: DataFrame, watermarks: DataFrame, since: Column | None =
     """Rows of the feed (account_id, mailbox, uid, internal_date) above the stored watermark, and not before `since`."""
     rows = feed.join(watermarks.select("account_id", "mailbox", "last_seen_uid"), ["account_id", "mailbox"], "left").filter(F.col("uid") > F.coalesce("last_seen_uid", F.lit(0))).drop("last_seen_uid")
     return rows if since is None else rows.filter(F.col("internal_date") >= since)
+
+
+def mailboxes(feed: DataFrame) -> DataFrame:
+    """Each mailbox of a feed with the uid that comes next and its number of messages."""
+    return feed.groupBy("account_id", "mailbox").agg((F.max("uid") + 1).alias("uid_next"), F.count(F.lit(1)).alias("messages"))
