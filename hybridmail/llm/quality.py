@@ -4,9 +4,9 @@ Grades are ordered: 0 (toxic), 1 (poor), 2 (good). The proportional-odds model h
 features and ordered thresholds t_0 < t_1: P(grade > k) = sigmoid(w . x - t_k). Expected grade and tail probability
 P(grade > 0) ... follow. All grades share the weights; only the thresholds differ.
 
-Toxicity and layout need not lie on one line of features, so the features are signed by nothing else than the words: lower-
-cased words stripped of punctuation, the same words' shapes (case and punctuation classes) and text-level buckets (share of
-repeated words, of capitals, of symbols). Counts are damped by log(1 + n) and rows scaled to length one.
+Features: lower-cased words stripped of punctuation, the words' shapes (capitals, trailing marks, digits, links) and
+text-level buckets (shares of repeated words and lines, of capitals, of trailing marks; the power of two of the length).
+Counts are damped by log(1 + n) and the word features of a text scaled to one length.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled documents (those of the smallest hash of the id, so the
 same ones on each run), featurised on the executors. A grade too rare in it is weighted up. Every document is scored.
