@@ -6,10 +6,10 @@ skip to the pages of the ids it wants. The id and count columns are delta-encode
 is dictionary-encoded where the ids of a row group fit a dictionary and delta-encoded beyond, row groups and pages are of
 the sizes given below. A count or an id is read without touching the tokens.
 
-Tokenizing: the pre-tokenizer of the byte-level vocabulary never joins text across a single space that follows a
-non-space character, nor a single line end between two such with what is around it, so a text is cut there and each
-distinct piece is encoded by the library once for a batch, and remembered (the first CACHE pieces). A text with runs of
-white space, white space at an end, or unprintable characters is encoded whole.
+Tokenizing: the pre-tokenizer of the byte-level vocabulary never joins text across a single space or line end, nor a word
+of letters with the mark after it, so texts are cut there, all at once, and each distinct piece (told by a 64-bit hash) is
+encoded by the library once for a batch and remembered (the first CACHE pieces). A text with runs of white space, white
+space at an end, or unprintable characters is encoded whole.
 
 Null texts count as empty: an empty document is its end id alone. Null ids come first. Repeated rows and equal ids are
 written each for itself; rows of an equal id follow each other in the order of their tokens. An empty table gives no
@@ -21,8 +21,8 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridmail.llm.common import scratch, ship, slices
+from hybridmail.llm.substrings import hash_stretches
 
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
-#: Pieces remembered by one Python worker, of about 250 bytes each.
-CACHE = 700_000
+#: Pieces remembered by one Python worker, of about 40 bytes each.
+CACHE = 1_500_000
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
@@ -51,50 +52,62 @@ LAYOUT = {
     "compression": "zstd",
 }
 
-def cut_at_spaces(text: str) -> list[str] | None:
-    """The pieces of a text, or None if it has white space at an end or beside white space, or characters that can't be printed other than line ends."""
-    pieces = text.replace("\n", " \n").split(" ")
-    # No white space but the space counts as printable.
-    return pieces if "" not in pieces and "\n" not in pieces and text.replace("\n", "").isprintable() else None
-
-
-class Pieces(dict):
-    """A piece to the bytes of its ids, as little-endian unsigned 32-bit integers; None where it isn't known yet.
-
-    A piece stands for itself after a space, or after nothing if it begins with a line end. A word and one mark at its
-    end are encoded apart, as the pre-tokenizer parts them.
-    """
-
-    def __init__(self, tokenizer, words):
-        """words: the same model without the pre-tokenizer's pattern, for pieces that are one word of letters."""
-        super().__init__()
-        self.tokenizer, self.words, self.unknown, self.most = tokenizer, words, [], CACHE
-        self.marks = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,;:!?\n"}
-
-    def __missing__(self, piece: str) -> None:
-        self.unknown.append(piece)
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        out = list(map(self.__getitem__, pieces))
-        if self.unknown:
-            new = list(dict.fromkeys(self.unknown))
-            self.unknown.clear()
-            cut = [(x[:-1], self.marks[x[-1]]) if x[-1] in self.marks and (x[:-1].isalpha() or x[0] == "\n" and x[1:-1].isalpha()) else (x, b"") for x in new]
-            bodies = {x for x, _ in cut if x not in self}
-            self.unknown.clear()
-            alpha, heads, rest = [], [], []
-            for x in bodies:
-                (alpha if x.isalpha() else heads if x[0] == "\n" and x[1:].isalpha() else rest).append(x)
-            learned = {}
-            for some, how, before, texts in ((alpha, self.words, b"", [" " + x for x in alpha]), (heads, self.words, self.marks["\n"], [x[1:] for x in heads]), (rest, self.tokenizer, b"", [x if x[0] == "\n" else " " + x for x in rest])):
-                learned.update((x, before + array("I", e.ids).tobytes()) for x, e in zip(some, how.encode_batch_fast(texts, add_special_tokens=False), strict=True))
-            found = {x: (learned[body] if body in learned else self[body]) + mark for x, (body, mark) in zip(new, cut, strict=True)}
-            for i in [i for i, x in enumerate(out) if x is None]:
-                out[i] = found[pieces[i]]
-            if len(self) < self.most:
-                self.update(learned)
-                self.update(found)
-        return out
+def can_be_cut(text: str) -> bool:
+    """Whether its white space is single spaces and line ends inside the text; no other white space counts as printable."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")) and text.replace("\n", "").isprintable() if text else True
+
+
+#: Stands before each text; a text that can be cut doesn't hold it.
+FIRST = b"\x00"
+_BETWEEN = b"\x01"
+_ENDS = np.isin(np.arange(256), np.frombuffer(b"\x00\n", dtype=np.uint8))
+_BEFORE = _ENDS | (np.arange(256) == 32)
+_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", dtype=np.uint8))
+_LETTERS = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", dtype=np.uint8))
+
+
+def piece_starts(line: np.ndarray) -> np.ndarray:
+    """Where texts on one line, FIRST before each, are cut: before spaces, around line ends, and before one mark that ends a word of letters. The pre-tokenizer parts all these."""
+    here = _BEFORE[line]
+    cut = here.copy()
+    cut[1:] |= _ENDS[line[:-1]]
+    cut[1:-1] |= _MARKS[line[1:-1]] & _LETTERS[line[:-2]] & here[2:]
+    if len(line) > 1:
+        cut[-1] |= _MARKS[line[-1]] & _LETTERS[line[-2]]
+    return np.flatnonzero(cut)
+
+
+class Pieces:
+    """Ids of known pieces, in arrays: ascending hashes, and where the ids of each lie in one buffer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.most = tokenizer, CACHE
+        self.hashes, self.start, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def look_up(self, own: np.ndarray, pieces: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """own: ascending hashes; pieces gives those of the places it is asked for. Where in self.ids each begins, and how many ids it has; good until the next call."""
+        at = np.searchsorted(self.hashes, own)
+        if len(self.hashes):
+            near = np.minimum(at, len(self.hashes) - 1)
+            hit = self.hashes[near] == own
+            start, size = np.where(hit, self.start[near], 0), np.where(hit, self.size[near], 0)
+        else:
+            hit, start, size = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int32)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            texts = _BETWEEN.join(x if x != FIRST else b"" for x in pieces(new)).decode().split(_BETWEEN.decode())
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            until = self.used + int(sizes.sum())
+            if until > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros(max(until - len(self.ids), len(self.ids) // 2), dtype="<u4")))
+            self.ids[self.used : until] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=until - self.used)
+            start[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+            if len(self.hashes) < self.most:
+                self.hashes, self.start, self.size = (np.insert(x, at[new], y[new]) for x, y in ((self.hashes, own), (self.start, start), (self.size, size)))
+                self.used = until
+        return start, size
 
 
 #: One for each vocabulary in a Python worker, which lives longer than a task.
@@ -107,46 +120,58 @@ def _pieces(vocabulary: str) -> Pieces:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        tokenizer, words = (Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)) for _ in range(2))
+        tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         tokenizer.encode_special_tokens = True
-        words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        _KNOWN[vocabulary] = Pieces(tokenizer, words)
+        _KNOWN[vocabulary] = Pieces(tokenizer)
     return _KNOWN[vocabulary]
 
 
-def _encoded(texts: list[str], known: Pieces, end: bytes) -> list[bytes]:
-    split = [cut_at_spaces(x) for x in texts]
-    cut, whole = ([i for i, p in enumerate(split) if (p is None) == no] for no in (False, True))
-    split = [p for p in split if p is not None]
-    out: list[bytes] = [b""] * len(texts)
-    # What can't be cut, and the first piece of each text, which has no space before it.
-    plain = known.tokenizer.encode_batch_fast([texts[i] for i in whole] + [p[0] for p in split], add_special_tokens=False) if texts else []
-    heads = [array("I", e.ids).tobytes() for e in plain]
-    for i, head in zip(whole, heads, strict=False):
-        out[i] = head + end
-    found = known.encode([x for p in split for x in p[1:]])
-    at = 0
-    for i, p, head in zip(cut, split, heads[len(whole) :], strict=True):
-        out[i] = head + b"".join(found[at : at + len(p) - 1]) + end
-        at += len(p) - 1
-    return out
+def _cut_and_encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that can be cut, with the end id after each, and the number of ids of each. Equal pieces of all texts are looked up once."""
+    data = b"".join(FIRST + t.encode() for t in texts)
+    line = np.frombuffer(data, dtype=np.uint8)
+    start = piece_starts(line)
+    size = np.diff(np.append(start, len(data)))
+    own, first, inverse = np.unique(hash_stretches(data, start, size), return_index=True, return_inverse=True)
+    pieces = lambda i: [data[a:b] for a, b in zip(start[first[i]].tolist(), (start[first[i]] + size[first[i]]).tolist(), strict=True)]
+    places, sizes = known.look_up(own, pieces)
+    each = sizes[inverse].astype(np.int64)
+    until = np.cumsum(each)
+    ids = known.ids[np.repeat(places[inverse] - (until - each), each) + np.arange(int(until[-1]))]
+    begins = np.flatnonzero(line[start] == 0)
+    counts = np.add.reduceat(each, begins)
+    return np.insert(ids, np.cumsum(counts), end), counts + 1
+
+
+def encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts on one line, and how many each has."""
+    whole = [i for i, t in enumerate(texts) if not can_be_cut(t)]
+    if not whole:
+        return _cut_and_encoded(texts, known, end)
+    rest = sorted(set(range(len(texts))) - set(whole))
+    parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+    for i, e in zip(whole, known.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        parts[i] = np.array([*e.ids, end], dtype=np.uint32)
+    if rest:
+        ids, counts = _cut_and_encoded([texts[i] for i in rest], known, end)
+        for i, x in zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            parts[i] = x
+    return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
 
 
 def encoder(vocabulary: str, end: int, cache: int = CACHE):
     """A mapInArrow function from (doc_id, text) to (doc_id, n_tokens, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tail = _pieces(vocabulary), array("I", [end]).tobytes()
+        known = _pieces(vocabulary)
         known.most = cache
         gc.disable()  # nothing here makes cycles, and the collector would go through all that is remembered
-        for batch in slices(batches, "text"):
-            found = _encoded([x or "" for x in batch.column(1).to_pylist()], known, tail)
-            sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+        for batch in slices(batches, "text", 3 << 20):
+            ids, counts = encoded([x or "" for x in batch.column(1).to_pylist()], known, end)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))], names=["doc_id", "n_tokens", "ids"])
 
     return encode
 
