@@ -36,6 +36,7 @@ GRADES = 3
 WIDTH = 1 << 20
 SAMPLE = 12_000
 STEPS = 120
+LEAST_DOCUMENTS = 3
 #: A document is rejected if its grade is more likely below the best than the best.
 TAIL = 0.5
 
@@ -118,6 +119,9 @@ def fit(offsets: np.ndarray, ids: np.ndarray, values: np.ndarray, grades: np.nda
     importance = np.where(seen > 0, n / np.maximum(seen, 1), 0.0)[grades] ** 0.5
     importance /= importance.mean()
     rows = np.repeat(np.arange(n), np.diff(offsets))
+    # A word of one or two documents can only be learned by heart.
+    often = np.bincount(ids, minlength=width)[ids] >= LEAST_DOCUMENTS
+    ids, values, rows = ids[often], values[often], rows[often]
     w, free = np.zeros(width), np.array([-1.0, *[0.0] * (GRADES - 2)])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
     for step in range(1, steps + 1):
