@@ -213,9 +213,10 @@ def decided(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     long_ones = df.filter(F.col("payload_bytes") >= least).select("page_id", "digest")
     keepers = long_ones.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = long_ones.join(keepers, "digest").filter(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct().select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper")
-    # Payloads are dealt once: the archives keep this partitioning.
-    df = df.repartition(partitions(pages.sparkSession), "page_id", "digest").join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    row = F.xxhash64("page_id", "digest").alias("row")  # never null, unlike an id
+    revisits = long_ones.join(keepers, "digest").filter(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct().select(row, "digest", "keeper")
+    # Payloads are dealt once: the join and the archives keep this partitioning.
+    df = df.select("*", row).repartition(partitions(pages.sparkSession), "row", "digest").join(revisits, ["row", "digest"], "left")
     return df.select("page_id", "url", F.when(F.col("keeper").isNull(), F.col("html")).alias("html"), "payload_bytes", "digest", F.col("keeper").alias("refers_to"))
 
 
