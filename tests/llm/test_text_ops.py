@@ -82,6 +82,17 @@ def test_pii_trees_hold_out(spark):
         assert np.isfinite(model.threshold), kind
 
 
+def test_pii_neighbours_are_candidates_of_their_own(spark):
+    card, other = "4539.1488.0343.6467", "4539  1488  0343  6467"
+    texts = [f"paid {card} 12.27 at", f"{card} {card}", f"10.0.0.255 {card}", f"1234 {other} 77", "call (212) 555-0199 (415) 555-0123 now", f"visa {card} 123456789012345678901234567890 {other}", "tel. 0301 234 56789 then"]
+    wanted = [[card], [card, card], ["10.0.0.255", card], [other], ["(212) 555-0199", "(415) 555-0123"], [card, other], ["0301 234 56789"]]
+    got = {r["doc_id"]: [texts[r["doc_id"]][s:e] for _, s, e in r["all"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == dict(enumerate(wanted))
+    # Many matches of one text are located by blocks.
+    r = pii.find(spark.createDataFrame([(1, f"é {card}; " * 300)], DOCS)).first()
+    assert [(s, e) for _, s, e in r["all"]] == [(2 + 23 * i, 21 + 23 * i) for i in range(300)]
+
+
 # -- mixing ----------------------------------------------------------------------------------------------------------
 
 
