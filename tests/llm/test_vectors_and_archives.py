@@ -1,5 +1,6 @@
 """Nearest neighbours, archives and the pipeline."""
 
+import dataclasses
 import gzip
 import hashlib
 import zlib
@@ -54,6 +55,18 @@ def test_groups_split_a_large_cell(spark, monkeypatch):
     assert set(counts.values()) == {20} and len(counts) == 30
 
 
+def test_outliers_of_dense_clusters_get_all_rows(spark, monkeypatch):
+    """With one probe, as the calibration gives where most vectors are clustered."""
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, n: dataclasses.replace(fit(x, n), probes=1))
+    r = np.random.RandomState(3)
+    middles = r.randn(4, 16) * 10
+    x = np.concatenate([middles[np.arange(2000) % 4] + r.randn(2000, 16) * 0.01, r.randn(100, 16) * 200]).astype("f4")
+    x = x[r.permutation(len(x))]
+    got = Counter(q["query_id"] for q in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS), F.lit(True)).collect())
+    assert got == dict.fromkeys(range(len(x)), 20)
+
+
 PAGES = "page_id long, url string, html string"
 
 
