@@ -11,6 +11,9 @@ of letters with the mark after it, so texts are cut there, all at once, and each
 encoded by the library once for a batch and remembered (the first CACHE pieces). A text with runs of white space, white
 space at an end, or unprintable characters is encoded whole.
 
+Added tokens of the vocabulary ('<|endoftext|>') in a text: with added=True, as the queries have it, they get their own
+ids, the library's default, and a text that holds one is encoded whole. Without it, they are ordinary text.
+
 Null texts count as empty: an empty document is its end id alone. Null ids come first. Repeated rows and equal ids are
 written each for itself; rows of an equal id follow each other in the order of their tokens. An empty table gives no
 rows. Other columns are not read.
@@ -80,8 +83,8 @@ def piece_starts(line: np.ndarray) -> np.ndarray:
 class Pieces:
     """Ids of known pieces, in arrays: ascending hashes, and where the ids of each lie in one buffer."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.most = tokenizer, CACHE
+    def __init__(self, tokenizer, added: tuple[str, ...] = ()):
+        self.tokenizer, self.most, self.added = tokenizer, CACHE, added
         self.hashes, self.start, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
 
@@ -110,12 +113,12 @@ class Pieces:
         return start, size
 
 
-#: One for each vocabulary in a Python worker, which lives longer than a task.
-_KNOWN: dict[str, Pieces] = {}
+#: One for each vocabulary, with and without its added tokens, in a Python worker, which lives longer than a task.
+_KNOWN: dict[tuple[str, bool], Pieces] = {}
 
 
-def _pieces(vocabulary: str) -> Pieces:
-    if vocabulary not in _KNOWN:
+def _pieces(vocabulary: str, added: bool = False) -> Pieces:
+    if (vocabulary, added) not in _KNOWN:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,9 +126,10 @@ def _pieces(vocabulary: str) -> Pieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        tokenizer.encode_special_tokens = True
-        _KNOWN[vocabulary] = Pieces(tokenizer)
-    return _KNOWN[vocabulary]
+        if not added:
+            tokenizer.encode_special_tokens = True
+        _KNOWN[vocabulary, added] = Pieces(tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()) if added else ())
+    return _KNOWN[vocabulary, added]
 
 
 def _cut_and_encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +151,7 @@ def _cut_and_encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndar
 
 def encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts on one line, and how many each has."""
-    whole = [i for i, t in enumerate(texts) if not can_be_cut(t)]
+    whole = [i for i, t in enumerate(texts) if not can_be_cut(t) or any(a in t for a in known.added)]
     if not whole:
         return _cut_and_encoded(texts, known, end)
     rest = sorted(set(range(len(texts))) - set(whole))
@@ -161,11 +165,11 @@ def encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.n
     return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
 
 
-def encoder(vocabulary: str, end: int, cache: int = CACHE):
+def encoder(vocabulary: str, end: int, cache: int = CACHE, added: bool = False):
     """A mapInArrow function from (doc_id, text) to (doc_id, n_tokens, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _pieces(vocabulary)
+        known = _pieces(vocabulary, added)
         known.most = cache
         gc.disable()  # nothing here makes cycles, and the collector would go through all that is remembered
         for batch in slices(batches, "text", 3 << 20):
@@ -176,7 +180,7 @@ def encoder(vocabulary: str, end: int, cache: int = CACHE):
     return encode
 
 
-def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, files: int | None = None, cache: int = CACHE) -> None:
+def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, files: int | None = None, cache: int = CACHE, added: bool = False) -> None:
     """Writes doc_id, n_tokens and ids (int32; an id is below 2**31) under path, in ascending order of id over the files."""
     spark = df.sparkSession
     ship(spark)
@@ -184,7 +188,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ties of the id have a defined order by their text.
     dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(encoder(vocabulary, end, cache), SCHEMA).write.options(**LAYOUT).parquet(path)
+    dealt.mapInArrow(encoder(vocabulary, end, cache, added), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -239,4 +243,4 @@ def encode_and_read(df: DataFrame, name: str = "tokens", **options) -> DataFrame
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=True)

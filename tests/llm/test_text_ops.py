@@ -169,6 +169,24 @@ def test_tokens_round_trip(spark, tmp_path):
     assert tokens.encode_and_read(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_queries_keep_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    texts = ["a <|endoftext|> b", "plain words, here.", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "a <|endof text|> b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [np.array([*t.encode(x, add_special_tokens=False).ids, tokens.END], dtype="<u4") for x in texts]
+    assert 50256 in wanted[0]
+    for got in (tokens.op4(spark, str(tmp_path)), corpus_pipeline.write_tokens(spark, docs, str(tmp_path))):
+        rows = got.orderBy("doc_id").collect()
+        assert [(r["n_tokens"], r["ids_crc32"]) for r in rows] == [(len(x), zlib.crc32(x.tobytes())) for x in wanted]
+        assert [r["start"] for r in rows] == [sum(map(len, wanted[:i])) for i in range(len(wanted))]
+
+
 def test_token_files_allow_selective_reads(spark, tmp_path):
     import pyarrow.parquet as pq
 
