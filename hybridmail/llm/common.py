@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hybridmail import shipping
 
-__all__ = ["WORD", "forget", "give_back", "lower_ascii", "partitions", "scratch", "shared_folder", "ship", "slices", "stored", "table", "texts_of"]
+__all__ = ["WORD", "forget", "forget_all", "give_back", "lower_ascii", "partitions", "same_stretches", "scratch", "shared_folder", "ship", "slices", "small_batches", "stored", "table", "texts_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Folders made for sessions that name none, by application.
 _OWN: dict[str, str] = {}
+#: Scratch paths of this process that are still there.
+_MADE: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (one machine, as in tests)."""
+    """The folder that driver and executors share: the session's own, else one in the warehouse; a temporary one on one machine only, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
@@ -44,14 +50,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Keeps the batches that go to Python small for what runs inside; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Cuts lineage: writes df as Parquet into the shared folder; gives what reads it, and the path."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,12 +82,17 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.discard(path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Removes all scratch tables of this process, once the results that read them have been used."""
+    forget(spark, *list(_MADE))
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable on the executors, and keeps the batches that go to Python small."""
+    """Makes the package importable on the executors."""
     shipping.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -102,6 +128,25 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def same_stretches(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which stretches of bytes are equal: a[at : at + size] and b[bt : bt + size], all at once. a, b: arrays of bytes."""
+    out = np.ones(len(size), dtype=bool)
+    there = np.flatnonzero(size > 0)
+    # Bounded pieces, so that the indices of a batch don't take many times its bytes.
+    cuts = np.searchsorted(np.cumsum(size[there]), np.arange(1 << 20, int(size[there].sum()) + (1 << 20), 1 << 20), "left") + 1 if len(there) else np.zeros(0, dtype=np.int64)
+    first = 0
+    for cut in np.unique(np.minimum(cuts, len(there))).tolist():
+        part = there[first:cut]
+        first = cut
+        if len(part):
+            n = size[part].astype(np.int64)
+            until = np.cumsum(n)
+            each = np.arange(int(until[-1])) - np.repeat(until - n, n)
+            same = a[np.repeat(at[part], n) + each] == b[np.repeat(bt[part], n) + each]
+            out[part] = np.logical_and.reduceat(same, until - n)
+    return out
+
+
 def lower_ascii(column):
     """A-Z to a-z, all else unchanged."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

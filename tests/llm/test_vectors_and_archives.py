@@ -67,6 +67,39 @@ def test_outliers_of_dense_clusters_get_all_rows(spark, monkeypatch):
     assert got == dict.fromkeys(range(len(x)), 20)
 
 
+def test_every_candidate_is_kept(spark):
+    """Repeated rows don't hide other ids, ids may have several vectors, and vectors of each length are searched."""
+    v, w = [1.0, 2.0], [2.0, 1.0]
+    rows = [(1, v)] * 100 + [(2, v), (20, v), (3, w), (20, w), (40, [1.0, 0.0, 2.0]), (41, [0.0, 1.0, 1.0]), (60, [5.0]), (5, [1.0, 1.0, 0.0])]
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    twice = sorted(got.pop(20))
+    assert twice == sorted([(1, 1, 5.0), (2, 2, 5.0), (3, 3, 4.0), (4, 20, 4.0), (1, 3, 5.0), (2, 1, 4.0), (3, 2, 4.0), (4, 20, 4.0)])
+    assert {q: sorted(x) for q, x in got.items()} == {40: [(1, 41, 2.0), (2, 5, 1.0)]}
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_on_repeated_and_mixed_rows(spark, clustered):
+    r = np.random.RandomState(7)
+    rows = []
+    for d, n in ((8, 900), (24, 1500)):
+        x = r.randn(n, d) + (r.randn(12, d) * 6)[r.randint(0, 12, n)] * clustered
+        x[: n // 3] = x[0]
+        rows += [(len(rows) + i, y.tolist()) for i, y in enumerate(x.astype("f4"))]
+    rows += rows[:50] * 3
+    got = {}
+    for g in ann.neighbours(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    known, hits, wanted = dict(rows), 0, 0
+    for q in (i for i in known if i % 20 == 0):
+        others = [(-float(np.dot(np.float64(known[j]), np.float64(known[q]))), j) for j in known if j != q and len(known[j]) == len(known[q])]
+        true = {j for _, j in sorted(others)[:20]}
+        wanted += len(true)
+        hits += len(true & got[q])
+    assert hits >= 0.95 * wanted
+
+
 PAGES = "page_id long, url string, html string"
 
 
