@@ -399,6 +399,26 @@ def test_decontamination(spark):
     assert decontaminate.search(df, bench.limit(0)).count() == 0 and decontaminate.search(df.limit(0), bench).count() == 0
 
 
+def test_sketches_prune_pairs(spark):
+    """Documents with a few phrases of an item share shingles with it, but are no candidates; those that hold it are."""
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(60))) for k in range(10)]
+    r = np.random.RandomState(3)
+    docs = []
+    for i in range(200):
+        w = words(300, i)
+        for k in r.permutation(10)[:4]:
+            at = r.randint(0, 50)
+            w += items[k][1].split()[at : at + 8] + ["cut"]
+        docs.append((i, " ".join(w + (items[i % 10][1].split() if i < 20 else []))))
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    known = decontaminate.items(bench)
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.candidates(df, known).collect()}
+    assert found >= {(i, i % 10) for i in range(20)}
+    met = df.select("doc_id", F.explode(decontaminate.shingles(F.col("text"))).alias("h")).join(known.select("item_id", F.explode("hs").alias("h")), "h").select("doc_id", "item_id").distinct().count()
+    assert met > 700 and len(found) < 0.1 * met
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.search(df, bench).collect()} == {(i, i % 10) for i in range(20)}
+
+
 def test_decontamination_beyond_broadcast(spark, monkeypatch):
     docs, bench = spark.createDataFrame([(1, "x a b c d e f g h y")], DOCS), spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 2)
