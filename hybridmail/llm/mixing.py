@@ -11,8 +11,8 @@
    which the points gave fewer slots than it needs (by the bounded discrepancy, a few) gets the rest at the end.
 5. Slots join blocks, blocks join the documents that lie on them: the words taken.
 
-Ranks and prefix sums are made in two steps (within hash buckets or runs of slots, then over the few sums of those), so no
-task sees all rows of a source. Sizes: null and empty texts have size 0, keep their row and take 0 words. A null source
+Ranks and prefix sums are made in two steps (within BUCKETS hash buckets of a source or runs of slots, then over the sums
+of those), so no task sees all rows of a source. What one task does see is a row for each source, when they are ordered. Sizes: null and empty texts have size 0, keep their row and take 0 words. A null source
 is a source. Repeated rows and equal ids lie side by side on the line, each for itself. An empty table gives an empty
 result. Other columns are not read. Reruns agree, whatever the partitioning.
 """
@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 2048
-BUCKETS = 1024
+BUCKETS = 1 << 12
 RUN = 1 << 14
 CELLS = 1024
 GOLDEN = 0.6180339887498949
@@ -78,7 +78,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
     """A row for each row of df: id, size, source, source_size, target, taken, copies (how often the whole document is taken when only whole ones are: as often as its middle word), first_slot (of the mix; null where nothing is taken)."""
     key = F.xxhash64(F.lit(20), F.col("id"))
-    base, _ = stored(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")).select("*", key.alias("key"), F.shiftrightunsigned(key, 54).cast("int").alias("bucket")), "mix-sizes")
+    base, _ = stored(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")).select("*", key.alias("key"), F.shiftrightunsigned(key, 64 - BUCKETS.bit_length() + 1).cast("int").alias("bucket")), "mix-sizes")
     sums, _ = stored(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
     sources, _ = stored(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights).withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * most)), "mix-targets")
     offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "bucket", "before")
@@ -110,13 +110,14 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def apply(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as whole documents: each row of df as often as mix() takes its middle word, 0 to `most` times; all columns of df. Equal rows share what they are taken together, rounded up."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("row"))
-    keyed = df.withColumn("_key", key)
-    copies = mix(keyed, id_col="_key", text_col=text_col, source_col=source_col, **options).groupBy("_key").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).alias("_copies")).filter("_copies > 0")
-    once = copies.select(F.col("_key.id").alias("_id"), F.col("_key.row").alias("_row"), "_copies")
-    met = df.withColumn("_row_hash", F.xxhash64(*df.columns)).join(once, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")))
-    return met.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """The mix as whole documents: each row of df as often as mix() takes its middle word, 0 to `most` times; all columns of df, whatever their names. Equal rows share what they are taken together, rounded up."""
+    # The row travels as one value, so that no name of its own meets another.
+    of = lambda c: F.col(f"`{c}`")
+    packed = df.select(F.struct("*").alias("row"), F.struct(of(id_col).alias("id"), F.xxhash64(*map(of, df.columns)).alias("row")).alias("key"), of(text_col).alias("text"), of(source_col).alias("source"))
+    taken = mix(packed, id_col="key", text_col="text", source_col="source", **options)
+    copies = taken.groupBy("key").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).alias("copies")).filter("copies > 0").select(F.col("key").alias("own"), "copies")
+    met = packed.select("row", "key").join(copies, (F.col("key.row") == F.col("own.row")) & F.col("key.id").eqNullSafe(F.col("own.id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
