@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_substrings": substrings.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
 }

@@ -3,20 +3,26 @@
 A window is WINDOW consecutive words of one document. A word is removed if some window that covers it also starts in a
 document with a smaller id.
 
-1. Recompression. Words are named by a 64-bit hash. A first round names maximal runs of an equal word; each further round
-   splits the symbols in two halves by a hash bit and names every adjacent (left, right) pair. A name is a hash of what it
-   stands for, so all documents give equal names to equal content without exchanging anything. With each symbol goes the
-   stretch of words that its existence depends on (half of the symbols need a look at one neighbour in each round).
-2. Each window chooses the symbol of least hash among those that depend on words of the window alone: equal windows choose
-   equal symbols at equal places. A window without such a symbol stands for itself. Neighbouring windows that choose the
-   same occurrence make one row: the symbol, and a fingerprint of all words that these windows span.
-3. Symbols that occur in one document only are dropped: most of the corpus. Where symbol and fingerprint also occur in a
-   smaller document, all windows of the row are settled at once. If a shared symbol has several fingerprints (the repeat
-   ends near there), the windows themselves are fingerprinted and grouped.
-
-The result is that of comparing all windows: every window is settled by one of the two, up to 128-bit fingerprints of
-random word hashes. No group is collected: minima are combined before they are shuffled, and joins on a frequent symbol can
-be split, as the other side has one row for it.
+1. Names within a window. Words are named by a 64-bit hash. A first round names maximal runs of an equal word; each
+   further round splits the symbols in two halves by a hash bit and names every adjacent (left, right) pair. A name is a
+   hash of what it stands for, so that all documents give equal names to equal content where the text lies. With each
+   symbol goes the stretch of words that its existence depends on (half of the symbols look at one neighbour a round).
+   Each window chooses the symbol of least hash among those that depend on words of the window alone: equal windows choose
+   equal symbols at equal places; a window without one stands for itself. Neighbouring windows of one choice make a row:
+   the symbol, and a fingerprint of all words that these windows span.
+2. The first global round drops the rows whose symbol occurs in one document only: most of the corpus.
+3. Further global rounds (LEVELS of them, each a Spark step over all rows that are left) name runs of rows: symbols that
+   follow each other are split in halves by a hash bit, all distinct (left, right) pairs are grouped, and where a pair also
+   occurs in a smaller document the two rows become one row of the pair's name. So a long repeat comes down to few symbols
+   of a high level; the smallest document keeps its lower ones, which still smaller documents may share.
+4. Verification. The words of each shared row, and of the row that it repeats, are read again and compared by a 128-bit
+   BLAKE2 digest of their bytes. Where a symbol is shared but the words around differ (the repeat ends near there), the
+   windows of the row are digested and grouped one by one. No name counts that the words don't bear out: a clash of names
+   can only make work, or stop the run with an error, never a wrong removal.
+
+The result is that of comparing all windows. Minima are combined before they are shuffled. Rows look up what is known of
+their key in two ways: the HOT most frequent keys are broadcast (that many rows, whatever the input), and the rows that
+they answer are dealt at random, so that no key brings more than one part in HOT of the rows into one task.
 
 Null texts have no words. Texts of fewer than WINDOW words lose nothing, nor do documents with a null id (they have no
 order), whose windows count for nobody. Repeated rows of one id are treated alike and aren't compared with each other. An
@@ -31,13 +37,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import forget, partitions, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import forget, ship, slices, stored, table, texts_of
 
 WINDOW = 50
 ROUNDS = 5
+#: Global rounds over the symbols that windows chose.
+LEVELS = 3
+#: Keys that are broadcast with what is known of them: the most frequent ones.
+HOT = 1000
 #: Bits of a choice that hold the place (the least hash wins, then the first place); the same for all batches.
 _PLACE = 26
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -197,45 +207,56 @@ def _parse(window: int, rounds: int):
     return parse
 
 
-def _windows(window: int):
-    """Fingerprints of the windows of the pending stretches."""
+#: What is to be digested: a stretch that another document is said to hold, one that is held against it, or each window of a stretch.
+CLAIM, ORIGIN, WINDOWS = 0, 1, 2
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _digests(window: int, most: int = 1 << 17):
+    """Digests of the words of stretches (spans: kind, p0, p1; windows p0 to p1), one for each window of the kind WINDOWS."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            line, bounds = hashed(texts_of(batch))
-            lists = batch.column(batch.schema.get_field_index("pending"))
-            pairs = lists.flatten()
-            text = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            p0, p1 = (pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            counts = p1 - p0 + 1
-            p = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(p0, counts)
-            text = np.repeat(text, counts)
-            a = p + bounds[text]
-            at = pa.array(text)
-            for i in range(0, len(p), 1 << 18):
-                s = slice(i, i + (1 << 18))
-                if i == 0:
-                    one, two = Prints(line, _B1, 5), Prints(line, _B2, 6)
-                yield pa.RecordBatch.from_arrays([_signed(one.of(a[s], a[s] + window)), _signed(two.of(a[s], a[s] + window)), batch.column(0).take(at[s]), batch.column(1).take(at[s]), pa.array(p[s].astype(np.int32))], names=["h1", "h2", "doc_id", "version", "p"])
+            docs, versions, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(batch.schema.get_field_index("spans"))
+            out: list[bytes] = []
+            marks: list[tuple] = []
+
+            def rows(out=out, marks=marks) -> pa.RecordBatch:
+                d = np.frombuffer(b"".join(out), dtype="<i8").reshape(-1, 2)
+                columns = [pa.array(c, t) for c, t in zip(zip(*marks, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                out.clear()
+                marks.clear()
+                return pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), *columns], names=["d1", "d2", "doc_id", "version", "kind", "p0", "p1"])
+
+            for doc, version, text, own in zip(docs, versions, texts_of(batch), spans, strict=True):
+                words = text.split()
+                line = memoryview(b" ".join(words))
+                at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1))).tolist()
+                for x in own.as_py():
+                    kind, p0, p1 = x["kind"], x["p0"], x["p1"]
+                    for a, b in [(p, p) for p in range(p0, p1 + 1)] if kind == WINDOWS else [(p0, p1)]:
+                        out.append(hashlib.blake2b(line[at[a] : at[b + window] - 1], digest_size=16).digest())
+                        marks.append((doc, version, kind, a, b))
+                        if len(out) >= most:
+                            yield rows()
+            if out:
+                yield rows()
 
-    return cut
+    return digest
 
 
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            settled, starts = (batch.column(batch.schema.get_field_index(k)) for k in ("settled", "starts"))
+            spans = batch.column(batch.schema.get_field_index("spans"))
+            flat, counts = spans.flatten(), pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            p0, p1 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            cuts = np.concatenate(([0], np.cumsum(counts)))
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for i, text in enumerate(texts_of(batch)):
                 words = text.split()
-                covered = np.zeros(len(words) + 1, dtype=np.int64)
-                for p0, p1 in ((x["p0"], x["p1"]) for x in settled[i].as_py() or ()):
-                    covered[p0] += 1
-                    covered[p1 + window] -= 1
-                for p in starts[i].as_py() or ():
-                    covered[p] += 1
-                    covered[p + window] -= 1
-                gone = np.cumsum(covered[:-1]) > 0
+                own = slice(cuts[i], cuts[i + 1])
+                covered = np.bincount(p0[own], minlength=len(words) + 1) - np.bincount(p1[own] + window, minlength=len(words) + 1)
+                gone = np.cumsum(covered[: len(words)]) > 0
                 removed = int(gone.sum())
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if removed else b" ".join(words)
                 n_words.append(len(words))
@@ -247,29 +268,91 @@ def _finish(window: int):
     return finish
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def _known(rows: DataFrame, info: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with the value that info (keys, value, n; a row for each key) has for their key, null where it has none."""
+    hot = info.orderBy(F.desc("n"), *keys).limit(HOT).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.col(value).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    # What the hot keys have answered goes anywhere; those random keys meet nothing that counts.
+    dealt = marked.withColumns({f"_at_{k}": F.when(F.col("_hot").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), "doc_id", "version", "p0")) for i, k in enumerate(keys)})
+    rest = info.select(*[F.col(k).alias(f"_own_{k}") for k in keys], F.col(value).alias("_value"))
+    met = dealt.join(rest, [F.col(f"_at_{k}") == F.col(f"_own_{k}") for k in keys], "left")
+    return met.select(*rows.columns, F.coalesce("_hot", "_value").alias(value))
+
+
+def _holders(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key of several documents: the smallest of them, and its number of rows."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").drop("most")
+
+
+def _paired(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """One global round over rows (doc_id, version, p0, p1, name, least, several, level): the rows after it, and the stretches that the new names are held against."""
+    in_order = Window.partitionBy("doc_id", "version").orderBy("p0")
+    half = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2))
+    follows = F.lead(F.struct("name", "p0", "p1")).over(in_order)
+    placed = rows.withColumn("next", follows).withColumn("pair", F.coalesce((half("name") == 0) & (half("next.name") == 1) & (F.col("next.p0") == F.col("p1") + 1), F.lit(False)))
+    placed = placed.withColumns({"left": F.when(F.col("pair"), F.col("name")), "right": F.when(F.col("pair"), F.col("next.name"))})
+    info, info_path = stored(_holders(placed.filter("pair"), ["left", "right"]).withColumnRenamed("least", "holder"), "pairs")
+    met, met_path = stored(_known(placed.drop("pair"), info, ["left", "right"], "holder"), "paired")
+    name = F.xxhash64(F.lit(100 + level), "left", "right")
+    origins = met.filter("holder = doc_id").select("doc_id", "version", F.lit(ORIGIN).alias("kind"), "p0", F.col("next.p1").alias("p1"))
+    taken = F.coalesce(F.col("holder") < F.col("doc_id"), F.lit(False))
+    seen = met.withColumn("taken", taken).withColumn("second", F.coalesce(F.lag("taken").over(in_order), F.lit(False))).filter(~F.col("second"))
+    after = seen.select("doc_id", "version", "p0", F.when(F.col("taken"), F.col("next.p1")).otherwise(F.col("p1")).alias("p1"), F.when(F.col("taken"), name).otherwise(F.col("name")).alias("name"), "least", "several", F.when(F.col("taken"), F.lit(level)).otherwise(F.col("level")).alias("level"))
+    after, _ = stored(after, "symbols")
+    origins, _ = stored(origins, "origins")
+    forget(rows.sparkSession, info_path, met_path)
+    return after, origins
+
+
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
     """A row for each row of df: id, n_words, n_removed, kept_sha256, kept_text (kept words, joined by one space)."""
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
     parsed = docs.filter("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_parse(window, rounds), "symbol long, print long, doc_id long, version long, p0 int, p1 int")
     rows, rows_path = stored(parsed, "recompressed")
-    shared = rows.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
-    met, met_path = stored(rows.join(shared, "symbol"), "shared-symbols")
-    forget(spark, rows_path)
-    prints = met.groupBy("symbol", "print").agg(F.min("doc_id").alias("least"))
-    several = prints.groupBy("symbol").agg((F.count(F.lit(1)) > 1).alias("several"))
-    judged = met.join(prints, ["symbol", "print"]).join(several, "symbol").select("doc_id", "version", "p0", "p1", (F.col("least") < F.col("doc_id")).alias("settled"), "several").filter("settled or several")
-    span = F.struct("p0", "p1")
-    found, _ = stored(judged.groupBy("doc_id", "version").agg(F.collect_set(F.when(F.col("settled"), span)).alias("settled"), F.collect_set(F.when(~F.col("settled"), span)).alias("pending")), "repeats")
-    forget(spark, met_path)
-    dealt = docs.repartition(partitions(spark), "doc_id", "version")  # the texts are dealt once; the second join reuses it
-    pending = found.filter(F.size("pending") > 0).select("doc_id", "version", "pending")
-    windows = dealt.join(pending, ["doc_id", "version"]).select("doc_id", "version", "text", "pending").mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, version long, p int")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    starts = windows.join(first, ["h1", "h2"]).filter("least < doc_id").groupBy("doc_id", "version").agg(F.collect_set("p").alias("starts"))
-    judged = dealt.join(found.select("doc_id", "version", "settled"), ["doc_id", "version"], "left").join(starts, ["doc_id", "version"], "left").select("doc_id", "text", "settled", "starts")
-    return judged.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
+    shared, shared_path = stored(_holders(rows, ["symbol"]), "shared-symbols")
+    met, met_path = stored(_known(rows, shared, ["symbol"], "least").filter("least is not null").select("symbol", F.xxhash64("symbol", "print").alias("name"), "doc_id", "version", "p0", "p1").distinct(), "met")
+    forget(spark, rows_path, shared_path)
+    names, names_path = stored(_holders(met, ["name"]), "names")
+    differ, differ_path = stored(met.groupBy("symbol").agg(F.min("name").alias("a"), F.max("name").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("symbol", "n", F.lit(True).alias("several")), "differing")
+    found = _known(_known(met, names, ["name"], "least"), differ, ["symbol"], "several").filter("least is not null or several")
+    symbols, _ = stored(found.select("doc_id", "version", "p0", "p1", "name", "least", F.coalesce("several", F.lit(False)).alias("several"), F.lit(0).alias("level")), "symbols")
+    forget(spark, met_path, names_path, differ_path)
+    origins = []
+    for level in range(1, levels + 1):
+        symbols, own = _paired(symbols, level)
+        origins.append(own)
+    repeats = (F.col("level") > 0) | (F.col("least") < F.col("doc_id"))
+    of = lambda rows, kind: rows.select("doc_id", "version", F.lit(kind).alias("kind"), "p0", "p1")
+    spans = of(symbols.filter(repeats), CLAIM).unionAll(of(symbols.filter((F.col("level") == 0) & (F.col("least") == F.col("doc_id"))), ORIGIN)).unionAll(of(symbols.filter(~F.coalesce(repeats, F.lit(False)) & F.col("several")), WINDOWS))
+    for own in origins:
+        spans = spans.unionAll(own)
+    spans, spans_path = stored(spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("kind", "p0", "p1")).alias("spans")), "spans")
+    dealt = docs.join(spans, ["doc_id", "version"]).select("doc_id", "version", "text", "spans")
+    read, read_path = stored(dealt.mapInArrow(_digests(window), "d1 long, d2 long, doc_id long, version long, kind int, p0 int, p1 int"), "digests")
+    holders, holders_path = stored(_holders(read, ["d1", "d2"]), "holders")
+    judged, judged_path = stored(_known(read.filter(F.col("kind") != ORIGIN), holders, ["d1", "d2"], "least").select("doc_id", "version", "kind", "p0", "p1", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("repeats")), "judged")
+    forget(spark, spans_path, read_path, holders_path)
+    if not judged.filter((F.col("kind") == CLAIM) & ~F.col("repeats")).isEmpty():
+        raise ValueError("two different stretches of words have one name: run again with another salt")
+    gone, _ = stored(judged.filter("repeats").groupBy("doc_id", "version").agg(F.collect_set(F.struct("p0", "p1")).alias("spans")), "repeats")
+    forget(spark, judged_path)
+    whole = docs.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    return whole.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
+
+
+#: The contract, written out: all windows by their words, the smallest document of each, the words that later ones cover.
+SQL = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+     v as (select doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) as p from d),
+     k as (select doc_id, p, array_to_string(w[p : p + {WINDOW - 1}], ' ') as words from v),
+     f as (select words, min(doc_id) as least from k group by words),
+     g as (select distinct doc_id, unnest(range(p, p + {WINDOW})) as i from k join f using (words) where least < doc_id),
+     e as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+     r as (select e.doc_id, coalesce(string_agg(w[i], ' ' order by i) filter (g.i is null), '') as kept, count(g.i) as n_removed from e left join g using (doc_id, i) group by e.doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join r using (doc_id)
+"""
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
