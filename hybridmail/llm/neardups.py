@@ -6,8 +6,9 @@
    band with probability at most MISS.
 3. In each bucket the classes are compared with the smallest one (a star: as many pairs as members, however large the
    group). Links give components. Only pairs of one bucket whose components then still differ are compared in a second
-   round, in blocks of TILE by TILE members, out of which only links come. Then every pair that shares a band is
-   tested or connected: no connection is lost, and a group of near copies doesn't make all its pairs.
+   round, in blocks of TILE by TILE members, out of which only links come. Signatures alone are dealt to the blocks first;
+   only the members of a block that have a likely pair in it are dealt again with their sets. Then every pair that shares
+   a band is tested or connected: no connection is lost, and a group of near copies doesn't make all its pairs.
 4. A pair's signatures are compared in batches. With a uniform prior the similarity given m matches of n is Beta(m + 1,
    n - m + 1); the pair is dropped as soon as the posterior probability of the wanted similarity is below PRUNE.
 5. Survivors are confirmed on the full sets, of 64-bit shingle hashes: 100 * intersection >= percent * union.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import partitions, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import forget, partitions, ship, slices, stored, table, texts_of
 from hybridmail.llm.components import components
 from hybridmail.llm.substrings import hashed, mix
 
@@ -169,42 +170,68 @@ class Sets:
         return 100 * both >= percent * (self.sizes[p] + self.sizes[q] - both)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole blocks of rows sorted by their first three columns (key, i, j)."""
+    held = None
+    for batch in _with_last(batches):
+        if batch is not None:
+            held = batch if held is None else pa.concat_batches([held, batch])
+        if held is None or not held.num_rows:
+            continue
+        block = np.stack([held.column(k).to_numpy() for k in range(3)])
+        edges = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+        edges = np.concatenate(([0], edges, [held.num_rows] if batch is None else [])).astype(int)  # the last block may go on
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield held.slice(a, b - a)
+        held = held.slice(int(edges[-1]))
+
+
+def _apart(block: pa.RecordBatch, hashes: int, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the likely pairs between different labels in a block (members of tile i with those of tile j). Columns: key, i, j, tile, doc_id, label, sign."""
+    i, j = (int(block.column(k)[0].as_py()) for k in (1, 2))
+    tile, doc, label = (block.column(k).to_numpy() for k in (3, 4, 5))
+    if (label == label[0]).all():
+        return
+    sign = _signs(block.column(6), hashes)
+    own, other = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    step = max(1, 40_000 // max(1, len(other)))
+    for k in range(0, len(own), step):
+        p, q = np.repeat(own[k : k + step], len(other)), np.tile(other, len(own[k : k + step]))
+        apart = (label[p] != label[q]) & ((doc[p] < doc[q]) | (i != j))
+        p, q = p[apart], q[apart]
+        got = survivors(sign, sign, p, q, least)
+        yield p[got], q[got]
+
+
+def _open_members(similarity: float, hashes: int):
+    """The members of each block that have a likely pair in it, without their signatures' partners."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_matches(similarity, hashes)
+        for block in _blocks(batches):
+            use = np.zeros(block.num_rows, dtype=bool)
+            for p, q in _apart(block, hashes, least):
+                use[p] = use[q] = True
+            if use.any():
+                yield block.filter(pa.array(use))
+
+    return members
+
+
 def _crossing(similarity: float, hashes: int, percent: int):
-    """Links between different labels within each block of a bucket: signatures first, then the full sets. Rows: key, i, j (the block: members of tile i with those of tile j), tile, doc_id, label, sign, hashes, sorted by block."""
-
-    def compare(tile: np.ndarray, doc: np.ndarray, label: np.ndarray, sign: np.ndarray, sets: pa.Array, i: int, j: int, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, other, full = np.flatnonzero(tile == i), np.flatnonzero(tile == j), None
-        step = max(1, 40_000 // max(1, len(other)))
-        for k in range(0, len(own), step):
-            p, q = np.repeat(own[k : k + step], len(other)), np.tile(other, len(own[k : k + step]))
-            apart = (label[p] != label[q]) & ((doc[p] < doc[q]) | (i != j))
-            p, q = p[apart], q[apart]
-            got = survivors(sign, sign, p, q, least)
-            if len(got):
-                full = full or Sets(sets)
-                got = got[full.similar(p[got], q[got], percent)]
-                yield np.minimum(doc[p[got]], doc[q[got]]), np.maximum(doc[p[got]], doc[q[got]])
+    """Links between different labels within each block: signatures first, then the full sets. Rows: key, i, j, tile, doc_id, label, sign, hashes, sorted by block."""
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, held = least_matches(similarity, hashes), None
-        for batch in _with_last(batches):
-            if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None or not held.num_rows:
-                continue
-            block = np.stack([held.column(k).to_numpy() for k in range(3)])
-            edges = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
-            edges = np.concatenate(([0], edges, [held.num_rows] if batch is None else []))  # the last block may go on
-            if len(edges) < 2:
-                continue
-            tile, doc, label = (held.column(k).to_numpy() for k in (3, 4, 5))
-            sign = _signs(held.column(6), hashes)
-            for a, b in zip(edges[:-1].astype(int), edges[1:].astype(int), strict=True):
-                if (label[a:b] != label[a]).any():
-                    for x, y in compare(tile[a:b], doc[a:b], label[a:b], sign[a:b], held.column(7).slice(a, b - a), int(block[1, a]), int(block[2, a]), least):
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-            held = held.slice(int(edges[-1]))
+        least = least_matches(similarity, hashes)
+        for block in _blocks(batches):
+            doc, full = block.column(4).to_numpy(), None
+            for p, q in _apart(block, hashes, least):
+                if len(p):
+                    full = full or Sets(block.column(7))
+                    same = full.similar(p, q, percent)
+                    x, y = doc[p[same]], doc[q[same]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return crossing
 
@@ -247,16 +274,16 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shing
     bands, rows = banding(percent / 100)
     hashes = bands * rows
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched, _ = stored(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sign binary, bands array<long>"), "sketches")
+    sketched, sketched_path = stored(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sign binary, bands array<long>"), "sketches")
     known = sketched.filter("f1 is not null and doc_id is not null")
-    classes, _ = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes, classes_path = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")), "classes")
     firsts = known.join(classes, ["f1", "f2", "doc_id"])
-    buckets, _ = stored(firsts.select("doc_id", F.explode("bands").alias("key")).distinct(), "buckets")
+    buckets, buckets_path = stored(firsts.select("doc_id", F.explode("bands").alias("key")).distinct(), "buckets")
     hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub < most").select("key", "hub")
-    shared, _ = stored(buckets.join(hubs, "key"), "shared-buckets")
+    shared, shared_path = stored(buckets.join(hubs, "key"), "shared-buckets")
     signs = firsts.select("doc_id", "sign")
     wanted = shared.select("doc_id").distinct()
-    sets, _ = stored(docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, hashes binary"), "shingle-sets")
+    sets, sets_path = stored(docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, hashes binary"), "shingle-sets")
 
     def tested(pairs: DataFrame) -> DataFrame:
         both = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("x")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("y")), "b")
@@ -268,19 +295,25 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shing
 
     # Rows of one id with several texts are one node: their classes are linked as the id itself is.
     named = known.select("doc_id", "f1", "f2").join(classes.withColumnRenamed("doc_id", "first"), ["f1", "f2"])
-    links, _ = stored(confirmed(tested(shared.filter("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())), "star-links")
+    links, links_path = stored(confirmed(tested(shared.filter("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())), "star-links")
     label = components(links)
     labelled = shared.select("key", "doc_id").join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).filter("l < m").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    left = labelled.join(open_keys, "key").join(signs, "doc_id").join(sets, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    blocks = left.select("key", "tile", "doc_id", "label", "sign", "hashes", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "label", "sign", "hashes")
-    crossing = blocks.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(percent / 100, hashes, percent), "a long, b long")
-    more, _ = stored(crossing.distinct(), "cross-links")
+    left = labelled.join(open_keys, "key").join(signs, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    blocks = left.select("key", "tile", "doc_id", "label", "sign", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "label", "sign")
+    dealt = lambda rows: rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    members, members_path = stored(dealt(blocks).mapInArrow(_open_members(percent / 100, hashes), blocks.schema), "open-members")
+    crossing = dealt(members.join(sets, "doc_id").select(*blocks.columns, "hashes")).mapInArrow(_crossing(percent / 100, hashes, percent), "a long, b long")
+    more, more_path = stored(crossing.distinct(), "cross-links")
+    forget(spark, members_path, sets_path, shared_path, buckets_path)
     several = named.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("doc_id", "least")
     by_id = named.join(several, "doc_id").filter("least < first").select(F.col("least").alias("a"), F.col("first").alias("b"))
     whole = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more).unionAll(by_id))
     rows_out = sketched.select("doc_id", "n_shingles", "f1", "f2").join(classes.withColumnRenamed("doc_id", "first"), ["f1", "f2"], "left").withColumn("node", F.coalesce("first", "doc_id"))
-    return rows_out.join(whole, "node", "left").select(F.col("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")).withColumnRenamed("doc_id", id_col)
+    found = rows_out.join(whole, "node", "left").select(F.col("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")).withColumnRenamed("doc_id", id_col)
+    out, _ = stored(found, "groups")
+    forget(spark, sketched_path, classes_path, links_path, more_path)
+    return out
 
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -289,5 +322,19 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shin
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
 
 
+#: The contract, written out: all pairs that share a shingle, and the closure of the links.
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (s) where a.doc_id < b.doc_id group by all),
+     e as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+     l as (select x, y from e union all select y, x from e),
+     r(a, b) as (select doc_id, doc_id from d union select r.a, l.y from r join l on r.b = l.x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least as component_id, doc_id = least as kept
+from (select a as doc_id, min(b) as least from r group by a) left join n using (doc_id)
+"""
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), shingle=3, percent=85)

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substrings": substrings.SQL,
+    "op6_neardups": neardups.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
 }
