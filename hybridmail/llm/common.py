@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hybridmail import shipping
 
-__all__ = ["WORD", "forget", "forget_all", "give_back", "lower_ascii", "partitions", "same_stretches", "scratch", "shared_folder", "ship", "slices", "small_batches", "stored", "table", "texts_of"]
+__all__ = ["WORD", "eights", "forget", "forget_all", "give_back", "lower_ascii", "partitions", "same_stretches", "scratch", "shared_folder", "ship", "slices", "small_batches", "stored", "table", "texts_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +84,9 @@ def forget(spark: SparkSession, *paths: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         _MADE.discard(path)
+    # Plans that nobody refers to any more let Spark's cleaner remove their shuffle files; they must be seen to be gone.
+    gc.collect()
+    jvm.System.gc()
 
 
 def forget_all(spark: SparkSession) -> None:
@@ -128,22 +132,22 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as numbers. data ends with eight bytes that belong to no stretch."""
+    return np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+
+
 def same_stretches(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which stretches of bytes are equal: a[at : at + size] and b[bt : bt + size], all at once. a, b: arrays of bytes."""
+    """Which stretches of bytes are equal, size bytes from at in a and from bt in b (both as eights()), eight bytes of each at a time."""
     out = np.ones(len(size), dtype=bool)
-    there = np.flatnonzero(size > 0)
-    # Bounded pieces, so that the indices of a batch don't take many times its bytes.
-    cuts = np.searchsorted(np.cumsum(size[there]), np.arange(1 << 20, int(size[there].sum()) + (1 << 20), 1 << 20), "left") + 1 if len(there) else np.zeros(0, dtype=np.int64)
-    first = 0
-    for cut in np.unique(np.minimum(cuts, len(there))).tolist():
-        part = there[first:cut]
-        first = cut
-        if len(part):
-            n = size[part].astype(np.int64)
-            until = np.cumsum(n)
-            each = np.arange(int(until[-1])) - np.repeat(until - n, n)
-            same = a[np.repeat(at[part], n) + each] == b[np.repeat(bt[part], n) + each]
-            out[part] = np.logical_and.reduceat(same, until - n)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        left = size[live] - k
+        mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1))
+        differ = (a[at[live] + k] ^ b[bt[live] + k]) & mask != 0
+        out[live[differ]] = False
+        k += 8
+        live = live[~differ & (left > 8)]
     return out
 
 

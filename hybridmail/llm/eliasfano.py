@@ -23,6 +23,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.l, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+        self._ones_before: np.ndarray | None = None
 
     @classmethod
     def build(cls, x: np.ndarray) -> EliasFano:
@@ -52,7 +53,9 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Places in the bit string of the k-th zeros (or ones)."""
-        before = np.arange(len(self.zeros)) * 64 - self.zeros if ones else self.zeros
+        if ones and self._ones_before is None:
+            self._ones_before = np.arange(len(self.zeros)) * 64 - self.zeros
+        before = self._ones_before if ones else self.zeros
         word = np.searchsorted(before, k, "right") - 1
         bits = self.high[word] ^ (_U(2**64 - 1) if ones else _U(0))
         parts = np.ascontiguousarray(bits, dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -67,8 +70,8 @@ class EliasFano:
         i = np.asarray(i, dtype=np.int64)
         return ((self._select(i, True) - i) << self.l) | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each number, -1 where it isn't there. Fastest for ascending x."""
+    def find(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Index of each number, -1 where it isn't there; with low and high, where it isn't at an index from low up to high (exclusive). Fastest for ascending x."""
         x = np.asarray(x, dtype=np.int64)
         out = np.full(len(x), -1, dtype=np.int64)
         if not self.n:
@@ -79,6 +82,8 @@ class EliasFano:
         # The numbers with this high part are those between two zeros; their low parts ascend.
         first = np.where(hi > 0, self._select(np.maximum(hi - 1, 0), False) + 1 - hi, 0)
         end = np.minimum(self._select(hi, False) - hi, self.n)
+        if low is not None:
+            first, end = np.maximum(first, low[inside]), np.minimum(end, high[inside])
         while len(inside):
             some = first < end
             inside, lo, first, end = inside[some], lo[some], first[some], end[some]

@@ -1,22 +1,31 @@
-"""LM scoring with a bigram trie in Elias-Fano coded, memory-mapped levels.
+"""LM scoring with a trigram trie in Elias-Fano coded, memory-mapped levels.
 
-Training documents (by a hash of the id, a share is held out) give counts of all words and of all pairs of neighbours; a
-document's last word is followed by an end token, which is also what its first word follows.
+Training documents (by a hash of the id, a share is held out) give counts of all words, of all pairs of neighbours, and of
+the triples below; a document's last word is followed by an end token, which is also what its first word follows.
 
-Level 1 lists the words in the order of their 64-bit hashes, so that a word's id is its rank: hashes, counts and the
-quantised weight of backing off from it, cut into files by the sizes of the counting partitions. Level 2 is cut into
-shards of about equal numbers of pairs by cut points on (context, word), so that a frequent context spreads over several.
-A shard is a trie level: the ascending contexts, a monotone pointer from each to its first successor, and the successors,
-each context's words raised by its place times the number of words so that they ascend over the whole shard; all three
-Elias-Fano coded. Each successor has its discounted probability, quantised to 16 bits of its logarithm. A query finds the
-context, then searches the successor relative to it.
+Level 1 lists the words in the order of their 64-bit hashes (then bytes), so that a word's id is its rank: hashes, the
+words' bytes, counts and the quantised weight of backing off from it, cut into files by the sizes of the counting
+partitions. A word is found by its hash and then compared byte by byte; words of one hash are different words.
+
+Level 2 is cut into shards of about SHARD pairs at most by cut points on (context, word), so that a frequent context spreads
+over several. A shard is a trie level: the ascending contexts, a monotone pointer from each to its first successor, and the
+successors, each context's words raised by the last successor before them so that they ascend over the whole shard; all
+three Elias-Fano coded. Each successor has its discounted probability, quantised to 16 bits of its logarithm. A query finds
+the context, reads its two pointers, and searches its successor between them, relative to the one before.
+
+Level 3 hangs on level 2, shard by shard: its contexts are places of pairs in the shard. Pruning, of the model alone: a pair
+is a context if it was seen CONTEXT times at least, and a triple is kept if it was seen KEPT times at least. All training
+text is read for it, and the discounts of the triples that are pruned go to the backing-off weight.
 
 P(w | u) = max(c(u, w) - D, 0) / c(u) + D * types(u) / c(u) * P(w), and P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), where a
-word that was never seen counts as one more; after an unseen word P(w) stands alone. The probabilities of each context
-sum to one, up to the quantisation (a relative error below QUANTUM * ln 10 / 2 in each factor).
+word that was never seen counts as one more; after an unseen word P(w) stands alone. P(w | u, v) = (c(u, v, w) - D) / c(u, v)
+for a kept triple, else 0, plus what the kept ones leave of one times P(w | v); where (u, v) is no context, P(w | v). The
+probabilities of each context sum to one, up to the quantisation (a relative error below QUANTUM * ln 10 / 2 in each factor).
 
 Null and empty texts are the end token alone. A null id counts as held out: nothing is learned from it. Repeated rows count
-each. Without training documents V and N are 0 and every token has probability one. Other columns are not read.
+each. Without training documents V and N are 0 and every token has probability one. Other columns are not read. Two words of
+one hash in one batch of texts raise ValueError. Levels are mapped from the shared folder; where that is no file system of
+the machine, each worker maps copies of its own.
 """
 
 from __future__ import annotations
@@ -32,11 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import partitions, scratch, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import eights, forget, partitions, same_stretches, scratch, ship, slices, stored, table, texts_of
 from hybridmail.llm.eliasfano import EliasFano, mapped, mapped_sequence, write_array, write_parts
-from hybridmail.llm.substrings import hashed
+from hybridmail.llm.substrings import hash_stretches, word_edges
 
 DISCOUNT = 0.75
+#: Pruning of level 3: how often a context and a triple were seen at least.
+CONTEXT, KEPT = 8, 2
+#: Pairs of a shard, about.
+SHARD = 4_000_000
 #: Step of the quantised base-10 logarithms.
 QUANTUM = 1 / 4096
 #: One document of so many is looked at for the cut points of the shards, which decide balance only.
@@ -57,48 +70,97 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(True))
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, ends included, and where each text begins."""
-    line, bounds = hashed([t.lower() for t in texts])
-    return np.insert(line, bounds[1:], END), bounds + np.arange(len(bounds))
+class Tokens:
+    """The tokens of all texts, ends included: hashes, the distinct ones in ascending order with a place where each stands, and where each text begins."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join([*(t.lower() for t in texts), b"\0" * 8])
+        edges = len(self.data) - 8
+        start, size = word_edges(self.data[:edges])
+        begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))))
+        bounds = np.searchsorted(start, begins)
+        self.line = np.insert(hash_stretches(self.data, start, size), bounds[1:], END)
+        self.bounds = bounds + np.arange(len(bounds))
+        self.start, self.size = np.insert(start, bounds[1:], 0), np.insert(size, bounds[1:], 0)
+        self.own, self.first, self.inverse = np.unique(self.line, return_index=True, return_inverse=True)
+        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        place = self.first[self.inverse]
+        again = np.flatnonzero(place != np.arange(len(place)))
+        place = place[again]
+        view = eights(self.bytes)
+        if (self.size[again] != self.size[place]).any() or not same_stretches(view, self.start[again], view, self.start[place], self.size[again]).all():
+            raise ValueError("two words of one batch have one hash")
+
+    def word(self, i: int) -> bytes:
+        """Of the i-th distinct token."""
+        at = self.start[self.first[i]]
+        return self.data[at : at + self.size[self.first[i]]]
 
 
 class _Counts:
-    """Sums counts by key in bounded memory: gives them out when there are many."""
+    """Sums counts by two numbers in bounded memory: gives them out when there are many."""
 
     def __init__(self, most: int = 1_500_000):
-        self.keys, self.counts, self.held, self.most = [], [], 0, most
+        self.parts, self.held, self.most = [], 0, most
 
-    def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        k, n = np.unique(x, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.held += len(k)
+    def add(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        self.parts.append(self._summed(a, b, np.ones(len(a), dtype=np.int64)))
+        self.held += len(self.parts[-1][0])
         return self.take() if self.held > self.most else None
 
-    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
+    @staticmethod
+    def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(a):
+            return a, b, n
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        return a[first], b[first], np.add.reduceat(n, first)
+
+    def take(self) -> tuple[np.ndarray, ...] | None:
         if not self.held:
             return None
-        k, n = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        self.keys, self.counts, self.held = [], [], 0
-        return k[first], np.add.reduceat(n, first)
+        got = self._summed(*map(np.concatenate, zip(*self.parts, strict=True)))
+        self.parts, self.held = [], 0
+        return got
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
+class _WordCounts:
+    """Sums counts by word in bounded memory; the words by hash and bytes."""
+
+    def __init__(self, most: int = 600_000):
+        self.counts: dict[bytes, int] = {}
+        self.hashes: dict[bytes, int] = {}
+        self.most = most
 
-    def rows(got):
+    def add(self, t: Tokens) -> pa.RecordBatch | None:
+        n = np.bincount(t.inverse, minlength=len(t.own))
+        starts, ends = t.start[t.first], t.start[t.first] + t.size[t.first]
         # The sign bit is flipped, so that the order as signed numbers is that of the hashes.
-        return pa.RecordBatch.from_arrays([pa.array((got[0] ^ _SIGN).view(np.int64)), pa.array(got[1].astype(np.int64))], names=["h", "n"])
+        for h, a, b, k in zip((t.own ^ _SIGN).view(np.int64).tolist(), starts.tolist(), ends.tolist(), n.tolist(), strict=True):
+            w = t.data[a:b]
+            if w in self.counts:
+                self.counts[w] += k
+            else:
+                self.counts[w], self.hashes[w] = k, h
+        return self.take() if len(self.counts) > self.most else None
+
+    def take(self) -> pa.RecordBatch | None:
+        if not self.counts:
+            return None
+        words = list(self.counts)
+        out = pa.RecordBatch.from_arrays([pa.array([self.hashes[w] for w in words], pa.int64()), pa.array(words, pa.binary()), pa.array(list(self.counts.values()), pa.int64())], names=["h", "word", "n"])
+        self.counts, self.hashes = {}, {}
+        return out
 
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _WordCounts()
     for batch in slices(batches, "text"):
-        if got := counts.add(_tokens(texts_of(batch))[0]):
-            yield rows(got)
+        if got := counts.add(Tokens(texts_of(batch))):
+            yield got
     if got := counts.take():
-        yield rows(got)
+        yield got
 
 
 def _attempt() -> str:
@@ -110,13 +172,16 @@ def _attempt() -> str:
 
 def _write_words(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [b for b in batches if b.num_rows]
         if got:
-            h = np.concatenate([x for x, _ in got]).view(np.uint64) ^ _SIGN
-            n = np.concatenate([x for _, x in got])
+            h = np.concatenate([b.column(0).to_numpy() for b in got]).view(np.uint64) ^ _SIGN
+            n = np.concatenate([b.column(2).to_numpy() for b in got])
+            words = [w for b in got for w in b.column(1).to_pylist()]
             uri = f"{folder}/words-{_attempt()}"
             write_array(f"{uri}.hashes.npy", h)
             write_array(f"{uri}.counts.npy", n.astype("<i8"))
+            write_array(f"{uri}.edges.npy", np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))))).astype("<i8"))
+            write_array(f"{uri}.bytes.npy", np.frombuffer(b"".join([*words, b"\0" * 8]), dtype=np.uint8))
             yield pa.RecordBatch.from_pydict({"uri": [uri], "first": pa.array((h[:1] ^ _SIGN).view(np.int64)), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     return write
@@ -134,7 +199,7 @@ class Words:
     backoffs: tuple[str, ...] = ()
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=16)
 def _maps(files: tuple[str, ...], kind: str) -> list[np.ndarray]:
     return [mapped(f"{f}.{kind}.npy") for f in files]
 
@@ -146,31 +211,39 @@ def _gather(words: Words, files: tuple[str, ...], kind: str, ids: np.ndarray) ->
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
-def ids_of(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """Ids of ascending hashes; words.size for those that aren't there."""
+def ids_of(words: Words, hashes: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ids of words by ascending hashes, their bytes (as eights()) compared; words.size for those that aren't there."""
     out = np.full(len(hashes), words.size, dtype=np.int64)
     cuts = np.append(np.searchsorted(hashes, np.array(words.firsts, dtype=np.uint64)), len(hashes))
-    for m, s, a, b in zip(_maps(words.files, "hashes"), words.starts, cuts[:-1], cuts[1:], strict=True):
-        at = np.searchsorted(m, hashes[a:b])
-        found = np.flatnonzero(m[np.minimum(at, len(m) - 1)] == hashes[a:b])
-        out[a + found] = s + at[found]
+    # Words of one hash lie in one file: files are cut between hashes.
+    kinds = zip(*(_maps(words.files, kind) for kind in ("hashes", "edges", "bytes")), words.starts, cuts[:-1], cuts[1:], strict=True)
+    for known, edges, blob, first, a, b in kinds:
+        view = eights(blob)
+        left = np.arange(a, b)
+        at = np.searchsorted(known, hashes[left])
+        while len(left):
+            there = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes[left]))
+            left, at = left[there], at[there]
+            same = edges[at + 1] - edges[at] == size[left]
+            same[same] = same_stretches(view, edges[at[same]], text, start[left[same]], size[left[same]])
+            out[left[same]] = first + at[same]
+            left, at = left[~same], at[~same] + 1
     return out
 
 
 def token_ids(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the tokens of all texts, ends included, and where each text begins."""
-    line, bounds = _tokens(texts)
-    own, inverse = np.unique(line, return_inverse=True)
-    return ids_of(words, own)[inverse], bounds
+    t = Tokens(texts)
+    return ids_of(words, t.own, eights(t.bytes), t.start[t.first], t.size[t.first])[t.inverse], t.bounds
 
 
 @lru_cache(maxsize=8)
 def end_of(words: Words) -> int:
-    return int(ids_of(words, np.array([END]))[0])
+    return int(ids_of(words, np.array([END]), eights(np.zeros(8, dtype=np.uint8)), np.array([0]), np.array([0]))[0])
 
 
-def _pairs(ids: np.ndarray, words: Words, end: int) -> np.ndarray:
-    return np.concatenate(([end], ids[:-1])) * words.size + ids
+def _before(ids: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate(([end], ids[:-1]))
 
 
 def _count_pairs(words: Words, cuts: np.ndarray | None):
@@ -180,14 +253,15 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
         counts = _Counts()
 
         def rows(got):
-            keys, n = got
+            context, word, n = got
+            keys = context * words.size + word
             if cuts is None:
                 return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
             return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int32))], names=["shard", "key", "n"])
 
         for batch in slices(batches, "text"):
             ids, _ = token_ids(words, texts_of(batch))
-            if got := counts.add(_pairs(ids, words, end_of(words))):
+            if got := counts.add(_before(ids, end_of(words)), ids):
                 yield rows(got)
         if got := counts.take():
             yield rows(got)
@@ -195,45 +269,50 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
     return count
 
 
+def _write_level(uri: str, contexts: np.ndarray, begin: np.ndarray, word: np.ndarray, weights: np.ndarray) -> None:
+    """Contexts (ascending), where the successors of each begin, and all successors (ascending within each context)."""
+    until = np.append(begin[1:], len(word))
+    base = np.concatenate(([0], np.cumsum(word[until - 1] + 1)[:-1])) if len(begin) else begin
+    write_parts(f"{uri}.contexts", EliasFano.build(contexts).parts())
+    write_parts(f"{uri}.pointers", EliasFano.build(np.append(begin, len(word))).parts())
+    write_parts(f"{uri}.successors", EliasFano.build(np.repeat(base, until - begin) + word).parts())
+    write_array(f"{uri}.weights.npy", quantised(weights))
+
+
+def _gathered(finish):
+    """Hands the rows of each shard of a partition (as a rule it has one) to finish(shard, columns)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            shards, *columns = (c.to_numpy() for c in batch.columns)
+            for s in np.unique(shards).tolist():
+                mine = shards == s
+                held.setdefault(s, []).append(tuple(c[mine] for c in columns))
+        for s in sorted(held):
+            yield from finish(s, [np.concatenate(c) for c in zip(*held.pop(s), strict=True)])
+
+    return build
+
+
 def _build_shards(words: Words, folder: str, discount: float):
-    """One trie level for each shard of a partition's pairs (as a rule it has one); gives its files and its contexts' numbers of successors."""
-
-    def finish(shard: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, n = np.concatenate(keys), np.concatenate(counts)
-        keys.clear()
-        counts.clear()
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        k, n = k[first], np.add.reduceat(n.astype(np.int64), first)
-        context, word = k // words.size, k % words.size
+    """One trie level for each shard of pairs; gives its files and its contexts' numbers of successors."""
+
+    def finish(shard: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        context, word, n = _Counts._summed(columns[0] // words.size, columns[0] % words.size, columns[1].astype(np.int64))
+        columns.clear()
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        place = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
+        types = np.diff(np.append(begin, len(word)))
         own = context[begin]
         uri = f"{folder}/pairs-{shard:05d}-{_attempt()}"
-        write_parts(f"{uri}.contexts", EliasFano.build(own).parts())
-        write_parts(f"{uri}.pointers", EliasFano.build(np.append(begin, len(k))).parts())
-        write_parts(f"{uri}.successors", EliasFano.build(place * words.size + word).parts())
-        write_array(f"{uri}.weights.npy", quantised((n - discount) / _gather(words, words.files, "counts", own)[place]))
-        types = np.diff(np.append(begin, len(k)))
+        _write_level(uri, own, begin, word, (n - discount) / np.repeat(_gather(words, words.files, "counts", own), types))
+        write_array(f"{uri}.often.npy", n >= CONTEXT)
         for i in range(0, len(own), 1 << 17):
             part = slice(i, i + (1 << 17))
             size = len(own[part])
             yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int32()), pa.array([uri] * size), pa.array(own[part]), pa.array(types[part])], names=["shard", "uri", "context", "types"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-        for batch in batches:
-            shards, k, n = (batch.column(i).to_numpy() for i in range(3))
-            for s in np.unique(shards).tolist():
-                keys, counts = held.setdefault(s, ([], []))
-                mine = shards == s
-                keys.append(k[mine])
-                counts.append(n[mine])
-        for s in sorted(held):
-            yield from finish(s, *held.pop(s))
-
-    return build
+    return _gathered(finish)
 
 
 def _spread(spark: SparkSession, n: int) -> list[int]:
@@ -277,6 +356,117 @@ class Model:
     shards: tuple[str, ...]
     cuts: tuple[int, ...]
     numbers: tuple[int, ...]
+    #: Level 3 of each shard; empty where it has none.
+    triples: tuple[str, ...] = ()
+
+
+@lru_cache(maxsize=1 << 14)
+def _sequence(uri: str) -> EliasFano:
+    return mapped_sequence(uri)
+
+
+@lru_cache(maxsize=1 << 14)
+def _array(uri: str, kind: str) -> np.ndarray:
+    return mapped(f"{uri}.{kind}.npy")
+
+
+def successors(uri: str, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where in a level's successors each word stands after the context of each place, or -1: sought between the context's pointers."""
+    pointers, line = _sequence(f"{uri}.pointers"), _sequence(f"{uri}.successors")
+    own, inverse = np.unique(place, return_inverse=True)
+    low, high = pointers.access(own), pointers.access(own + 1)
+    base = np.where(low > 0, line.access(np.maximum(low - 1, 0)) + 1, 0)
+    return line.find(base[inverse] + word, low[inverse], high[inverse])
+
+
+def pair_places(model: Model, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs in ascending order of context, then word: the shard (as place in model.shards) and the place in it of each, -1 where it wasn't seen."""
+    keys = context * model.words.size + word
+    shard, at = np.full(len(keys), -1, dtype=np.int32), np.full(len(keys), -1, dtype=np.int64)
+    edges = np.searchsorted(keys, np.array(model.cuts, dtype=np.int64)) if model.cuts else np.zeros(0, dtype=np.int64)
+    edges = np.concatenate(([0], edges, [len(keys)]))
+    for i, (number, uri) in enumerate(zip(model.numbers, model.shards, strict=True)):
+        a, b = edges[number], edges[number + 1]
+        if a == b:
+            continue
+        own, inverse = np.unique(context[a:b], return_inverse=True)
+        place = _sequence(f"{uri}.contexts").find(own)[inverse]
+        there = np.flatnonzero(place >= 0)
+        found = successors(uri, place[there], word[a:b][there])
+        hit = found >= 0
+        shard[a + there[hit]], at[a + there[hit]] = i, found[hit]
+    return shard, at
+
+
+def _valued(model: Model, shard: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """A value of each pair that was seen; shard ascends but for -1."""
+    out = np.zeros(len(at), dtype=bool if kind == "often" else "<u2")
+    for i in np.unique(shard[shard >= 0]).tolist():
+        mine = np.flatnonzero(shard == i)
+        out[mine] = _array(model.shards[i], kind)[at[mine]]
+    return out
+
+
+class _Line:
+    """A line of tokens (each text ends with the end token), its distinct pairs, and where each was seen."""
+
+    def __init__(self, model: Model, ids: np.ndarray, end: int):
+        size = model.words.size
+        context = _before(ids, end)
+        self.known = np.flatnonzero((context < size) & (ids < size))
+        keys, self.inverse = np.unique(context[self.known] * size + ids[self.known], return_inverse=True)
+        self.shard, self.at = pair_places(model, keys // size, keys % size)
+        #: For each token, the distinct pair that it ends, or -1.
+        self.pair = np.full(len(ids), -1, dtype=np.int64)
+        self.pair[self.known] = self.inverse
+        #: For each token, the distinct pair before it, or -1: a text's first token has none.
+        self.before = np.concatenate(([-1], self.pair[:-1]))
+        self.before[context == end] = -1
+
+
+def _count_triples(model: Model):
+    """Triples after pairs that were seen often: shard, place of the pair in it, word, count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, end = _Counts(), end_of(model.words)
+
+        def rows(got):
+            node, word, n = got
+            return pa.RecordBatch.from_arrays([pa.array((node >> 32).astype(np.int32)), pa.array((node & (2**32 - 1)).astype(np.int64)), pa.array(word), pa.array(n.astype(np.int32))], names=["shard", "place", "word", "n"])
+
+        for batch in slices(batches, "text"):
+            ids, _ = token_ids(model.words, texts_of(batch))
+            line = _Line(model, ids, end)
+            often = np.append(_valued(model, line.shard, line.at, "often"), False)[line.before]
+            node = (line.shard.astype(np.int64) << 32 | line.at)[line.before[often]]
+            if got := counts.add(node, ids[often]):
+                yield rows(got)
+        if got := counts.take():
+            yield rows(got)
+
+    return count
+
+
+def _build_triples(folder: str, discount: float):
+    """Level 3 of each shard; gives its files."""
+
+    def finish(shard: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        place, word, n = _Counts._summed(columns[0], columns[1], columns[2].astype(np.int64))
+        columns.clear()
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        totals = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+        kept = n >= KEPT
+        place, word, weights = place[kept], word[kept], ((n - discount) / totals)[kept]
+        if not len(place):
+            return
+        begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        uri = f"{folder}/triples-{shard:05d}-{_attempt()}"
+        _write_level(uri, place[begin], begin, word, weights)
+        # What the kept triples, as they are stored, leave of one.
+        write_array(f"{uri}.backoffs.npy", quantised(1 - np.add.reduceat(restored(quantised(weights)), begin)))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri]})
+
+    return _gathered(finish)
 
 
 def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
@@ -285,63 +475,69 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
     ship(spark)
     folder, n = scratch(spark, "ngrams"), partitions(spark)
     texts = docs.select("text")
-    counted = texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counted, _ = stored(counted, "word-counts")
-    files = stored(counted.repartitionByRange(n, "h").sortWithinPartitions("h").mapInArrow(_write_words(folder), "uri string, first long, words long, tokens long"), "word-files")[0].orderBy("first").collect()  # a row for each partition
+    counted = texts.mapInArrow(_count_words, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    counted, counted_path = stored(counted, "word-counts")
+    files, files_path = stored(counted.repartitionByRange(n, "h").sortWithinPartitions("h", "word").mapInArrow(_write_words(folder), "uri string, first long, words long, tokens long"), "word-files")
+    files = files.orderBy("first").collect()  # a row for each partition
     sizes = [r["words"] for r in files]
     words = Words(tuple(r["uri"] for r in files), tuple(int(x) for x in np.cumsum([0, *sizes[:-1]])) if files else (), tuple(r["first"] + 2**63 for r in files), sum(sizes), sum(r["tokens"] for r in files))
+    forget(spark, counted_path, files_path)
     if not files:
         return Model(words, (), (), ())
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(CUT_SAMPLE)) == 0).select("text").mapInArrow(_count_pairs(words, None), "key long")
-    cuts = some.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20_000).alias("c")).first()["c"] if n > 1 else None
+    some, some_path = stored(docs.filter(F.pmod(F.xxhash64("text"), F.lit(CUT_SAMPLE)) == 0).select("text").mapInArrow(_count_pairs(words, None), "key long"), "pair-sample")
+    n_shards = max(n, math.ceil(CUT_SAMPLE * some.count() / SHARD))
+    cuts = some.agg(F.percentile_approx("key", [i / n_shards for i in range(1, n_shards)], 20_000).alias("c")).first()["c"] if n_shards > 1 else None
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    to = F.element_at(F.array(*map(F.lit, _spread(spark, n_shards))), F.col("shard") + 1)
     pairs = texts.mapInArrow(_count_pairs(words, cuts), "shard int, key long, n int")
-    to = F.element_at(F.array(*map(F.lit, _spread(spark, n))), F.col("shard") + 1)
-    built = pairs.repartition(n, to).mapInArrow(_build_shards(words, folder, discount), "shard int, uri string, context long, types long")
-    built, _ = stored(built, "pair-shards")
+    built, built_path = stored(pairs.repartition(n_shards, to).mapInArrow(_build_shards(words, folder, discount), "shard int, uri string, context long, types long"), "pair-shards")
     shards = built.select("shard", "uri").distinct().orderBy("shard").collect()  # a row for each shard
     starts = F.array(*[F.lit(x) for x in words.starts])
     number = F.size(F.filter(starts, lambda s: s <= F.col("context"))) - 1
     types = built.groupBy("context").agg(F.sum("types").alias("types")).select(number.cast("int").alias("number"), "context", "types")
     types = types.select("number", (F.col("context") - F.element_at(starts, F.col("number") + 1)).alias("place"), "types")
-    backoffs = stored(types.repartition(n, "number").sortWithinPartitions("number", "place").mapInArrow(_write_backoffs(words, folder, discount), "number int, uri string"), "backoffs")[0].collect()
-    by_number = {r["number"]: r["uri"] for r in backoffs}
+    backoffs, backoffs_path = stored(types.repartition(n, "number").sortWithinPartitions("number", "place").mapInArrow(_write_backoffs(words, folder, discount), "number int, uri string"), "backoffs")
+    by_number = {r["number"]: r["uri"] for r in backoffs.collect()}
+    forget(spark, some_path, built_path, backoffs_path)
     # A file none of whose words is a context can't be: every word is followed by something.
     words = Words(words.files, words.starts, words.firsts, words.size, words.tokens, tuple(by_number[i] for i in range(len(words.files))))
-    return Model(words, tuple(r["uri"] for r in shards), tuple(cuts.tolist()), tuple(r["shard"] for r in shards))
-
-
-@lru_cache(maxsize=4096)
-def _sequence(uri: str) -> EliasFano:
-    return mapped_sequence(uri)
-
-
-@lru_cache(maxsize=4096)
-def _weights(uri: str) -> np.ndarray:
-    return mapped(f"{uri}.weights.npy")
-
-
-def seen_part(model: Model, keys: np.ndarray) -> np.ndarray:
-    """The discounted probability of ascending pairs, 0 for those that weren't seen."""
-    out = np.zeros(len(keys))
-    edges = np.searchsorted(keys, np.array(model.cuts, dtype=np.int64)) if model.cuts else np.zeros(0, dtype=np.int64)
-    edges = np.concatenate(([0], edges, [len(keys)]))
-    for number, uri in zip(model.numbers, model.shards, strict=True):
-        a, b = edges[number], edges[number + 1]
-        if a == b:
-            continue
-        context, word = keys[a:b] // model.words.size, keys[a:b] % model.words.size
-        own, inverse = np.unique(context, return_inverse=True)
-        place = _sequence(f"{uri}.contexts").find(own)[inverse]
-        there = np.flatnonzero(place >= 0)
-        at = _sequence(f"{uri}.successors").find(place[there] * model.words.size + word[there])
-        hit = at >= 0
-        out[a + there[hit]] = restored(_weights(uri)[at[hit]])
-    return out
+    model = Model(words, tuple(r["uri"] for r in shards), tuple(cuts.tolist()), tuple(r["shard"] for r in shards))
+    triples = texts.mapInArrow(_count_triples(model), "shard int, place long, word long, n int")
+    thirds, thirds_path = stored(triples.repartition(n_shards, to).mapInArrow(_build_triples(folder, discount), "shard int, uri string"), "triple-shards")
+    uris = {r["shard"]: r["uri"] for r in thirds.collect()}  # a row for each shard
+    forget(spark, thirds_path)
+    return Model(words, model.shards, model.cuts, model.numbers, tuple(uris.get(i, "") for i in range(len(model.shards))))
+
+
+def _thirds(model: Model, line: _Line, ids: np.ndarray, p: np.ndarray) -> None:
+    """Brings in level 3: p holds the probabilities by level 2."""
+    if not len(line.at):
+        return
+    place = np.full(len(line.at) + 1, -1, dtype=np.int64)  # of each distinct pair among the contexts of its shard
+    for i in np.unique(line.shard[line.shard >= 0]).tolist():
+        if model.triples[i]:
+            mine = np.flatnonzero(line.shard == i)
+            place[mine] = _sequence(f"{model.triples[i]}.contexts").find(line.at[mine])
+    tokens = np.flatnonzero(place[line.before] >= 0)
+    if not len(tokens):
+        return
+    pair = line.before[tokens]
+    shard = line.shard[pair]
+    order = np.argsort(shard, kind="stable")
+    tokens, pair, shard = tokens[order], pair[order], shard[order]
+    edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        uri, some = model.triples[shard[a]], tokens[a:b]
+        at, word = place[pair[a:b]], ids[some]
+        p[some] *= restored(_array(uri, "backoffs")[at])
+        known = np.flatnonzero(word < model.words.size)
+        found = successors(uri, at[known], word[known])
+        hit = found >= 0
+        p[some[known[hit]]] += restored(_array(uri, "weights")[found[hit]])
 
 
 def probabilities(model: Model, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a line of tokens (each text ends with the end token): counts, and P(token | token before)."""
+    """For a line of tokens (each text ends with the end token): counts, and P(token | the two tokens before)."""
     words = model.words
     if not words.size:
         return np.zeros(len(ids), dtype=np.int64), np.ones(len(ids))
@@ -355,10 +551,10 @@ def probabilities(model: Model, ids: np.ndarray, end: int) -> tuple[np.ndarray,
     back[-1] = restored(_gather(words, words.backoffs, "backoffs", np.array([end])))[0] if end < words.size else 1.0
     before = np.concatenate(([len(own)], inverse[:-1]))
     p = back[before] * alone[inverse]
-    context = np.concatenate(([end], ids[:-1]))
-    both = np.flatnonzero((context < words.size) & (ids < words.size))
-    keys, place = np.unique(context[both] * words.size + ids[both], return_inverse=True)
-    p[both] += seen_part(model, keys)[place]
+    line = _Line(model, ids, end)
+    seen = np.where(line.shard >= 0, restored(_valued(model, line.shard, line.at, "weights")), 0.0)
+    p[line.known] += seen[line.inverse]
+    _thirds(model, line, ids, p)
     return counts[inverse], p
 
 
@@ -381,4 +577,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scores, _ = stored(score(docs, model), "scores")
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

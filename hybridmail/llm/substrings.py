@@ -86,12 +86,17 @@ def hash_stretches(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their sizes in bytes."""
+    space = np.concatenate(([True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2] - edges[::2]
+
+
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts on one line, and where each text begins (one more entry than texts)."""
     data = b"\n".join([*texts, b""])
-    space = np.concatenate(([True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]))
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    start, size = edges[::2], edges[1::2] - edges[::2]
+    start, size = word_edges(data)
     begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))))
     return hash_stretches(data, start, size), np.searchsorted(start, begins)
 

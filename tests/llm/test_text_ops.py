@@ -493,36 +493,73 @@ def test_decontamination_beyond_broadcast(spark, monkeypatch):
 
 
 def test_ngrams(spark):
-    texts = [" ".join(words(int(n), k, 60)) for k, n in enumerate(np.random.RandomState(1).randint(0, 80, 150))] + [None, "", "A é", "new words only", "w1 " * 20_000]
+    texts = [" ".join(words(int(n), k, 60)) for k, n in enumerate(np.random.RandomState(1).randint(0, 80, 150))] + [None, "", "A é", "new words only", "w1 " * 20_000, "w1 w2 new w1 w2"]
     rows = list(enumerate(texts)) + [(3, texts[3])]
     df = clashing(spark.createDataFrame(rows, DOCS))
     known = df.filter(~ngrams.held_out(F.col("doc_id")))
     model = ngrams.train(known)
+    assert any(model.triples)
     line = lambda t: [*(t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split(), b""]
     train = [line(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two = Counter(w for t in train for w in t), Counter()
+    one, two, three = Counter(w for t in train for w in t), Counter(), Counter()
     for t in train:
         two.update(zip([b"", *t[:-1]], t, strict=True))
+        three.update(zip([b"", *t[:-2]], t[:-1], t[1:], strict=False))
     types, n, v = Counter(u for u, _ in two), sum(one.values()), len(one)
+    kept = {k: c for k, c in three.items() if two[k[:2]] >= ngrams.CONTEXT and c >= ngrams.KEPT}
+    left = {}
+    for (u, w, _), c in kept.items():
+        left[u, w] = left.get((u, w), 1.0) - (c - ngrams.DISCOUNT) / two[u, w]
     assert (model.words.size, model.words.tokens) == (v, n)
+    alone = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def after(u, w):
+        return alone(w) if not one[u] else max(two[u, w] - ngrams.DISCOUNT, 0) / one[u] + ngrams.DISCOUNT * types[u] / one[u] * alone(w)
+
+    used = 0
     for r in ngrams.score(df, model).collect():
         t = line(dict(rows)[r["doc_id"]])
-        alone = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-        score, u = 0.0, b""
+        score, u, pair = 0.0, b"", None
         for w in t:
-            p = alone(w) if not one[u] else max(two[u, w] - ngrams.DISCOUNT, 0) / one[u] + ngrams.DISCOUNT * types[u] / one[u] * alone(w)
-            score, u = score + np.log10(p), w
+            p = after(u, w)
+            if pair in left:
+                p = left[pair] * p + (max(kept.get((*pair, w), ngrams.DISCOUNT) - ngrams.DISCOUNT, 0) / two[pair])
+                used += 1
+            score, pair, u = score + np.log10(p), (u, w), w
         assert (r["n_tokens"], r["n_known"]) == (len(t), sum(one[w] > 0 for w in t))
         assert r["base_score"] == pytest.approx(sum(np.log10(alone(w)) for w in t))
-        assert abs(r["score"] - score) <= len(t) * ngrams.QUANTUM
-    # The probabilities of a context sum to one, the unseen word included.
-    ids = np.arange(v)
-    every = np.zeros(v + 1)
-    for w in range(v):
-        _, p = ngrams.probabilities(model, np.array([5, w]), 0)
-        every[w] = p[1]
-    _, p = ngrams.probabilities(model, np.array([5, v]), 0)
-    assert every[ids].sum() + p[1] == pytest.approx(1, abs=2e-3)
+        assert abs(r["score"] - score) <= 2 * len(t) * ngrams.QUANTUM
+    assert used > 1000
+    # The probabilities of a context sum to one, the unseen word included: after one word, and after two.
+    end = ngrams.end_of(model.words)
+    pair = max(left, key=lambda x: two[x])
+    ids = {w: int(ngrams.token_ids(model.words, [w])[0][0]) for w in {*pair, b"w5"} - {b""}} | {b"": end}
+    for before in ([ids[b"w5"]], [ids[x] for x in pair]):
+        total = sum(ngrams.probabilities(model, np.array([*before, w]), end)[1][-1] for w in range(v + 1))
+        assert total == pytest.approx(1, abs=2e-3)
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    """All hashes but the end's cut to two bits: ids still are those of the words."""
+    monkeypatch.setattr(ngrams, "hash_stretches", lambda data, start, size: np.array([len(data[a : a + n].rstrip(b"x")) % 4 for a, n in zip(start, size, strict=True)], dtype=np.uint64))
+    with pytest.raises(ValueError, match="one hash"):
+        ngrams.Tokens([b"ab cd"])
+    words = [[b"abcd0001", b"a", b"ab", b"abc"], [b"abcd0002", b"b", b"cd", b"xyz"], [b"zzzzzzzzzzzz", b"c"]]
+    counts = ngrams._WordCounts()
+    for some in words:
+        counts.add(ngrams.Tokens([b" ".join(some)]))
+    got = counts.take().to_pylist()
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/clash"
+    monkeypatch.setattr(ngrams, "_attempt", lambda: "0")
+    import pyarrow as pa
+
+    rows = sorted(got, key=lambda r: (r["h"], r["word"]))
+    file = next(ngrams._write_words(folder)(iter([pa.RecordBatch.from_pylist(rows, schema=pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64())]))]))).to_pylist()[0]
+    level = ngrams.Words((file["uri"],), (0,), (file["first"] + 2**63,), file["words"], file["tokens"])
+    order = [r["word"] for r in rows]
+    for some in words:
+        assert [order[i] for i in ngrams.token_ids(level, [b" ".join(some)])[0]] == [*some, b""]
+    assert ngrams.token_ids(level, [b"abcd0003"])[0].tolist() == [level.size, order.index(b"")]
 
 
 def test_ngrams_edges(spark):
@@ -540,3 +577,5 @@ def test_elias_fano(numbers, asked):
     place = {int(v): i for i, v in enumerate(x)}
     q = np.unique(np.array(asked, dtype=np.int64))
     assert e.find(q).tolist() == [place.get(int(v), -1) for v in q]
+    low, high = np.full(len(x), len(x) // 3), np.full(len(x), len(x) // 2)
+    assert e.find(x, low, high).tolist() == [i if len(x) // 3 <= i < len(x) // 2 else -1 for i in range(len(x))]
