@@ -3,7 +3,7 @@
 Crawlers that compress a whole archive as one gzip stream leave files that can't be read from the middle. The normaliser
 inflates such a stream once, front to back, rewrites every record as a gzip member of its own, and writes a sidecar
 index beside it: one line for each record with offset, compressed length, type and record id. With it, any record is read
-by one seek. Files are independent: one task normalises one file, in chunks of CHUNK bytes, whatever the records' lengths.
+by one seek. Archives are cut at ARCHIVE bytes of records, whatever a task holds; one task normalises one file, in chunks of CHUNK bytes, whatever the records' lengths.
 A file that is already cut into members is normalised alike. A stream that ends within a record raises ValueError.
 
 Equal payloads of at least LEAST bytes are stored once: the record with the largest page_id is the response and the
@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import partitions, scratch, ship, slices, stored, table
+from hybridmail.llm.common import forget, partitions, scratch, ship, slices, stored, table
 
 LEAST = 1000
+#: Bytes of records after which an archive is closed and another one begun.
+ARCHIVE = 256 << 20
 CHUNK = 1 << 20
 _END = b"\r\n\r\n"
 
@@ -61,24 +63,34 @@ def record_head(page_id: int | None, url: str | None, kind: str, length: int, di
     return "\r\n".join(lines).encode() + _END
 
 
-def _write_monolithic(folder: str):
+def _write_monolithic(folder: str, most: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _fs(f"{folder}/whole-{_attempt()}.warc.gz")
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        n, squeeze = 0, zlib.compressobj(6, zlib.DEFLATED, 31)
-        with fs.open_output_stream(path, compression=None) as out:
-            for batch in slices(batches, "html"):
-                for row in batch.to_pylist():
-                    payload = (row["html"] or "").encode()
-                    kind = "response" if row["refers_to"] is None else "revisit"
-                    out.write(squeeze.compress(record_head(row["page_id"], row["url"], kind, row["payload_bytes"], row["digest"], row["refers_to"])))
-                    out.write(squeeze.compress((payload if kind == "response" else b"") + _END))
-                    n += 1
+        fs, top = _fs(folder)
+        fs.create_dir(top, recursive=True)
+        number, out, squeeze, n, held = 0, None, None, 0, 0
+
+        def closed() -> pa.RecordBatch:
             out.write(squeeze.flush())
-        if n:
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path.rpartition('/')[2]}"], "records": pa.array([n], pa.int64())})
-        else:
-            fs.delete_file(path)
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
+
+        for batch in slices(batches, "html"):
+            for row in batch.to_pylist():
+                if out is not None and held >= most:
+                    yield closed()
+                    out, number = None, number + 1
+                if out is None:
+                    name, n, held = f"whole-{_attempt()}-{number}.warc.gz", 0, 0
+                    out, squeeze = fs.open_output_stream(f"{top}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
+                payload = (row["html"] or "").encode()
+                kind = "response" if row["refers_to"] is None else "revisit"
+                head = record_head(row["page_id"], row["url"], kind, row["payload_bytes"], row["digest"], row["refers_to"])
+                body = (payload if kind == "response" else b"") + _END
+                out.write(squeeze.compress(head))
+                out.write(squeeze.compress(body))
+                n, held = n + 1, held + len(head) + len(body)
+        if out is not None:
+            yield closed()
 
     return write
 
@@ -220,11 +232,11 @@ def decided(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return df.select("page_id", "url", F.when(F.col("keeper").isNull(), F.col("html")).alias("html"), "payload_bytes", "digest", F.col("keeper").alias("refers_to"))
 
 
-def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
-    """Writes an archive of one gzip stream for each partition of the records; path and number of records of each."""
+def write_monolithic(records: DataFrame, folder: str, *, most: int = ARCHIVE) -> DataFrame:
+    """Writes archives of one gzip stream each, cut at `most` bytes of records: path and number of records of each."""
     spark = records.sparkSession
     ship(spark)
-    return stored(records.mapInArrow(_write_monolithic(folder), "path string, records long"), "warc-whole")[0]
+    return stored(records.mapInArrow(_write_monolithic(folder, most), "path string, records long"), "warc-whole")[0]
 
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
@@ -236,17 +248,25 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """A row for each record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """A row for each record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. What a revisit says of its payload is held against the response that it refers to; a revisit without one raises ValueError."""
     spark = archives.sparkSession
     ship(spark)
     dealt = archives.select("archive", "index").repartition(partitions(spark), "archive")
-    return dealt.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows, _ = stored(dealt.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    # By payload and the response's id: sums are combined before they are shuffled, however often a page is referred to.
+    of = rows.groupBy("payload_digest", "payload_bytes", F.coalesce("refers_to", "page_id").alias("id")).agg(F.count_if(F.col("record_type") == "response").alias("responses"), F.count_if(F.col("record_type") == "revisit").alias("revisits"))
+    if not of.filter("revisits > 0 and responses = 0").isEmpty():
+        raise ValueError("a revisit refers to no response of its payload")
+    return rows
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     whole = write_monolithic(decided(table(spark, sf_dir, "pages")), f"{folder}/whole")
-    return read(normalise(whole, f"{folder}/members"))
+    forget(spark)
+    members = normalise(whole, f"{folder}/members")
+    forget(spark, f"{folder}/whole")  # the normalised archives stand in for them
+    return read(members)
 
 
 SQL = f"""

@@ -119,6 +119,20 @@ def test_archives(spark):
     assert warc.read(warc.normalise(warc.write_monolithic(warc.decided(df.limit(0)), f"{spark.conf.get('spark.checkpoint.dir')}/e"), f"{spark.conf.get('spark.checkpoint.dir')}/f")).count() == 0
 
 
+def test_archives_are_cut_and_revisits_checked(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 400) for i in range(40)] + [(100 + i, "u", "same " * 300) for i in range(5)]
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/cut"
+    decided = warc.decided(spark.createDataFrame(rows, PAGES))
+    whole = warc.write_monolithic(decided, folder, most=5000)
+    assert whole.count() > 8 and sum(r["records"] for r in whole.collect()) == 45
+    members = warc.normalise(whole, f"{folder}-m")
+    got = {r["page_id"]: r for r in warc.read(members).collect()}
+    assert len(got) == 45 and [got[100 + i]["refers_to"] for i in range(5)] == [104] * 4 + [None]
+    lost = warc.write_monolithic(decided.filter("page_id <> 104"), f"{folder}-lost")
+    with pytest.raises(ValueError, match="no response"):
+        warc.read(warc.normalise(lost, f"{folder}-lost-m"))
+
+
 def record(i, payload):
     return warc.record_head(i, "http://x/", "response", len(payload), hashlib.sha1(payload).hexdigest(), None) + payload + b"\r\n\r\n"
 
