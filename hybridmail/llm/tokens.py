@@ -7,8 +7,8 @@ is dictionary-encoded where the ids of a row group fit a dictionary and delta-en
 the sizes given below. A count or an id is read without touching the tokens.
 
 Tokenizing: the pre-tokenizer of the byte-level vocabulary never joins text across a single space or line end, nor a word
-of letters with the mark after it, so texts are cut there, all at once, and each distinct piece (told by a 64-bit hash) is
-encoded by the library once for a batch and remembered (the first CACHE pieces). A text with runs of white space, white
+of letters with the mark after it, so texts are cut there, all at once, and each distinct piece (found by a 64-bit hash,
+then compared byte by byte) is encoded by the library once for a batch and remembered (the first CACHE pieces). A text with runs of white space, white
 space at an end, or unprintable characters is encoded whole.
 
 Added tokens of the vocabulary ('<|endoftext|>') in a text: with added=True, as the queries have it, they get their own
@@ -24,7 +24,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from urllib.parse import unquote
 
@@ -35,7 +35,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import scratch, ship, slices
+from hybridmail.llm.common import eights, same_stretches, scratch, ship, slices, small_batches
 from hybridmail.llm.substrings import hash_stretches
 
 END = 2
@@ -81,25 +81,31 @@ def piece_starts(line: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of known pieces, in arrays: ascending hashes, and where the ids of each lie in one buffer."""
+    """Ids of known pieces, in arrays: ascending hashes, the pieces' bytes, and where the ids of each lie in one buffer."""
 
     def __init__(self, tokenizer, added: tuple[str, ...] = ()):
         self.tokenizer, self.most, self.added = tokenizer, CACHE, added
-        self.hashes, self.start, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        none = np.zeros(0, dtype=np.int64)
+        self.hashes, self.start, self.size, self.at, self.length = np.zeros(0, dtype=np.uint64), none, none.astype(np.int32), none, none.astype(np.int32)
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.bytes, self.filled = np.zeros(1 << 18, dtype=np.uint8), 0
 
-    def look_up(self, own: np.ndarray, pieces: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """own: ascending hashes; pieces gives those of the places it is asked for. Where in self.ids each begins, and how many ids it has; good until the next call."""
-        at = np.searchsorted(self.hashes, own)
+    def look_up(self, own: np.ndarray, data: bytes, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """own: ascending hashes of pieces, which lie in data. Where in self.ids each begins, and how many ids it has; good until the next call. A piece is known by its hash and then by its bytes."""
+        place = np.searchsorted(self.hashes, own)
+        hit, start, size = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int32)
+        taken = hit
         if len(self.hashes):
-            near = np.minimum(at, len(self.hashes) - 1)
-            hit = self.hashes[near] == own
+            near = np.minimum(place, len(self.hashes) - 1)
+            taken = self.hashes[near] == own
+            hit = taken & (self.length[near] == length)
+            some = near[hit]
+            hit[hit] = same_stretches(eights(self.bytes), self.at[some], eights(np.frombuffer(data, dtype=np.uint8)), at[hit], length[hit])
             start, size = np.where(hit, self.start[near], 0), np.where(hit, self.size[near], 0)
-        else:
-            hit, start, size = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int32)
         new = np.flatnonzero(~hit)
         if len(new):
-            texts = _BETWEEN.join(x if x != FIRST else b"" for x in pieces(new)).decode().split(_BETWEEN.decode())
+            pieces = [data[a : a + n] for a, n in zip(at[new].tolist(), length[new].tolist(), strict=True)]
+            texts = _BETWEEN.join(x if x != FIRST else b"" for x in pieces).decode().split(_BETWEEN.decode())
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             until = self.used + int(sizes.sum())
@@ -107,9 +113,15 @@ class Pieces:
                 self.ids = np.concatenate((self.ids, np.zeros(max(until - len(self.ids), len(self.ids) // 2), dtype="<u4")))
             self.ids[self.used : until] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=until - self.used)
             start[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
-            if len(self.hashes) < self.most:
-                self.hashes, self.start, self.size = (np.insert(x, at[new], y[new]) for x, y in ((self.hashes, own), (self.start, start), (self.size, size)))
-                self.used = until
+            keep = ~taken[new]  # of two pieces of one hash the first is remembered
+            if len(self.hashes) < self.most and keep.all():
+                line = b"".join(pieces)
+                if self.filled + len(line) + 8 > len(self.bytes):
+                    self.bytes = np.concatenate((self.bytes, np.zeros(max(len(line) + 8, len(self.bytes) // 2), dtype=np.uint8)))
+                self.bytes[self.filled : self.filled + len(line)] = np.frombuffer(line, dtype=np.uint8)
+                own_at = self.filled + np.cumsum(length[new]) - length[new]
+                self.hashes, self.start, self.size, self.at, self.length = (np.insert(x, place[new], y) for x, y in ((self.hashes, own[new]), (self.start, start[new]), (self.size, size[new]), (self.at, own_at), (self.length, length[new])))
+                self.used, self.filled = until, self.filled + len(line)
         return start, size
 
 
@@ -132,15 +144,24 @@ def _pieces(vocabulary: str, added: bool = False) -> Pieces:
     return _KNOWN[vocabulary, added]
 
 
+def _whole(texts: list[str], known: Pieces, end: int) -> list[np.ndarray]:
+    return [np.array([*e.ids, end], dtype=np.uint32) for e in known.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def _cut_and_encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts that can be cut, with the end id after each, and the number of ids of each. Equal pieces of all texts are looked up once."""
-    data = b"".join(FIRST + t.encode() for t in texts)
+    data = b"".join([*(FIRST + t.encode() for t in texts), b"\x01" * 8])
     line = np.frombuffer(data, dtype=np.uint8)
-    start = piece_starts(line)
-    size = np.diff(np.append(start, len(data)))
+    start = piece_starts(line[:-8])
+    size = np.diff(np.append(start, len(data) - 8))
     own, first, inverse = np.unique(hash_stretches(data, start, size), return_index=True, return_inverse=True)
-    pieces = lambda i: [data[a:b] for a, b in zip(start[first[i]].tolist(), (start[first[i]] + size[first[i]]).tolist(), strict=True)]
-    places, sizes = known.look_up(own, pieces)
+    place = first[inverse]
+    again = np.flatnonzero(place != np.arange(len(place)))
+    view, place = eights(line), place[again]
+    if (size[again] != size[place]).any() or not same_stretches(view, start[again], view, start[place], size[again]).all():
+        parts = _whole(texts, known, end)  # two pieces of one hash
+        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    places, sizes = known.look_up(own, data, start[first], size[first])
     each = sizes[inverse].astype(np.int64)
     until = np.cumsum(each)
     ids = known.ids[np.repeat(places[inverse] - (until - each), each) + np.arange(int(until[-1]))]
@@ -156,8 +177,8 @@ def encoded(texts: list[str], known: Pieces, end: int) -> tuple[np.ndarray, np.n
         return _cut_and_encoded(texts, known, end)
     rest = sorted(set(range(len(texts))) - set(whole))
     parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
-    for i, e in zip(whole, known.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        parts[i] = np.array([*e.ids, end], dtype=np.uint32)
+    for i, x in zip(whole, _whole([texts[i] for i in whole], known, end), strict=True):
+        parts[i] = x
     if rest:
         ids, counts = _cut_and_encoded([texts[i] for i in rest], known, end)
         for i, x in zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
@@ -186,9 +207,11 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Ties of the id have a defined order by their text.
-    dealt = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(encoder(vocabulary, end, cache, added), SCHEMA).write.options(**LAYOUT).parquet(path)
+    # Ties of the id have a defined order by their text; a hash of it spreads an id of very many rows over several files.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    dealt = docs.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    with small_batches(spark):
+        dealt.mapInArrow(encoder(vocabulary, end, cache, added), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, low: int | None = None, high: int | None = None) -> DataFrame:
