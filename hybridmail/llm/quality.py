@@ -9,7 +9,7 @@ text-level buckets (shares of repeated words and lines, of capitals, of trailing
 Counts are damped by log(1 + n) and the word features of a text scaled to one length.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled documents (those of the smallest hash of the id, so the
-same ones on each run), featurised on the executors. A grade too rare in it is weighted up. Every document is scored.
+same ones on each run) of at most SAMPLE_BYTES together, featurised on the executors. A grade too rare in it is weighted up. Every document is scored.
 
 Null and empty texts have only the bias and text-level features and are scored as such. Null ids are scored. Labels
 of a document that is labelled twice give its lowest grade. Labels with null quality count as not toxic and poor only if
@@ -27,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import ship, slices, table
+from hybridmail.llm.common import ship, slices, table, texts_of
+from hybridmail.llm.substrings import hash_stretches, word_edges
 
 GRADES = 3
 WIDTH = 1 << 20
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 256 << 20
 STEPS = 120
 LEAST_DOCUMENTS = 3
 #: A document is rejected if its grade is more likely below the best than the best.
@@ -44,56 +45,74 @@ _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _SHAPES = (re.compile(r"^[A-ZÀ-Þ]{2,}[^\w]*$"), re.compile(r"[#$%&*]{2,}$"), re.compile(r"!{2,}$"), re.compile(r"^[|<>{}]+$"), re.compile(r"^https?:"), re.compile(r"[0-9]"))
 
 
-class Hashed(dict):
-    """A word to its features: the bucket of the stripped word, and that of its shape (-1: none)."""
+class Hashed:
+    """What is known of words, in arrays by ascending hash: the bucket of the stripped word, that of its shape (-1: none), and flags (capitals, no letter or digit at its end)."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 150_000:
-            self.clear()
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.own, self.shape, self.flags = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int8)
+
+    @staticmethod
+    def of(word: str) -> tuple[int, int, int]:
         plain = word.strip(_STRIP).lower()
         own = zlib.crc32(plain.encode()) % (WIDTH - 1024) + 1024 if plain else -1
         shape = next((8 + i for i, p in enumerate(_SHAPES) if p.search(word)), -1)
-        self[word] = found = (own, shape)
-        return found
-
-
-def _bucket(share: float, first: int) -> int:
-    return first + min(15, int(share * 16))
-
-
-def featurise(texts: list[str], cache: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as CSR: offsets, features and values."""
-    offsets, ids, values = [0], [], []
-    for text in texts:
-        words = text.split()
-        n = len(words)
-        found: np.ndarray = np.array([b for w in words for b in cache[w]], dtype=np.int64) if n else np.empty(0, dtype=np.int64)
-        own, counts = np.unique(found[found >= 0], return_counts=True)
-        weights = np.log1p(counts.astype(np.float64))
-        norm = np.sqrt((weights**2).sum()) or 1.0
-        lines = text.split("\n")
-        marks = [(0, 1.0)]
-        if n:
-            marks += [
-                (_bucket(1 - len(set(words)) / n, 32), 1.0),
-                (_bucket(sum(map(str.isupper, words)) / n, 64), 1.0),
-                (_bucket(sum(not w[-1:].isalnum() for w in words) / n, 96), 1.0),
-                (_bucket(1 - len(set(lines)) / len(lines), 128), 1.0),
-                (160 + min(15, n.bit_length()), 1.0),
-                (_bucket(float((counts[own < 1024]).sum()) / n, 192), 1.0),
-            ]
-        ids += [k for k, _ in marks]
-        values += [0.5 * v for _, v in marks]
-        ids += own.tolist()
-        values += (weights / norm * 4).tolist()
-        offsets.append(len(ids))
-    return np.array(offsets), np.array(ids, dtype=np.int64), np.array(values)
+        return own, shape, word.isupper() + 2 * (not word[-1:].isalnum())
+
+    def look_up(self, own: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of ascending hashes that lie in data."""
+        if len(self.hashes) > self.most:
+            self.clear()
+        at = np.searchsorted(self.hashes, own)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != own) if len(self.hashes) else np.arange(len(own))
+        if len(new):
+            found = np.array([self.of(data[a : a + n].decode("utf-8", "replace")) for a, n in zip(start[new].tolist(), size[new].tolist(), strict=True)], dtype=np.int64)
+            self.hashes, self.own, self.shape, self.flags = (np.insert(x, at[new], y) for x, y in ((self.hashes, own[new]), (self.own, found[:, 0]), (self.shape, found[:, 1]), (self.flags, found[:, 2])))
+            at = np.searchsorted(self.hashes, own)
+        return self.own[at], self.shape[at], self.flags[at]
+
+
+def _bucket(share: np.ndarray, first: int) -> np.ndarray:
+    return first + np.minimum(15, (share * 16).astype(np.int64))
+
+
+def featurise(texts: list[bytes], cache: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as CSR: offsets, features and values. All texts at once; a word is looked at once for a batch."""
+    n_texts = len(texts)
+    data = b"\n".join([*texts, b""])
+    start, size = word_edges(data)
+    begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=n_texts))))
+    bounds = np.searchsorted(start, begins)
+    n = np.diff(bounds)
+    text = np.repeat(np.arange(n_texts), n)
+    words, first, inverse = np.unique(hash_stretches(data, start, size), return_index=True, return_inverse=True)
+    own, shape, flags = cache.look_up(words, data, start[first], size[first])
+    distinct = np.bincount(np.unique(text * len(words) + inverse) // max(len(words), 1), minlength=n_texts)
+    keys = np.concatenate([text[f >= 0] * WIDTH + f[f >= 0] for f in (own[inverse].astype(np.int64), shape[inverse].astype(np.int64))])
+    keys, counts = np.unique(keys, return_counts=True)
+    row, feature = keys // WIDTH, keys % WIDTH
+    weights = np.log1p(counts.astype(np.float64))
+    norm = np.sqrt(np.bincount(row, weights=weights**2, minlength=n_texts))
+    some = np.maximum(n, 1)
+    lines = np.array([1 - len(set(x)) / len(x) for x in (t.split(b"\n") for t in texts)])
+    shaped = np.bincount(row[feature < 1024], weights=counts[feature < 1024], minlength=n_texts)
+    per = lambda bit: np.bincount(text[(flags[inverse] & bit) > 0], minlength=n_texts) / some
+    marks = [_bucket(1 - distinct / some, 32), _bucket(per(1), 64), _bucket(per(2), 96), _bucket(lines, 128), 160 + np.minimum(15, np.frexp(n.astype(np.float64))[1]), _bucket(shaped / some, 192)]
+    there = np.flatnonzero(n > 0)
+    rows = np.concatenate([np.arange(n_texts), *[there] * len(marks), row])
+    ids = np.concatenate([np.zeros(n_texts, dtype=np.int64), *[m[there] for m in marks], feature])
+    values = np.concatenate([np.full(n_texts + len(there) * len(marks), 0.5), weights / np.where(norm > 0, norm, 1.0)[row] * 4])
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n_texts)))), ids[order], values[order]
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Hashed()
     for batch in slices(batches, "text"):
-        offsets, ids, values = featurise([x or "" for x in batch.column(1).to_pylist()], cache)
+        offsets, ids, values = featurise(texts_of(batch), cache)
         o = pa.array(offsets.astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(o, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(o, pa.array(values.astype(np.float32)))], names=["grade", "ids", "vals"])
 
@@ -110,6 +129,23 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -50, 50)))
 
 
+def objective(w: np.ndarray, free: np.ndarray, rows: np.ndarray, ids: np.ndarray, values: np.ndarray, grades: np.ndarray, importance: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted mean of -log P(grade) with a ridge on the weights, and its gradients. free: the first threshold, and the logarithms of the gaps."""
+    n = len(grades)
+    cuts = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
+    z = np.bincount(rows, weights=w[ids] * values, minlength=n)
+    upper = np.hstack((np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None] - z[:, None], -50, 50))), np.zeros((n, 1))))
+    a, b = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
+    p = np.maximum(a - b, 1e-9)
+    da, db = a * (1 - a), b * (1 - b)
+    gz = -importance * (da - db) / p / n
+    # The cut k lowers P(grade > k), which is a for grade k + 1 and b for grade k.
+    gc = np.array([(importance * (np.where(grades == k + 1, da, 0) - np.where(grades == k, db, 0)) / p).sum() / n for k in range(GRADES - 1)])
+    gw = np.bincount(ids, weights=gz[rows] * values, minlength=len(w)) + ridge * w
+    gf = np.cumsum(gc[::-1])[::-1] * np.concatenate(([1.0], np.exp(free[1:])))
+    return float((importance * -np.log(p)).sum() / n + ridge * (w * w).sum() / 2), gw, gf
+
+
 def fit(offsets: np.ndarray, ids: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int = WIDTH, steps: int = STEPS, ridge: float = 1e-4) -> Model:
     """Adam on the likelihood of the cumulative-link model; thresholds as the first and log gaps, so that they stay ordered."""
     n, seen = len(grades), np.bincount(grades, minlength=GRADES)
@@ -125,19 +161,7 @@ def fit(offsets: np.ndarray, ids: np.ndarray, values: np.ndarray, grades: np.nda
     w, free = np.zeros(width), np.array([-1.0, *[0.0] * (GRADES - 2)])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
     for step in range(1, steps + 1):
-        cuts = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-        z = np.bincount(rows, weights=w[ids] * values, minlength=n)
-        upper = np.hstack((np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None] - z[:, None], -50, 50))), np.zeros((n, 1))))
-        a, b = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
-        p = np.maximum(a - b, 1e-9)
-        da, db = a * (1 - a), b * (1 - b)
-        gz = -importance * (da - db) / p / n
-        gc = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):  # the cut k lowers P(grade > k), which is a for grade k + 1 and b for grade k
-            gc[k] = (importance * (np.where(grades == k + 1, da, 0) - np.where(grades == k, db, 0)) / p).sum() / n
-        gw = np.bincount(ids, weights=gz[rows] * values, minlength=width) + ridge * w
-        tail = np.cumsum(gc[::-1])[::-1]
-        gf = tail * np.concatenate(([1.0], np.exp(free[1:])))
+        _, gw, gf = objective(w, free, rows, ids, values, grades, importance, ridge)
         for x, g, m, v in ((w, gw, state[0], state[1]), (free, gf, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -149,13 +173,17 @@ def grade(quality, toxic):
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, keep: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = SAMPLE_BYTES, keep: float = 1.0) -> Model:
     """docs: doc_id, text; labels: doc_id, quality, toxic. keep: the share of labelled ids to train on (tests hold out the rest)."""
     ship(docs.sparkSession)
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     place = F.xxhash64(F.lit(7), "doc_id")
     rated = rated.filter(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1000)) < int(1000 * keep))
-    chosen = rated.orderBy(place, "doc_id").limit(sample)  # the bound of the fit, see above; everything else covers all rows
+    # The bounds of the fit, see above; everything else covers all rows.
+    chosen = rated.orderBy(place, "doc_id").limit(sample)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy(place, "doc_id"))  # over at most `sample` rows
+    chosen = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= most).select("doc_id", "grade")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("grade", "text").mapInArrow(_sparse, "grade int, ids array<int>, vals array<float>").toArrow()
     if not rows.num_rows:
@@ -174,7 +202,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = Hashed(), Model(weights.astype(np.float64), cuts)
         for batch in slices(batches, "text"):
-            p = own.score(*featurise([x or "" for x in batch.column(1).to_pylist()], cache))
+            p = own.score(*featurise(texts_of(batch), cache))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), *[pa.array(p[:, k]) for k in range(GRADES - 1)]], names=["id", "expected_grade", *[f"p_above_{k}" for k in range(GRADES - 1)]])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -184,12 +212,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def keep(docs: DataFrame, model: Model, *, text_col: str = "text", tail: float = TAIL) -> DataFrame:
     """The documents (all columns) whose probability of the best grade is at least tail."""
     ship(docs.sparkSession)
-    weights, cuts, where = model.weights.astype(np.float32), model.cuts, docs.columns.index(text_col)
+    weights, cuts = model.weights.astype(np.float32), model.cuts
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = Hashed(), Model(weights.astype(np.float64), cuts)
         for batch in slices(batches, text_col):
-            p = own.score(*featurise([x or "" for x in batch.column(where).to_pylist()], cache))
+            p = own.score(*featurise(texts_of(batch, text_col), cache))
             yield batch.filter(pa.array(p[:, -1] >= tail))
 
     return docs.mapInArrow(kept, docs.schema)

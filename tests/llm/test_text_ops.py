@@ -233,6 +233,20 @@ def test_tokens_round_trip(spark, tmp_path):
     assert tokens.encode_and_read(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """All hashes cut to a few values: ids still are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    monkeypatch.setattr(tokens, "hash_stretches", lambda data, start, size: (size % 7).astype(np.uint64))
+    known = tokens.Pieces(Tokenizer.from_file(path))
+    for texts in (["one two"], ["six ten"], ["a word, here", "b wird. they"], ["one two"], [" ".join(words(50, 3))]):
+        ids, counts = tokens.encoded(texts, known, 2)
+        wanted = [[*known.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(wanted, []) and counts.tolist() == list(map(len, wanted))
+
+
 def test_queries_keep_added_tokens(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -417,6 +431,45 @@ def test_quality_on_held_out(spark):
     assert kept.columns == docs.columns and 250 < kept.count() < 350
 
 
+def test_quality_gradient():
+    """The gradients of the objective against differences of its values, and those against the likelihood written out."""
+    r = np.random.RandomState(4)
+    n, width = 30, 12
+    rows = np.repeat(np.arange(n), 4)
+    ids, values, grades, importance = r.randint(0, width, len(rows)), r.rand(len(rows)), r.randint(0, 3, n), r.rand(n) + 0.5
+    w, free = r.randn(width), np.array([-0.7, 0.3])
+    loss, gw, gf = quality.objective(w, free, rows, ids, values, grades, importance, 0.01)
+    at = [lambda w, f: quality.objective(w, f, rows, ids, values, grades, importance, 0.01)[0]][0]
+    for k in range(width):
+        e = np.eye(width)[k] * 1e-6
+        assert gw[k] == pytest.approx((at(w + e, free) - at(w - e, free)) / 2e-6, abs=1e-6)
+    for k in range(2):
+        e = np.eye(2)[k] * 1e-6
+        assert gf[k] == pytest.approx((at(w, free + e) - at(w, free - e)) / 2e-6, abs=1e-6)
+    plain, cuts = 0.0, [free[0], free[0] + np.exp(free[1])]
+    for i in range(n):
+        z = sum(w[f] * v for f, v, j in zip(ids, values, rows, strict=True) if j == i)
+        above = [1.0, *[1 / (1 + np.exp(c - z)) for c in cuts], 0.0]
+        plain -= importance[i] * np.log(above[grades[i]] - above[grades[i] + 1]) / n
+    assert loss == pytest.approx(plain + 0.01 * (w @ w) / 2)
+
+
+def test_quality_features_against_a_plain_version():
+    texts = ["The the END!! of http://x.y 12 it", "", "a", "ONE\nTWO\nONE TWO é Ünï", "x " * 100]
+    offsets, ids, values = quality.featurise([t.encode() for t in texts], quality.Hashed())
+    for i, t in enumerate(texts):
+        w = t.split()
+        found = Counter(b for x in w for b in quality.Hashed.of(x)[:2] if b >= 0)
+        got = {f: v for f, v in zip(ids[offsets[i] : offsets[i + 1]], values[offsets[i] : offsets[i + 1]], strict=True)}
+        norm = np.sqrt(sum(np.log1p(c) ** 2 for c in found.values())) or 1.0
+        wanted = {0: 0.5} | {f: np.log1p(c) / norm * 4 for f, c in found.items()}
+        if w:
+            share = lambda x, first: first + min(15, int(x * 16))
+            lines = t.split("\n")
+            wanted |= dict.fromkeys([share(1 - len(set(w)) / len(w), 32), share(sum(map(str.isupper, w)) / len(w), 64), share(sum(not x[-1].isalnum() for x in w) / len(w), 96), share(1 - len(set(lines)) / len(lines), 128), 160 + min(15, len(w).bit_length()), share(sum(c for f, c in found.items() if f < 1024) / len(w), 192)], 0.5)
+        assert got == pytest.approx(wanted)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (2, ""), (4, "x" * 100_000)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
