@@ -84,9 +84,11 @@ def forget(spark: SparkSession, *paths: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         _MADE.discard(path)
-    # Plans that nobody refers to any more let Spark's cleaner remove their shuffle files; they must be seen to be gone.
-    gc.collect()
-    jvm.System.gc()
+    # Spark's cleaner removes the shuffle files of plans that nobody refers to any more, once they are seen to be gone: the first
+    # round frees what Python held, the second what the JVM held for it.
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
 
 
 def forget_all(spark: SparkSession) -> None:
