@@ -9,8 +9,27 @@ import numpy as np
 
 _U = np.uint64
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-#: Place of the k-th zero bit of a byte: a rule, tabulated.
-_ZERO_AT = np.array([([j for j in range(8) if not i >> j & 1] + [8] * 8)[:8] for i in range(256)], dtype=np.uint8)
+#: Place of the k-th set bit of a byte, at 8 * byte + k: a rule, tabulated.
+_ONE_AT = np.array([([j for j in range(8) if i >> j & 1] + [8] * 8)[:8] for i in range(256)], dtype=np.uint8).ravel()
+_ALL = _U(2**64 - 1)
+
+
+def _select_in(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit of each word: by halves, then by table."""
+    left, place = k.astype(np.int16), np.zeros(len(k), dtype=np.int16)
+    for width in (32, 16, 8):
+        below = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int16)
+        beyond = left >= below
+        left -= np.where(beyond, below, np.int16(0))
+        step = np.where(beyond, np.int16(width), np.int16(0))
+        bits = bits >> step.astype(_U)
+        place += step
+    return place + _ONE_AT[(bits & _U(255)).astype(np.int16) * 8 + left]
+
+
+def _zeros_before_one(bits: np.ndarray) -> np.ndarray:
+    """Zero bits below the lowest set bit; 64 where none is set."""
+    return np.bitwise_count((bits & (~bits + _U(1))) - _U(1)).astype(np.int64)
 
 
 def _words(parts: list[np.ndarray]) -> np.ndarray:
@@ -57,19 +76,30 @@ class EliasFano:
             self._ones_before = np.arange(len(self.zeros)) * 64 - self.zeros
         before = self._ones_before if ones else self.zeros
         word = np.searchsorted(before, k, "right") - 1
-        bits = self.high[word] ^ (_U(2**64 - 1) if ones else _U(0))
-        parts = np.ascontiguousarray(bits, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(8 - _ONES[parts], axis=1, dtype=np.uint8)
-        left = (k - before[word]).astype(np.uint8)
-        byte = (upto <= left[:, None]).sum(axis=1)
-        each = np.arange(len(k))
-        left -= np.where(byte > 0, upto[each, byte - 1], np.uint8(0))
-        return word * 64 + byte * 8 + _ZERO_AT[parts[each, byte], left]
+        bits = self.high[word] if ones else ~self.high[word]
+        return word * 64 + _select_in(bits, k - before[word])
+
+    def _next(self, at: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Places of the k-th zeros (or ones), which are the first ones from the places on: as a rule in the same word."""
+        off = (at & 63).astype(_U)
+        bits = (self.high[at >> 6] if ones else ~self.high[at >> 6]) >> off
+        step = _zeros_before_one(bits)
+        far = np.flatnonzero(bits == 0)
+        out = at + step
+        if len(far):
+            out[far] = self._select(k[far], ones)
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
         return ((self._select(i, True) - i) << self.l) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th and the next number."""
+        at = self._select(i, True)
+        after = self._next(at + 1, i + 1, True)
+        return ((at - i) << self.l) | self._low(i), ((after - i - 1) << self.l) | self._low(i + 1)
+
     def find(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
         """Index of each number, -1 where it isn't there; with low and high, where it isn't at an index from low up to high (exclusive). Fastest for ascending x."""
         x = np.asarray(x, dtype=np.int64)
@@ -80,8 +110,8 @@ class EliasFano:
         inside = np.flatnonzero((hi >= 0) & (hi < int(self.zeros[-1])))
         hi, lo = hi[inside], x[inside] & ((1 << self.l) - 1)
         # The numbers with this high part are those between two zeros; their low parts ascend.
-        first = np.where(hi > 0, self._select(np.maximum(hi - 1, 0), False) + 1 - hi, 0)
-        end = np.minimum(self._select(hi, False) - hi, self.n)
+        at = np.where(hi > 0, self._select(np.maximum(hi - 1, 0), False) + 1, 0)
+        first, end = at - hi, np.minimum(self._next(at, hi, False) - hi, self.n)
         if low is not None:
             first, end = np.maximum(first, low[inside]), np.minimum(end, high[inside])
         while len(inside):

@@ -246,6 +246,18 @@ def _before(ids: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate(([end], ids[:-1]))
 
 
+def _packed(shard: np.ndarray, key: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard (ascending) with all its numbers in one value: 64-bit keys, more 64-bit numbers, 32-bit counts last."""
+    edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+    columns = [key.astype("<i8"), *(x.astype("<i8") for x in rest[:-1]), rest[-1].astype("<i4")]
+    values = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int32)), *values], names=["shard", *PACKED[: len(values) - 1], "n"])
+
+
+#: Names of packed columns.
+PACKED = ("key", "word")
+
+
 def _count_pairs(words: Words, cuts: np.ndarray | None):
     """Pairs with counts and the shard of each; without cuts, the keys alone."""
 
@@ -257,7 +269,7 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
             keys = context * words.size + word
             if cuts is None:
                 return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
-            return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int32))], names=["shard", "key", "n"])
+            return _packed(np.searchsorted(cuts, keys, "right"), keys, n)
 
         for batch in slices(batches, "text"):
             ids, _ = token_ids(words, texts_of(batch))
@@ -285,10 +297,9 @@ def _gathered(finish):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            shards, *columns = (c.to_numpy() for c in batch.columns)
-            for s in np.unique(shards).tolist():
-                mine = shards == s
-                held.setdefault(s, []).append(tuple(c[mine] for c in columns))
+            shards, *columns = (c.to_pylist() for c in batch.columns)
+            for s, *values in zip(shards, *columns, strict=True):
+                held.setdefault(s, []).append((*(np.frombuffer(x, dtype="<i8") for x in values[:-1]), np.frombuffer(values[-1], dtype="<i4")))
         for s in sorted(held):
             yield from finish(s, [np.concatenate(c) for c in zip(*held.pop(s), strict=True)])
 
@@ -370,11 +381,17 @@ def _array(uri: str, kind: str) -> np.ndarray:
     return mapped(f"{uri}.{kind}.npy")
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of an ascending array, and which of them each is."""
+    new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=bool)
+    return x[new], np.cumsum(new) - 1
+
+
 def successors(uri: str, place: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Where in a level's successors each word stands after the context of each place, or -1: sought between the context's pointers."""
-    pointers, line = _sequence(f"{uri}.pointers"), _sequence(f"{uri}.successors")
-    own, inverse = np.unique(place, return_inverse=True)
-    low, high = pointers.access(own), pointers.access(own + 1)
+    """Where in a level's successors each word stands after the context of each place (ascending), or -1: sought between the context's pointers."""
+    line = _sequence(f"{uri}.successors")
+    own, inverse = _runs(place)
+    low, high = _sequence(f"{uri}.pointers").access_two(own)
     base = np.where(low > 0, line.access(np.maximum(low - 1, 0)) + 1, 0)
     return line.find(base[inverse] + word, low[inverse], high[inverse])
 
@@ -389,7 +406,7 @@ def pair_places(model: Model, context: np.ndarray, word: np.ndarray) -> tuple[np
         a, b = edges[number], edges[number + 1]
         if a == b:
             continue
-        own, inverse = np.unique(context[a:b], return_inverse=True)
+        own, inverse = _runs(context[a:b])
         place = _sequence(f"{uri}.contexts").find(own)[inverse]
         there = np.flatnonzero(place >= 0)
         found = successors(uri, place[there], word[a:b][there])
@@ -432,7 +449,7 @@ def _count_triples(model: Model):
 
         def rows(got):
             node, word, n = got
-            return pa.RecordBatch.from_arrays([pa.array((node >> 32).astype(np.int32)), pa.array((node & (2**32 - 1)).astype(np.int64)), pa.array(word), pa.array(n.astype(np.int32))], names=["shard", "place", "word", "n"])
+            return _packed(node >> 32, node & (2**32 - 1), word, n)
 
         for batch in slices(batches, "text"):
             ids, _ = token_ids(model.words, texts_of(batch))
@@ -489,7 +506,7 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
     cuts = some.agg(F.percentile_approx("key", [i / n_shards for i in range(1, n_shards)], 20_000).alias("c")).first()["c"] if n_shards > 1 else None
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
     to = F.element_at(F.array(*map(F.lit, _spread(spark, n_shards))), F.col("shard") + 1)
-    pairs = texts.mapInArrow(_count_pairs(words, cuts), "shard int, key long, n int")
+    pairs = texts.mapInArrow(_count_pairs(words, cuts), "shard int, key binary, n binary")
     built, built_path = stored(pairs.repartition(n_shards, to).mapInArrow(_build_shards(words, folder, discount), "shard int, uri string, context long, types long"), "pair-shards")
     shards = built.select("shard", "uri").distinct().orderBy("shard").collect()  # a row for each shard
     starts = F.array(*[F.lit(x) for x in words.starts])
@@ -502,7 +519,7 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
     # A file none of whose words is a context can't be: every word is followed by something.
     words = Words(words.files, words.starts, words.firsts, words.size, words.tokens, tuple(by_number[i] for i in range(len(words.files))))
     model = Model(words, tuple(r["uri"] for r in shards), tuple(cuts.tolist()), tuple(r["shard"] for r in shards))
-    triples = texts.mapInArrow(_count_triples(model), "shard int, place long, word long, n int")
+    triples = texts.mapInArrow(_count_triples(model), "shard int, key binary, word binary, n binary")
     thirds, thirds_path = stored(triples.repartition(n_shards, to).mapInArrow(_build_triples(folder, discount), "shard int, uri string"), "triple-shards")
     uris = {r["shard"]: r["uri"] for r in thirds.collect()}  # a row for each shard
     forget(spark, thirds_path)
@@ -517,13 +534,14 @@ def _thirds(model: Model, line: _Line, ids: np.ndarray, p: np.ndarray) -> None:
     for i in np.unique(line.shard[line.shard >= 0]).tolist():
         if model.triples[i]:
             mine = np.flatnonzero(line.shard == i)
+            mine = mine[_array(model.shards[i], "often")[line.at[mine]]]
             place[mine] = _sequence(f"{model.triples[i]}.contexts").find(line.at[mine])
     tokens = np.flatnonzero(place[line.before] >= 0)
     if not len(tokens):
         return
     pair = line.before[tokens]
     shard = line.shard[pair]
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(pair, kind="stable")  # distinct pairs are in the order of their shards
     tokens, pair, shard = tokens[order], pair[order], shard[order]
     edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
