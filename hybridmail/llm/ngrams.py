@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import eights, forget, partitions, same_stretches, scratch, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import eights, forget, give_back, partitions, same_stretches, scratch, ship, slices, stored, table, texts_of
 from hybridmail.llm.eliasfano import EliasFano, mapped, mapped_sequence, write_array, write_parts
 from hybridmail.llm.substrings import hash_stretches, word_edges
 
@@ -70,6 +70,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(True))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in ascending order, a place where each stands, and which of them each number is."""
+    order = np.argsort(x)
+    line = x[order]
+    new = np.concatenate(([True], line[1:] != line[:-1])) if len(x) else np.zeros(0, dtype=bool)
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return line[new], order[new], inverse
+
+
 class Tokens:
     """The tokens of all texts, ends included: hashes, the distinct ones in ascending order with a place where each stands, and where each text begins."""
 
@@ -82,7 +92,7 @@ class Tokens:
         self.line = np.insert(hash_stretches(self.data, start, size), bounds[1:], END)
         self.bounds = bounds + np.arange(len(bounds))
         self.start, self.size = np.insert(start, bounds[1:], 0), np.insert(size, bounds[1:], 0)
-        self.own, self.first, self.inverse = np.unique(self.line, return_index=True, return_inverse=True)
+        self.own, self.first, self.inverse = _distinct(self.line)
         self.bytes = np.frombuffer(self.data, dtype=np.uint8)
         place = self.first[self.inverse]
         again = np.flatnonzero(place != np.arange(len(place)))
@@ -97,6 +107,18 @@ class Tokens:
         return self.data[at : at + self.size[self.first[i]]]
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums n by two numbers that aren't negative, in their order."""
+    if not len(a):
+        return a, b, n
+    wide = int(b.max()) + 1
+    # Both numbers as one where they fit: one sort instead of two.
+    order = np.argsort(a * wide + b) if (int(a.max()) + 1) * wide < 2**63 else np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], np.add.reduceat(n, first)
+
+
 class _Counts:
     """Sums counts by two numbers in bounded memory: gives them out when there are many."""
 
@@ -104,63 +126,73 @@ class _Counts:
         self.parts, self.held, self.most = [], 0, most
 
     def add(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        self.parts.append(self._summed(a, b, np.ones(len(a), dtype=np.int64)))
+        self.parts.append(_summed(a, b, np.ones(len(a), dtype=np.int64)))
         self.held += len(self.parts[-1][0])
         return self.take() if self.held > self.most else None
 
-    @staticmethod
-    def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        if not len(a):
-            return a, b, n
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return a[first], b[first], np.add.reduceat(n, first)
-
     def take(self) -> tuple[np.ndarray, ...] | None:
         if not self.held:
             return None
-        got = self._summed(*map(np.concatenate, zip(*self.parts, strict=True)))
+        got = _summed(*map(np.concatenate, zip(*self.parts, strict=True)))
         self.parts, self.held = [], 0
         return got
 
 
 class _WordCounts:
-    """Sums counts by word in bounded memory; the words by hash and bytes."""
+    """Sums counts by word in bounded memory; words are found by hash and compared by bytes."""
 
     def __init__(self, most: int = 600_000):
-        self.counts: dict[bytes, int] = {}
-        self.hashes: dict[bytes, int] = {}
         self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.zeros(0, dtype=np.int64)
+        self.hashes, self.at = np.zeros(0, dtype=np.uint64), none  # ascending hashes, and the number of each one's word
+        self.start, self.size, self.counts = none, none, none  # by number
+        self.bytes, self.filled = np.zeros(1 << 18, dtype=np.uint8), 0
 
-    def add(self, t: Tokens) -> pa.RecordBatch | None:
+    def add(self, t: Tokens) -> Iterator[pa.RecordBatch]:
         n = np.bincount(t.inverse, minlength=len(t.own))
-        starts, ends = t.start[t.first], t.start[t.first] + t.size[t.first]
+        start, size = t.start[t.first], t.size[t.first]
+        place = np.searchsorted(self.hashes, t.own)
+        hit = np.zeros(len(t.own), dtype=bool)
+        if len(self.hashes):
+            hit = self.hashes[np.minimum(place, len(self.hashes) - 1)] == t.own
+            known = self.at[place[hit]]
+            same = self.size[known] == size[hit]
+            if not same.all() or not same_stretches(eights(self.bytes), self.start[known], eights(t.bytes), start[hit], size[hit]).all():
+                yield from self.take()  # two words of one hash: each in a row of its own
+                yield from self.add(t)
+                return
+            self.counts[known] += n[hit]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            line = b"".join([t.data[a : a + k] for a, k in zip(start[new].tolist(), size[new].tolist(), strict=True)])
+            if self.filled + len(line) + 8 > len(self.bytes):
+                self.bytes = np.concatenate((self.bytes, np.zeros(max(len(line) + 8, len(self.bytes) // 2), dtype=np.uint8)))
+            self.bytes[self.filled : self.filled + len(line)] = np.frombuffer(line, dtype=np.uint8)
+            self.hashes, self.at = np.insert(self.hashes, place[new], t.own[new]), np.insert(self.at, place[new], len(self.size) + np.arange(len(new)))
+            self.start = np.concatenate((self.start, self.filled + np.cumsum(size[new]) - size[new]))
+            self.size, self.counts = np.concatenate((self.size, size[new])), np.concatenate((self.counts, n[new]))
+            self.filled += len(line)
+        if len(self.hashes) > self.most:
+            yield from self.take()
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if not len(self.hashes):
+            return
+        edges = pa.py_buffer(np.append(self.start, self.filled).astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(self.size), [None, edges, pa.py_buffer(self.bytes[: self.filled].copy())])
         # The sign bit is flipped, so that the order as signed numbers is that of the hashes.
-        for h, a, b, k in zip((t.own ^ _SIGN).view(np.int64).tolist(), starts.tolist(), ends.tolist(), n.tolist(), strict=True):
-            w = t.data[a:b]
-            if w in self.counts:
-                self.counts[w] += k
-            else:
-                self.counts[w], self.hashes[w] = k, h
-        return self.take() if len(self.counts) > self.most else None
-
-    def take(self) -> pa.RecordBatch | None:
-        if not self.counts:
-            return None
-        words = list(self.counts)
-        out = pa.RecordBatch.from_arrays([pa.array([self.hashes[w] for w in words], pa.int64()), pa.array(words, pa.binary()), pa.array(list(self.counts.values()), pa.int64())], names=["h", "word", "n"])
-        self.counts, self.hashes = {}, {}
-        return out
+        yield pa.RecordBatch.from_arrays([pa.array((self.hashes ^ _SIGN).view(np.int64)), words.take(pa.array(self.at)), pa.array(self.counts[self.at])], names=["h", "word", "n"])
+        self._clear()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = _WordCounts()
     for batch in slices(batches, "text"):
-        if got := counts.add(Tokens(texts_of(batch))):
-            yield got
-    if got := counts.take():
-        yield got
+        yield from counts.add(Tokens(texts_of(batch)))
+    yield from counts.take()
 
 
 def _attempt() -> str:
@@ -237,6 +269,39 @@ def token_ids(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return ids_of(words, t.own, eights(t.bytes), t.start[t.first], t.size[t.first])[t.inverse], t.bounds
 
 
+def _encoded(words: Words):
+    """doc_id and the ids of all tokens; words.size stands for an unknown one."""
+    kind = np.int32 if words.size < 2**31 else np.int64
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            ids, bounds = token_ids(words, texts_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(kind)))], names=["doc_id", "ids"])
+
+    return encode
+
+
+def encode(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id and the ids of its tokens."""
+    kind = docs.schema[id_col].dataType.simpleString() if id_col in docs.columns else "long"
+    rows = docs.select((F.col(id_col) if id_col in docs.columns else F.lit(None).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encoded(words), f"doc_id {kind}, ids array<{'int' if words.size < 2**31 else 'bigint'}>")
+
+
+def _lines(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Encoded documents in parts of about so many tokens, a document always whole: rows, ids, and where each text begins."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("ids"))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        first = 0
+        while first < len(lists):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            ids = lists.values[int(ends[first]) : int(ends[last])].to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.slice(first, last - first), ids, ends[first : last + 1] - ends[first]
+            first = last
+    give_back()
+
+
 @lru_cache(maxsize=8)
 def end_of(words: Words) -> int:
     return int(ids_of(words, np.array([END]), eights(np.zeros(8, dtype=np.uint8)), np.array([0]), np.array([0]))[0])
@@ -271,8 +336,7 @@ def _count_pairs(words: Words, cuts: np.ndarray | None):
                 return pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
             return _packed(np.searchsorted(cuts, keys, "right"), keys, n)
 
-        for batch in slices(batches, "text"):
-            ids, _ = token_ids(words, texts_of(batch))
+        for _, ids, _ in _lines(batches):
             if got := counts.add(_before(ids, end_of(words)), ids):
                 yield rows(got)
         if got := counts.take():
@@ -310,7 +374,7 @@ def _build_shards(words: Words, folder: str, discount: float):
     """One trie level for each shard of pairs; gives its files and its contexts' numbers of successors."""
 
     def finish(shard: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        context, word, n = _Counts._summed(columns[0] // words.size, columns[0] % words.size, columns[1].astype(np.int64))
+        context, word, n = _summed(columns[0] // words.size, columns[0] % words.size, columns[1].astype(np.int64))
         columns.clear()
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         types = np.diff(np.append(begin, len(word)))
@@ -431,7 +495,7 @@ class _Line:
         size = model.words.size
         context = _before(ids, end)
         self.known = np.flatnonzero((context < size) & (ids < size))
-        keys, self.inverse = np.unique(context[self.known] * size + ids[self.known], return_inverse=True)
+        keys, _, self.inverse = _distinct(context[self.known] * size + ids[self.known])
         self.shard, self.at = pair_places(model, keys // size, keys % size)
         #: For each token, the distinct pair that it ends, or -1.
         self.pair = np.full(len(ids), -1, dtype=np.int64)
@@ -451,8 +515,7 @@ def _count_triples(model: Model):
             node, word, n = got
             return _packed(node >> 32, node & (2**32 - 1), word, n)
 
-        for batch in slices(batches, "text"):
-            ids, _ = token_ids(model.words, texts_of(batch))
+        for _, ids, _ in _lines(batches):
             line = _Line(model, ids, end)
             often = np.append(_valued(model, line.shard, line.at, "often"), False)[line.before]
             node = (line.shard.astype(np.int64) << 32 | line.at)[line.before[often]]
@@ -468,7 +531,7 @@ def _build_triples(folder: str, discount: float):
     """Level 3 of each shard; gives its files."""
 
     def finish(shard: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        place, word, n = _Counts._summed(columns[0], columns[1], columns[2].astype(np.int64))
+        place, word, n = _summed(columns[0], columns[1], columns[2].astype(np.int64))
         columns.clear()
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         totals = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
@@ -486,22 +549,38 @@ def _build_triples(folder: str, discount: float):
     return _gathered(finish)
 
 
-def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
-    """docs: text. Counts all of them; the files lie in the shared folder."""
+def lexicon(docs: DataFrame) -> Words:
+    """Level 1 of the texts of docs, still without weights of backing off. The files lie in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
-    folder, n = scratch(spark, "ngrams"), partitions(spark)
-    texts = docs.select("text")
-    counted = texts.mapInArrow(_count_words, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    folder, n = scratch(spark, "words"), partitions(spark)
+    counted = docs.select("text").mapInArrow(_count_words, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
     counted, counted_path = stored(counted, "word-counts")
     files, files_path = stored(counted.repartitionByRange(n, "h").sortWithinPartitions("h", "word").mapInArrow(_write_words(folder), "uri string, first long, words long, tokens long"), "word-files")
     files = files.orderBy("first").collect()  # a row for each partition
     sizes = [r["words"] for r in files]
     words = Words(tuple(r["uri"] for r in files), tuple(int(x) for x in np.cumsum([0, *sizes[:-1]])) if files else (), tuple(r["first"] + 2**63 for r in files), sum(sizes), sum(r["tokens"] for r in files))
     forget(spark, counted_path, files_path)
-    if not files:
+    return words
+
+
+def train(docs: DataFrame, *, discount: float = DISCOUNT) -> Model:
+    """docs: text. Counts all of them."""
+    words = lexicon(docs)
+    encoded, path = stored(encode(docs, words), "encoded")
+    model = build(encoded, words, discount=discount)
+    forget(docs.sparkSession, path)
+    return model
+
+
+def build(encoded: DataFrame, words: Words, *, discount: float = DISCOUNT) -> Model:
+    """Levels 2 and 3 of the training documents, as encode() gives them; read more than once."""
+    spark = encoded.sparkSession
+    if not words.files:
         return Model(words, (), (), ())
-    some, some_path = stored(docs.filter(F.pmod(F.xxhash64("text"), F.lit(CUT_SAMPLE)) == 0).select("text").mapInArrow(_count_pairs(words, None), "key long"), "pair-sample")
+    folder, n = scratch(spark, "ngrams"), partitions(spark)
+    texts = encoded.select("ids")
+    some, some_path = stored(texts.filter(F.pmod(F.xxhash64("ids"), F.lit(CUT_SAMPLE)) == 0).mapInArrow(_count_pairs(words, None), "key long"), "pair-sample")
     n_shards = max(n, math.ceil(CUT_SAMPLE * some.count() / SHARD))
     cuts = some.agg(F.percentile_approx("key", [i / n_shards for i in range(1, n_shards)], 20_000).alias("c")).first()["c"] if n_shards > 1 else None
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
@@ -559,7 +638,7 @@ def probabilities(model: Model, ids: np.ndarray, end: int) -> tuple[np.ndarray,
     words = model.words
     if not words.size:
         return np.zeros(len(ids), dtype=np.int64), np.ones(len(ids))
-    own, inverse = np.unique(ids, return_inverse=True)
+    own, _, inverse = _distinct(ids)
     known = own < words.size
     counts = np.zeros(len(own), dtype=np.int64)
     counts[known] = _gather(words, words.files, "counts", own[known])
@@ -579,21 +658,25 @@ def probabilities(model: Model, ids: np.ndarray, end: int) -> tuple[np.ndarray,
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_tokens, n_known, base_score, score."""
     ship(docs.sparkSession)
+    return score_encoded(encode(docs, model.words, id_col, text_col), model).withColumnRenamed("doc_id", id_col)
+
 
+def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = math.log10(model.words.tokens + 0.5 * (model.words.size + 1))
-        for batch in slices(batches, "text"):
-            ids, bounds = token_ids(model.words, texts_of(batch))
+        for rows, ids, bounds in _lines(batches):
             counts, p = probabilities(model, ids, end_of(model.words))
             sums = [np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(counts + 0.5) - total, np.log10(p))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumnRenamed("doc_id", id_col)
+    return encoded.mapInArrow(scored, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.filter(~held_out(F.col("doc_id"))))
-    scores, _ = stored(score(docs, model), "scores")
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    words = lexicon(docs.filter(~held_out(F.col("doc_id"))))
+    encoded, path = stored(encode(docs, words), "encoded")  # once for training and scoring
+    model = build(encoded.filter(~held_out(F.col("doc_id"))), words)
+    scores, _ = stored(score_encoded(encoded, model), "scores")
+    forget(spark, path)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -599,9 +599,10 @@ def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
         ngrams.Tokens([b"ab cd"])
     words = [[b"abcd0001", b"a", b"ab", b"abc"], [b"abcd0002", b"b", b"cd", b"xyz"], [b"zzzzzzzzzzzz", b"c"]]
     counts = ngrams._WordCounts()
-    for some in words:
-        counts.add(ngrams.Tokens([b" ".join(some)]))
-    got = counts.take().to_pylist()
+    got = [r for some in words for b in counts.add(ngrams.Tokens([b" ".join(some)])) for r in b.to_pylist()]
+    got += [r for b in counts.take() for r in b.to_pylist()]
+    assert Counter(r["word"] for r in got) == Counter([b"", b"", b"", *sum(words, [])])
+    got = list({r["word"]: r for r in got}.values())
     folder = f"{spark.conf.get('spark.checkpoint.dir')}/clash"
     monkeypatch.setattr(ngrams, "_attempt", lambda: "0")
     import pyarrow as pa
