@@ -127,19 +127,26 @@ def avatar_hue(name: Column) -> Column:
     return (signed % 8).cast("int")
 
 
+def initials(name: Column) -> Column:
+    """Up to two capitals: of the first and the last word, or of the first one alone; a question mark without words."""
+    words = F.filter(F.split(F.trim(F.coalesce(name, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    first = lambda w: F.upper(F.substring(w, 1, 1))
+    return F.when(F.size(words) == 0, F.lit("?")).when(F.size(words) == 1, first(words[0])).otherwise(F.concat(first(words[0]), first(F.element_at(words, -1))))
+
+
 # -- scans with state -----------------------------------------------------------------------------------------------
 
 _REFERENCE = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);")
 
 
 def decode_entities(s: str) -> str:
-    """Named (of ENTITIES) and numeric references of at most ten characters, once; others stay."""
+    """Named (of ENTITIES) and numeric references, once; others stay, as do those whose semicolon is more than ten characters behind the ampersand."""
     if "&" not in s:
         return s
 
     def one(m: re.Match) -> str:
         name = m[1]
-        if len(name) > 10:
+        if len(name) > 9:
             return m[0]
         if name[0] != "#":
             return ENTITIES.get(name, m[0])

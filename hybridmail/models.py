@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 from hybridmail.functions.analyzer import analyze
-from hybridmail.operators.answers import NOT_FOUND
+from hybridmail.errors import ModelUnavailable
+from hybridmail.operators.answers import NOT_FOUND, Options
 
 
 class Embedder(Protocol):
@@ -21,7 +22,7 @@ class Embedder(Protocol):
 class Generator(Protocol):
     name: str
 
-    def tokens(self, system: str, prompt: str) -> Iterator[str]: ...
+    def tokens(self, system: str, prompt: str, options: Options = Options()) -> Iterator[str]: ...
 
 
 class HashingEmbedder:
@@ -50,7 +51,7 @@ class ExtractiveGenerator:
     def __init__(self, sentences: int = 2):
         self.sentences = sentences
 
-    def tokens(self, system: str, prompt: str) -> Iterator[str]:
+    def tokens(self, system: str, prompt: str, options: Options = Options()) -> Iterator[str]:
         question, _, sources = prompt.partition("\n")
         asked = set(analyze(question))
         found = []
@@ -65,6 +66,61 @@ class ExtractiveGenerator:
             yield (" " if k else "") + f"{sentence} [{n}]"
 
 
+class ModelServer:
+    """A client of a model server over a transport: call(path, body) gives the lines of the answer, parsed, and raises OSError when nobody answers.
+
+    The transport is what a deployment brings (HTTP to a local daemon); tests bring one of their own."""
+
+    def __init__(self, call: Callable[[str, dict], Iterable[dict]], *, chat_model: str, embedding_model: str):
+        self._call, self.chat_model, self.name = call, chat_model, embedding_model
+
+    def _ask(self, path: str, body: dict) -> Iterator[dict]:
+        try:
+            yield from self._call(path, body)
+        except OSError as e:
+            raise ModelUnavailable(f"no model server: {e}") from e
+
+    def installed(self) -> list[str]:
+        return [m["name"] for line in self._ask("tags", {}) for m in line.get("models", ())]
+
+    def embed(self, text: str) -> list[float]:
+        for line in self._ask("embed", {"model": self.name, "input": text}):
+            if line.get("embeddings"):
+                return list(map(float, line["embeddings"][0]))
+        raise ModelUnavailable(f"{self.name} gave no vector")
+
+    def tokens(self, system: str, prompt: str, options: Options = Options()) -> Iterator[str]:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+        for line in self._ask("chat", {"model": self.chat_model, "messages": messages, "stream": options.stream, "keep_alive": options.keep_alive, "options": {"temperature": options.temperature}}):
+            if part := line.get("message", {}).get("content"):
+                yield part
+            if line.get("done"):
+                return
+
+    def unload(self, model: str) -> None:
+        list(self._ask("chat", {"model": model, "messages": [], "keep_alive": 0}))
+
+    def pull(self, model: str, on_progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] = lambda: False) -> bool:
+        """Has the server fetch a model; False if cancelled on the way."""
+        for line in self._ask("pull", {"model": model, "stream": True}):
+            if line.get("error"):
+                raise ModelUnavailable(line["error"])
+            if on_progress and line.get("total"):
+                on_progress(line.get("completed", 0), line["total"])
+            if cancelled():
+                return False
+        return True
+
+    def health(self) -> dict:
+        """Whether the server answers, and whether the embedder and the chat model are there."""
+        try:
+            tags = self.installed()
+        except ModelUnavailable:
+            return {"reachable": False, "embedder": False, "chat_model": False}
+        there = lambda model: any(t == model or t.split(":")[0] == model.split(":")[0] for t in tags)
+        return {"reachable": True, "embedder": there(self.name), "chat_model": any(t == self.chat_model or t.startswith(f"{self.chat_model}-") for t in tags)}
+
+
 def folded(parts: Iterable[str], on_token: Callable[[str], None] | None = None) -> str:
     """The whole answer of a stream of parts; each is passed on as it comes."""
     out = []

@@ -8,25 +8,36 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridmail.functions.text import clip, is_recency_question, relative_age
+from hybridmail.functions.text import RECENCY_TERMS, clip, relative_age
 
 # Fixed values that results depend on.
 LADDER = (("qwen3.6:35b-mlx", 28.0, True), ("gpt-oss:20b", 16.0, True), ("qwen3:8b", 7.6, True), ("granite4.1:3b", 3.0, False))
 RESERVED_GB = 2.0 + 5.0
 SENDER, SUBJECT, EXCERPT = 120, 200, 800
-TEMPERATURE, KEEP_ALIVE = 0.2, "30m"
 NOT_FOUND = "Nothing in the mail answers this question."
 INSTRUCTIONS = (
-    "Use the numbered messages below and nothing else. Give the number of each message you rely on in square brackets, for example [2]. "
-    "Where the messages don't hold the answer, state that. Every message shows its date and age: for questions about what is new or "
-    "still to come, begin with the newest message, keep to the order of the dates and name them. Don't present a message that is months old as recent."
+    "You answer from mail. What isn't in the excerpts you don't know: say so instead of guessing. "
+    "After each statement put the source's number in brackets, like [3]. "
+    "Excerpts carry a date and how long ago that was. If somebody wants to know what is recent or ahead, go from the latest excerpt back, write the dates, and call nothing new that is months old."
 )
 
 
+@dataclass(frozen=True)
+class Options:
+    """How a generator is to answer: fixed values unless given."""
+
+    temperature: float = 0.2
+    keep_alive: str = "30m"
+    stream: bool = True
+
+
+def asks_for_recent(question: str) -> bool:
+    return any(t in question.lower() for t in RECENCY_TERMS)
+
+
 def ordered(hits: DataFrame, question: str) -> DataFrame:
     """Hits (relevance_rank, received_at) with n, the number to cite: newest first for questions about recency, else by relevance."""
-    recent = hits.sparkSession.range(1).select(is_recency_question(F.lit(question))).first()[0]
-    order = ([F.desc_nulls_last("received_at")] if recent else []) + [F.asc("relevance_rank")]
+    order = ([F.desc_nulls_last("received_at")] if asks_for_recent(question) else []) + [F.asc("relevance_rank")]
     return hits.withColumn("n", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -3,7 +3,8 @@
 Index tables are ordinary DataFrames: postings(term, chunk_id, message_id, chunk_index, len, tf, positions), which hold all
 that scoring needs, and lengths(chunk_id, message_id, chunk_index, len). A term or a prefix is a plain comparison of the
 term column, which is pushed down to the scan: postings sorted by term are read only where the term can be. A query is one
-shuffle of its hits by chunk.
+shuffle of its hits by chunk. Without an index, scan() answers a query from the texts themselves, with nothing but sums and
+the best rows between tasks.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
-from operator import add
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridmail.functions.analyzer import analyze, fold, stem
+from hybridmail.functions.analyzer import analyze, fold, plain_tokens, stem
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -33,6 +34,11 @@ def index(chunks: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFr
     return postings, lengths
 
 
+def laid_out(postings: DataFrame) -> DataFrame:
+    """Postings dealt by ranges of term and chunk and sorted: a reader skips the row groups of other terms, and a frequent term lies in many files."""
+    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
 def corpus(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
@@ -68,8 +74,8 @@ def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column
     return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg_len))
 
 
-def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None = None, *, stems: bool = True, stats: DataFrame | None = None) -> DataFrame:
-    """chunk_id, message_id, chunk_index, bm25 (more negative is better) of the best `pool` chunks; none for an empty query. stats: corpus(lengths), if it is kept."""
+def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None = None, *, stems: bool = True, stats: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """chunk_id, message_id, chunk_index, bm25 (more negative is better) of the best `pool` chunks; none for an empty query. stats: corpus(lengths), if it is kept. within: message_id of the messages that may be found; the statistics stay those of all."""
     wanted = phrases(query, stems)
     if not wanted:
         return lengths.select("chunk_id", "message_id", "chunk_index", F.lit(0.0).alias("bm25")).limit(0)
@@ -89,12 +95,82 @@ def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None
     known = wide.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(corpus(lengths) if stats is None else stats))  # one row each
     parts = [F.coalesce(bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len")), F.lit(0.0)) for i in each]
     scored = known.select("chunk_id", "message_id", "chunk_index", (-reduce(add, parts)).alias("bm25"))
+    return best(scored if within is None else scored.join(within, "message_id", "left_semi").select(*scored.columns), pool)
+
+
+def best(scored: DataFrame, pool: int | None) -> DataFrame:
     return scored.orderBy("bm25", "message_id", "chunk_index").limit(pool) if pool else scored
 
 
+def scan(chunks: DataFrame, query: str, pool: int | None = None) -> DataFrame:
+    """search() without an index and without stems: counts the phrases where the texts (chunk_id, message_id, chunk_index, text) lie."""
+    return best(_scanned(chunks, [(0, query)]).drop("query_id"), pool)
+
+
+def scan_batch(chunks: DataFrame, queries: list[tuple], pool: int) -> DataFrame:
+    """scan() for a stated list of (query_id, text), in one pass over the texts; with query_id and chunk_rank."""
+    w = Window.partitionBy("query_id").orderBy("bm25", "message_id", "chunk_index")
+    return _scanned(chunks, queries).withColumn("chunk_rank", F.row_number().over(w) - 1).filter(F.col("chunk_rank") < pool)
+
+
+def _scanned(chunks: DataFrame, queries: list[tuple]) -> DataFrame:
+    of = {q: phrases(text, stems=False) for q, text in queries}
+    wanted = [list(t) for t in dict.fromkeys(tuple(t) for found in of.values() for t in found)]
+    if not wanted:
+        return chunks.select(F.lit(queries[0][0] if queries else 0).alias("query_id"), "chunk_id", "message_id", "chunk_index", F.lit(0.0).alias("bm25")).limit(0)
+
+    def count(words: Column, terms: list[str]) -> Column:
+        *exact, prefix = terms
+        if not exact:
+            return F.size(F.filter(words, lambda w: w.startswith(prefix)))
+        here = lambda i: reduce(and_, [F.get(words, i + k) == t for k, t in enumerate(exact)]) & F.get(words, i + len(exact)).startswith(prefix)
+        return F.when(F.size(words) < len(terms), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(words) - len(terms)), here)))
+
+    each = range(len(wanted))
+    counted = lambda words: F.struct(F.size(words).alias("len"), *[count(words, t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    wide = chunks.select("chunk_id", "message_id", "chunk_index", F.transform(F.array(plain_tokens(F.col("text"))), counted)[0].alias("x")).select("chunk_id", "message_id", "chunk_index", "x.*")
+    stats = wide.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in each])
+    hit = wide.filter(reduce(or_, [F.col(f"tf{i}") > 0 for i in each])).crossJoin(F.broadcast(stats))  # one row
+    part = lambda i: F.when(F.col(f"tf{i}") > 0, bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len"))).otherwise(0.0)
+
+    def scored(q) -> Column:
+        own = [wanted.index(t) for t in of[q]]
+        found = reduce(or_, [F.col(f"tf{i}") > 0 for i in own], F.lit(False))
+        return F.when(found, F.struct(F.lit(q).alias("query_id"), (-reduce(add, [part(i) for i in own], F.lit(0.0))).alias("bm25")))
+
+    rows = hit.select("chunk_id", "message_id", "chunk_index", F.explode(F.array_compact(F.array(*map(scored, of)))).alias("q"))
+    return rows.select("q.query_id", "chunk_id", "message_id", "chunk_index", "q.bm25")
+
+
+def search_batch(postings: DataFrame, stats: DataFrame, queries: list[tuple], pool: int, *, stems: bool = True) -> DataFrame:
+    """query_id, chunk_id, message_id, chunk_index, bm25, chunk_rank of the best `pool` chunks of each query. queries: a stated set of (query_id, text), ids of one type.
+
+    Prefixes meet the vocabulary by equality of as many characters, the words found meet the postings by equality; nothing
+    is compared with everything."""
+    spark = postings.sparkSession
+    kind = "long" if all(isinstance(q, int) for q, _ in queries) else "string"
+    asked = [(q, i, len(t), k, w, k + 1 == len(t)) for q, text in queries for i, t in enumerate(phrases(text, stems)) for k, w in enumerate(t)]
+    asked = spark.createDataFrame(asked, f"query_id {kind}, phrase int, n_terms int, place int, word string, is_prefix boolean")
+    lengths = asked.filter("is_prefix").select(F.length("word").alias("n")).distinct()
+    vocabulary = postings.select("term").distinct()
+    begun = vocabulary.join(F.broadcast(lengths), F.length("term") >= F.col("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("word"))
+    terms = asked.filter("is_prefix").join(begun, "word").unionByName(asked.filter("not is_prefix").withColumn("term", F.col("word"))).drop("word", "is_prefix")
+    met = terms.join(postings, "term")
+    single = met.filter("n_terms = 1").groupBy("query_id", "phrase", *CHUNK).agg(F.sum("tf").alias("tf"))
+    starts = met.filter("n_terms > 1").select("query_id", "phrase", "n_terms", "place", *CHUNK, F.explode("positions").alias("p")).withColumn("p", F.col("p") - F.col("place"))
+    whole = starts.groupBy("query_id", "phrase", "n_terms", *CHUNK, "p").agg(F.countDistinct("place").alias("n")).filter("n = n_terms")
+    several = whole.groupBy("query_id", "phrase", *CHUNK).agg(F.count(F.lit(1)).alias("tf"))
+    hits = single.unionByName(several)
+    known = hits.join(hits.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df")), ["query_id", "phrase"]).crossJoin(F.broadcast(stats))  # one row
+    part = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
+    scored = known.groupBy("query_id", "chunk_id", "message_id", "chunk_index").agg((-F.sum(part)).alias("bm25"))
+    w = Window.partitionBy("query_id").orderBy("bm25", "message_id", "chunk_index")
+    return scored.withColumn("chunk_rank", F.row_number().over(w) - 1).filter(F.col("chunk_rank") < pool)
+
+
 def ranked(hits: DataFrame) -> DataFrame:
     """With chunk_rank, from 0."""
     return hits.withColumn("chunk_rank", F.row_number().over(Window.orderBy("bm25", "message_id", "chunk_index")) - 1)
 
 
-__all__ = ["analyze", "bm25", "corpus", "fold", "index", "phrases", "ranked", "search", "stem"]
+__all__ = ["analyze", "best", "bm25", "corpus", "fold", "index", "laid_out", "phrases", "ranked", "scan", "scan_batch", "search", "search_batch", "stem"]

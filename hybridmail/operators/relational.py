@@ -86,10 +86,15 @@ def merge_watermarks(old: DataFrame, seen: DataFrame) -> DataFrame:
     return old.join(new, ["account_id", "mailbox"], "full_outer").select("account_id", "mailbox", F.greatest("last_seen_uid", "_uid").alias("last_seen_uid"))
 
 
-def uid_batches(uids: DataFrame, size: int = 20) -> DataFrame:
-    """Batches of a mailbox's ascending uids. uids: account_id, mailbox, uid."""
-    w = Window.partitionBy("account_id", "mailbox").orderBy("uid")
-    return uids.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def uid_batches(uids: DataFrame, size: int = 20, run: int = 1 << 16) -> DataFrame:
+    """Batches of a mailbox's ascending uids. uids: account_id, mailbox, uid. Numbered within runs of uids and over the runs' counts, so that a large mailbox isn't one task's."""
+    rows = uids.withColumn("_run", F.floor(F.col("uid") / run))
+    counts = rows.groupBy("account_id", "mailbox", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("account_id", "mailbox").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("account_id", "mailbox", "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("account_id", "mailbox", "_run").orderBy("uid")
+    placed = rows.withColumn("_r", F.row_number().over(own) - 1).join(before, ["account_id", "mailbox", "_run"])
+    return placed.select(*uids.columns, F.floor((F.col("_before") + F.col("_r")) / size).alias("batch"))
 
 
 def backfill_routes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -118,6 +123,35 @@ def sync_status(messages: DataFrame, chunks: DataFrame, sync_state: DataFrame) -
     return embedded_counts(messages, chunks).join(sync_state, "account_id", "left")
 
 
+def pending_count(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count_if(F.col("embedding").isNull()).alias("n_pending"))
+
+
+def global_status(messages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row over all accounts: messages, and those with an embedded chunk; it has no sync fields."""
+    ready = chunks.filter(F.col("embedding").isNotNull()).select("message_id")
+    return messages.agg(F.count(F.lit(1)).alias("total")).crossJoin(messages.join(ready, "message_id", "left_semi").agg(F.count(F.lit(1)).alias("embedded")))  # one row each
+
+
+def sync_started(old: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The sync table with these accounts (account_id) marked as running: the last time stays, the error goes."""
+    delta = accounts.select("account_id", F.lit(None).cast("timestamp").alias("last_sync_at"), F.lit(None).cast("string").alias("last_error"), F.lit(True).alias("is_running"))
+    kept = old.join(accounts.select("account_id"), "account_id", "left_semi").select("account_id", "last_sync_at")
+    return upsert(old, delta.drop("last_sync_at").join(kept, "account_id", "left"), ["account_id"], keep_null=False)
+
+
+def sync_ended(old: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """The sync table after runs (account_id, error): not running; the time is stamped only where a run finished without an error."""
+    times = results.join(old.select("account_id", F.col("last_sync_at").alias("_before")), "account_id", "left")
+    delta = times.select("account_id", F.when(F.col("error").isNull(), now).otherwise(F.col("_before")).alias("last_sync_at"), F.col("error").alias("last_error"), F.lit(False).alias("is_running"))
+    return upsert(old, delta, ["account_id"], keep_null=False)
+
+
+def chunk_texts(chunks: DataFrame, message_id) -> DataFrame:
+    """id and text of a message's chunks in their order."""
+    return chunks.filter(F.col("message_id") == message_id).orderBy("chunk_index").select("chunk_id", "chunk_index", "text")
+
+
 def can_sync(settings: DataFrame, now: Column, busy: Column) -> DataFrame:
     """Accounts with a stored cooldown (key cooldown:<account>): seconds left, and whether a sync may start. A value that isn't a number counts as none."""
     rows = settings.filter(F.col("key").startswith("cooldown:")).select(F.expr("substring(key, 10)").alias("account_id"), F.expr("try_cast(value as bigint)").alias("until"))

@@ -33,7 +33,7 @@ def literal(v) -> Column:
 def from_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian 32-bit floats; a trailing part of one is ignored."""
     for x in batches:
-        yield x.map(lambda b: np.frombuffer(b[: len(b) // 4 * 4], dtype="<f4").tolist(), na_action="ignore")
+        yield x.map(lambda b: np.frombuffer(b, dtype="<f4", count=len(b) // 4), na_action="ignore")
 
 
 @F.pandas_udf(BinaryType())
@@ -54,9 +54,41 @@ def top_messages(vectors: DataFrame, query: list[float], pool: int) -> DataFrame
     return pooled.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "message_id")) - 1)
 
 
+#: Queries that are multiplied with a batch of vectors at once.
+QUERY_BLOCK = 512
+
+
 def top_messages_batch(vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """query_id, message_id, similarity, vector_rank. queries: query_id, query_unit; a block of stated queries, broadcast if small."""
-    pairs = vectors.join(F.broadcast(queries) if queries.limit(10_001).count() <= 10_000 else queries, F.size("unit") == F.size("query_unit"))
-    best = pairs.select("query_id", "message_id", dot(F.col("unit"), F.col("query_unit")).alias("s")).groupBy("query_id", "message_id").agg(F.max("s").alias("similarity"))
+    """query_id, message_id, similarity, vector_rank. vectors: message_id, unit; queries: query_id, query_unit, a stated set that the driver holds.
+
+    Each task multiplies its vectors with the queries and gives out, of every batch, the best `pool` messages of each query;
+    a message that is among the best of all is among those of the batch that holds its nearest chunk."""
+    spark = vectors.sparkSession
+    rows = [(r[0], r[1]) for r in queries.select("query_id", "query_unit").collect()]
+    kinds = [vectors.schema["message_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    blocks: dict[int, list[list[tuple]]] = {}
+    for q in rows:
+        of = blocks.setdefault(len(q[1]), [[]])
+        if len(of[-1]) == QUERY_BLOCK:
+            of.append([])
+        of[-1].append(q)
+    asked = {d: [([i for i, _ in b], np.array([u for _, u in b], dtype=np.float64)) for b in of] for d, of in blocks.items()}
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, some in batch.groupby(batch["unit"].map(len)):
+                order = some["message_id"].argsort(kind="stable").to_numpy()
+                message, x = some["message_id"].to_numpy()[order], np.stack(some["unit"].to_numpy()).astype(np.float64)[order]
+                begin = np.flatnonzero(np.concatenate(([True], message[1:] != message[:-1])))
+                for ids, q in asked.get(d, ()):
+                    best = np.maximum.reduceat(x @ q.T, begin, axis=0)
+                    k = min(pool, len(begin))
+                    # Of equal similarities all that reach the last place go on; the ids decide later.
+                    least = np.partition(best, len(begin) - k, axis=0)[len(begin) - k]
+                    at, of = np.nonzero(best >= least)
+                    yield pd.DataFrame({"query_id": [ids[j] for j in of], "message_id": message[begin][at], "similarity": best[at, of]})
+
+    found = vectors.filter(F.col("unit").isNotNull()).select("message_id", "unit").mapInPandas(nearest, f"query_id {kinds[1]}, message_id {kinds[0]}, similarity double") if rows else spark.createDataFrame([], f"query_id {kinds[1]}, message_id {kinds[0]}, similarity double")
+    best = found.groupBy("query_id", "message_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "message_id")
     return best.withColumn("vector_rank", F.row_number().over(w) - 1).filter(F.col("vector_rank") < pool)

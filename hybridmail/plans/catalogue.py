@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,8 +67,7 @@ def _vector_sql(pool: int, vec: int = 0) -> str:
 
 
 def _hits(spark: SparkSession, sf_dir: str, words: str = QUERY, limit: int = LIMIT) -> DataFrame:
-    postings, lengths = fulltext.index(V.chunks(spark, sf_dir), plain_tokens)
-    return fulltext.ranked(fulltext.search(postings, lengths, words, fusion.pool_size(limit), stems=False))
+    return fulltext.ranked(fulltext.scan(V.chunks(spark, sf_dir), words, fusion.pool_size(limit)))
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +114,57 @@ def q_h1_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(fusion.weigh(fused, _rows(spark, sf_dir), V.now(), LIMIT))
 
 
-@query(f"""with units as (select vec_id, message_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from ({V.VECTORS_SQL})),
-    q as (select vec_id as query_id, u as qu from units where vec_id < 10),
+#: Texts of the batch's queries, dealt to their ids in turn.
+BATCH = ("thing contr", "the ther", "and-th ing")
+
+
+def _words_sql() -> str:
+    return f"chunks as ({V.CHUNKS_SQL}), words as (select message_id, chunk_index, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from chunks), lengths as (select message_id, chunk_index, len(w) as len from words), corpus as (select count(*)::double as n, avg(len) as a from lengths)"
+
+
+def _batch_keyword_sql(queries: dict, pool: int) -> str:
+    """Keyword ranks by query text: single prefixes, and two terms of which the second is a prefix."""
+    alone = ", ".join(f"({q}, {i}, '{t[0]}')" for q, text in queries.items() for i, t in enumerate(fulltext.phrases(text, stems=False)) if len(t) == 1)
+    two = [(q, i, *t) for q, text in queries.items() for i, t in enumerate(fulltext.phrases(text, stems=False)) if len(t) == 2]
+    pairs = ", ".join(f"({q}, {i}, '{x}', '{y}')" for q, i, x, y in two) or "(-1, 0, '', '')"
+    return f"""{_words_sql()},
+    places as (select message_id, chunk_index, w[i] as term, w[i + 1] as following from (select *, unnest(range(1, len(w) + 1)) as i from words)),
+    hits as (select q, phrase, message_id, chunk_index, count(*)::double as tf from places join (values {alone}) p(q, phrase, prefix) on starts_with(term, prefix) group by all
+             union all select q, phrase, message_id, chunk_index, count(*)::double from places join (values {pairs}) p(q, phrase, x, y) on term = x and starts_with(following, y) group by all),
+    df as (select q, phrase, count(*)::double as df from hits group by all),
+    scored as (select q, message_id, chunk_index, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) as bm25
+               from hits join df using (q, phrase) join lengths using (message_id, chunk_index), corpus group by q, message_id, chunk_index),
+    pooled as (select *, row_number() over (partition by q order by bm25, message_id, chunk_index) - 1 as chunk_rank from scored qualify chunk_rank < {pool}),
+    kw as (select q, message_id, min(chunk_rank) as keyword_rank, 1.0::double - min(chunk_rank) / greatest(any_value(hits_of_q), 1)::double as keyword_score from (select *, count(*) over (partition by q) as hits_of_q from pooled) group by q, message_id)"""
+
+
+@query(f"""with {_batch_keyword_sql(dict(enumerate(BATCH)), fusion.pool_size(5))}, units as (select vec_id, message_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from ({V.VECTORS_SQL})),
+    q as (select vec_id as query_id, u as qu from units where vec_id % 20 = 0),
     best as (select query_id, message_id, max(list_dot_product(u, qu)) as similarity from units, q group by all),
     ranked as (select *, row_number() over (partition by query_id order by similarity desc, message_id) - 1 as vector_rank from best),
-    fused as (select query_id, message_id, similarity, vector_rank, 1.0::double / (61 + vector_rank) as rrf from ranked where vector_rank < {fusion.pool_size(5)} and similarity >= {FLOOR}), {_ROWS_SQL},
-    scored as (select query_id, message_id, similarity, rrf * recency * case when is_bulk then 0.4::double else 1.0::double end as combined_score from fused join rows using (message_id))
-    select query_id, message_id, round(similarity, 6) as similarity, round(combined_score, 6) as combined_score from scored qualify row_number() over (partition by query_id order by combined_score desc, message_id) <= 5""")
+    near as (select query_id, message_id, similarity, vector_rank from ranked where vector_rank < {fusion.pool_size(5)} and similarity >= {FLOOR}),
+    found as (select query_id, message_id, keyword_rank, keyword_score from q join kw on kw.q = (query_id // 20) % {len(BATCH)}),
+    fused as (select query_id, message_id, keyword_score, similarity, coalesce(1.0::double / (61 + keyword_rank), 0) + coalesce(1.0::double / (61 + vector_rank), 0) as rrf from found full outer join near using (query_id, message_id)), {_ROWS_SQL},
+    weighed as (select query_id, message_id, keyword_score, similarity, rrf * recency * case when is_bulk and not coalesce(keyword_score >= 0.85, false) then 0.4::double else 1.0::double end as combined_score from fused join rows using (message_id))
+    select query_id, message_id, round(keyword_score, 6) as keyword_score, round(similarity, 6) as similarity, round(combined_score, 6) as combined_score from weighed qualify row_number() over (partition by query_id order by combined_score desc, message_id) <= 5""")
 def q_h1_hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and a vector for each query; as many queries as a twentieth of the vectors."""
     units = _units(spark, sf_dir)
-    asked = units.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_unit"))
-    near = vectors.top_messages_batch(units, asked, fusion.pool_size(5))
-    none = spark.createDataFrame([], "query_id long, message_id long, keyword_rank int, keyword_score double")
-    fused = fusion.fuse(none, near, floor=FLOOR, by=["query_id"])
-    return fusion.weigh(fused, _rows(spark, sf_dir), V.now(), 5, by=["query_id"]).select("query_id", "message_id", six("similarity"), six("combined_score"))
+    asked = units.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_unit"))
+    pool = fusion.pool_size(5)
+    hits = fulltext.scan_batch(V.chunks(spark, sf_dir), list(enumerate(BATCH)), pool)
+    keyword = fusion.keyword_messages(hits.withColumnRenamed("query_id", "q"), ["q"])
+    keyword = asked.select("query_id", (F.floor(F.col("query_id") / 20) % len(BATCH)).alias("q")).join(keyword, "q").drop("q")
+    fused = fusion.fuse(keyword, vectors.top_messages_batch(units, asked, pool), floor=FLOOR, by=["query_id"])
+    return fusion.weigh(fused, _rows(spark, sf_dir), V.now(), 5, by=["query_id"]).select("query_id", "message_id", six("keyword_score"), six("similarity"), six("combined_score"))
+
+
+@query(f"with {_batch_keyword_sql(dict(enumerate(BATCH)), 50)} select q as query_id, message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
+def q_fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several queries against postings at once, one with a phrase of two terms."""
+    postings, lengths = fulltext.index(V.chunks(spark, sf_dir), plain_tokens)
+    found = fulltext.search_batch(postings, fulltext.corpus(lengths), list(enumerate(BATCH)), 50, stems=False)
+    return found.select("query_id", "message_id", "chunk_index", six("bm25"), "chunk_rank")
 
 
 @query(f"with {_keyword_sql('the ther', 80)} select message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
@@ -197,9 +233,14 @@ def q_looks_like_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", T.looks_like_markup(F.col("html")).alias("is_markup"))
 
 
-@query()
+_NAMED = " ".join(f"when t = '&{k};' then chr({ord(v)})" for k, v in T.ENTITIES.items())
+#: The SQL cuts a text into references, ampersands and what lies between, and decodes each reference by itself.
+@query("""with parts as (select page_id, unnest(regexp_extract_all(html, '&(?:#[xX][0-9a-fA-F]{1,7}|#[0-9]{1,8}|[A-Za-z]{1,9});|[^&]+|&')) as t, generate_subscripts(regexp_extract_all(html, '&(?:#[xX][0-9a-fA-F]{1,7}|#[0-9]{1,8}|[A-Za-z]{1,9});|[^&]+|&'), 1) as i from pages),
+    numbers as (select *, case when t ~ '&#[xX][0-9a-fA-F]+;' then ('0x' || t[4:-2])::bigint when t ~ '&#[0-9]+;' then t[3:-2]::bigint end as n from parts),
+    decoded as (select page_id, i, case """ + _NAMED + """ when n is not null and n < 1114112 and not n between 55296 and 57343 then chr(n::int) else t end as t from numbers)
+    select page_id, md5(string_agg(t, '' order by i)) as text from decoded group by page_id""")
 def q_decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "pages").select("page_id", T.decode_entities_udf("html").alias("text"))
+    return V.table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_entities_udf("html")).alias("text"))
 
 
 @query()
@@ -335,18 +376,34 @@ def q_ingest_rate_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select min(uid) as uid, account_id, message_id from (select event_id as uid, cast(user_id % 50 as varchar) as account_id, 'm' || (event_id % 400) as message_id from events) group by account_id, message_id")
 def q_incremental_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two syncs over a growing feed, with a restart between them, as the batch dedup of all of it."""
+    store, _ = _ingested(spark, sf_dir)
+    return store.messages().select("uid", "account_id", "message_id")
+
+
+def _ingested(spark: SparkSession, sf_dir: str):
+    """A store into which a growing feed was synced, and the feed's path."""
+    from hybridmail.shipping import shared_folder
     from hybridmail.streaming.ingest import Store, sync
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hybridmail-")
-    folder = f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}-ingest"
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = V.table(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_id"), "event_type", "ts")
     rows = rows.select((F.col("user_id") % 50).cast("string").alias("account_id"), F.col("event_type").alias("mailbox"), F.col("event_id").alias("uid"), F.concat(F.lit("m"), (F.col("event_id") % 400).cast("string")).alias("message_id"), F.lit("s").alias("subject"), F.lit("b").alias("body"), F.col("ts").cast("timestamp").alias("internal_date"))
     store = Store(spark, f"{folder}/store")
     # A feed delivers in the order of the uids: one part after the other.
     half = rows.agg(F.percentile_approx("uid", 0.5)).first()[0] or 0
     for part in (rows.filter(F.col("uid") <= half), rows.filter(F.col("uid") > half)):
-        part.coalesce(1).sortWithinPartitions("uid").write.mode("append").parquet(f"{folder}/feed")
-        sync(spark, f"{folder}/feed", store, checkpoint=f"{folder}/checkpoint")
+        part.repartitionByRange("uid").sortWithinPartitions("uid").write.mode("append").parquet(f"{folder}/feed")
+        sync(spark, f"{folder}/feed", store, checkpoint=f"{folder}/checkpoint", files_per_batch=10_000)
+    return store, folder
+
+
+@query(ORACLE_SQL["incremental_ingest_stream"])
+def q_full_resync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed read again from its beginning changes nothing."""
+    from hybridmail.streaming.ingest import full_resync
+
+    store, folder = _ingested(spark, sf_dir)
+    full_resync(spark, f"{folder}/feed", store, checkpoint=f"{folder}/again", files_per_batch=10_000)
     return store.messages().select("uid", "account_id", "message_id")
 
 
@@ -449,6 +506,127 @@ def q_token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("answer"))
 
 
+@query(f"select count(*) filter (not done) as n_pending from ({_MARKED_SQL})")
+def q_pending_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.pending_count(_marked_chunks(spark, sf_dir))
+
+
+@query(f"with m as ({V.MESSAGES_SQL}), c as ({_MARKED_SQL}) select (select count(*) from m) as total, (select count(*) from m where message_id in (select message_id from c where done)) as embedded")
+def q_global_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.global_status(V.messages(spark, sf_dir), _marked_chunks(spark, sf_dir))
+
+
+@query(f"select chunk_index, text from ({V.CHUNKS_SQL}) where message_id = 7 order by chunk_index")
+def q_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.chunk_texts(V.chunks(spark, sf_dir), 7).select("chunk_index", "text")
+
+
+@query(f"""with o as ({_SYNC_OLD}) select account_id, case when account_id = 'de' then timestamp '{V.AS_OF}' else last_sync_at end as last_sync_at, case when account_id = 'de' then null when account_id = 'fr' then 'lost' else last_error end as last_error, account_id not in ('de', 'fr') as is_running from o
+    union all select 'es', null, null, true""")
+def q_sync_started_and_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three accounts begin; one ends well, one with an error; only the first is stamped."""
+    rows = V.messages(spark, sf_dir)
+    old = rows.filter("account_id <> 'es'").groupBy("account_id").agg(F.min("received_at").alias("last_sync_at")).withColumns({"last_error": F.lit("old"), "is_running": F.lit(True)})
+    begun = relational.sync_started(old, spark.createDataFrame([("de",), ("fr",), ("es",)], "account_id string"))
+    ended = relational.sync_ended(begun, spark.createDataFrame([("de", None), ("fr", "lost")], "account_id string, error string"), V.now())
+    return ended.withColumn("last_sync_at", F.col("last_sync_at").cast("timestamp_ntz"))
+
+
+@query("select 'k' || c_custkey as key, case when c_custkey % 3 = 0 then 'new' || c_custkey else 'old' end as value from customer where c_custkey % 2 = 0 union all select 'k' || c_custkey, 'new' || c_custkey from customer where c_custkey % 6 = 3")
+def q_upsert_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"))
+    old = c.filter("c_custkey % 2 = 0").select("key", F.lit("old").alias("value"))
+    return relational.upsert(old, c.filter("c_custkey % 3 = 0").select("key", F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("value")), ["key"])
+
+
+@query(f"select message_id, case when message_id % 4 = 0 then 'changed' else subject end as subject, source from ({V.MESSAGES_SQL})")
+def q_update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir).select("message_id", "subject", "source")
+    delta = rows.filter("message_id % 4 = 0").select("message_id", F.lit("changed").alias("subject"), F.lit(None).cast("string").alias("source"))
+    return relational.update(rows, delta.unionByName(spark.createDataFrame([(-1, "nobody", None)], "message_id long, subject string, source string")), ["message_id"])
+
+
+@query(f"""with o as ({_MARKED_SQL}), n as (select message_id, chunk_index, case when message_id % 4 = 1 then text || '!' else text end as text from o where message_id % 4 <> 2 or chunk_index > 0),
+    co as (select message_id, count(*) as a from o group by all), cn as (select message_id, count(*) as b from n group by all),
+    fresh as (select message_id from cn left join co using (message_id) where a is null or a <> b)
+    select message_id, chunk_index, md5(coalesce(n.text, o.text)) as text, done as embedded from o left join n using (message_id, chunk_index) where message_id not in (select message_id from fresh)
+    union all select message_id, chunk_index, md5(text), false from n where message_id in (select message_id from fresh)""")
+def q_backfill_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table after the backfill: texts in place with their vectors, or anew without."""
+    old = _marked_chunks(spark, sf_dir)
+    k = F.col("message_id") % 4
+    new = old.filter((k != 2) | (F.col("chunk_index") > 0)).withColumn("text", F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("embedding")
+    out = relational.backfill(old, new)
+    return out.select("message_id", "chunk_index", F.md5("text").alias("text"), F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query(f"select message_id, chunk_index, case when text like '%a%' then length(text) end as size from (select *, row_number() over (order by message_id, (message_id || ':' || chunk_index)) as r from ({_MARKED_SQL}) where not done) where r <= 60")
+def q_embed_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest pending chunks go to an embedder; one that fails doesn't stop the others."""
+    from hybridmail.streaming.ingest import drain_embeddings
+
+    def size(text: str) -> list[float]:
+        if "a" not in text:
+            raise ValueError("no a")
+        return [float(len(text))]
+
+    done = drain_embeddings(relational.pending(_marked_chunks(spark, sf_dir)), size, 60)
+    return done.select(F.split("chunk_id", ":")[0].cast("long").alias("message_id"), F.split("chunk_id", ":")[1].cast("int").alias("chunk_index"), F.col("embedding")[0].cast("long").alias("size"))
+
+
+@query(f"select account_id, mailbox, max(uid) + 1 as uid_next, count(*) as messages, max(uid % 7) as uid_validity from ({V.ARRIVALS_SQL}) where uid % 11 <> 0 group by all")
+def q_mailbox_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing with validities; rows of mailboxes that couldn't be opened have no uid and are left out."""
+    from hybridmail.sources.mail import mailboxes
+
+    rows = V.arrivals(spark, sf_dir).withColumn("uid_validity", F.col("uid") % 7)
+    return mailboxes(rows.withColumn("uid", F.when(F.col("uid") % 11 != 0, F.col("uid"))))
+
+
+@query("select c_custkey, upper(c_name[1:1]) || case when c_custkey % 2 = 0 then 'B' else '' end as initials from customer")
+def q_avatar_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("  von  bell "))).otherwise(F.col("c_name"))
+    return V.table(spark, sf_dir, "customer").select("c_custkey", T.initials(name).alias("initials"))
+
+
+@query("select c_custkey as machine, c_custkey % 3 = 0 as installed, c_custkey % 3 = 0 as present, c_custkey % 3 = 0 as other_size from customer")
+def q_model_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict and the lax test of a model tag."""
+    m, tags = _machines(spark, sf_dir), F.col("installed")
+    return m.select("machine", answers.installed_as(tags, F.lit("qwen3:8b")).alias("installed"), answers.present_as(tags, F.lit("qwen3:8b")).alias("present"), answers.present_as(tags, F.lit("qwen3:14b")).alias("other_size"))
+
+
+@query(f"select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total from ({V.VECTORS_SQL})")
+def q_embedding_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to bytes and back."""
+    back = V.vectors(spark, sf_dir).select("vec_id", vectors.from_bytes(vectors.to_bytes("embedding")).alias("v"))
+    return back.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"select message_id, account_id, subject, sender_email, left(body_plain, 360) as body_preview, trim(left({_WS.replace('html', 'body_plain')}, 200)) as snippet from ({V.MESSAGES_SQL})")
+def q_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that a search shows of a message."""
+    body = F.col("body_plain")
+    return V.messages(spark, sf_dir).select("message_id", "account_id", "subject", "sender_email", T.preview(body).alias("body_preview"), T.compact(body, T.SNIPPET).alias("snippet"))
+
+
+@query(f"select account_id, row_number() over (order by first, account_id) as place from (select account_id, min(received_at) as first from ({V.MESSAGES_SQL}) group by account_id)")
+def q_accounts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.messages(spark, sf_dir).groupBy("account_id").agg(F.min("received_at").alias("created_at"))
+    return rows.select("account_id", F.row_number().over(Window.orderBy("created_at", "account_id")).alias("place"))  # a row for each account
+
+
+@query("select 5 as version, 5 as n, 'qwen3:8b' as chat_model, 'default' as chosen_by")
+def q_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new store: the version reached, and what the migrations have set."""
+    from hybridmail.engine import Engine
+    from hybridmail.shipping import shared_folder
+
+    e = Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}")
+    done = e.table("schema_versions").agg(F.max("version").alias("version"), F.count(F.lit(1)).cast("int").alias("n"))
+    return done.withColumns({"chat_model": F.lit(e.setting("chat_model")), "chosen_by": F.lit(e.setting("chat_model_source"))})
+
+
 @query(f"select vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm from (select vec_id, list_transform(embedding, lambda x: x::double * 3 / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double * 9)))) as u from ({V.VECTORS_SQL}))")
 def q_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tripled = F.transform("embedding", lambda x: x * 3)
@@ -519,19 +697,35 @@ def q_ask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASES = (("thing", ["newsletter"], ["person"]), ("contr", ["bank"], ["mailer"]), ("ther", ["home"], ["list"]))
 
 
-@query(f"""with chunks as ({V.CHUNKS_SQL}), words as (select message_id, chunk_index, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from chunks),
-    tf as (select message_id, prefix, count(*) as tf from (select message_id, unnest(w) as term from words) join (values ('thing'), ('contr'), ('ther')) p(prefix) on starts_with(term, prefix) group by all),
-    ranked as (select *, row_number() over (partition by prefix order by tf desc, message_id) as rank from tf qualify rank <= 5),
-    j as (select prefix, rank, lower(subject || ' ' || sender_email) as h from ranked join ({V.MESSAGES_SQL}) using (message_id)),
-    v as (select prefix, rank, case when contains(h, case prefix when 'thing' then 'person' when 'contr' then 'mailer' else 'list' end) then 'junk' when contains(h, case prefix when 'thing' then 'newsletter' when 'contr' then 'bank' else 'home' end) then 'relevant' else 'other' end as verdict from j)
-    select prefix as query_id, count(*) as n_scored, count(*) filter (verdict = 'relevant') as n_relevant, count(*) filter (verdict = 'junk') as n_junk, count(*) filter (verdict = 'junk' and rank = 1) as junk_at_1, count(*) as n_weak, round(count(*) filter (verdict = 'relevant') / count(*), 6) as precision from v group by prefix""")
-def q_eval_precision_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.chunks(spark, sf_dir).select("message_id", F.explode(plain_tokens(F.col("text"))).alias("term"))
+_EVALUATED = f"""with {_batch_keyword_sql({i: q for i, (q, _, _) in enumerate(_CASES)}, fusion.pool_size(5))}, {_ROWS_SQL},
+    cases(q, query_id, relevant, junk) as (values {', '.join(f"({i}, '{q}', '{r[0]}', '{j[0]}')" for i, (q, r, j) in enumerate(_CASES))}),
+    weighed as (select q, message_id, keyword_score, recency / (61 + keyword_rank) * case when is_bulk and keyword_score < 0.85 then 0.4::double else 1.0::double end as score from kw join rows using (message_id)),
+    top as (select *, row_number() over (partition by q order by score desc, message_id) as rank from weighed qualify rank <= 5),
+    j as (select c.*, rank, keyword_score, lower(subject || ' ' || sender_email) as h from top join cases c using (q) join ({V.MESSAGES_SQL}) using (message_id)),
+    v as (select *, case when contains(h, junk) then 'junk' when contains(h, relevant) then 'relevant' else 'other' end as verdict from j),
+    by_query as (select query_id, count(*) as n_scored, count(*) filter (verdict = 'relevant') as n_relevant, count(*) filter (verdict = 'junk') as n_junk, count(*) filter (verdict = 'junk' and rank = 1) as junk_at_1, count(*) filter (keyword_score < 0.85) as n_weak, round(count(*) filter (verdict = 'relevant') / count(*), 6) as precision from v group by query_id)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled queries, searched and ranked as the engine ranks them."""
     cases = spark.createDataFrame(_CASES, "query_id string, relevant array<string>, junk array<string>")
-    w = Window.partitionBy("query_id").orderBy(F.desc("tf"), "message_id")
-    hits = words.join(F.broadcast(cases.select("query_id")), F.col("term").startswith(F.col("query_id"))).groupBy("query_id", "message_id").agg(F.count(F.lit(1)).alias("tf")).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
-    rows = hits.join(V.messages(spark, sf_dir), "message_id").select("query_id", "rank", F.concat_ws(" ", "subject", "sender_email").alias("haystack"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("keyword_score"))
-    return evaluate.precision(evaluate.judged(rows, cases)).withColumn("precision", F.round("precision", 6))
+    hits = fulltext.scan_batch(V.chunks(spark, sf_dir), [(q, q) for q, _, _ in _CASES], fusion.pool_size(5))
+    none = spark.createDataFrame([], "query_id string, message_id long, similarity double, vector_rank int")
+    fused = fusion.fuse(fusion.keyword_messages(hits, ["query_id"]), none, by=["query_id"])
+    ranked = fusion.weigh(fused, _rows(spark, sf_dir), V.now(), 5, by=["query_id"])
+    w = Window.partitionBy("query_id").orderBy(F.desc("combined_score"), "message_id")
+    rows = ranked.select("query_id", F.row_number().over(w).alias("rank"), F.concat_ws(" ", "subject", "sender_email").alias("haystack"), "similarity", "keyword_score")
+    return evaluate.precision(evaluate.judged(rows, cases))
+
+
+@query(f"{_EVALUATED} select * from by_query")
+def q_eval_precision_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).withColumn("precision", F.round("precision", 6))
+
+
+@query(f"{_EVALUATED} select sum(n_scored)::bigint as n_scored, sum(n_relevant)::bigint as n_relevant, sum(n_junk)::bigint as n_junk, sum(junk_at_1)::bigint as junk_at_1, sum(n_weak)::bigint as n_weak, round(sum(n_relevant) / sum(n_scored), 6) as pooled_precision from by_query")
+def q_eval_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.pooled(_evaluated(spark, sf_dir)).withColumn("pooled_precision", F.round("pooled_precision", 6))
 
 
 # -- sources ---------------------------------------------------------------------------------------------------------
@@ -570,3 +764,29 @@ def q_parse_emlx(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.encode(F.concat(F.octet_length(raw).cast("string"), F.lit("\n")), "UTF-8"), raw, F.encode(F.lit("\n<?xml version='1.0'?><plist/>"), "UTF-8"))
     files = _raw_messages(spark, sf_dir).select(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".emlx")).alias("path"), content.alias("content"))
     return parse_files(files).select("subject", F.md5("body_plain").alias("body"))
+
+
+@query("select count(*) filter (doc_id % 10 not in (0, 1)) as imported, count(*) filter (doc_id % 10 = 0) as skipped, count(*) filter (doc_id % 10 = 1) as errors from documents")
+def q_import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some hold no message and some can't be read."""
+    from hybridmail.sources.mail import parse_files, report
+
+    k, i = F.col("doc_id") % 10, F.col("doc_id").cast("string")
+    content = F.when(k == 0, F.lit("no headers here")).when(k == 1, F.lit("nothing")).otherwise(F.col("raw")).cast("binary")
+    return report(parse_files(_raw_messages(spark, sf_dir).select(F.concat(F.lit("x/"), i, F.when(k == 1, ".emlx").otherwise(".eml")).alias("path"), content.alias("content"))))
+
+
+@query("""select doc_id, 'Ann ' || doc_id || ' <ann' || doc_id || '@x.example>, b@y.example, C D <cd@z.example>' as recipients, 'ann' || doc_id || '@x.example' as sender_email, 'Ann ' || doc_id as sender, 'x.example' as sender_domain,
+    case when doc_id % 2 = 0 then 'plain ' || doc_id else 'html ' || doc_id end as body, doc_id % 3 = 0 as has_attachments from documents""")
+def q_parse_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of several headers; the body that is text, or that of the page where the text is markup; attachments."""
+    from hybridmail.sources.mail import parse_files
+
+    i, d = F.col("doc_id").cast("string"), F.col("doc_id")
+    part = lambda kind, body: F.concat(F.lit(f"--B\r\nContent-Type: {kind}; charset=utf-8\r\n\r\n"), body, F.lit("\r\n"))
+    head = F.concat(F.lit("From: Ann "), i, F.lit(" <ann"), i, F.lit("@x.example>\r\nTo: Ann "), i, F.lit(" <ann"), i, F.lit("@x.example>, b@y.example\r\nCc: C D <cd@z.example>\r\nMessage-ID: <"), i, F.lit("@x>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n"))
+    text = part("text/plain", F.when(d % 2 == 0, F.concat(F.lit("plain "), i)).otherwise(F.lit('{"@context": "x"}')))
+    attached = F.when(d % 3 == 0, F.lit("--B\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=x.pdf\r\n\r\nx\r\n")).otherwise(F.lit(""))
+    raw = F.concat(head, text, part("text/html", F.concat(F.lit("<p>html "), i, F.lit("</p>"))), attached, F.lit("--B--\r\n"))
+    files = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("x/"), i, F.lit(".eml")).alias("path"), raw.cast("binary").alias("content"))
+    return parse_files(files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "recipients", "sender_email", "sender", "sender_domain", F.trim("body_plain").alias("body"), "has_attachments")

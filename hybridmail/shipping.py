@@ -10,6 +10,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors see: the session's checkpoint folder, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once a session, unless they inherit a path that has it."""
     root = Path(__file__).resolve().parents[1]

@@ -6,7 +6,8 @@ import email
 import email.policy
 import html
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC
 from email.utils import getaddresses, parsedate_to_datetime
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.errors import InvalidInput, MailParse, NotFound
+from hybridmail.errors import InvalidInput, MailParse, NotFound, RateLimited
 
 # Fixed values that results depend on.
 EXTENSIONS = ("eml", "emlx", "mbox", "msg", "txt")
@@ -194,5 +195,32 @@ def uids_to_fetch(feed: DataFrame, watermarks: DataFrame, since: Column | None =
 
 
 def mailboxes(feed: DataFrame) -> DataFrame:
-    """Each mailbox of a feed with the uid that comes next and its number of messages."""
-    return feed.groupBy("account_id", "mailbox").agg((F.max("uid") + 1).alias("uid_next"), F.count(F.lit(1)).alias("messages"))
+    """Each mailbox of a feed with the uid that comes next and its number of messages; with a column uid_validity also that, the latest one. Rows without a mailbox or uid, as of one that couldn't be opened, are left out."""
+    validity = [F.max("uid_validity").alias("uid_validity")] if "uid_validity" in feed.columns else []
+    return feed.filter("mailbox is not null and uid is not null").groupBy("account_id", "mailbox").agg((F.max("uid") + 1).alias("uid_next"), F.count(F.lit(1)).alias("messages"), *validity)
+
+
+def fetch_batched(fetch: Callable[[list[int]], list], uids: Iterable[int], on_batch: Callable[[list], None], *, size: int = BATCH, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Fetches uids (ascending) by batches, each handed on before the next is fetched; pauses between them. A throttled batch is tried once more after a longer wait, then RateLimited is raised. The number of messages."""
+    line, n = sorted(uids), 0
+    for k in range(0, len(line), size):
+        if k:
+            sleep(PAUSE_MS / 1000)
+        for attempt in (1, 2):
+            try:
+                got = fetch(line[k : k + size])
+                break
+            except Exception as e:
+                if not throttled(str(e)):
+                    raise
+                if attempt == 2:
+                    raise RateLimited(str(e)) from e
+                sleep(BACK_OFF_S)
+        on_batch(got)
+        n += len(got)
+    return n
+
+
+def throttled(error: str) -> bool:
+    e = error.lower()
+    return any(x in e for x in ("rate", "throttl", "unavailable"))

@@ -59,16 +59,22 @@ def ingest_batch(store: Store, batch: DataFrame, order: list[str] | None = None)
     store.put_watermarks(merge_watermarks(store.watermarks(), batch.select("account_id", "mailbox", "uid")))
 
 
+def run(spark: SparkSession, feed_path: str, each: Callable[[DataFrame, int], None], *, checkpoint: str, files_per_batch: int = 20):
+    """Hands the feed (Parquet files of FEED) to each(batch, number) up to its present end; the query, ended. A second call with the same checkpoint goes on where the first ended."""
+    query = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def sync(spark: SparkSession, feed_path: str, store: Store, *, checkpoint: str, files_per_batch: int = 20, before_batch: Callable[[int], None] | None = None) -> dict:
-    """Runs the feed (Parquet files of FEED) to its present end; gives the progress of the last batch. A second call goes on where the first ended."""
+    """Runs the feed to its present end; gives the progress of the last batch."""
 
     def one(batch: DataFrame, number: int) -> None:
         if before_batch:
             before_batch(number)
         ingest_batch(store, batch)
 
-    query = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = run(spark, feed_path, one, checkpoint=checkpoint, files_per_batch=files_per_batch)
     last = query.lastProgress
     return {"phase": "done", "batches": len(query.recentProgress), "rows": sum(p["numInputRows"] for p in query.recentProgress), "last_batch": last["batchId"] if last else None}
 
@@ -78,25 +84,33 @@ def full_resync(spark: SparkSession, feed_path: str, store: Store, *, checkpoint
     return sync(spark, feed_path, store, checkpoint=checkpoint, **options)
 
 
-def drain_embeddings(pending: DataFrame, embed, limit: int = 256) -> DataFrame:
-    """The oldest `limit` pending chunks (chunk_id, text, created_at) with embedding, embedding_dim and error; one that fails doesn't stop the others."""
+def drain_embeddings(pending: DataFrame, embed, limit: int = 256, *, stop_on_error: bool = False, tasks: int = 8) -> DataFrame:
+    """The oldest `limit` pending chunks (chunk_id, text, created_at) with embedding, embedding_dim and error, dealt to several tasks.
+
+    One that fails doesn't stop the others; with stop_on_error the chunks are embedded one after the other by one task, and those after the first failure are left out."""
     from collections.abc import Iterator
 
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = False
         for b in batches:
             rows = []
             for chunk, text in zip(b["chunk_id"], b["text"], strict=True):
+                if stopped:
+                    break
                 try:
                     v = [float(x) for x in embed(text)]
                     rows.append((chunk, v, len(v), None))
                 except Exception as e:  # noqa: BLE001  whatever an embedder raises is the chunk's error
                     rows.append((chunk, None, None, f"{type(e).__name__}: {e}"))
+                    stopped = stop_on_error
             yield pd.DataFrame(rows, columns=["chunk_id", "embedding", "embedding_dim", "error"]).astype({"embedding_dim": "Int32"})
 
     kind = pending.schema["chunk_id"].dataType.simpleString()
-    return pending.orderBy("created_at", "chunk_id").limit(limit).select("chunk_id", "text").mapInPandas(run, f"chunk_id {kind}, embedding array<float>, embedding_dim int, error string")
+    oldest = pending.orderBy("created_at", "chunk_id").limit(limit).select("chunk_id", "text")
+    dealt = oldest if stop_on_error else oldest.repartition(tasks)
+    return dealt.mapInPandas(run, f"chunk_id {kind}, embedding array<float>, embedding_dim int, error string")
 
 
 def ingest_rate(events: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def test_attachments():
 
 @pytest.mark.parametrize(
     ("data", "wanted"),
-    [(b"5\nhello<?xml", b"hello"), (b"99\nhello", b"hello"), (b"not-a-number\nhello\n<?xml x", b"not-a-number\nhello"), (b"0\nhello\n<?xml x", b"0\nhello"), (b"abc\nhello", b"abc\nhello")],
+    [(b"5\nhello<?xml", b"hello"), (b"99\nhello", b"hello"), (b"12 bytes\nhello\n<?xml x", b"12 bytes\nhello"), (b"0\nhello\n<?xml x", b"0\nhello"), (b"abc\nhello", b"abc\nhello")],
 )
 def test_emlx(data, wanted):
     assert mail.parse_emlx(data) == wanted

@@ -18,6 +18,7 @@ from hybridmail.functions import text as T
         ("&unknown; &#xD800; &#99999999;", "&unknown; &#xD800; &#99999999;"),
         ("&zwnj;x&nbsp;y", "‌x y"),
         ("<https://a.example/?x=1&amp;y=2>", "<https://a.example/?x=1&y=2>"),
+        ("&#00000233; &#000000233; &#xe9; &abcdefghij;", "é &#000000233; é &abcdefghij;"),
         ("", ""),
     ],
 )
@@ -80,6 +81,7 @@ def test_bulk(spark):
 
 def test_small_helpers(spark):
     one = spark.range(1)
+    assert one.select(*[T.initials(F.lit(x)) for x in ("ann lee", "Ann Maria  Lee", "bob", " ")]).first()[:] == ("AL", "AL", "B", "?")
     assert one.select(T.message_link(F.lit("<a b@c.example>"))).first()[0] == "message:%3Ca%20b%40c.example%3E"
     assert one.select(T.imap_host(F.lit("x@GMAIL.com")), T.imap_host(F.lit("x@work.example"))).first()[:] == ("imap.gmail.com", "imap.mail.me.com")
     assert one.select(T.is_rate_limit(F.lit("Throttled")), T.is_rate_limit(F.lit(None).cast("string"))).first()[:] == (True, False)
