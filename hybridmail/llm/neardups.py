@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import forget, partitions, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import forget, give_back, partitions, ship, slices, stored, table, texts_of
 from hybridmail.llm.components import components
 from hybridmail.llm.substrings import hashed, mix
 
@@ -145,6 +145,7 @@ def _likely(similarity: float, hashes: int):
                 each = np.arange(batch.num_rows)
                 kept = pa.array(survivors(_signs(batch.column(2), hashes), _signs(batch.column(3), hashes), each, each, least))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
+        give_back()
 
     return likely
 
@@ -184,6 +185,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield held.slice(a, b - a)
         held = held.slice(int(edges[-1]))
+    give_back()
 
 
 def _apart(block: pa.RecordBatch, hashes: int, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,6 +265,7 @@ def _confirm(percent: int):
                     kept.append(i)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+        give_back()
 
     return confirm
 
