@@ -197,3 +197,62 @@ def test_pipeline(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert corpus_pipeline.run(spark, sf_dir).count() == counts[-1]
+
+
+COLUMNS = {
+    "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_ann": "query_id rank vec_id score", "op3_mixing": "doc_id size source_size target taken", "op4_tokens": "doc_id start n_tokens ids_crc32",
+    "op5_substrings": "doc_id n_words n_removed kept_sha256", "op6_neardups": "doc_id n_shingles component_id kept", "op7_quality": "doc_id expected_grade kept", "op8_decontaminate": "doc_id item_id n_shared n_item containment",
+    "op9_warc": "page_id payload_bytes payload_digest record_type refers_to", "op10_ngrams": "doc_id held_out n_tokens n_known train_tokens base_score score",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_registered_queries(spark, name):
+    """Each query on the smallest tables: its columns, a row for each row of its table where that is promised, and its SQL."""
+    import duckdb
+
+    from hybridmail.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert set(COLUMNS[name].split()) <= set(got.columns)
+    rows = got.collect()
+    if name not in ("op2_ann", "op8_decontaminate"):
+        assert len(rows) == spark.read.parquet(f"{sf_dir}/{'pages' if name == 'op9_warc' else 'documents'}.parquet").count()
+    if name in queries.ORACLE_SQL:
+        db = duckdb.connect()
+        for t in ("documents", "pages", "benchmark"):
+            db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+        wanted = db.sql(queries.ORACLE_SQL[name])
+        columns = sorted(wanted.columns)
+        assert columns == sorted(got.columns)
+        theirs = [dict(zip(wanted.columns, r, strict=True)) for r in wanted.fetchall()]
+        assert Counter(tuple(r[c] for c in columns) for r in rows) == Counter(tuple(r[c] for c in columns) for r in theirs)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing columns and empty tables go through every stage."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clash = ["_row", "_id", "_copies", "_row_hash", "_copy", "_key", "row", "key", "copies", "h", "id", "version", "label", "grade", "_hit", "_gone", "kept"]
+    item = "one two three four five six seven eight nine ten"
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without id " * 9, "en", "web", 1), (9001, "", "en", None, 0), (9002, None, "en", "web", None), (9003, "long word " * 20_000, "en", "web", 1), (9004, "same " * 30, "en", "web", 1), (9004, "same " * 30, "en", "web", 1), (9005, f"before {item} after", "en", "web", 1)], real.schema)
+    docs = real.unionByName(odd).withColumns({c: F.lit(c) for c in clash})
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from hybridmail.llm.common import stored
+
+    for name, stage in corpus_pipeline.STAGES:
+        before, (docs, _) = docs, stored(stage(spark, docs, str(tmp_path)), "odd")
+        if name != "token output":
+            assert docs.columns == before.columns and docs.filter("_row = '_row' and kept = 'kept'").count() == docs.count() > 0, name
+        if name == "benchmark decontamination":
+            assert docs.filter("doc_id = 9005").count() == 0
+        if name == "source mixing":
+            assert docs.filter("text is null or text = ''").count() == 0
+    assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{table}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), f"{tmp_path}/empty").count() == 0, name
+    for name, stage in corpus_pipeline.STAGES[:3:2]:
+        assert stage(spark, odd, f"{tmp_path}/empty").count() == odd.count(), name
