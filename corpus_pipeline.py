@@ -2,6 +2,19 @@
 
 Every stage but the last gives rows with the columns of documents; the last gives a row for each document of the mix, as it
 stands in the token files.
+
+What the stages make of odd rows follows from their operators:
+
+* Null and empty texts: the classifier judges them by their lengths and shares alone; they are near duplicates of nothing,
+  hold no benchmark item, have no words, so that the mix doesn't take them.
+* Null ids: judged and kept like others by the first three stages (the benchmark stage keeps them always); they come first
+  in the token files. Null sources are one source, the last. Other columns may hold nulls anywhere.
+* Very long texts are worked on whole by every stage.
+* Repeated rows stay rows of their own, but for the mix, which takes equal rows together as often as their words say. Rows
+  of one id are one document to the near-duplicate stage: it keeps or drops them together. Ties go to the smaller id.
+* Empty tables: without documents every stage gives no rows; without labels the classifier rejects nothing; without a
+  benchmark nothing is dropped for it.
+* Columns beside those of documents travel on through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
