@@ -35,8 +35,8 @@ def index(chunks: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFr
 
 
 def laid_out(postings: DataFrame) -> DataFrame:
-    """Postings dealt by ranges of term and chunk and sorted: a reader skips the row groups of other terms, and a frequent term lies in many files."""
-    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    """Postings dealt by chunk and sorted by term: a query's work is even over the parts however frequent its words are, the hits of a chunk meet without a shuffle where the dealing is known, and a reader skips the row groups of other terms."""
+    return postings.repartition("chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
 def corpus(lengths: DataFrame) -> DataFrame:
@@ -127,10 +127,15 @@ def _scanned(chunks: DataFrame, queries: list[tuple]) -> DataFrame:
         return F.when(F.size(words) < len(terms), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(words) - len(terms)), here)))
 
     each = range(len(wanted))
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    holds = [reduce(and_, [low.contains(t) for t in terms]) for terms in wanted]
     counted = lambda words: F.struct(F.size(words).alias("len"), *[count(words, t).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    wide = chunks.select("chunk_id", "message_id", "chunk_index", F.transform(F.array(plain_tokens(F.col("text"))), counted)[0].alias("x")).select("chunk_id", "message_id", "chunk_index", "x.*")
-    stats = wide.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in each])
-    hit = wide.filter(reduce(or_, [F.col(f"tf{i}") > 0 for i in each])).crossJoin(F.broadcast(stats))  # one row
+    # Only texts that hold a phrase's letters are cut into words; that once, as no filter is pushed below an explode.
+    near = chunks.filter(reduce(or_, holds)).select("chunk_id", "message_id", "chunk_index", F.explode(F.transform(F.array(plain_tokens(F.col("text"))), counted)).alias("x"))
+    wide = near.select("chunk_id", "message_id", "chunk_index", "x.*").filter(reduce(or_, [F.col(f"tf{i}") > 0 for i in each]))
+    counts = wide.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in each])
+    every = chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(plain_tokens(F.col("text")))).alias("avg_len"))
+    hit = wide.crossJoin(F.broadcast(counts.crossJoin(every)))  # one row
     part = lambda i: F.when(F.col(f"tf{i}") > 0, bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len"))).otherwise(0.0)
 
     def scored(q) -> Column:

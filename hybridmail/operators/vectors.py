@@ -21,8 +21,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length, as doubles; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    # Vector and norm are bound as values: written out in the inner function, the norm would be summed anew for each component.
+    bound = F.transform(F.array(v), lambda w: F.struct(w.alias("v"), F.sqrt(dot(w, w)).alias("norm")))
+    return F.transform(bound, lambda b: F.transform(b["v"], lambda x: F.when(b["norm"] > 0, x.cast("double") / b["norm"]).otherwise(x.cast("double"))))[0]
 
 
 def literal(v) -> Column:
