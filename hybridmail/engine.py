@@ -219,14 +219,15 @@ class Engine:
 
     def ingest_path(self, path: str, account: str, *, apple: bool = False) -> dict:
         """Imports the mail files at path: imported, skipped (unreadable or known messages) and errors (files)."""
-        parsed = mail.parse_files(mail.discover(self.spark, path, apple)).persist()
+        read = mail.parse_path(self.spark, path, apple).persist()
         try:
+            parsed = mail.numbered(read)
             counts = mail.report(parsed).first()
             rows = parsed.filter("status = 'parsed'").withColumn("account_id", F.lit(account))
             rows = rows.withColumns({"id": F.md5(F.concat_ws("\x01", "account_id", F.coalesce("message_id", F.concat("path", F.lit("#"), F.col("msg_index").cast("string"))))), "rfc822_message_id": F.col("message_id"), "mailbox_id": F.lit(None).cast("string"), "imap_uid": F.lit(None).cast("long")})
             n = self._ingest(rows, ["path", "msg_index"])
         finally:
-            parsed.unpersist()
+            read.unpersist()
         return {"imported": n, "skipped": counts["skipped"] + counts["imported"] - n, "errors": counts["errors"]}
 
     def _ingest(self, rows: DataFrame, order: list[str]) -> int:

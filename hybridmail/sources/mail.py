@@ -12,7 +12,7 @@ from datetime import UTC
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridmail.errors import InvalidInput, MailParse, NotFound, RateLimited
@@ -23,10 +23,18 @@ WINDOW_DAYS = {"day": 1, "week": 7, "two_weeks": 14, "month": 30, "three_months"
 DEFAULT_WINDOW = "month"
 BATCH, PAUSE_MS, BACK_OFF_S = 20, 250, 30
 
+#: Splits of mbox files whose numbers are broadcast; beyond, they are joined by key.
+BROADCAST_BLOCKS = 100_000
+
 
 # -- files -----------------------------------------------------------------------------------------------------------
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isDirectory()
+
+
 def discover(spark: SparkSession, path: str, apple: bool = False) -> DataFrame:
     """path, content of mail files: one file whatever its name, or all below a folder by extension (emlx alone for an Apple Mail folder)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,7 +42,7 @@ def discover(spark: SparkSession, path: str, apple: bool = False) -> DataFrame:
     if not fs.exists(jvm_path):
         raise NotFound(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
-    if fs.getFileStatus(jvm_path).isDirectory():
+    if _is_folder(spark, path):
         wanted = "emlx" if apple else "|".join(EXTENSIONS)
         files = files.filter(F.col("path").rlike(rf"(?i)\.(?:{wanted})$"))
         if not apple and files.isEmpty():
@@ -42,6 +50,10 @@ def discover(spark: SparkSession, path: str, apple: bool = False) -> DataFrame:
     return files.select("path", "content")
 
 
+def _glob(extensions: Iterable[str]) -> str:
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
 def parse_emlx(data: bytes) -> bytes:
     """The message of an emlx file: as many bytes as its first line says, else all before the property list."""
     first, newline, rest = data.partition(b"\n")
@@ -152,22 +164,27 @@ def thread_id(df: DataFrame) -> Column:
     return F.coalesce(F.get("in_reply_to", F.lit(0)), F.get("refs", F.lit(0)), F.col("message_id"))
 
 
+_NAMES = [x.split()[0] for x in PARSED.split(", ")]
+
+
+def _parsed(path: str, i: int, raw: bytes) -> dict:
+    try:
+        return {"path": path, "msg_index": i, "status": "parsed", "error": None} | parse(raw)
+    except MailParse as e:
+        return {"path": path, "msg_index": i, "status": "skipped", "error": str(e)} | dict.fromkeys(_NAMES)
+
+
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in PARSED.split(", ")]
     for batch in batches:
-        rows, none = [], dict.fromkeys(names)
+        rows, none = [], dict.fromkeys(_NAMES)
         for path, data in zip(batch["path"], batch["content"], strict=True):
             try:
                 found = messages_of(path, bytes(data))
             except MailParse as e:
                 rows.append({"path": path, "msg_index": 0, "status": "error", "error": str(e)} | none)
                 continue
-            for i, raw in enumerate(found):
-                try:
-                    rows.append({"path": path, "msg_index": i, "status": "parsed", "error": None} | parse(raw))
-                except MailParse as e:
-                    rows.append({"path": path, "msg_index": i, "status": "skipped", "error": str(e)} | none)
-        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *names], dtype=object)
+            rows += [_parsed(path, i, raw) for i, raw in enumerate(found)]
+        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *_NAMES], dtype=object)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -176,6 +193,79 @@ def parse_files(files: DataFrame) -> DataFrame:
     return df.withColumns({"thread_id": thread_id(df), "received_at": F.col("sent_at")})
 
 
+def _expand_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Messages of mbox pieces, numbered within their split. A piece waits for the next: one before a separator gets back the line break that the separator took."""
+
+    def message(path: str, block: int, value: bytes, first: bool, more: bool, k: int) -> dict | None:
+        untitled = first and block == 0 and not value.startswith(b"From ")
+        if untitled and more:  # what stands before the first separator
+            return None
+        body = value if untitled else value.partition(b"\n")[2]
+        return _parsed(path, k, _QUOTED_FROM.sub(rb"\1", body)) | {"block": block, "untitled": untitled} if body.strip() else None
+
+    held, first, k = None, True, 0  # held: path, block, whether the split ends the file, bytes
+    for batch in batches:
+        rows = []
+        for piece in zip(batch["path"], batch["block"], batch["ends"], batch["value"], strict=True):
+            if held:
+                same = piece[:2] == held[:2]
+                row = message(held[0], int(held[1]), bytes(held[3]) + (b"\n" if same or not held[2] else b""), first, same, k)
+                if row:
+                    rows.append(row)
+                first, k = not same, (k + bool(row) if same else 0)
+            held = piece
+        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *_NAMES, "block", "untitled"], dtype=object)
+    if held:
+        row = message(held[0], int(held[1]), bytes(held[3]) + (b"" if held[2] else b"\n"), first, False, k)
+        if row:
+            yield pd.DataFrame([row], columns=["path", "msg_index", "status", "error", *_NAMES, "block", "untitled"], dtype=object)
+
+
+def parse_path(spark: SparkSession, path: str, apple: bool = False) -> DataFrame:
+    """parse_files of what discover finds, with mbox files read by splits, cut at their separators, so that a large one is the work of many tasks.
+
+    Messages of an mbox are numbered within their split (block; null for other files) until `numbered` has seen all rows: keep
+    the result (persist or write it) and pass that on. The last message of a file that reaches over the file's last split ends
+    with a line break more than the file has."""
+    files = discover(spark, path, apple)
+    schema = f"path string, msg_index int, status string, error string, {PARSED}"
+    alone = not _is_folder(spark, path)
+    boxes = None
+    if apple or (alone and not path.lower().endswith(".mbox")):
+        whole = files
+    else:
+        read = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+        whole = None if alone else read.format("binaryFile").option("pathGlobFilter", _glob(x for x in EXTENSIONS if x != "mbox")).load(path).select("path", "content")
+        text = read.option("lineSep", "\nFrom ").option("pathGlobFilter", _glob(["mbox"])).text(path)
+        at = F.col("_metadata")
+        pieces = text.select(
+            F.regexp_replace(at["file_path"], "^file:/+", "file:/").alias("path"),
+            at["file_block_start"].alias("block"),
+            (at["file_block_start"] + at["file_block_length"] >= at["file_size"]).alias("ends"),
+            F.col("value").cast("binary").alias("value"),
+        )
+        boxes = pieces.mapInPandas(_expand_pieces, f"{schema}, block long, untitled boolean")
+    parts = [x for x in (boxes, None if whole is None else whole.mapInPandas(_expand, schema).withColumns({"block": F.lit(None).cast("long"), "untitled": F.lit(False)})) if x is not None]
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return df.withColumns({"thread_id": thread_id(df), "received_at": F.col("sent_at")})
+
+
+def numbered(parsed: DataFrame) -> DataFrame:
+    """Rows of parse_path with the messages of an mbox numbered through all its splits, and without what stands before its first separator."""
+    if parsed.filter("block > 0").isEmpty():
+        return parsed.drop("block", "untitled")
+    file = Window.partitionBy("path")
+    blocks = parsed.filter("block is not null").groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.bool_or("untitled").alias("odd"))
+    blocks = blocks.withColumns({"before": F.sum("n").over(file.orderBy("block")) - F.col("n"), "junk": F.bool_or("odd").over(file) & (F.count(F.lit(1)).over(file) > 1)})
+    blocks = blocks.select("path", "block", "junk", (F.col("before") - F.when(F.col("junk") & (F.col("block") > 0), 1).otherwise(0)).alias("before")).persist()
+    try:
+        side = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+        df = parsed.join(side, ["path", "block"], "left").filter(~(F.col("untitled") & F.coalesce("junk", F.lit(False))))
+        return df.withColumn("msg_index", (F.col("msg_index") + F.coalesce("before", F.lit(0))).cast("int")).drop("block", "untitled", "junk", "before")
+    finally:
+        blocks.unpersist()
+
+
 def report(parsed: DataFrame) -> DataFrame:
     return parsed.agg(*[F.count_if(F.col("status") == k).alias(v) for k, v in (("parsed", "imported"), ("skipped", "skipped"), ("error", "errors"))])
 

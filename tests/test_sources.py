@@ -1,6 +1,7 @@
 """Mail files, mailboxes and messages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from hybridmail.errors import InvalidInput, MailParse, NotFound
 from hybridmail.sources import mail
@@ -52,6 +53,37 @@ def test_mbox():
     assert mail.split_mbox(b"From a\nS: 1\n\nx\nFrom b\n \n") == [b"S: 1\n\nx\n"]
 
 
+def test_mbox_by_splits(spark, tmp_path):
+    """Boxes cut into many splits hold the messages that the whole ones do, under the same numbers."""
+    import random
+
+    deal = random.Random(5)
+    (tmp_path / "a.eml").write_bytes(PLAIN)
+    for box in range(6):
+        parts = [b"From someone\nSubject: %d-%d\n\n%s\n" % (box, i, deal.choice([b"x", b">From y", b"From", b"z\n" * 90]) * deal.randint(1, 9)) for i in range(120)]
+        parts[50:50] = [b"From blank\n\n"] * 2
+        (tmp_path / f"{box}.{'mbox' if box % 2 else 'MBox'}").write_bytes((b"", b"before\n", b"")[box % 3] + b"".join(parts).rstrip(b"\n" if box < 3 else b""))
+    (tmp_path / "one.mbox").write_bytes(b"Subject: alone\n\nno separator\n")
+    (tmp_path / "long.mbox").write_bytes(b"before" * 400 + b"\nFrom a\nSubject: late\n\nx\n")
+    (tmp_path / "empty.mbox").write_bytes(b"")
+    named = ["name", "msg_index", "status", "subject", "trimmed"]
+    rows = lambda df: sorted(df.withColumns({"name": F.element_at(F.split("path", "/"), -1), "trimmed": F.rtrim(F.regexp_replace("body_plain", r"\s+$", ""))}).select(named).collect(), key=str)
+    wanted = rows(mail.parse_files(mail.discover(spark, str(tmp_path))))
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "3000", old):
+        spark.conf.set(key, size)
+        try:
+            read = mail.parse_path(spark, str(tmp_path)).persist()
+            assert rows(mail.numbered(read)) == wanted, size
+            if size != old:
+                assert read.select("path", "block").distinct().count() > 20
+        finally:
+            spark.conf.set(key, old)
+            read.unpersist()
+    alone = mail.parse_path(spark, str(tmp_path / "1.mbox"))
+    assert mail.report(mail.numbered(alone)).first()["imported"] == 120
+
+
 def test_discovery_and_report(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.EML").write_bytes(PLAIN)
