@@ -82,6 +82,36 @@ def test_pii_method_adds_and_leaves_clean_text(spark):
     assert [r["text"] for r in out] == ["call [REDACTED] now", None]
 
 
+def test_pii_many_spans_in_one_text(spark, models, monkeypatch):
+    """Spans of a text are the same however they are compared, and many of them in one text are no trouble."""
+    import random
+
+    deal = random.Random(11)
+    number = lambda n: "".join(deal.choice("0123456789") for _ in range(n))
+    forms = [
+        lambda: f"a{number(2)}@x.org", lambda: f"+49 30 {number(7)}", lambda: f"call ({number(3)}) {number(3)}-{number(4)}", lambda: number(4),
+        lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"10.{number(2)}.3.4", lambda: f"joe{number(2)} [at] mail [dot] com", lambda: "é and", lambda: "4539 1488 0343 6467",
+    ]
+    texts = [" ".join(deal.choice(forms)() for _ in range(n)) for n in (0, 3, 40, 130, 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = []
+    for few in (0, 10**6):
+        monkeypatch.setattr(pii, "FEW", few)
+        got.append((sorted(pii.find(df, models=models).collect()), dict(pii.redact(df, models=models).collect())))
+    assert got[0] == got[1]
+    for r in got[0][0]:
+        out, at = "", 0
+        for _, s, e in sorted(r["all"], key=lambda x: (x[1], x[2])):
+            if s >= at:
+                out += texts[r["doc_id"]][at:s] + "[REDACTED]"
+            at = max(at, e)
+        assert got[0][1][r["doc_id"]] == out + texts[r["doc_id"]][at:]
+    monkeypatch.undo()
+    many = " and ".join(f"a{i}@x.org +49 30 {1000000 + i} call (212) 555-{1000 + i % 9000}" for i in range(12_000))
+    r = pii.find(spark.createDataFrame([(1, many)], DOCS), models=models).first()
+    assert (r["n_email"], r["n_phone"], len(r["all"])) == (12_000, 12_000, 36_000)
+
+
 def test_pii_trees_hold_out(spark, models):
     for kind, model in models.items():
         assert np.isfinite(model.threshold), kind
