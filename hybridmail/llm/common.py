@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hybridmail import shipping
 
-__all__ = ["WORD", "eights", "forget", "forget_all", "give_back", "lower_ascii", "partitions", "same_stretches", "scratch", "shared_folder", "ship", "slices", "small_batches", "stored", "table", "texts_of"]
+__all__ = ["WORD", "column", "edges", "eights", "forget", "forget_all", "give_back", "integer_id", "lower_ascii", "partitions", "same_stretches", "scratch", "shared_folder", "ship", "slices", "small_batches", "squeeze", "stored", "stretch", "table", "texts_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,6 +134,42 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def column(name: str):
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col(f"`{name}`")
+
+
+def integer_id(df: DataFrame, name: str):
+    """The id column as a long. Ids are integers; a TypeError says so before any work is done."""
+    kind = df.schema[name].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"ids must be integers; {name} is of type {kind}")
+    return column(name).cast("long")
+
+
+def edges(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes of a kind begin, and their sizes. inside: for each of the 256 bytes, whether it is of the kind."""
+    own = np.zeros(len(data) + 2, dtype=bool)
+    own[1:-1] = inside[np.frombuffer(data, dtype=np.uint8)]
+    at = np.flatnonzero(own[1:] != own[:-1])
+    return at[::2], at[1::2] - at[::2]
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers as bytes: a plane for each byte that is needed, the lowest first, so that what compresses them finds the empty ones together."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+
+
+def stretch(data: bytes) -> np.ndarray:
+    """The numbers that squeeze() wrote."""
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
 def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes that begin at each byte, as numbers. data ends with eight bytes that belong to no stretch."""
     return np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))

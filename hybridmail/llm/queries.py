@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import ann, decontaminate, mixing, neardups, ngrams, pii, quality, substrings, tokens, warc
+from hybridmail.llm import ann, decontaminate, importance, mixing, neardups, ngrams, pii, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_warc": warc.op9,
     "op10_ngrams": ngrams.op10,
+    "op11_importance": importance.op11,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_neardups": neardups.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
+    "op11_importance": importance.SQL,
 }
