@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hybridmail.llm import ann, decontaminate, importance, mixing, neardups, ngrams, pii, quality, substrings, tokens, warc
+from hybridmail.llm import ann, decontaminate, embeddups, importance, mixing, neardups, ngrams, phrases, pii, quality, substrings, tokens, warc
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_ngrams": ngrams.op10,
     "op11_importance": importance.op11,
+    "op12_phrases": phrases.op12,
+    "op13_embeddups": embeddups.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
     "op11_importance": importance.SQL,
+    "op12_phrases": phrases.SQL,
+    "op13_embeddups": embeddups.SQL,
 }
