@@ -113,7 +113,9 @@ def apply(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """The mix as whole documents: each row of df as often as mix() takes its middle word, 0 to `most` times; all columns of df, whatever their names. Equal rows share what they are taken together, rounded up."""
     # The row travels as one value, so that no name of its own meets another.
     of = lambda c: F.col(f"`{c}`")
-    packed = df.select(F.struct("*").alias("row"), F.struct(of(id_col).alias("id"), F.xxhash64(*map(of, df.columns)).alias("row")).alias("key"), of(text_col).alias("text"), of(source_col).alias("source"))
+    # Maps have no hash of their own.
+    hashable = [F.to_json(F.struct(of(c))) if "map<" in df.schema[c].dataType.simpleString() else of(c) for c in df.columns]
+    packed = df.select(F.struct("*").alias("row"), F.struct(of(id_col).alias("id"), F.xxhash64(*hashable).alias("row")).alias("key"), of(text_col).alias("text"), of(source_col).alias("source"))
     taken = mix(packed, id_col="key", text_col="text", source_col="source", **options)
     copies = taken.groupBy("key").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).alias("copies")).filter("copies > 0").select(F.col("key").alias("own"), "copies")
     met = packed.select("row", "key").join(copies, (F.col("key.row") == F.col("own.row")) & F.col("key.id").eqNullSafe(F.col("own.id")))

@@ -13,7 +13,7 @@
    n - m + 1); the pair is dropped as soon as the posterior probability of the wanted similarity is below PRUNE.
 5. Survivors are confirmed on the full sets, of 64-bit shingle hashes: 100 * intersection >= percent * union.
 
-Null and empty texts have an empty set: size 0, linked with nothing, a component of their own. Null ids have no component
+Null and empty texts have an empty set: size 0, linked with nothing, a component of their own. Ids are integers. Null ids have no component
 and are kept. Rows with one id are one node, linked by whichever of their texts; repeated rows are one node. An empty
 table gives no rows. `dedup` passes on all columns; `find` reads id and text only.
 """
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import forget, give_back, partitions, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import column, forget, give_back, integer_id, partitions, ship, slices, stored, table, texts_of
 from hybridmail.llm.components import components
 from hybridmail.llm.substrings import hashed, mix
 
@@ -276,7 +276,7 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shing
     ship(spark)
     bands, rows = banding(percent / 100)
     hashes = bands * rows
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(integer_id(df, id_col).alias("doc_id"), column(text_col).alias("text"))
     sketched, sketched_path = stored(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sign binary, bands array<long>"), "sketches")
     known = sketched.filter("f1 is not null and doc_id is not null")
     classes, classes_path = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")), "classes")

@@ -559,6 +559,8 @@ def lexicon(docs: DataFrame) -> Words:
     files, files_path = stored(counted.repartitionByRange(n, "h").sortWithinPartitions("h", "word").mapInArrow(_write_words(folder), "uri string, first long, words long, tokens long"), "word-files")
     files = files.orderBy("first").collect()  # a row for each partition
     sizes = [r["words"] for r in files]
+    if (sum(sizes) + 1) ** 2 >= 2**63:
+        raise ValueError("more distinct words than pairs of their numbers have room for in 63 bits (3,037,000,498)")
     words = Words(tuple(r["uri"] for r in files), tuple(int(x) for x in np.cumsum([0, *sizes[:-1]])) if files else (), tuple(r["first"] + 2**63 for r in files), sum(sizes), sum(r["tokens"] for r in files))
     forget(spark, counted_path, files_path)
     return words

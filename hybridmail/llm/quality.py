@@ -9,7 +9,9 @@ text-level buckets (shares of repeated words and lines, of capitals, of trailing
 Counts are damped by log(1 + n) and the word features of a text scaled to one length.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled documents (those of the smallest hash of the id, so the
-same ones on each run) of at most SAMPLE_BYTES together, featurised on the executors. A grade too rare in it is weighted up. Every document is scored.
+same ones on each run), in that order as many as have SAMPLE_BYTES together; a text of more than LONGEST bytes takes no part in the
+fit, and no place from others. They are featurised on the executors. A grade too rare in it is weighted up, and a feature of
+fewer than LEAST_DOCUMENTS sampled documents has no weight. Every document is scored, by its own features alone.
 
 Null and empty texts have only the bias and text-level features and are scored as such. Null ids are scored. Labels
 of a document that is labelled twice give its lowest grade. Labels with null quality count as not toxic and poor only if
@@ -35,7 +37,7 @@ from hybridmail.llm.substrings import hash_stretches, word_edges
 
 GRADES = 3
 WIDTH = 1 << 20
-SAMPLE, SAMPLE_BYTES = 12_000, 256 << 20
+SAMPLE, SAMPLE_BYTES, LONGEST = 12_000, 256 << 20, 4 << 20
 STEPS = 120
 LEAST_DOCUMENTS = 3
 #: A document is rejected if its grade is more likely below the best than the best.
@@ -124,8 +126,8 @@ class Model:
 
     def score(self, offsets: np.ndarray, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and k."""
-        sums = np.concatenate(([0.0], np.cumsum(self.weights[ids] * values)))
-        z = sums[offsets[1:]] - sums[offsets[:-1]]
+        # Each row's sum is its own (a row has a bias at least): no digit of it depends on the rows beside it.
+        z = np.add.reduceat(self.weights[ids] * values, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -50, 50)))
 
 
@@ -173,7 +175,7 @@ def grade(quality, toxic):
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = SAMPLE_BYTES, keep: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = SAMPLE_BYTES, longest: int = LONGEST, keep: float = 1.0) -> Model:
     """docs: doc_id, text; labels: doc_id, quality, toxic. keep: the share of labelled ids to train on (tests hold out the rest)."""
     ship(docs.sparkSession)
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int
     rated = rated.filter(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1000)) < int(1000 * keep))
     # The bounds of the fit, see above; everything else covers all rows.
     chosen = rated.orderBy(place, "doc_id").limit(sample)
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.sum("n").alias("n"))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.sum("n").alias("n")).filter(F.col("n") <= longest)
     so_far = F.sum("n").over(Window.orderBy(place, "doc_id"))  # over at most `sample` rows
     chosen = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= most).select("doc_id", "grade")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -220,7 +222,10 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", tail: float =
             p = own.score(*featurise(texts_of(batch, text_col), cache))
             yield batch.filter(pa.array(p[:, -1] >= tail))
 
-    return docs.mapInArrow(kept, docs.schema)
+    # Columns go by place, so that no name of theirs has to be resolved.
+    names = [f"c{i}" if c != text_col else c for i, c in enumerate(docs.columns)]
+    renamed = docs.toDF(*names)
+    return renamed.mapInArrow(kept, renamed.schema).toDF(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ document with a smaller id.
 4. Verification. The words of each shared row, and of the row that it repeats, are read again and compared by a 128-bit
    BLAKE2 digest of their bytes. Where a symbol is shared but the words around differ (the repeat ends near there), the
    windows of the row are digested and grouped one by one. No name counts that the words don't bear out: a clash of names
-   can only make work, or stop the run with an error, never a wrong removal.
+   can only make work, never a wrong removal. Names have 128 bits (a symbol and a fingerprint, or two hashes of a pair), so
+   that a clash isn't to be expected among the stretches of any corpus; should words contradict a name all the same, the
+   rounds are run again under another salt.
 
 The result is that of comparing all windows. Minima are combined before they are shuffled. Rows look up what is known of
 their key in two ways: the HOT most frequent keys are broadcast (that many rows, whatever the input), and the rows that
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import forget, ship, slices, stored, table, texts_of
+from hybridmail.llm.common import column, forget, integer_id, ship, slices, stored, table, texts_of
 
 WINDOW = 50
 ROUNDS = 5
@@ -201,11 +203,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _parse(window: int, rounds: int):
+def _parse(window: int, rounds: int, salt: int, bits: int):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             line, bounds = hashed(texts_of(batch))
-            symbol, whole, text, p0, p1 = rows_of(line, bounds, window, rounds)
+            symbol, whole, text, p0, p1 = rows_of(mix(line, 500 + salt) if salt else line, bounds, window, rounds)
+            symbol, whole = symbol >> _U(64 - bits), whole >> _U(64 - bits)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([_signed(symbol), _signed(whole), batch.column(0).take(at), batch.column(1).take(at), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))], names=["symbol", "print", "doc_id", "version", "p0", "p1"])
 
@@ -278,7 +281,9 @@ def _known(rows: DataFrame, info: DataFrame, keys: list[str], value: str) -> Dat
     hot = info.orderBy(F.desc("n"), *keys).limit(HOT).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.col(value).alias("_hot"))
     marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
     # What the hot keys have answered goes anywhere; those random keys meet nothing that counts.
-    dealt = marked.withColumns({f"_at_{k}": F.when(F.col("_hot").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), "doc_id", "version", "p0")) for i, k in enumerate(keys)})
+    anywhere = lambda i: F.xxhash64(F.lit(i), "doc_id", "version", "p0")
+    other = lambda k, i: F.struct(anywhere(i).alias("x"), anywhere(i + 1).alias("y")) if rows.schema[k].dataType.typeName() == "struct" else anywhere(i)
+    dealt = marked.withColumns({f"_at_{k}": F.when(F.col("_hot").isNull(), F.col(k)).otherwise(other(k, i)) for i, k in enumerate(keys)})
     rest = info.select(*[F.col(k).alias(f"_own_{k}") for k in keys], F.col(value).alias("_value"))
     met = dealt.join(rest, [F.col(f"_at_{k}") == F.col(f"_own_{k}") for k in keys], "left")
     return met.select(*rows.columns, F.coalesce("_hot", "_value").alias(value))
@@ -289,16 +294,16 @@ def _holders(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").drop("most")
 
 
-def _paired(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def _paired(rows: DataFrame, level: int, salt: int) -> tuple[DataFrame, DataFrame]:
     """One global round over rows (doc_id, version, p0, p1, name, least, several, level): the rows after it, and the stretches that the new names are held against."""
     in_order = Window.partitionBy("doc_id", "version").orderBy("p0")
-    half = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2))
+    half = lambda c: F.pmod(F.xxhash64(F.lit(level + 1000 * salt), c), F.lit(2))
     follows = F.lead(F.struct("name", "p0", "p1")).over(in_order)
     placed = rows.withColumn("next", follows).withColumn("pair", F.coalesce((half("name") == 0) & (half("next.name") == 1) & (F.col("next.p0") == F.col("p1") + 1), F.lit(False)))
     placed = placed.withColumns({"left": F.when(F.col("pair"), F.col("name")), "right": F.when(F.col("pair"), F.col("next.name"))})
     info, info_path = stored(_holders(placed.filter("pair"), ["left", "right"]).withColumnRenamed("least", "holder"), "pairs")
     met, met_path = stored(_known(placed.drop("pair"), info, ["left", "right"], "holder"), "paired")
-    name = F.xxhash64(F.lit(100 + level), "left", "right")
+    name = F.struct(*[F.xxhash64(F.lit(seed + level + 1000 * salt), "left", "right").alias(k) for k, seed in (("x", 100), ("y", 200))])
     origins = met.filter("holder = doc_id").select("doc_id", "version", F.lit(ORIGIN).alias("kind"), "p0", F.col("next.p1").alias("p1"))
     taken = F.coalesce(F.col("holder") < F.col("doc_id"), F.lit(False))
     seen = met.withColumn("taken", taken).withColumn("second", F.coalesce(F.lag("taken").over(in_order), F.lit(False))).filter(~F.col("second"))
@@ -309,15 +314,15 @@ def _paired(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     return after, origins
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
-    """A row for each row of df: id, n_words, n_removed, kept_sha256, kept_text (kept words, joined by one space)."""
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, levels: int = LEVELS, salt: int = 0, bits: int = 64) -> DataFrame:
+    """A row for each row of df: id, n_words, n_removed, kept_sha256, kept_text (kept words, joined by one space). bits: of each half of the names of this salt; those of the next have 64."""
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    parsed = docs.filter("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_parse(window, rounds), "symbol long, print long, doc_id long, version long, p0 int, p1 int")
+    docs = df.select(integer_id(df, id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("version"), column(text_col).alias("text"))
+    parsed = docs.filter("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_parse(window, rounds, salt, bits), "symbol long, print long, doc_id long, version long, p0 int, p1 int")
     rows, rows_path = stored(parsed, "recompressed")
     shared, shared_path = stored(_holders(rows, ["symbol"]), "shared-symbols")
-    met, met_path = stored(_known(rows, shared, ["symbol"], "least").filter("least is not null").select("symbol", F.xxhash64("symbol", "print").alias("name"), "doc_id", "version", "p0", "p1").distinct(), "met")
+    met, met_path = stored(_known(rows, shared, ["symbol"], "least").filter("least is not null").select("symbol", F.struct(F.col("symbol").alias("x"), F.col("print").alias("y")).alias("name"), "doc_id", "version", "p0", "p1").distinct(), "met")
     forget(spark, rows_path, shared_path)
     names, names_path = stored(_holders(met, ["name"]), "names")
     differ, differ_path = stored(met.groupBy("symbol").agg(F.min("name").alias("a"), F.max("name").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("symbol", "n", F.lit(True).alias("several")), "differing")
@@ -326,7 +331,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wind
     forget(spark, met_path, names_path, differ_path)
     origins = []
     for level in range(1, levels + 1):
-        symbols, own = _paired(symbols, level)
+        symbols, own = _paired(symbols, level, salt)
         origins.append(own)
     repeats = (F.col("level") > 0) | (F.col("least") < F.col("doc_id"))
     of = lambda rows, kind: rows.select("doc_id", "version", F.lit(kind).alias("kind"), "p0", "p1")
@@ -340,7 +345,8 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wind
     judged, judged_path = stored(_known(read.filter(F.col("kind") != ORIGIN), holders, ["d1", "d2"], "least").select("doc_id", "version", "kind", "p0", "p1", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("repeats")), "judged")
     forget(spark, spans_path, read_path, holders_path)
     if not judged.filter((F.col("kind") == CLAIM) & ~F.col("repeats")).isEmpty():
-        raise ValueError("two different stretches of words have one name: run again with another salt")
+        forget(spark, judged_path)
+        return dedup(df, id_col=id_col, text_col=text_col, window=window, rounds=rounds, levels=levels, salt=salt + 1)
     gone, _ = stored(judged.filter("repeats").groupBy("doc_id", "version").agg(F.collect_set(F.struct("p0", "p1")).alias("spans")), "repeats")
     forget(spark, judged_path)
     whole = docs.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "spans")

@@ -35,7 +35,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hybridmail.llm.common import eights, same_stretches, scratch, ship, slices, small_batches
+from hybridmail.llm.common import column, eights, integer_id, same_stretches, scratch, ship, slices, small_batches
 from hybridmail.llm.substrings import hash_stretches
 
 END = 2
@@ -205,7 +205,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     """Writes doc_id, n_tokens and ids (int32; an id is below 2**31) under path, in ascending order of id over the files."""
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(integer_id(df, id_col).alias("doc_id"), column(text_col).alias("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ties of the id have a defined order by their text; a hash of it spreads an id of very many rows over several files.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]

@@ -351,6 +351,18 @@ def test_substrings_edges(spark):
     assert substrings.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_names_that_clash_are_named_again(spark, monkeypatch):
+    """Names of a few bits stand for many stretches: words contradict them, and the next salt's names are whole."""
+    r = np.random.RandomState(9)
+    long = words(400, 1, 10_000)
+    rows = [(i, " ".join([*words(int(r.randint(60, 200)), 50 + i, 10_000), *long[int(r.randint(0, 200)) :]])) for i in range(12)]
+    salts, parse = [], substrings._parse
+    monkeypatch.setattr(substrings, "_parse", lambda window, rounds, salt, bits: salts.append((salt, bits)) or parse(window, rounds, salt, bits))
+    got = substrings.dedup(spark.createDataFrame(rows, DOCS), window=20, bits=2)
+    assert salts == [(0, 2), (1, 64)]
+    assert Counter(tuple(x) for x in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_substrings(rows, 20)
+
+
 def test_recompression_names_agree_inside(spark):
     """Symbols whose words lie within a shared stretch are the same wherever it stands."""
     shared = np.frombuffer(np.random.RandomState(1).bytes(8 * 200), dtype=np.uint64)
@@ -461,6 +473,66 @@ def test_quality_on_held_out(spark):
     assert kept.columns == docs.columns and 250 < kept.count() < 350
 
 
+def test_one_long_text_leaves_the_fit_to_the_others(spark):
+    rows = [(i, " ".join(words(40, i) if i % 2 else [x.upper() + "!!" for x in words(40, i)])) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    first = min(range(120), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(7), F.lit(i).cast("long"))).first()[0])
+    rows[first] = (first, "long " * 4000)
+    docs = spark.createDataFrame(rows, DOCS)
+    model = quality.train(docs, labels, most=200_000, longest=10_000)
+    kept = {x["doc_id"] for x in quality.keep(docs, model).collect()} - {first}
+    assert kept == {i for i in range(120) if i % 2} - {first}
+
+
+def test_quality_fit_against_a_plain_version():
+    """The model of a small sample, fitted again with dense rows and plain loops; and scores of a row alone and among others."""
+    r = np.random.RandomState(6)
+    n, width, ridge = 24, 9, 1e-4
+    x = np.where(r.rand(n, width) < 0.5, r.rand(n, width), 0.0)
+    x[:, 0] = 0.5
+    order = np.argsort(x @ r.randn(width) + r.randn(n) * 0.3)
+    grades = np.empty(n, dtype=int)
+    grades[order] = np.arange(n) * 3 // n
+    rows, ids = np.nonzero(x)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+    model = quality.fit(offsets, ids, x[rows, ids], grades, width=width, steps=40, ridge=ridge)
+    seen = np.bincount(grades, minlength=3)
+    importance = np.array([(n / seen[g]) ** 0.5 for g in grades])
+    importance /= importance.mean()
+    used = (x > 0).sum(axis=0) >= quality.LEAST_DOCUMENTS
+    theta, m, v = np.concatenate((np.zeros(width), [-1.0, 0.0])), np.zeros(width + 2), np.zeros(width + 2)
+
+    def loss(theta):
+        cuts, total = [theta[width], theta[width] + np.exp(theta[width + 1])], 0.0
+        for i in range(n):
+            above = [1.0, *[1 / (1 + np.exp(c - (x[i] * used) @ theta[:width])) for c in cuts], 0.0]
+            total -= importance[i] * np.log(above[grades[i]] - above[grades[i] + 1]) / n
+        return total + ridge * (theta[:width] ** 2).sum() / 2
+
+    for step in range(1, 41):
+        g = np.array([(loss(theta + e) - loss(theta - e)) / 2e-5 for e in np.eye(width + 2) * 1e-5])
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    assert model.weights == pytest.approx(theta[:width], abs=2e-3)
+    assert model.cuts == pytest.approx([theta[width], theta[width] + np.exp(theta[width + 1])], abs=2e-3)
+    among = model.score(offsets, ids, x[rows, ids])
+    for i in range(n):
+        own = slice(offsets[i], offsets[i + 1])
+        assert (model.score(np.array([0, own.stop - own.start]), ids[own], x[i, ids[own]]) == among[i]).all()
+
+
+def test_columns_of_any_name_and_kind(spark):
+    docs = spark.createDataFrame([(i, " ".join(words(30, i)), {"a": i}, i) for i in range(20)], "doc_id long, text string, m map<string,int>, `x.y` int").withColumn("source", F.lit("s"))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.keep(docs, quality.train(docs, none)).columns == docs.columns
+    mixed = mixing.apply(docs)
+    assert mixed.columns == docs.columns and 20 <= mixed.count() <= 40
+    with pytest.raises(TypeError, match="integers"):
+        neardups.find(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="integers"):
+        substrings.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_quality_gradient():
     """The gradients of the objective against differences of its values, and those against the likelihood written out."""
     r = np.random.RandomState(4)

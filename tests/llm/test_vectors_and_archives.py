@@ -100,6 +100,50 @@ def test_recall_on_repeated_and_mixed_rows(spark, clustered):
     assert hits >= 0.95 * wanted
 
 
+def unit_rows(r, n, d):
+    x = r.randn(n, d)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("name,make", [
+    ("unit, many dimensions", lambda r: unit_rows(r, 8000, 384)),
+    ("normal", lambda r: r.randn(20_000, 128)),
+    ("heavy-tailed lengths", lambda r: r.randn(6000, 64) * r.standard_t(2, (6000, 1))),
+    ("one length far above", lambda r: np.concatenate((r.randn(3000, 48), r.randn(5, 48) * 1e6))),
+])
+def test_recall_by_shape(spark, tmp_path, name, make):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = make(np.random.RandomState(11)).astype("f4").astype("f8")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.astype("f4").tolist(), pa.list_(pa.float32()))}), tmp_path / "x.parquet")
+    got = ann.neighbours(spark.read.parquet(f"file://{tmp_path}/x.parquet").repartition(4), F.col("vec_id") % 20 == 0).toPandas()
+    queries = np.arange(0, len(x), 20)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    true = np.argpartition(-s, 19, axis=1)[:, :20]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert len(got) == 20 * len(queries)
+    assert np.mean([len(set(true[i].tolist()) & found[q]) / 20 for i, q in enumerate(queries)]) >= 0.95, name
+
+
+def test_products_beyond_doubles(spark):
+    """All candidates are kept: infinite products tie as the nearest, those that aren't numbers are the farthest, small ones are told apart."""
+    rows = [(20, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0]), (4, [1e200, -1e200]), (40, [1e-200, 0.0])]
+    got = {}
+    for x in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    inf = float("inf")
+    assert got[20][:2] == [(1, inf), (2, 2e200)] and [i for i, _ in got[20]][2:] == [40, 3, 4] and np.isnan(got[20][4][1])
+    assert len(got[40]) == 5 and {got[40][0][0], got[40][1][0], got[40][2][0]} == {1, 4, 20}
+
+
+def test_integers_are_exact(spark):
+    rows = [(20, [16_777_217, 1]), (1, [16_777_217, 1]), (2, [16_777_216, 1])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<long>"), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(x["vec_id"], x["score"]) for x in got] == [(1, float(16_777_217**2 + 1)), (2, float(16_777_217 * 16_777_216 + 1))]
+
+
 PAGES = "page_id long, url string, html string"
 
 
