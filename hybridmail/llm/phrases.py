@@ -18,7 +18,7 @@
 Pieces end at . , ; : ! ? and line breaks; words at spaces and tabs; A-Z is lower-cased. Null texts are empty, a null
 language is `und`, and joins a language of that name. A text is worked on whole. Repeated rows count each. A language without candidates
 has no rows; nor has an empty table. Ids are not read, nor are other columns. A language that holds most rows is dealt by
-words and keys throughout; the best of it are taken from within SALTS parts before they meet.
+words, keys and ranges of scores throughout.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ COVERED = 50
 #: Bytes of text of a block; n-grams of a range, about.
 BLOCK = 8 << 20
 RANGE = 1 << 20
-SALTS = 256
 _U = np.uint64
 
 _END = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", dtype=np.uint8))
@@ -306,11 +305,12 @@ def mine(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least
     cut2 = F.when(~two, F.struct(score(F.col("a"), F.col("f12"), F.col("f3")).alias("score"), F.lit(2).alias("k"), F.col("f12").alias("l"), F.col("f3").alias("r")))
     best = both.select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", F.least(cut1, cut2).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salted = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("rank", "salt")
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    # Ranges over all languages: a row's rank is its place in its range after what earlier ranges hold of its language.
+    lined, lined_path = stored(best.repartitionByRange(partitions(spark), "lang", *order).withColumn("range", F.spark_partition_id()), "phrase-ranges")
+    held = lined.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < top).select("lang", "range", "before")
+    ranked = lined.join(held, ["lang", "range"]).withColumn("rank", (F.col("before") + F.row_number().over(Window.partitionBy("range", "lang").orderBy(*order))).cast("long")).filter(F.col("rank") <= top)
     out, _ = stored(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
-    forget(spark, triples_path, *paths)
+    forget(spark, triples_path, lined_path, *paths)
     return out
 
 
