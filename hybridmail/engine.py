@@ -16,7 +16,7 @@ from hybridmail import models, schema
 from hybridmail.errors import Duplicate, InvalidInput, MailError, NotFound, RateLimited
 from hybridmail.functions import text as T
 from hybridmail.functions.analyzer import analyze_udf
-from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, vectors
+from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, segments, vectors
 from hybridmail.shipping import ship
 from hybridmail.sources import mail
 
@@ -48,7 +48,8 @@ class Engine:
     """Tables lie below `warehouse`. A write is a folder of a higher number: v<n> holds the whole table, b<n> adds rows to what is before it; readers see a folder once it is whole. One writer at a time.
 
     Vectors are added to a table of their own and stand in the chunks' column when those are read; writing the chunks anew
-    ends them. Postings have the number of the chunks that they were made of, and are made again where it isn't there."""
+    ends them. The full-text index (operators.segments) knows the number of the chunks that it covers, grows by segments with
+    them, and is made again where they were written anew."""
 
     def __init__(self, spark: SparkSession, warehouse: str, *, embedder=None, generator=None, clock: Callable[[], float] = time.time):
         ship(spark)
@@ -58,6 +59,7 @@ class Engine:
         self._cache: dict[str, tuple[object, object]] = {}
         self._busy: set[str] = set()
         self._lock = threading.Lock()
+        self.index = segments.Index(spark, f"{self.warehouse}/index", analyze_udf)
         self.migrate()
 
     # -- tables ------------------------------------------------------------------------------------------------------
@@ -243,12 +245,12 @@ class Engine:
                 return 0
             pieces = fresh.select("id", F.posexplode(T.split_chunks_udf(T.chunk_input(F.col("subject"), F.coalesce("sender", "sender_email"), F.col("recipients"), F.col("_clean")))).alias("chunk_index", "text"))
             was, number = self.version("chunks"), self._next("chunks")
-            indexed = self.version("postings") == was
+            indexed = self.index.covers == was
             # Chunks are written first: a stop before the messages leaves chunks that the next attempt writes again under the same ids.
             new = _chunks(pieces).join(self._stored("chunks").select("id"), "id", "left_anti")
             self.append("chunks", new, number)
             if indexed:
-                self._append_index(self.spark.read.schema(schema.STORED["chunks"]).parquet(f"{self.warehouse}/chunks/b{number}"), number)
+                self.index.add(self.spark.read.schema(schema.STORED["chunks"]).parquet(f"{self.warehouse}/chunks/b{number}").withColumnRenamed("id", "chunk_id"), number)
             self.append("messages", fresh.select(*known.columns))
             return n
         finally:
@@ -381,24 +383,12 @@ class Engine:
 
     # -- search ------------------------------------------------------------------------------------------------------
 
-    def _made_index(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        postings, lengths = fulltext.index(chunks.withColumnRenamed("id", "chunk_id"), lambda c: analyze_udf(c))
-        return fulltext.laid_out(postings), lengths
-
-    def _append_index(self, chunks: DataFrame, number: int) -> None:
-        postings, lengths = self._made_index(chunks)
-        self.append("lengths", lengths, number)
-        self.append("postings", postings, number)
-
-    def _index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Postings, lengths and corpus statistics of the chunks as they are; made anew where they aren't of this version, or lie in many pieces."""
+    def _index(self) -> tuple[segments.Index, DataFrame]:
+        """The index of the chunks as they are, made anew where it doesn't cover them, and its postings."""
         number = self.version("chunks")
-        if number and (self.version("postings") != number or len(self._folders("postings")) > MOST_FOLDERS):
-            postings, lengths = self._made_index(self._stored("chunks"))
-            for name, df in (("lengths", lengths), ("postings", postings)):
-                self._fs.delete(self._path(name, f"b{number}"), True)
-                self.put(name, df, number=number)
-        return self.cached("postings", number, lambda: self._stored("postings")), self._stored("lengths"), self.cached("corpus", number, lambda: fulltext.corpus(self._stored("lengths")))
+        if number != self.index.covers:
+            self.index.rebuild(self._stored("chunks").withColumnRenamed("id", "chunk_id"), number)
+        return self.index, self.cached("postings", number, self.index.postings)
 
     def _units(self) -> DataFrame:
         version = (self.version("chunks"), self.version("chunk_vectors"))
@@ -419,8 +409,8 @@ class Engine:
             within = rows.select("message_id")
         found: list = []
         if words.strip() and fulltext.phrases(words):
-            postings, lengths, stats = self._index()
-            found = fulltext.search(postings, lengths, words, pool, stats=stats, within=within).collect()  # at most `pool` rows
+            index, postings = self._index()
+            found = index.search(words, pool, within=within, postings=postings).rows
         hits = self.spark.createDataFrame(found, "chunk_id string, message_id string, chunk_index int, bm25 double")
         keyword = fusion.keyword_messages(fulltext.ranked(hits))
         vector = query = None
@@ -445,8 +435,7 @@ class Engine:
         """search() of many queries (a stated list) in one plan: query_id (the place in the list), query, and the columns of a search's results."""
         now, pool = F.current_timestamp() if now is None else now, fusion.pool_size(limit)
         asked = [(i, q) for i, q in enumerate(queries) if q.strip()]
-        postings, _, stats = self._index()
-        keyword = fusion.keyword_messages(fulltext.search_batch(postings, stats, asked, pool), ["query_id"])
+        keyword = fusion.keyword_messages(self._index()[0].search_batch(asked, pool), ["query_id"])
         near = [(i, [float(x) for x in v]) for i, q in asked if semantic and (v := self._embedded(q)) is not None and any(v)]
         given = self.spark.createDataFrame(near, "query_id long, v array<double>").select("query_id", vectors.normalised(F.col("v")).alias("query_unit"))
         vector = vectors.top_messages_batch(self._units(), given, pool)

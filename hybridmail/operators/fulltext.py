@@ -147,17 +147,17 @@ def _scanned(chunks: DataFrame, queries: list[tuple]) -> DataFrame:
     return rows.select("q.query_id", "chunk_id", "message_id", "chunk_index", "q.bm25")
 
 
-def search_batch(postings: DataFrame, stats: DataFrame, queries: list[tuple], pool: int, *, stems: bool = True) -> DataFrame:
+def search_batch(postings: DataFrame, stats: DataFrame, queries: list[tuple], pool: int, *, stems: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, message_id, chunk_index, bm25, chunk_rank of the best `pool` chunks of each query. queries: a stated set of (query_id, text), ids of one type.
 
     Prefixes meet the vocabulary by equality of as many characters, the words found meet the postings by equality; nothing
-    is compared with everything."""
+    is compared with everything. vocabulary: the terms, if they are kept."""
     spark = postings.sparkSession
     kind = "long" if all(isinstance(q, int) for q, _ in queries) else "string"
     asked = [(q, i, len(t), k, w, k + 1 == len(t)) for q, text in queries for i, t in enumerate(phrases(text, stems)) for k, w in enumerate(t)]
     asked = spark.createDataFrame(asked, f"query_id {kind}, phrase int, n_terms int, place int, word string, is_prefix boolean")
     lengths = asked.filter("is_prefix").select(F.length("word").alias("n")).distinct()
-    vocabulary = postings.select("term").distinct()
+    vocabulary = postings.select("term").distinct() if vocabulary is None else vocabulary
     begun = vocabulary.join(F.broadcast(lengths), F.length("term") >= F.col("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("word"))
     terms = asked.filter("is_prefix").join(begun, "word").unionByName(asked.filter("not is_prefix").withColumn("term", F.col("word"))).drop("word", "is_prefix")
     met = terms.join(postings, "term")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from hybridmail.functions import text as T
 from hybridmail.functions.analyzer import analyze_udf, plain_tokens
-from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, vectors
+from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, segments, vectors
 from hybridmail.plans import views as V
+from hybridmail.shipping import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,6 +173,53 @@ def q_fts_prefix_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, "the ther", 8).select("message_id", "chunk_index", six("bm25"), "chunk_rank")
 
 
+def _segmented(spark: SparkSession, sf_dir: str, parts: int = 3) -> segments.Index:
+    """The chunks as a stored index, added to in parts."""
+    index = segments.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", plain_tokens, stems=False, kind="bigint")
+    chunks = V.chunks(spark, sf_dir)
+    for k in range(parts):
+        index.add(chunks.filter(F.pmod(F.xxhash64("message_id"), F.lit(parts)) == k), k + 1)
+    return index
+
+
+def _found(spark: SparkSession, index: segments.Index, words: str, pool: int) -> DataFrame:
+    return fulltext.ranked(spark.createDataFrame(index.search(words, pool).rows, "chunk_id string, message_id bigint, chunk_index int, bm25 double"))
+
+
+@query(f"with {_keyword_sql('the ther', 80)} select message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
+def q_fts_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fts_prefix_or over stored segments, read by the bounds of their blocks."""
+    return _found(spark, _segmented(spark, sf_dir), "the ther", 80).select("message_id", "chunk_index", six("bm25"), "chunk_rank")
+
+
+@query(f"with {_keyword_sql(QUERY, fusion.pool_size(LIMIT))}, fused as (select *, null::double as similarity, null::int as vector_rank from kw), {_ROWS_SQL} " + _HYBRID.format(limit=LIMIT))
+def q_h1_keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "message_id long, similarity double, vector_rank int")
+    hits = _found(spark, _segmented(spark, sf_dir), QUERY, fusion.pool_size(LIMIT))
+    return _shown(fusion.weigh(fusion.fuse(fusion.keyword_messages(hits), none), _rows(spark, sf_dir), V.now(), LIMIT))
+
+
+@query(f"with {_keyword_sql(QUERY, fusion.pool_size(LIMIT))}, {_vector_sql(fusion.pool_size(LIMIT))}, fused as (select * from kw full outer join (select * from vec where similarity >= {FLOOR}) using (message_id)), {_ROWS_SQL} " + _HYBRID.format(limit=LIMIT))
+def q_h1_hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """h1_hybrid_rrf as Engine.search runs it: stored segments for the words, unit vectors for the rest."""
+    near = vectors.top_messages(_units(spark, sf_dir), _query_vector(spark, sf_dir), fusion.pool_size(LIMIT))
+    hits = _found(spark, _segmented(spark, sf_dir), QUERY, fusion.pool_size(LIMIT))
+    return _shown(fusion.weigh(fusion.fuse(fusion.keyword_messages(hits), near, floor=FLOOR), _rows(spark, sf_dir), V.now(), LIMIT))
+
+
+@query(f"with {_words_sql()}, each as (select unnest(w) as term, message_id, chunk_index from words) select term, count(distinct (message_id, chunk_index)) as df from each group by term")
+def q_fts_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and their document frequencies, from the vocabularies of the segments."""
+    return _segmented(spark, sf_dir).vocabulary().select("term", "df")
+
+
+@query(f"with {_batch_keyword_sql(dict(enumerate(BATCH)), 50)} select q as query_id, message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
+def q_fts_batch_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fts_batch over stored segments; prefixes meet the vocabulary."""
+    found = _segmented(spark, sf_dir).search_batch(list(enumerate(BATCH)), 50)
+    return found.select("query_id", "message_id", "chunk_index", six("bm25"), "chunk_rank")
+
+
 @query()
 def q_fts_porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems, a prefix and a phrase of two terms; held against an SQLite index by a test."""
@@ -382,7 +430,6 @@ def q_incremental_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str):
     """A store into which a growing feed was synced, and the feed's path."""
-    from hybridmail.shipping import shared_folder
     from hybridmail.streaming.ingest import Store, sync
 
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
@@ -620,7 +667,6 @@ def q_accounts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new store: the version reached, and what the migrations have set."""
     from hybridmail.engine import Engine
-    from hybridmail.shipping import shared_folder
 
     e = Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}")
     done = e.table("schema_versions").agg(F.max("version").alias("version"), F.count(F.lit(1)).cast("int").alias("n"))

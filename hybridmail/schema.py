@@ -16,6 +16,4 @@ TABLES = {"accounts": ACCOUNTS, "mailboxes": MAILBOXES, "messages": MESSAGES, "c
 
 #: Tables that others are made of, or that are made of others.
 CHUNK_VECTORS = "id string, embedding array<float>, embedding_dim int, embedding_model string"
-POSTINGS = "term string, chunk_id string, message_id string, chunk_index int, len int, tf bigint, positions array<int>"
-LENGTHS = "chunk_id string, message_id string, chunk_index int, len int"
-STORED = TABLES | {"chunk_vectors": CHUNK_VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
+STORED = TABLES | {"chunk_vectors": CHUNK_VECTORS}
