@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hybridmail.functions import text as T
 from hybridmail.functions.analyzer import analyze_udf, plain_tokens
-from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, segments, vectors
+from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, segments, threads, vectors
 from hybridmail.plans import views as V
 from hybridmail.shipping import shared_folder
 
@@ -454,6 +454,26 @@ def q_full_resync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.messages().select("uid", "account_id", "message_id")
 
 
+_THREADS = """m as (select 'c' || conv_id || '-' || turn as message_id, conv_id * 1000 + turn as seq, case when turn > 0 then 'c' || conv_id || '-' || (turn - 1) end as reply_to,
+        case when turn % 3 = 2 then ['c' || conv_id || '-0', 'c' || conv_id || '-' || (turn - 2)] else [] end as refs from conversations where (conv_id + turn) % 7 <> 0),
+    chain as (select message_id, seq, list_concat(refs, case when reply_to is null or list_contains(refs, reply_to) then [] else [reply_to] end, [message_id]) as c from m),
+    pairs as (select message_id, seq, c[i] as parent, c[i + 1] as id from (select *, unnest(range(1, len(c))) as i from chain)),
+    p as (select id, parent from pairs where id <> parent qualify row_number() over (partition by id order by message_id = id desc, seq, parent) = 1),
+    r(id, above, d) as (select id, parent, 1 from p union all select r.id, p.parent, d + 1 from r join p on r.above = p.id),
+    found as (select id, arg_max(above, d) as root, max(d) as depth from r group by id),
+    rows as (select message_id, coalesce(root, message_id) as root, coalesce(depth, 0)::bigint as depth from m left join found on found.id = message_id)"""
+
+
+@query(f"with recursive {_THREADS} select message_id, p.parent, root, depth, count(*) over (partition by root) as n_messages from rows left join p on p.id = message_id")
+def q_thread_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as threads of mails, a seventh of which never came."""
+    turn = lambda k: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), k.cast("string"))
+    t = F.col("turn")
+    rows = V.table(spark, sf_dir, "conversations").filter((F.col("conv_id") + t) % 7 != 0)
+    rows = rows.select(turn(t).alias("message_id"), (F.col("conv_id") * 1000 + t).alias("seq"), F.when(t > 0, turn(t - 1)).alias("reply_to"), F.when(t % 3 == 2, F.array(turn(F.lit(0)), turn(t - 2))).alias("references"))
+    return threads.threads(rows)
+
+
 @query("""select doc_id, case when doc_id % 3 = 0 then 'r' || doc_id when doc_id % 3 = 1 then 'x' || (doc_id % 10) else 'id' || doc_id end as thread_id from documents""")
 def q_thread_id_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hybridmail.sources.mail import thread_id
