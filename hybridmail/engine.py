@@ -82,6 +82,14 @@ class Engine:
         """The number of the last whole folder of a table; 0 if it was never written."""
         return max((n for n, _ in self._folders(name)), default=0)
 
+    def reserve(self, name: str) -> None:
+        """Makes a table's folder, so that what waits for its files has a place to look at."""
+        self._fs.mkdirs(self._path(name))
+
+    def stored(self, name: str) -> DataFrame:
+        """A table as its own folders have it: chunks without the vectors that came later."""
+        return self._stored(name)
+
     def _stored(self, name: str) -> DataFrame:
         folders = [f"{self.warehouse}/{name}/{f}" for _, f in self._folders(name)]
         return self.spark.read.schema(schema.STORED[name]).parquet(*folders) if folders else self.spark.createDataFrame([], schema.STORED[name])
@@ -107,10 +115,17 @@ class Engine:
                 self._fs.delete(f.getPath(), True)
 
     def append(self, name: str, df: DataFrame, number: int | None = None) -> None:
-        """Adds rows to a table; many small additions are put together at times."""
+        """Adds rows to a table; many small additions are put together at times (chunks by `compact`)."""
         df.select(*self._stored(name).columns).write.mode("overwrite").parquet(f"{self.warehouse}/{name}/b{number or self._next(name)}")
-        if len(self._folders(name)) > MOST_FOLDERS and number is None and name not in ("chunks", "chunk_vectors"):
-            self.put(name, self.table(name))
+        if len(self._folders(name)) > MOST_FOLDERS and number is None:
+            self.put(name, self._stored(name))
+
+    def compact(self) -> None:
+        """Puts the chunks' folders and their vectors together into one table; the index goes on covering it."""
+        covered, number = self.index.covers == self.version("chunks"), self._next("chunks")
+        self.put("chunks", self.table("chunks"), "message_id", number)
+        if covered:
+            self.index.cover(number)
 
     def cached(self, key: str, version: object, make: Callable[[], object]) -> object:
         """What was made of tables, kept until their versions change."""
@@ -219,8 +234,8 @@ class Engine:
     def scan(self, path: str, apple: bool = False) -> int:
         return mail.discover(self.spark, path, apple).count()
 
-    def ingest_path(self, path: str, account: str, *, apple: bool = False) -> dict:
-        """Imports the mail files at path: imported, skipped (unreadable or known messages) and errors (files)."""
+    def ingest_path(self, path: str, account: str, *, apple: bool = False, embed: bool = True) -> dict:
+        """Imports the mail files at path: imported, skipped (unreadable or known messages) and errors (files). Then embeds some of the backlog, as a sync does."""
         read = mail.parse_path(self.spark, path, apple).persist()
         try:
             parsed = mail.numbered(read)
@@ -230,6 +245,8 @@ class Engine:
             n = self._ingest(rows, ["path", "msg_index"])
         finally:
             read.unpersist()
+        if embed and n:
+            self.embed_after_ingest()
         return {"imported": n, "skipped": counts["skipped"] + counts["imported"] - n, "errors": counts["errors"]}
 
     def _ingest(self, rows: DataFrame, order: list[str]) -> int:
@@ -252,10 +269,21 @@ class Engine:
             if indexed:
                 self.index.add(self.spark.read.schema(schema.STORED["chunks"]).parquet(f"{self.warehouse}/chunks/b{number}").withColumnRenamed("id", "chunk_id"), number)
             self.append("messages", fresh.select(*known.columns))
+            if len(self._folders("chunks")) > MOST_FOLDERS:
+                self.compact()
             return n
         finally:
             fresh.unpersist()
 
+    def start(self, installed: list[str] | None = None, ram_gb: float | None = None, *, embed: bool = True):
+        """What a program does when it opens the store: counts and vectors are brought into memory, the index up to date, a chat model picked if models are named, and the stream of embeddings started. The stream's query, or None."""
+        self._counts()
+        self._units().count()
+        self._index()[1].count()
+        if installed is not None:
+            self.auto_pick(installed, ram_gb)
+        return self.embed_stream() if embed else None
+
     # -- sync --------------------------------------------------------------------------------------------------------
 
     @contextmanager
@@ -278,8 +306,8 @@ class Engine:
     def can_sync(self, account: str) -> bool:
         return account not in self._busy and not self.sync_cooldown_until(account)
 
-    def sync(self, account: str, feed_path: str, *, full: bool = False, files_per_batch: int = 20, on_progress: Callable[[str, int], None] | None = None, before_batch: Callable[[int], None] | None = None) -> dict:
-        """Takes up what a feed (Parquet files of ingest.FEED) has for the account since the last sync; full: all of it again, which the dedup lets change nothing. Then embeds some of it, as far as that goes.
+    def sync(self, account: str, feed_path: str | dict, *, full: bool = False, files_per_batch: int = 20, on_progress: Callable[[str, int], None] | None = None, before_batch: Callable[[int], None] | None = None) -> dict:
+        """Takes up what a feed (Parquet files of ingest.FEED, or the options of a mailbox, see sources.feed) has for the account since the last sync; full: all of it again, which the dedup lets change nothing. Then embeds some of it, as far as that goes.
 
         One sync of an account at a time, none while it cools down; a throttled one makes it cool down."""
         from hybridmail.streaming import ingest
@@ -348,11 +376,21 @@ class Engine:
         except Exception:  # noqa: BLE001  whatever goes wrong here, the messages are stored
             return 0
 
+    def _pending(self) -> DataFrame:
+        """Chunks without a vector: those stored without one whose id the vectors don't have either."""
+        return self._stored("chunks").filter("embedding is null").join(self._stored("chunk_vectors").select("id"), "id", "left_anti")
+
+    def embed_stream(self, **options):
+        """Embeds chunks as they are added, by a streaming query (streaming.embedding)."""
+        from hybridmail.streaming import embedding
+
+        return embedding.start(self, **options)
+
     def embed_pending(self, limit: int = 256, *, stop_on_error: bool = False) -> dict:
         """Embeds the oldest chunks without a vector. One that fails is counted and the others go on; with stop_on_error nothing after the first failure is kept, as a backlog run of the mail client does."""
         from hybridmail.streaming.ingest import drain_embeddings
 
-        done = drain_embeddings(relational.pending(self.table("chunks").withColumnRenamed("id", "chunk_id")), self.embedder.embed, limit, stop_on_error=stop_on_error).persist()
+        done = drain_embeddings(self._pending().withColumnRenamed("id", "chunk_id"), self.embedder.embed, limit, embed_many=getattr(self.embedder, "embed_many", None), stop_on_error=stop_on_error).persist()
         try:
             counts = done.agg(F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
             if counts["embedded"]:

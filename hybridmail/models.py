@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -66,10 +69,27 @@ class ExtractiveGenerator:
             yield (" " if k else "") + f"{sentence} [{n}]"
 
 
-class ModelServer:
-    """A client of a model server over a transport: call(path, body) gives the lines of the answer, parsed, and raises OSError when nobody answers.
+class HttpTransport:
+    """Calls a model server's HTTP interface: <base>/api/<path>, a JSON body (none for tags), an answer of a JSON object a line. A refused call and an answer that isn't one are OSErrors."""
+
+    def __init__(self, base: str = "http://127.0.0.1:11434", timeout_s: float = 120.0):
+        self.base, self.timeout_s = base.rstrip("/"), timeout_s
+
+    def __call__(self, path: str, body: dict) -> Iterator[dict]:
+        asked = urllib.request.Request(f"{self.base}/api/{path}", None if path == "tags" else json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(asked, timeout=self.timeout_s) as answer:
+                for line in answer:
+                    if line.strip():
+                        yield json.loads(line)
+        except urllib.error.HTTPError as e:
+            raise OSError(f"{e.code}: {e.read(300).decode(errors='replace')}") from e
+        except ValueError as e:
+            raise OSError(f"not an answer: {e}") from e
 
-    The transport is what a deployment brings (HTTP to a local daemon); tests bring one of their own."""
+
+class ModelServer:
+    """A client of a model server over a transport: call(path, body) gives the lines of the answer, parsed, and raises OSError when nobody answers."""
 
     def __init__(self, call: Callable[[str, dict], Iterable[dict]], *, chat_model: str, embedding_model: str):
         self._call, self.chat_model, self.name = call, chat_model, embedding_model
@@ -89,6 +109,12 @@ class ModelServer:
                 return list(map(float, line["embeddings"][0]))
         raise ModelUnavailable(f"{self.name} gave no vector")
 
+    def embed_many(self, texts: list[str]) -> list[list[float]]:
+        for line in self._ask("embed", {"model": self.name, "input": texts}):
+            if len(line.get("embeddings") or ()) == len(texts):
+                return [list(map(float, v)) for v in line["embeddings"]]
+        raise ModelUnavailable(f"{self.name} gave no vectors")
+
     def tokens(self, system: str, prompt: str, options: Options = Options()) -> Iterator[str]:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
         for line in self._ask("chat", {"model": self.chat_model, "messages": messages, "stream": options.stream, "keep_alive": options.keep_alive, "options": {"temperature": options.temperature}}):

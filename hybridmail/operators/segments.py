@@ -222,6 +222,10 @@ class Index:
         self._fs.delete(self._hadoop(f"{folder}/words"), True)
         return name, seq, sums["n"], sums["len"], sums["blocks"], covers
 
+    def cover(self, covers: int) -> None:
+        """The same chunks have another version now."""
+        self._publish([(*tuple(s)[:-1], covers) for s in self.segments()])
+
     def rebuild(self, chunks: DataFrame, covers: int) -> None:
         """One segment of all chunks."""
         seq = max((s["seq"] for s in self.segments()), default=0) + 1

@@ -454,6 +454,41 @@ def q_full_resync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.messages().select("uid", "account_id", "message_id")
 
 
+def _halves(spark: SparkSession, sf_dir: str, sync) -> DataFrame:
+    """What a store holds after a feed grew twice and was synced each time by sync(folder, store, checkpoint)."""
+    from hybridmail.streaming.ingest import Store
+
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = V.table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("account_id"), F.col("event_type").alias("mailbox"), F.col("event_id").alias("uid"), F.concat(F.lit("m"), (F.col("event_id") % 400).cast("string")).alias("message_id"), F.lit("s").alias("subject"), F.lit("b").alias("body"), F.col("ts").cast("timestamp").alias("internal_date"))
+    store = Store(spark, f"{folder}/store")
+    half = rows.agg(F.percentile_approx("uid", 0.5)).first()[0] or 0
+    for part in (rows.filter(F.col("uid") <= half), rows.filter(F.col("uid") > half)):
+        part.repartitionByRange("uid").sortWithinPartitions("uid").write.mode("append").parquet(f"{folder}/feed")
+        sync(f"{folder}/feed", store, f"{folder}/checkpoint")
+    return store.messages()
+
+
+@query(ORACLE_SQL["incremental_ingest_stream"])
+def q_keyed_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incremental_ingest_stream with the keys in the stream's state, over a restart."""
+    from hybridmail.streaming.ingest import keyed_sync
+
+    found = _halves(spark, sf_dir, lambda feed, store, checkpoint: keyed_sync(spark, feed, store, checkpoint=checkpoint, files_per_batch=10_000))
+    return found.select("uid", "account_id", "message_id")
+
+
+@query("select user_id % 50 as account, event_type as mailbox, event_id as uid, 'm' || (event_id % 400) as message_id, epoch_us(ts) as at from events where user_id % 50 = 7")
+def q_mailbox_feed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One account's mailboxes read through the feed's data source, by runs of UIDs."""
+    from hybridmail.sources import feed
+
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    V.table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("account_id"), F.col("event_type").alias("mailbox"), F.col("event_id").alias("uid"), F.concat(F.lit("m"), (F.col("event_id") % 400).cast("string")).alias("message_id"), F.lit("s").alias("subject"), F.lit("b").alias("body"), F.col("ts").cast("timestamp").alias("internal_date")).write.parquet(folder)
+    feed.register(spark)
+    rows = spark.read.format("mailbox_feed").options(client="hybridmail.sources.feed:FolderClient", account="7", path=folder).load()
+    return rows.select(F.col("account_id").cast("long").alias("account"), "mailbox", "uid", "message_id", F.unix_micros("internal_date").alias("at"))
+
+
 _THREADS = """m as (select 'c' || conv_id || '-' || turn as message_id, conv_id * 1000 + turn as seq, case when turn > 0 then 'c' || conv_id || '-' || (turn - 1) end as reply_to,
         case when turn % 3 = 2 then ['c' || conv_id || '-0', 'c' || conv_id || '-' || (turn - 2)] else [] end as refs from conversations where (conv_id + turn) % 7 <> 0),
     chain as (select message_id, seq, list_concat(refs, case when reply_to is null or list_contains(refs, reply_to) then [] else [reply_to] end, [message_id]) as c from m),

@@ -290,12 +290,12 @@ def mailboxes(feed: DataFrame) -> DataFrame:
     return feed.filter("mailbox is not null and uid is not null").groupBy("account_id", "mailbox").agg((F.max("uid") + 1).alias("uid_next"), F.count(F.lit(1)).alias("messages"), *validity)
 
 
-def fetch_batched(fetch: Callable[[list[int]], list], uids: Iterable[int], on_batch: Callable[[list], None], *, size: int = BATCH, sleep: Callable[[float], None] = time.sleep) -> int:
+def fetch_batched(fetch: Callable[[list[int]], list], uids: Iterable[int], on_batch: Callable[[list], None], *, size: int = BATCH, sleep: Callable[[float], None] = time.sleep, pause_s: float = PAUSE_MS / 1000) -> int:
     """Fetches uids (ascending) by batches, each handed on before the next is fetched; pauses between them. A throttled batch is tried once more after a longer wait, then RateLimited is raised. The number of messages."""
     line, n = sorted(uids), 0
     for k in range(0, len(line), size):
         if k:
-            sleep(PAUSE_MS / 1000)
+            sleep(pause_s)
         for attempt in (1, 2):
             try:
                 got = fetch(line[k : k + size])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridmail.operators.relational import first_wins, merge_watermarks
+from hybridmail.sources import feed
 
 FEED = "account_id string, mailbox string, uid bigint, message_id string, subject string, body string, internal_date timestamp"
 WATERMARKS = "account_id string, mailbox string, last_seen_uid bigint"
@@ -59,14 +60,22 @@ def ingest_batch(store: Store, batch: DataFrame, order: list[str] | None = None)
     store.put_watermarks(merge_watermarks(store.watermarks(), batch.select("account_id", "mailbox", "uid")))
 
 
-def run(spark: SparkSession, feed_path: str, each: Callable[[DataFrame, int], None], *, checkpoint: str, files_per_batch: int = 20):
-    """Hands the feed (Parquet files of FEED) to each(batch, number) up to its present end; the query, ended. A second call with the same checkpoint goes on where the first ended."""
-    query = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream(spark: SparkSession, source: str | dict, files_per_batch: int = 20) -> DataFrame:
+    """A feed as a stream of FEED: Parquet files below a path, or the options of a mailbox (sources.feed)."""
+    if isinstance(source, str):
+        return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    feed.register(spark)
+    return spark.readStream.format("mailbox_feed").options(**source).load()
+
+
+def run(spark: SparkSession, source: str | dict, each: Callable[[DataFrame, int], None], *, checkpoint: str, files_per_batch: int = 20):
+    """Hands the feed to each(batch, number) up to its present end; the query, ended. A second call with the same checkpoint goes on where the first ended."""
+    query = stream(spark, source, files_per_batch).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def sync(spark: SparkSession, feed_path: str, store: Store, *, checkpoint: str, files_per_batch: int = 20, before_batch: Callable[[int], None] | None = None) -> dict:
+def sync(spark: SparkSession, feed_path: str | dict, store: Store, *, checkpoint: str, files_per_batch: int = 20, before_batch: Callable[[int], None] | None = None) -> dict:
     """Runs the feed to its present end; gives the progress of the last batch."""
 
     def one(batch: DataFrame, number: int) -> None:
@@ -79,38 +88,90 @@ def sync(spark: SparkSession, feed_path: str, store: Store, *, checkpoint: str,
     return {"phase": "done", "batches": len(query.recentProgress), "rows": sum(p["numInputRows"] for p in query.recentProgress), "last_batch": last["batchId"] if last else None}
 
 
-def full_resync(spark: SparkSession, feed_path: str, store: Store, *, checkpoint: str, **options) -> dict:
+def _first_of_key(key, batches, state):
+    """Rows of one key (account, message): the first by uid and mailbox is fresh, unless the state has seen the key before. All go on, as they raise watermarks."""
+    import pandas as pd
+
+    rows = pd.concat(batches).sort_values(["uid", "mailbox"], kind="stable")
+    fresh = [not state.exists] + [False] * (len(rows) - 1)
+    if not state.exists:
+        state.update((True,))
+    yield rows.drop(columns="_key").assign(fresh=fresh)
+
+
+def keyed_sync(spark: SparkSession, source: str | dict, store: Store, *, checkpoint: str, files_per_batch: int = 20, before_batch: Callable[[int], None] | None = None, after_write: Callable[[int], None] | None = None) -> dict:
+    """sync() with the keys seen so far in the stream's own state, instead of the stored messages: a batch costs what is in it.
+
+    A key is an account's Message-ID, or the place (mailbox, uid) of a message without one. State and source are of one
+    checkpoint, so a restart finds both as they were. A batch's messages lie in a folder of its number, so that one which is
+    run again after a failure replaces what it had written."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        if before_batch:
+            before_batch(number)
+        batch.persist()
+        try:
+            batch.filter("fresh").select(*[c.split(" ")[0] for c in FEED.split(", ")]).write.mode("overwrite").parquet(f"{store.path}/messages/batch={number}")
+            if after_write:
+                after_write(number)
+            store.put_watermarks(merge_watermarks(store.watermarks(), batch.select("account_id", "mailbox", "uid")))
+        finally:
+            batch.unpersist()
+
+    key = F.coalesce(F.concat(F.lit("m"), "message_id"), F.concat_ws("#", F.lit("u"), "mailbox", F.col("uid").cast("string")))
+    rows = stream(spark, source, files_per_batch).withColumn("_key", key).groupBy("account_id", "_key").applyInPandasWithState(_first_of_key, f"{FEED}, fresh boolean", "seen boolean", "append", "NoTimeout")
+    query = rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {"phase": "done", "batches": len(query.recentProgress), "rows": sum(p["numInputRows"] for p in query.recentProgress)}
+
+
+def full_resync(spark: SparkSession, feed_path: str | dict, store: Store, *, checkpoint: str, **options) -> dict:
     """Reads the feed from its beginning, under a new checkpoint; the dedup makes it change nothing that is there."""
     return sync(spark, feed_path, store, checkpoint=checkpoint, **options)
 
 
-def drain_embeddings(pending: DataFrame, embed, limit: int = 256, *, stop_on_error: bool = False, tasks: int = 8) -> DataFrame:
-    """The oldest `limit` pending chunks (chunk_id, text, created_at) with embedding, embedding_dim and error, dealt to several tasks.
+#: Texts that an embedder gets at once.
+TEXTS = 32
 
-    One that fails doesn't stop the others; with stop_on_error the chunks are embedded one after the other by one task, and those after the first failure are left out."""
-    from collections.abc import Iterator
 
+def embedded(batches, embed: Callable, embed_many: Callable | None = None, stop_on_error: bool = False):
+    """Rows (chunk_id, embedding, embedding_dim, error) of batches of chunk_id and text. embed_many takes a list of texts; where it fails, its texts are embedded one by one, so that one of them doesn't fail the others. With stop_on_error nothing is embedded after the first failure."""
     import pandas as pd
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stopped = False
-        for b in batches:
-            rows = []
-            for chunk, text in zip(b["chunk_id"], b["text"], strict=True):
+    stopped = False
+    for b in batches:
+        rows = []
+        for k in range(0, len(b), TEXTS):
+            some = b.iloc[k : k + TEXTS]
+            many = None
+            if embed_many and not stopped:
+                try:
+                    many = [[float(x) for x in v] for v in embed_many(some["text"].tolist())]
+                except Exception:  # noqa: BLE001  which text it was shows below
+                    many = None
+            for i, (chunk, text) in enumerate(zip(some["chunk_id"], some["text"], strict=True)):
                 if stopped:
                     break
                 try:
-                    v = [float(x) for x in embed(text)]
+                    v = many[i] if many else [float(x) for x in embed(text)]
                     rows.append((chunk, v, len(v), None))
                 except Exception as e:  # noqa: BLE001  whatever an embedder raises is the chunk's error
                     rows.append((chunk, None, None, f"{type(e).__name__}: {e}"))
                     stopped = stop_on_error
-            yield pd.DataFrame(rows, columns=["chunk_id", "embedding", "embedding_dim", "error"]).astype({"embedding_dim": "Int32"})
+        yield pd.DataFrame(rows, columns=["chunk_id", "embedding", "embedding_dim", "error"]).astype({"embedding_dim": "Int32"})
 
+
+def drain_embeddings(pending: DataFrame, embed, limit: int = 256, *, embed_many=None, stop_on_error: bool = False, tasks: int = 8) -> DataFrame:
+    """The oldest `limit` pending chunks (chunk_id, text, created_at) with embedding, embedding_dim and error, dealt to several tasks.
+
+    One that fails doesn't stop the others; with stop_on_error the chunks are embedded by one task in order, and those after the first failure are left out."""
     kind = pending.schema["chunk_id"].dataType.simpleString()
     oldest = pending.orderBy("created_at", "chunk_id").limit(limit).select("chunk_id", "text")
     dealt = oldest if stop_on_error else oldest.repartition(tasks)
-    return dealt.mapInPandas(run, f"chunk_id {kind}, embedding array<float>, embedding_dim int, error string")
+    return dealt.mapInPandas(lambda batches: embedded(batches, embed, embed_many, stop_on_error), f"chunk_id {kind}, {VECTOR}")
+
+
+VECTOR = "embedding array<float>, embedding_dim int, error string"
 
 
 def ingest_rate(events: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:

@@ -27,8 +27,8 @@ def engine(spark, tmp_path_factory):
     e = Engine(spark, f"file://{tmp_path_factory.mktemp('warehouse')}")
     account = e.add_account(" me@icloud.com ")
     assert e.scan(str(folder)) == 4
-    assert e.ingest_path(str(folder), account) == {"imported": 3, "skipped": 1, "errors": 0}
-    assert e.ingest_path(str(folder), account) == {"imported": 0, "skipped": 4, "errors": 0}
+    assert e.ingest_path(str(folder), account, embed=False) == {"imported": 3, "skipped": 1, "errors": 0}
+    assert e.ingest_path(str(folder), account, embed=False) == {"imported": 0, "skipped": 4, "errors": 0}
     e.account, e.folder = account, folder
     return e
 
