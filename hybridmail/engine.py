@@ -380,6 +380,19 @@ class Engine:
         """Chunks without a vector: those stored without one whose id the vectors don't have either."""
         return self._stored("chunks").filter("embedding is null").join(self._stored("chunk_vectors").select("id"), "id", "left_anti")
 
+    def add_vectors(self, ready: DataFrame) -> None:
+        """Adds vectors, and a sketch of the messages that they are of."""
+        self.append("chunk_vectors", ready)
+        self.append("vector_sketches", relational.message_sketch(ready))
+
+    def embedded_about(self) -> int:
+        """About how many messages have a vector, from the sketches of the batches alone: no table of chunks is read. Vectors that ended since (chunks written anew) are still counted until `resketch`."""
+        return relational.merged_estimate(self._stored("vector_sketches")).first()[0]
+
+    def resketch(self) -> None:
+        """The sketches anew, as one of all vectors."""
+        self.put("vector_sketches", relational.message_sketch(self.table("chunks").filter("embedding is not null").select("id")))
+
     def embed_stream(self, **options):
         """Embeds chunks as they are added, by a streaming query (streaming.embedding)."""
         from hybridmail.streaming import embedding
@@ -395,7 +408,7 @@ class Engine:
             counts = done.agg(F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
             if counts["embedded"]:
                 ready = done.filter("error is null").select(F.col("chunk_id").alias("id"), "embedding", "embedding_dim", F.lit(self.embedder.name).alias("embedding_model"))
-                self.append("chunk_vectors", ready)
+                self.add_vectors(ready)
         finally:
             done.unpersist()
         return counts

@@ -248,3 +248,18 @@ decode_entities_udf = _text_udf(decode_entities, StringType())
 strip_css_udf = _text_udf(strip_css, StringType())
 clean_body_udf = _text_udf(clean_body, StringType())
 split_chunks_udf = _text_udf(split_chunks, ArrayType(StringType()))
+
+
+class SplitChunks:
+    """split_chunks as a table function: a row for each chunk of a text; none for a null one."""
+
+    def eval(self, text: str):
+        yield from enumerate(split_chunks(text or ""))
+
+
+split_chunks_table = F.udtf(SplitChunks, returnType="chunk_index int, chunk string", useArrow=True)
+
+
+def register(spark) -> None:
+    """Makes the table functions known to SQL: select ..., c.* from messages, lateral split_chunks(body) c."""
+    spark.udtf.register("split_chunks", split_chunks_table)

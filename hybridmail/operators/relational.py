@@ -157,3 +157,24 @@ def can_sync(settings: DataFrame, now: Column, busy: Column) -> DataFrame:
     rows = settings.filter(F.col("key").startswith("cooldown:")).select(F.expr("substring(key, 10)").alias("account_id"), F.expr("try_cast(value as bigint)").alias("until"))
     left = F.greatest(F.coalesce(F.col("until"), F.lit(0)) - now, F.lit(0))
     return rows.select("account_id", left.alias("seconds_left"), ((left == 0) & ~busy).alias("may_sync"))
+
+
+def migrate(stores: DataFrame, settings: DataFrame, migrations) -> tuple[DataFrame, DataFrame]:
+    """Brings stores (store, version) and their settings (store, key, value) up to the last of migrations (number, description, seeds, whether seeds replace what is there), each where it hasn't run."""
+    for number, _, seeds, force in migrations:
+        due = stores.filter(F.col("version") < number).select("store")
+        for key, value in seeds.items():
+            new = due.select("store", F.lit(key).alias("key"), F.lit(value).alias("value"))
+            settings = upsert(settings, new, ["store", "key"]) if force else insert_or_ignore(settings, new, ["store", "key"], ["store"])
+    last = max(m[0] for m in migrations)
+    return stores.withColumn("version", F.greatest("version", F.lit(last))), settings
+
+
+def message_sketch(chunk_ids: DataFrame) -> DataFrame:
+    """One row for a batch of embedded chunks (id: message id, colon, number): a sketch of their messages that merges with others'."""
+    return chunk_ids.agg(F.hll_sketch_agg(F.regexp_replace("id", ":[0-9]+$", ""), F.lit(14)).alias("sketch"))
+
+
+def merged_estimate(sketches: DataFrame) -> DataFrame:
+    """About how many messages the batches of all sketches have together (standard error below 1 %)."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("n_embedded"))

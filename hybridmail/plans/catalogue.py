@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hybridmail.functions import text as T
 from hybridmail.functions.analyzer import analyze_udf, plain_tokens
-from hybridmail.operators import answers, evaluate, fulltext, fusion, relational, segments, threads, vectors
+from hybridmail.operators import answers, clusters, evaluate, fulltext, fusion, relational, segments, threads, vectors
 from hybridmail.plans import views as V
 from hybridmail.shipping import shared_folder
 
@@ -718,14 +718,47 @@ def q_accounts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("account_id", F.row_number().over(Window.orderBy("created_at", "account_id")).alias("place"))  # a row for each account
 
 
-@query("select 5 as version, 5 as n, 'qwen3:8b' as chat_model, 'default' as chosen_by")
+_OLD_STORES = "select c_custkey as store, c_custkey % 6 as v, c_custkey % 4 = 0 as own from customer"
+
+
+@query(f"""select store, 5 as version, case when v < 4 then 'qwen3:8b' when own then 'own' end as chat_model, case when v < 1 then 'nomic-embed-text' end as embedding_model, case when v < 5 then 'default' end as chosen_by from ({_OLD_STORES})""")
 def q_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new store: the version reached, and what the migrations have set."""
-    from hybridmail.engine import Engine
+    """Stores of all versions, some with a model of their own, brought up to the last one."""
+    from hybridmail.engine import MIGRATIONS
+
+    old = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store"), (F.col("c_custkey") % 6).cast("int").alias("version"))
+    own = old.filter("store % 4 = 0").select("store", F.lit("chat_model").alias("key"), F.lit("own").alias("value"))
+    stores, settings = relational.migrate(old, own, MIGRATIONS)
+    named = settings.groupBy("store").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(c) for c, k in (("chat_model", "chat_model"), ("embedding_model", "embedding_model"), ("chosen_by", "chat_model_source"))])
+    return stores.join(named, "store", "left")
+
+
+@query(f"select count(distinct message_id) as n_embedded, true as is_near from ({_MARKED_SQL}) where done")
+def q_embedded_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of eight batches of embedded chunks, merged, against the count."""
+    done = _marked_chunks(spark, sf_dir).filter("embedding is not null").select(F.col("chunk_id").alias("id"), "message_id", F.pmod(F.xxhash64("chunk_id"), F.lit(8)).alias("batch"))
+    sketches = None
+    for k in range(8):
+        one = relational.message_sketch(done.filter(F.col("batch") == k))
+        sketches = one if sketches is None else sketches.unionByName(one)
+    exact = done.agg(F.countDistinct("message_id").alias("n_embedded"))
+    about = relational.merged_estimate(sketches).withColumnRenamed("n_embedded", "about")
+    return exact.crossJoin(about).select("n_embedded", (F.abs(F.col("about") - F.col("n_embedded")) <= F.greatest(F.lit(1.0), F.col("n_embedded") * 0.03)).alias("is_near"))  # one row each
 
-    e = Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}")
-    done = e.table("schema_versions").agg(F.max("version").alias("version"), F.count(F.lit(1)).cast("int").alias("n"))
-    return done.withColumns({"chat_model": F.lit(e.setting("chat_model")), "chosen_by": F.lit(e.setting("chat_model_source"))})
+
+@query(f"with {_vector_sql(fusion.pool_size(LIMIT))} select message_id, round(similarity, 6) as similarity, vector_rank from vec")
+def q_h1_vector_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """h1_vector_topk over stored clusters, read by their bounds."""
+    index = clusters.build(_units(spark, sf_dir), f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}")
+    found = clusters.nearest(index, _query_vector(spark, sf_dir), fusion.pool_size(LIMIT))
+    return clusters.ranked(spark, found, "bigint").select("message_id", six("similarity"), "vector_rank")
+
+
+@query()
+def q_chunk_split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_split by SQL, through the table function in a lateral join."""
+    T.register(spark)
+    return spark.sql("select d.doc_id, c.chunk_index, c.chunk as text from {docs} d, lateral split_chunks(d.text) c", docs=V.table(spark, sf_dir, "documents"))
 
 
 @query(f"select vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm from (select vec_id, list_transform(embedding, lambda x: x::double * 3 / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double * 9)))) as u from ({V.VECTORS_SQL}))")

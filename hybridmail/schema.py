@@ -16,4 +16,6 @@ TABLES = {"accounts": ACCOUNTS, "mailboxes": MAILBOXES, "messages": MESSAGES, "c
 
 #: Tables that others are made of, or that are made of others.
 CHUNK_VECTORS = "id string, embedding array<float>, embedding_dim int, embedding_model string"
-STORED = TABLES | {"chunk_vectors": CHUNK_VECTORS}
+#: A sketch of the messages of each batch of vectors.
+VECTOR_SKETCHES = "sketch binary"
+STORED = TABLES | {"chunk_vectors": CHUNK_VECTORS, "vector_sketches": VECTOR_SKETCHES}

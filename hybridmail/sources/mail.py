@@ -80,6 +80,21 @@ def split_mbox(data: bytes) -> list[bytes]:
     return [_QUOTED_FROM.sub(rb"\1", p) for p in out]
 
 
+class SplitMbox:
+    """split_mbox as a table function: a row for each message of an mbox file's bytes."""
+
+    def eval(self, content: bytes):
+        yield from enumerate(split_mbox(bytes(content)) if content else ())
+
+
+split_mbox_table = F.udtf(SplitMbox, returnType="msg_index int, message binary", useArrow=True)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table functions known to SQL: select path, m.* from binaryFile.`...`, lateral split_mbox(content) m."""
+    spark.udtf.register("split_mbox", split_mbox_table)
+
+
 def messages_of(path: str, data: bytes) -> list[bytes]:
     """By extension, else by the first bytes; messages of white space alone are left out."""
     kind = path.rpartition(".")[2].lower()

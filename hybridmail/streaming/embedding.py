@@ -36,7 +36,7 @@ def start(engine, *, checkpoint: str | None = None, once: bool = False, files: i
         done = batch.select("chunk_id", "text").mapInPandas(lambda rows: embedded(rows, embed, many), f"chunk_id string, {VECTOR}").filter("error is null").persist()
         try:
             if not done.isEmpty():
-                engine.append("chunk_vectors", done.select(F.col("chunk_id").alias("id"), "embedding", "embedding_dim", F.lit(engine.embedder.name).alias("embedding_model")))
+                engine.add_vectors(done.select(F.col("chunk_id").alias("id"), "embedding", "embedding_dim", F.lit(engine.embedder.name).alias("embedding_model")))
         finally:
             done.unpersist()
 
