@@ -201,10 +201,13 @@ def features(t: Column, left: Column) -> dict[str, Column]:
         "small_parts": t.rlike(r"^[0-9](?:[^0-9]+[0-9]){3}$"),
         "some_digit": t.rlike("[0-9]"),
         "cue_host": left.rlike(CUE_HOST),
+        "pairs": t.rlike(r"^[0-9]{2}(?:[\x20.-]{1,2}[0-9]{2}){3,}$"),
+        "thousands": t.rlike(r"^[0-9]{1,3}(?:[\x20.][0-9]{3}){2,}$"),
+        "short_groups": t.rlike(r"(?:^|[^0-9])[0-9]{1,2}[^0-9]+[0-9]{1,2}[^0-9]+[0-9]{1,2}(?:[^0-9]|$)"),
     }
 
 
-FEATURES = ("plus", "digits_10_11", "digits_8_15", "digits_16_19", "luhn", "groups_334", "groups_4444", "paren", "date", "dots_only", "plain", "cue_phone", "cue_card", "cue_mail", "bracket_at", "spelled_dot", "known_end", "at_sign", "in_range", "bracket_dot", "spaced_dot", "colons", "small_parts", "some_digit", "cue_host")
+FEATURES = ("plus", "digits_10_11", "digits_8_15", "digits_16_19", "luhn", "groups_334", "groups_4444", "paren", "date", "dots_only", "plain", "cue_phone", "cue_card", "cue_mail", "bracket_at", "spelled_dot", "known_end", "at_sign", "in_range", "bracket_dot", "spaced_dot", "colons", "small_parts", "some_digit", "cue_host", "pairs", "thousands", "short_groups")
 #: Marks of a form: a candidate of a document that shows one gets no label.
 SUSPECT = ("luhn", "groups_334", "groups_4444", "cue_phone", "cue_card", "cue_mail", "cue_host", "bracket_at", "spelled_dot", "bracket_dot", "colons")
 MODELS = {"email": "address", "ip": "host", "card": "number", "phone": "number"}
@@ -239,6 +242,14 @@ def training_table(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
         ("number", four(wrong, "-"), F.lit("card "), None),
         ("number", F.concat(F.lit("+1 ("), area, F.lit(") "), some(3, 8), F.lit("-"), some(4, 9)), prose, "phone"),
         ("number", F.concat_ws(" ", F.concat(F.lit("0"), some(3, 8)), some(3, 9), some(5, 10)), F.lit("tel. "), "phone"),
+        # Groups of digits that are no number of anybody: pairs, thousands, codes and times; and pairs that a word calls a number.
+        ("number", F.concat_ws(" ", *[some(2, k) for k in range(3, 9)]), prose, None),
+        ("number", F.concat_ws(" ", *[some(2, k) for k in range(3, 8)]), prose, None),
+        ("number", F.concat_ws("-", *[some(2, k) for k in range(3, 7)]), prose, None),
+        ("number", F.concat_ws(" ", *[some(2, k) for k in range(3, 8)]), F.lit("tel. "), "phone"),
+        ("number", F.concat_ws(" ", some(2, 3), some(3, 4), some(3, 5), some(3, 6)), prose, None),
+        ("number", F.concat_ws(" ", some(1, 3), some(2, 4), some(1, 5), some(2, 6), some(2, 7)), prose, None),
+        ("number", four(wrong, " "), prose, None),
         # Two neighbours taken for one.
         ("number", F.concat(F.lit("("), area, F.lit(") "), some(3, 8), F.lit("-"), some(4, 9), F.lit(" ("), area, F.lit(") "), some(3, 10), F.lit("-"), some(4, 11)), F.lit("call "), None),
         ("number", F.concat_ws(" ", F.concat_ws("-", area, some(3, 8), some(4, 9)), F.concat_ws("-", area, some(3, 10), some(4, 11))), F.lit("phone: "), None),

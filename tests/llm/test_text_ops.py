@@ -127,6 +127,38 @@ def test_pii_spelled_out_forms(spark):
     assert got == dict(enumerate(wanted))
 
 
+#: Texts written by hand, with what is personal in them (of what the base patterns don't know); no template made them.
+BY_HAND = [
+    ("Ms Ortiz can be called at (503) 555-0142 until six.", ["(503) 555-0142"]), ("Phone 212-555-0187, ask for Lee", ["212-555-0187"]), ("my mobile: 415.555.0110!", ["415.555.0110"]),
+    ("fax 030 901820", ["030 901820"]), ("tel. 01 42 68 53 00", ["01 42 68 53 00"]), ("Appelez 06 12 34 56 78 svp", ["06 12 34 56 78"]), ("ruf mich an: 0176 55512345", ["0176 55512345"]),
+    ("write to jane.roe [at] uni-x [dot] edu", ["jane.roe [at] uni-x [dot] edu"]), ("kim(at)example(dot)org is mine", ["kim(at)example(dot)org"]), ("reach bo at posteo dot de", ["bo at posteo dot de"]),
+    ("LEE_K@corp[dot]com", ["LEE_K@corp[dot]com"]), ("ssh 10[.]20[.]30[.]40 and wait", ["10[.]20[.]30[.]40"]), ("server 172 dot 16 dot 0 dot 9 is down", ["172 dot 16 dot 0 dot 9"]),
+    ("addr 2001:db8:0:0:0:0:2:1 answers", ["2001:db8:0:0:0:0:2:1"]), ("card 4111.1111.1111.1111 exp 11/27", ["4111.1111.1111.1111"]), ("visa 5500  0000  0000  0004", ["5500  0000  0000  0004"]),
+    ("room 12 34 56 78 90 12", []), ("lotto: 04 11 23 31 40 49", []), ("the years 1998 1999 2000 2001 were wet", []), ("population 12 345 678 in 2020", []), ("EUR 1.234.567.890 of debt", []),
+    ("order 20240117 shipped", []), ("ISBN 978-3-16-148410-0", []), ("on 2021-03-04 10 people", []), ("version 10.2.33 build 4411", []), ("scores 21 19 21 18 21 12", []),
+    ("lat 48 51 24 N, lon 2 21 03 E", []), ("we met at noon. then left", []), ("look at the dot com bubble", []), ("std::map and fe::x", []), ("chapter 1. 2. 3. 4 and on", []),
+    ("part number 4111 1111 1111 1112", []), ("pi is 3.14159265358979", []), ("add 5 6 7 8 9 10 11 12", []), ("bars 100-200-300-400", []), ("he is at home dot", []), ("sku 000123456789", []),
+]
+
+
+def test_pii_added_spans_on_texts_by_hand(spark):
+    """Precision and recall of what the method adds, learned from the documents of a table, on texts that no template made."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    models = pii.fit(spark, docs)
+    hit = added = wanted = 0
+    missed = []
+    for r in pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BY_HAND)], DOCS), models=models).collect():
+        text, own = BY_HAND[r["doc_id"]]
+        base = {(s, e) for _, s, e in r["base"]} if "base" in r.__fields__ else set()
+        got = [text[s:e] for _, s, e in r["all"] if (s, e) not in base]
+        hit, added, wanted = hit + len(set(got) & set(own)), added + len(got), wanted + len(own)
+        if set(got) != set(own):
+            missed.append((text, got))
+    print("added spans by hand:", hit, added, wanted, missed)
+    assert hit >= 0.9 * added and hit >= 0.6 * wanted, missed
+    assert not any(text.startswith("room") for text, _ in missed)
+
+
 def test_pii_query_joins_spans(spark, tmp_path):
     """The digest columns of the query against a plain version of them."""
     texts = [t for t in PII if t is None or len(t) < 5000] + ["call (212) 555-0199 now, joe@x.org"]
