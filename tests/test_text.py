@@ -109,3 +109,74 @@ def test_chunks_hold_every_word(s):
 def test_css_never_adds(s):
     out = T.strip_css(s)
     assert len(out) <= len(s) and T.strip_css(out) is not None
+
+
+# -- second versions, a character at a time ---------------------------------------------------------------------------
+
+
+def css_by_stack(s):
+    closes, open_ = {}, []
+    for i, c in enumerate(s):
+        if c == "{":
+            open_.append(i)
+        elif c == "}" and open_:
+            closes[open_.pop()] = i
+    keep, i, first = [True] * len(s), 0, 0
+    while i < len(s):
+        if s[i] == "{" and i in closes:
+            j = closes[i]
+            if ":" in s[i : j + 1] and ";" in s[i : j + 1]:
+                k = i
+                while k > first and not (s[k - 1] == "\n" or (s[k - 1] in ".!?" and k < i and s[k].isspace() and k - 1 > first and s[k - 2].isalpha())):
+                    k -= 1
+                keep[k : j + 1] = [False] * (j + 1 - k)
+                first = j + 1
+            i = j
+        i += 1
+    return "".join(c for c, kept in zip(s, keep, strict=True) if kept)
+
+
+def sentences_by_character(s):
+    out, now = [], ""
+    for c in s:
+        now += c
+        if c in ".!?\n" and len(now.strip()) > T.LEAST_SENTENCE:
+            out.append(now.strip())
+            now = ""
+    return [*out, now.strip()] if now.strip() else out
+
+
+def chunks_by_character(s, most, least):
+    s = s.strip()
+    if len(s) <= most:
+        return [s] if s else []
+    done, line = [], []  # line: words and sentences of the chunk being made
+    size = lambda: sum(map(len, line)) + max(0, len(line) - 1)
+    for paragraph in s.split("\n\n"):
+        for sentence in sentences_by_character(paragraph):
+            if line and size() + 1 + len(sentence) > most:
+                done.append(" ".join(line))
+                line = []
+            whole, rest = divmod(len(sentence), most)
+            if len(sentence) > most:
+                cuts = whole if rest else whole - 1  # the last piece, whole or not, goes on
+                done += [sentence[k * most : (k + 1) * most] for k in range(cuts)]
+                sentence = sentence[cuts * most :]
+            line.append(sentence)
+        if size() >= least:
+            done.append(" ".join(line))
+            line = []
+    return [x.strip() for x in [*done, " ".join(line)] if x.strip()]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1 {}:;.!?\n\té_", max_size=60))
+def test_strip_css_second_version(s):
+    assert T.strip_css(s) == css_by_stack(s)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["word", " ", ". ", "\n", "\n\n", "!", "é" * 30, "x" * 47, "a. b. c", "  "]), max_size=60).map("".join), st.integers(20, 60), st.integers(1, 20))
+def test_split_chunks_second_version(s, most, least):
+    assert T.split_sentences(s) == sentences_by_character(s)
+    assert T.split_chunks(s, most, least) == chunks_by_character(s, most, least)
