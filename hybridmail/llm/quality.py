@@ -39,6 +39,8 @@ GRADES = 3
 WIDTH = 1 << 20
 SAMPLE, SAMPLE_BYTES, LONGEST = 12_000, 256 << 20, 4 << 20
 STEPS = 120
+#: Bytes of text that are featurised at once.
+SLICE = 1 << 20
 LEAST_DOCUMENTS = 3
 #: A document is rejected if its grade is more likely below the best than the best.
 TAIL = 0.5
@@ -113,7 +115,7 @@ def featurise(texts: list[bytes], cache: Hashed) -> tuple[np.ndarray, np.ndarray
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Hashed()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         offsets, ids, values = featurise(texts_of(batch), cache)
         o = pa.array(offsets.astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(o, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(o, pa.array(values.astype(np.float32)))], names=["grade", "ids", "vals"])
@@ -203,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = Hashed(), Model(weights.astype(np.float64), cuts)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             p = own.score(*featurise(texts_of(batch), cache))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), *[pa.array(p[:, k]) for k in range(GRADES - 1)]], names=["id", "expected_grade", *[f"p_above_{k}" for k in range(GRADES - 1)]])
 
@@ -218,7 +220,7 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", tail: float =
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = Hashed(), Model(weights.astype(np.float64), cuts)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             p = own.score(*featurise(texts_of(batch, text_col), cache))
             yield batch.filter(pa.array(p[:, -1] >= tail))
 
