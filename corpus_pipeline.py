@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.encode_and_read(docs, "pipeline-tokens", cache=600_000, added=True)
+    return tokens.encode_and_read(docs, "pipeline-tokens", cache=300_000, added=True)
 
 
 STAGES = [
