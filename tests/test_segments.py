@@ -89,10 +89,10 @@ def test_frequent_words_leave_blocks_unread(spark, tmp_path):
 
 
 def test_rows_written_grow_as_a_logarithm(spark, tmp_path):
-    """48 additions of 64 chunks: each posting is written again at most once a tier, not once an addition."""
+    """12 additions of 64 chunks: each posting is written again at most once a tier, not once an addition."""
     index = segments.Index(spark, f"file://{tmp_path}/i", plain_tokens, stems=False)
     chunk = "a b"
-    n = 24
+    n = 12
     for k in range(n):
         index.add(spark.createDataFrame([(f"c{k}-{i}", f"m{k}", i, chunk) for i in range(64)], CHUNKS).coalesce(1), k + 1)
     # A posting row is a word in a block: 2 words, a block for each addition.
