@@ -439,7 +439,7 @@ class Engine:
         number = self.version("chunks")
         if number != self.index.covers:
             self.index.rebuild(self._stored("chunks").withColumnRenamed("id", "chunk_id"), number)
-        return self.index, self.cached("postings", number, self.index.postings)
+        return self.index, self.cached("postings", number, lambda: segments.by_block(self.index.postings()))
 
     def _units(self) -> DataFrame:
         version = (self.version("chunks"), self.version("chunk_vectors"))

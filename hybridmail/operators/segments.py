@@ -34,6 +34,8 @@ BLOCK = 256
 FAN = 4
 #: Blocks that are scored first, and blocks that a filter names one by one.
 FIRST, NAMED = 16, 1000
+#: Up to so many blocks all are scored at once: another pass over them costs more than it saves. Hits are the same.
+SMALL = 2048
 #: Numbers of blocks of one addition.
 SPAN = 1 << 40
 
@@ -89,7 +91,7 @@ def _part(i: int, tf: Column, length: Column, df: list[float], n_docs: float, av
     return fulltext.bm25(tf, length, F.lit(float(df[i])), F.lit(float(n_docs)), F.lit(float(avg_len)))
 
 
-def best(postings: DataFrame, words: list[str], pool: int, n_docs: int, avg_len: float, *, within: DataFrame | None = None, first: int = FIRST) -> Found:
+def best(postings: DataFrame, words: list[str], pool: int, n_docs: int, avg_len: float, *, within: DataFrame | None = None, first: int = FIRST, small: int = SMALL, n_blocks: int | None = None) -> Found:
     """chunk_id, message_id, chunk_index, bm25 of the best `pool` chunks for the OR of prefixes, in order."""
     each = range(len(words))
     hit = [F.col("term").startswith(w) for w in words]
@@ -97,7 +99,9 @@ def best(postings: DataFrame, words: list[str], pool: int, n_docs: int, avg_len:
     bounds = [F.sum(F.when(h, F.col("max_tf"))).alias(f"m{i}") for i, h in enumerate(hit)] + [F.min(F.when(h, F.col("min_len"))).alias(f"l{i}") for i, h in enumerate(hit)]
     places = [F.bit_or(F.when(h, F.col(b))).alias(f"{b}_{i}") for i, h in enumerate(hit) for b in BITS]
     count = [F.coalesce(reduce(add, [F.bit_count(f"{b}_{i}") for b in BITS]), F.lit(0)).alias(f"n{i}") for i in each]
-    blocks = some.groupBy("block").agg(*bounds, *places).select("block", *[f"m{i}" for i in each], *[f"l{i}" for i in each], *count).persist()
+    blocks = some.groupBy("block").agg(*bounds, *places).select("block", *[f"m{i}" for i in each], *[f"l{i}" for i in each], *count)
+    few = n_blocks is not None and n_blocks <= small
+    blocks = blocks if few else blocks.persist()
     try:
         sums = blocks.agg(F.count(F.lit(1)).alias("blocks"), *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in each]).first()
         df = [sums[f"n{i}"] for i in each]
@@ -115,6 +119,8 @@ def best(postings: DataFrame, words: list[str], pool: int, n_docs: int, avg_len:
                 found = found.join(within, "message_id", "left_semi").select(*found.columns)
             return fulltext.best(found, pool).collect()  # at most `pool` rows
 
+        if few:
+            return Found(scored(some), sums["blocks"], sums["blocks"])
         at = bounded.limit(first + NAMED + 1).collect()
         top = [r["block"] for r in at[:first]]
         hits = scored(some.filter(F.col("block").isin(top)))
@@ -131,7 +137,13 @@ def best(postings: DataFrame, words: list[str], pool: int, n_docs: int, avg_len:
         ordered = sorted([*hits, *more], key=lambda r: (r["bm25"], r["message_id"], r["chunk_index"]))[:pool]
         return Found(ordered, sums["blocks"], n_scored)
     finally:
-        blocks.unpersist()
+        if not few:
+            blocks.unpersist()
+
+
+def by_block(postings: DataFrame) -> DataFrame:
+    """Postings dealt by block, to be kept in memory: what is grouped by block then needs no shuffle."""
+    return postings.repartition("block")
 
 
 def tier(n_chunks: int) -> int:
@@ -265,15 +277,17 @@ class Index:
 
     # -- search ------------------------------------------------------------------------------------------------------
 
-    def search(self, query: str, pool: int, *, within: DataFrame | None = None, postings: DataFrame | None = None) -> Found:
-        """The best `pool` chunks, as fulltext.search gives them. postings: those of this index, if they are kept."""
+    def search(self, query: str, pool: int, *, within: DataFrame | None = None, postings: DataFrame | None = None, small: int = SMALL) -> Found:
+        """The best `pool` chunks, as fulltext.search gives them. postings: those of this index, if they are kept (by_block, best)."""
         rows = self.postings() if postings is None else postings
         wanted = fulltext.phrases(query, self.stems)
-        n_docs, avg_len = self.statistics()
+        known = self.segments()
+        n_docs = sum(x["n_chunks"] for x in known)
         if not wanted or not n_docs:
             return Found([], 0, 0)
+        avg_len = sum(x["sum_len"] for x in known) / n_docs
         if all(len(t) == 1 for t in wanted):
-            return best(rows, [t[0] for t in wanted], pool, n_docs, avg_len, within=within)
+            return best(rows, [t[0] for t in wanted], pool, n_docs, avg_len, within=within, small=small, n_blocks=sum(x["n_blocks"] for x in known))
         some = rows.filter(reduce(or_, [F.col("term").startswith(t) if k + 1 == len(terms) else F.col("term") == t for terms in wanted for k, t in enumerate(terms)]))
         found = fulltext.search(entries(some), None, query, pool, stems=self.stems, stats=self.corpus(), within=within).collect()  # at most `pool` rows
         return Found(found, len(found), len(found))
