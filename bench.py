@@ -45,7 +45,7 @@ def main() -> None:
     rows = catalogue._rows(spark, SF_DIR)
     pool = fusion.pool_size(20)
     found = lambda words: index.search(words, pool, postings=postings)
-    keyword = lambda: fusion.keyword_messages(fulltext.ranked(spark.createDataFrame(found(catalogue.QUERY).rows, "chunk_id string, message_id bigint, chunk_index int, bm25 double")))
+    keyword = lambda: fusion.keyword_messages(fulltext.pooled(spark, found(catalogue.QUERY).rows, "bigint"))
     near = lambda: vectors.top_messages(units, query, pool)
     queries = {
         "h1_keyword_search": timed(lambda: keyword().collect()),

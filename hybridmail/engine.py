@@ -462,8 +462,7 @@ class Engine:
         if words.strip() and fulltext.phrases(words):
             index, postings = self._index()
             found = index.search(words, pool, within=within, postings=postings).rows
-        hits = self.spark.createDataFrame(found, "chunk_id string, message_id string, chunk_index int, bm25 double")
-        keyword = fusion.keyword_messages(fulltext.ranked(hits))
+        keyword = fusion.keyword_messages(fulltext.pooled(self.spark, found, "string"))
         vector = query = None
         if semantic and words.strip():
             query = self._embedded(words)

@@ -9,12 +9,14 @@ the best rows between tasks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridmail.functions.analyzer import analyze, fold, plain_tokens, stem
@@ -68,10 +70,15 @@ def _phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
     return met.select(*CHUNK, F.lit(1).cast("long").alias("tf"))
 
 
-def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_len: Column) -> Column:
-    """A phrase's part of the score; larger is better."""
-    idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-    return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg_len))
+def number(x: float) -> str:
+    """A double as SQL."""
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)!r}')"
+
+
+def bm25(tf: str, length: str, df: str, n_docs: str, avg_len: str) -> str:
+    """A phrase's part of the score, as SQL of SQL; larger is better. As text it costs one call to the JVM, as Columns one for each operator."""
+    idf = f"greatest(ln(({n_docs} - {df} + 0.5D) / ({df} + 0.5D)), {number(LEAST_IDF)})"
+    return f"({idf} * {tf} * {number(K1 + 1)} / ({tf} + {number(K1)} * ({number(1 - B)} + {number(B)} * {length} / {avg_len})))"
 
 
 def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None = None, *, stems: bool = True, stats: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
@@ -93,8 +100,8 @@ def search(postings: DataFrame, lengths: DataFrame, query: str, pool: int | None
     wide = rows.groupBy(*CHUNK).agg(*[F.sum(F.when(F.col("phrase") == i, F.col("tf"))).alias(f"tf{i}") for i in each])
     counts = wide.agg(*[F.count(f"tf{i}").alias(f"df{i}") for i in each])
     known = wide.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(corpus(lengths) if stats is None else stats))  # one row each
-    parts = [F.coalesce(bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len")), F.lit(0.0)) for i in each]
-    scored = known.select("chunk_id", "message_id", "chunk_index", (-reduce(add, parts)).alias("bm25"))
+    parts = [f"coalesce({bm25(f'tf{i}', 'len', f'df{i}', 'n_docs', 'avg_len')}, 0D)" for i in each]
+    scored = known.selectExpr("chunk_id", "message_id", "chunk_index", f"-({' + '.join(parts)}) as bm25")
     return best(scored if within is None else scored.join(within, "message_id", "left_semi").select(*scored.columns), pool)
 
 
@@ -136,7 +143,7 @@ def _scanned(chunks: DataFrame, queries: list[tuple]) -> DataFrame:
     counts = wide.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in each])
     every = chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(plain_tokens(F.col("text")))).alias("avg_len"))
     hit = wide.crossJoin(F.broadcast(counts.crossJoin(every)))  # one row
-    part = lambda i: F.when(F.col(f"tf{i}") > 0, bm25(F.col(f"tf{i}"), F.col("len"), F.col(f"df{i}"), F.col("n_docs"), F.col("avg_len"))).otherwise(0.0)
+    part = lambda i: F.expr(f"if(tf{i} > 0, {bm25(f'tf{i}', 'len', f'df{i}', 'n_docs', 'avg_len')}, 0D)")
 
     def scored(q) -> Column:
         own = [wanted.index(t) for t in of[q]]
@@ -167,15 +174,23 @@ def search_batch(postings: DataFrame, stats: DataFrame, queries: list[tuple], po
     several = whole.groupBy("query_id", "phrase", *CHUNK).agg(F.count(F.lit(1)).alias("tf"))
     hits = single.unionByName(several)
     known = hits.join(hits.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df")), ["query_id", "phrase"]).crossJoin(F.broadcast(stats))  # one row
-    part = bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n_docs"), F.col("avg_len"))
+    part = F.expr(bm25("tf", "len", "df", "n_docs", "avg_len"))
     scored = known.groupBy("query_id", "chunk_id", "message_id", "chunk_index").agg((-F.sum(part)).alias("bm25"))
     w = Window.partitionBy("query_id").orderBy("bm25", "message_id", "chunk_index")
     return scored.withColumn("chunk_rank", F.row_number().over(w) - 1).filter(F.col("chunk_rank") < pool)
 
 
+def pooled(spark: SparkSession, rows: list, kind: str) -> DataFrame:
+    """The rows of a pool, in order, as ranked() gives them. Arrow makes them part of the plan, where createDataFrame of a list would make an RDD that every use of it converts again."""
+    columns = list(zip(*rows)) or [()] * 4
+    types = (pa.string(), pa.int64() if kind == "bigint" else pa.string(), pa.int32(), pa.float64(), pa.int32())
+    names = ("chunk_id", "message_id", "chunk_index", "bm25", "chunk_rank")
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip([*columns, range(len(rows))], types)], names=list(names)))
+
+
 def ranked(hits: DataFrame) -> DataFrame:
     """With chunk_rank, from 0."""
     return hits.withColumn("chunk_rank", F.row_number().over(Window.orderBy("bm25", "message_id", "chunk_index")) - 1)
 
 
-__all__ = ["analyze", "best", "bm25", "corpus", "fold", "index", "laid_out", "phrases", "ranked", "scan", "scan_batch", "search", "search_batch", "stem"]
+__all__ = ["analyze", "best", "bm25", "corpus", "fold", "index", "laid_out", "number", "phrases", "pooled", "ranked", "scan", "scan_batch", "search", "search_batch", "stem"]

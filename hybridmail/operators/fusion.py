@@ -39,16 +39,19 @@ def fuse(keyword: DataFrame, vector: DataFrame, *, floor: float = FLOOR, by: lis
 
 def fetch(messages: DataFrame, ids: DataFrame, broadcast: bool) -> DataFrame:
     """The messages of ids (message_id). broadcast: ids are pools of bounded size; they go to where the messages lie, and no message is shuffled."""
-    ids = ids.select("message_id").distinct()
-    return messages.join(F.broadcast(ids) if broadcast else ids, "message_id", "left_semi")
+    ids = ids.select("message_id")
+    return messages.join(F.broadcast(ids) if broadcast else ids.distinct(), "message_id", "left_semi")
 
 
 def weigh(fused: DataFrame, messages: DataFrame, now: Column, limit: int, *, by: list[str] | None = None) -> DataFrame:
     """Joins messages (message_id, received_at, is_bulk and more), weighs and keeps the best `limit`. An id without a message takes part in the cut and then drops out.
 
-    Without `by`, fused is two pools at most: its ids are broadcast to the messages, and those found are broadcast back. With
-    it, as many pools as queries: then Spark chooses by size."""
+    Without `by`, fused is two pools at most: it is computed once and fetched (its plan would else run twice, for the ids and
+    for the scores), its ids are broadcast to the messages, and those found are broadcast back. With it, as many pools as
+    queries: then Spark chooses by size."""
     by = by or []
+    if not by:
+        fused = fused.sparkSession.createDataFrame(fused.toArrow())  # two pools at most
     found = fetch(messages, fused, not by).withColumn("_there", F.lit(True))
     rows = fused.join(found if by else F.broadcast(found), "message_id", "left")
     spared = F.coalesce(F.col("keyword_score") >= EXEMPT_FROM, F.lit(False))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
+from hybridmail.operators.fulltext import number
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -27,7 +29,7 @@ def normalised(v: Column) -> Column:
 
 
 def literal(v) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    return F.expr(f"array({', '.join(map(number, v))})")
 
 
 @F.pandas_udf(ArrayType(FloatType()))

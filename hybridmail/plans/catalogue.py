@@ -183,7 +183,7 @@ def _segmented(spark: SparkSession, sf_dir: str, parts: int = 3) -> segments.Ind
 
 
 def _found(spark: SparkSession, index: segments.Index, words: str, pool: int) -> DataFrame:
-    return fulltext.ranked(spark.createDataFrame(index.search(words, pool).rows, "chunk_id string, message_id bigint, chunk_index int, bm25 double"))
+    return fulltext.pooled(spark, index.search(words, pool).rows, "bigint")
 
 
 @query(f"with {_keyword_sql('the ther', 80)} select message_id, chunk_index, round(bm25, 6) as bm25, chunk_rank from pooled")
