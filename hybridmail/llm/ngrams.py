@@ -24,7 +24,7 @@ probabilities of each context sum to one, up to the quantisation (a relative err
 
 Null and empty texts are the end token alone. A null id counts as held out: nothing is learned from it. Repeated rows count
 each. Without training documents V and N are 0 and every token has probability one. Other columns are not read. Two words of
-one hash in one batch of texts raise ValueError. Levels are mapped from the shared folder; where that is no file system of
+one hash are told apart by their bytes everywhere. Levels are mapped from the shared folder; where that is no file system of
 the machine, each worker maps copies of its own.
 """
 
@@ -81,7 +81,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """The tokens of all texts, ends included: hashes, the distinct ones in ascending order with a place where each stands, and where each text begins."""
+    """The tokens of all texts, ends included: hashes, those of the distinct ones in ascending order (one for each word, so that words of one hash repeat it) with a place where each stands, and where each text begins."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join([*(t.lower() for t in texts), b"\0" * 8])
@@ -98,8 +98,28 @@ class Tokens:
         again = np.flatnonzero(place != np.arange(len(place)))
         place = place[again]
         view = eights(self.bytes)
-        if (self.size[again] != self.size[place]).any() or not same_stretches(view, self.start[again], view, self.start[place], self.size[again]).all():
-            raise ValueError("two words of one batch have one hash")
+        same = self.size[again] == self.size[place]
+        same[same] = same_stretches(view, self.start[again[same]], view, self.start[place[same]], self.size[again[same]])
+        if not same.all():
+            self._tell_apart(self.inverse[again[~same]])
+
+    def _tell_apart(self, shared: np.ndarray) -> None:
+        """Words of one hash, which is rare: their hash stands once for each of them, in the order of their bytes."""
+        at = np.flatnonzero(np.isin(self.inverse, shared))
+        words = [(int(k), self.data[a : a + n]) for k, a, n in zip(self.inverse[at], self.start[at], self.size[at], strict=True)]
+        place = dict(zip(reversed(words), reversed(at.tolist()), strict=True))  # the first of each
+        several = sorted(place)
+        alone = np.setdiff1d(np.arange(len(self.own)), shared)
+        before = np.concatenate((alone, np.array([k for k, _ in several], dtype=np.int64)))
+        order = np.argsort(before, kind="stable")
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        of = dict(zip(several, number[len(alone) :].tolist(), strict=True))
+        first = np.concatenate((self.first[alone], np.array([place[w] for w in several], dtype=np.int64)))[order]
+        changed = np.empty(len(self.own), dtype=np.int64)
+        changed[alone] = number[: len(alone)]
+        self.own, self.first, self.inverse = self.own[before[order]], first, changed[self.inverse]
+        self.inverse[at] = [of[w] for w in words]
 
     def word(self, i: int) -> bytes:
         """Of the i-th distinct token."""

@@ -726,11 +726,32 @@ def test_ngrams(spark):
         assert total == pytest.approx(1, abs=2e-3)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.lists(st.sampled_from("a ab abc b c dd eeeeeeeee eeeeeeeef g hh".split()), max_size=20), max_size=4), max_size=4), st.sampled_from([2, 1000]))
+def test_words_of_one_hash_are_counted_apart(batches, most):
+    """Three bits of each hash: words of one batch share them, and words of different batches do."""
+    whole = substrings.hash_stretches
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(ngrams, "hash_stretches", lambda *a: whole(*a) & np.uint64(7))
+        counts, got, wanted = ngrams._WordCounts(most), Counter(), Counter()
+        rows = []
+        for texts in batches:
+            line = [w.encode() for t in texts for w in (*t, "")]
+            t = ngrams.Tokens([" ".join(x).encode() for x in texts])
+            assert [t.word(i) for i in t.inverse] == line and len(t.own) == len(set(line))
+            wanted.update(line)
+            rows += [r for b in counts.add(t) for r in b.to_pylist()]
+        for r in [*rows, *(r for b in counts.take() for r in b.to_pylist())]:
+            got[r["word"]] += r["n"]
+    assert got == wanted
+
+
 def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
     """All hashes but the end's cut to two bits: ids still are those of the words."""
     monkeypatch.setattr(ngrams, "hash_stretches", lambda data, start, size: np.array([len(data[a : a + n].rstrip(b"x")) % 4 for a, n in zip(start, size, strict=True)], dtype=np.uint64))
-    with pytest.raises(ValueError, match="one hash"):
-        ngrams.Tokens([b"ab cd"])
+    t = ngrams.Tokens([b"ab cd ab xyz", b"", b"cd abxx a cd"])
+    assert [t.word(i) for i in t.inverse] == [b"ab", b"cd", b"ab", b"xyz", b"", b"", b"cd", b"abxx", b"a", b"cd", b""]
+    assert len(t.own) == len({t.word(i) for i in range(len(t.own))}) == 6 and (t.own[1:] >= t.own[:-1]).all()
     words = [[b"abcd0001", b"a", b"ab", b"abc"], [b"abcd0002", b"b", b"cd", b"xyz"], [b"zzzzzzzzzzzz", b"c"]]
     counts = ngrams._WordCounts()
     got = [r for some in words for b in counts.add(ngrams.Tokens([b" ".join(some)])) for r in b.to_pylist()]
@@ -747,6 +768,8 @@ def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
     order = [r["word"] for r in rows]
     for some in words:
         assert [order[i] for i in ngrams.token_ids(level, [b" ".join(some)])[0]] == [*some, b""]
+    line = [w for some in words for w in some]  # clashing words in one batch
+    assert [order[i] for i in ngrams.token_ids(level, [b" ".join(line), b"b cd"])[0]] == [*line, b"", b"b", b"cd", b""]
     assert ngrams.token_ids(level, [b"abcd0003"])[0].tolist() == [level.size, order.index(b"")]
 
 
