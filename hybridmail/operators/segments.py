@@ -2,7 +2,9 @@
 
 Chunks lie in blocks of BLOCK. A posting row is a term in a block: its entries (a place in the block, the chunk, its length,
 the term's count and positions), and what can be known of them without reading them: how many, the largest count, the
-shortest chunk, and which places as four 64-bit words. Rows are dealt by block and sorted by term. A vocabulary
+shortest chunk, and which places as four 64-bit words. A block's rows lie in one file, sorted by term in runs of some RUN
+words, so that a reader skips pages. They are made where the chunks lie: the blocks of a part follow each other in one task,
+so neither words nor entries are shuffled or sorted by Spark. A vocabulary
 (term, df, n_blocks) lies beside them, sorted and front-coded (Parquet's DELTA_BYTE_ARRAY).
 
 Each addition writes a segment of its own; as soon as FAN segments are of one tier (sizes within a factor of FAN), they are
@@ -20,11 +22,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ FAN = 4
 FIRST, NAMED = 16, 1000
 #: Up to so many blocks all are scored at once: another pass over them costs more than it saves. Hits are the same.
 SMALL = 2048
+#: Words whose posting rows are made at once, whole blocks, and rows that are handed on at once.
+RUN, ROWS = 1_000_000, 20_000
 #: Numbers of blocks of one addition.
 SPAN = 1 << 40
 
@@ -44,6 +51,10 @@ BITS = ("b0", "b1", "b2", "b3")
 MANIFEST = "segment string, seq bigint, n_chunks bigint, sum_len bigint, n_blocks bigint, covers bigint"
 
 
+def _posting(kind: str) -> str:
+    return f"block bigint, term string, n int, max_tf bigint, min_len int, {', '.join(f'{b} bigint' for b in BITS)}, entries array<{ENTRY.format(kind=kind)}>"
+
+
 def _rows(entries: DataFrame) -> DataFrame:
     """Posting rows from term, block and entry (a struct as ENTRY), a row for each chunk of a term."""
     bits = [F.bit_or(F.when(F.floor(F.col("entry.place") / 64) == i, F.expr("shiftleft(1L, entry.place % 64)")).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(BITS)]
@@ -54,11 +65,62 @@ def _laid_out(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("term", "block")
 
 
+def _posted(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Posting rows, sorted by term and block, of whole blocks: block, place, chunk_id, message_id, chunk_index, words in order."""
+    t = t.combine_chunks()
+    words = t["words"].combine_chunks() if t["words"].num_chunks != 1 else t["words"].chunk(0)
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not size.sum():
+        return
+    row = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    found = pc.list_flatten(words).dictionary_encode()
+    by_term = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    blocks, block = np.unique(t["block"].to_numpy(), return_inverse=True)
+    key = rank[found.indices.to_numpy()] * len(blocks) + block[row]
+    order = np.argsort(key, kind="stable")  # within a term and block: by place, then position
+    key, row, pos = key[order], row[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))  # of an entry
+    tf, key, row = np.diff(np.append(first, len(row))), key[first], row[first]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # of a posting row
+    length, place = size[row], t["place"].to_numpy()[row]
+    bit = np.left_shift(np.uint64(1), (place % 64).astype(np.uint64))
+    bits = [np.bitwise_or.reduceat(np.where(place // 64 == i, bit, np.uint64(0)), head).view(np.int64) for i in range(len(BITS))]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)), pa.int32()), pa.array(pos, pa.int32()))
+    own = pa.array(row)
+    entry = {"place": pa.array(place, pa.int32()), **{c: t[c].combine_chunks().take(own) for c in ("chunk_id", "message_id", "chunk_index")}, "len": pa.array(length, pa.int32()), "tf": pa.array(tf, pa.int64()), "positions": positions}
+    entry = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in entry.values()], names=list(entry))
+    out = {
+        "block": pa.array(blocks[key[head] % len(blocks)], pa.int64()), "term": found.dictionary.take(pa.array(by_term[key[head] // len(blocks)])), "n": pa.array(np.diff(np.append(head, len(key))), pa.int32()),
+        "max_tf": pa.array(np.maximum.reduceat(tf, head), pa.int64()), "min_len": pa.array(np.minimum.reduceat(length, head), pa.int32()), **{b: pa.array(x, pa.int64()) for b, x in zip(BITS, bits, strict=True)},
+        "entries": pa.ListArray.from_arrays(pa.array(np.append(head, len(key)), pa.int32()), entry),
+    }
+    yield from pa.Table.from_pydict(out).to_batches(max_chunksize=ROWS)
+
+
+def _by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_posted of runs of whole blocks, RUN words or one block at least; a block goes on from one batch to the next."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("words").flatten())
+        if n >= RUN:
+            t = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(t["block"].to_numpy(), t["block"][-1].as_py()))
+            if cut:
+                yield from _posted(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                n = sum(len(x.column("words").flatten()) for x in held)
+    if held:
+        yield from _posted(pa.Table.from_batches(held))
+
+
 def blocked(words: DataFrame) -> DataFrame:
-    """Posting rows from block, place, chunk_id, message_id, chunk_index, words (its terms in order)."""
-    each = words.repartition("block").select("block", "place", "chunk_id", "message_id", "chunk_index", F.size("words").alias("len"), F.posexplode("words").alias("pos", "term"))
-    one = each.groupBy("block", "place", "term").agg(*[F.first(c).alias(c) for c in ("chunk_id", "message_id", "chunk_index", "len")], F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return _rows(one.select("block", "term", F.struct("place", "chunk_id", "message_id", "chunk_index", "len", "tf", "positions").alias("entry")))
+    """Posting rows from block, place, chunk_id, message_id, chunk_index, words (its terms in order); a block lies in one part, and blocks and places ascend there."""
+    kind = words.schema["message_id"].dataType.simpleString()
+    return words.select("block", "place", "chunk_id", "message_id", "chunk_index", "words").mapInArrow(_by_runs, _posting(kind))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -187,7 +249,7 @@ class Index:
 
     @property
     def _posting(self) -> str:
-        return f"block bigint, term string, n int, max_tf bigint, min_len int, {', '.join(f'{b} bigint' for b in BITS)}, entries array<{ENTRY.format(kind=self.kind)}>"
+        return _posting(self.kind)
 
     def postings(self, names: list[str] | None = None) -> DataFrame:
         return self._read("postings", [s["segment"] for s in self.segments()] if names is None else names, self._posting)
@@ -218,7 +280,8 @@ class Index:
                 self._fs.delete(f.getPath(), True)
 
     def _write(self, postings: DataFrame, sizes: DataFrame, folder: str) -> None:
-        _laid_out(postings).write.mode("overwrite").parquet(f"{folder}/postings")
+        # Entries name their chunk again and again: a dictionary that holds a row group's chunks, and zstd.
+        postings.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", str(8 << 20)).parquet(f"{folder}/postings")
         sizes.write.mode("overwrite").parquet(f"{folder}/blocks")
         rows = self.spark.read.schema(self._posting).parquet(f"{folder}/postings").select("term", "n")
         words = rows.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("n_blocks")).repartitionByRange("term").sortWithinPartitions("term")
@@ -229,10 +292,11 @@ class Index:
         """Writes a segment of chunk_id, message_id, chunk_index, text; its row of the manifest."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
-        chunks.select("chunk_id", "message_id", "chunk_index", self.tokens(F.col("text")).alias("words")).write.mode("overwrite").parquet(f"{folder}/words")
+        chunks.select("chunk_id", "message_id", "chunk_index", self.tokens(F.col("text")).alias("words")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/words")
         words = numbered(self.spark.read.parquet(f"{folder}/words")).withColumn("block", F.col("block") + seq * SPAN)
-        self._write(blocked(words), words.groupBy("block").agg(F.count(F.lit(1)).alias("size")), folder)
-        sums = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("len"), F.countDistinct("block").alias("blocks")).first()
+        self._write(blocked(words), words.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("words")).alias("len")), folder)
+        sizes = self.spark.read.schema("block bigint, size bigint, len bigint").parquet(f"{folder}/blocks")
+        sums = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"), F.count(F.lit(1)).alias("blocks")).first()
         self._fs.delete(self._hadoop(f"{folder}/words"), True)
         return name, seq, sums["n"], sums["len"], sums["blocks"], covers
 
@@ -273,7 +337,7 @@ class Index:
         ends = part.select(F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK))).alias("k"), "begin", "size")
         filled = ends.groupBy((F.col("k") + seq * SPAN).alias("block")).agg(F.sum(F.least(F.col("begin") + F.col("size"), (F.col("k") + 1) * BLOCK) - F.greatest(F.col("begin"), F.col("k") * BLOCK)).alias("size"))
         new_sizes = sizes.filter(F.col("size") >= BLOCK).unionByName(filled)
-        self._write(whole.unionByName(again), new_sizes, f"{self.path}/segments/{name}")
+        self._write(whole.unionByName(_laid_out(again)), new_sizes, f"{self.path}/segments/{name}")
         blocks = self.spark.read.schema("block bigint, size bigint").parquet(f"{self.path}/segments/{name}/blocks").count()
         return name, seq, sum(r[2] for r in old), sum(r[3] for r in old), blocks, max(r[5] for r in old)
 

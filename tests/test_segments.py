@@ -139,3 +139,22 @@ def test_messages_are_not_shuffled_for_a_search(spark, tmp_path):
             d = depth(x)
     kinds = [x.strip(" :+-|*()0123456789").split(" ")[0] for x in above]
     assert "Exchange" not in kinds[: kinds.index("BroadcastExchange")] and "BroadcastHashJoin" in kinds[: kinds.index("BroadcastExchange")], kinds
+
+
+def test_posting_rows_are_made_without_a_shuffle(spark, tmp_path):
+    """Words are neither shuffled nor sorted by Spark; runs of some blocks give the rows of one run, whatever the batches."""
+    spark.createDataFrame(texts(1500, 9), CHUNKS).repartition(2).select("chunk_id", "message_id", "chunk_index", plain_tokens(F.col("text")).alias("words")).write.parquet(f"file://{tmp_path}/words")
+    words = segments.numbered(spark.read.parquet(f"file://{tmp_path}/words"))
+    rows = segments.blocked(words)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hash" in x or "Exchange range" in x or "Sort" in x], plan
+    batches = words.select("block", "place", "chunk_id", "message_id", "chunk_index", "words").orderBy("block", "place").toArrow().to_batches(max_chunksize=100)
+    whole = [r for b in segments._by_runs(iter(batches)) for r in b.to_pylist()]
+    old, segments.RUN = segments.RUN, 3000
+    try:
+        parts = [r for b in segments._by_runs(iter(batches)) for r in b.to_pylist()]
+    finally:
+        segments.RUN = old
+    key = lambda r: (r["block"], r["term"])
+    assert [(r["term"], r["block"]) for r in whole] == sorted((r["term"], r["block"]) for r in whole) != [(r["term"], r["block"]) for r in parts]
+    assert sorted(whole, key=key) == sorted(parts, key=key) == sorted((r.asDict(recursive=True) for r in rows.collect()), key=key)
