@@ -363,4 +363,4 @@ class Index:
         return self.spark.createDataFrame([(n, float(mean))], "n_docs bigint, avg_len double")
 
     def search_batch(self, queries: list[tuple], pool: int) -> DataFrame:
-        return fulltext.search_batch(entries(self.postings()), self.corpus(), queries, pool, stems=self.stems, vocabulary=self.vocabulary().select("term"))
+        return fulltext.search_batch(entries(self.postings()), self.corpus(), queries, pool, stems=self.stems)
