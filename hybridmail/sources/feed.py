@@ -1,7 +1,7 @@
 """Mailboxes as a streaming source: spark.readStream.format("mailbox_feed").
 
 The offset is the last UID of each mailbox. A micro-batch covers the UIDs between two offsets: a partition for each run of
-RUN of them in one mailbox, which opens a session of its own, fetches by small batches with pauses, tries a throttled one
+RUN messages that are there in one mailbox (numbers that nobody has cost nothing), which opens a session of its own, fetches by small batches with pauses, tries a throttled one
 once more (mail.fetch_batched), and hands messages on in Arrow batches as they come. Nothing but offsets passes the driver.
 A query that is started again goes on from the offsets of its checkpoint; UIDs that vanished in between are no error.
 
@@ -9,6 +9,7 @@ Options: client (module:name of a class), account, and what its constructor take
 above, until) (ascending, `until` included; None: no end), fetch(mailbox, uids) (rows of subject, message_id, body,
 internal_date by uid), mailboxes() and close(). It is made on the driver for offsets and in each task for messages, so
 secrets travel as names, of an environment variable or a file that each machine has (password_env, password_file), not as values.
+A client may have `batch`, how many messages it is asked for at once (else mail.BATCH).
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from hybridmail.sources import mail
 
 SCHEMA = "account_id string, mailbox string, uid bigint, message_id string, subject string, body string, internal_date timestamp"
-#: UIDs of one partition at most.
-RUN = 2000
+#: Messages of one partition at most, and of one read of a folder: each read looks through the folder.
+RUN, FOLDER_BATCH = 2000, 500
 _ARROW = pa.schema([("account_id", pa.string()), ("mailbox", pa.string()), ("uid", pa.int64()), ("message_id", pa.string()), ("subject", pa.string()), ("body", pa.string()), ("internal_date", pa.timestamp("us", "UTC"))])
 
 
@@ -94,6 +95,8 @@ class ImapClient:
 class FolderClient:
     """A mailbox that lies in Parquet files of SCHEMA below a path that every machine sees; each file system that pyarrow knows by its URI."""
 
+    batch = FOLDER_BATCH
+
     def __init__(self, path: str, account: str = "", pause_ms: str = "0"):
         import pyarrow.dataset as ds
         from pyarrow import fs
@@ -111,18 +114,19 @@ class FolderClient:
         return self._rows.to_table(columns=columns, filter=own if condition is None else own & condition) if self._rows is not None else _ARROW.empty_table().select(columns)
 
     def mailboxes(self) -> list[str]:
-        return sorted(set(self._some(["mailbox"], None).column(0).to_pylist()) - {None})
+        return sorted(set(self._some(["mailbox"], None).column(0).unique().to_pylist()) - {None})
 
     def uids(self, mailbox: str, above: int, until: int | None = None) -> list[int]:
         import pyarrow.compute as pc
 
         asked = (pc.field("mailbox") == mailbox) & (pc.field("uid") > above)
-        return sorted(set(self._some(["uid"], asked if until is None else asked & (pc.field("uid") <= until)).column(0).to_pylist()))
+        return sorted(self._some(["uid"], asked if until is None else asked & (pc.field("uid") <= until)).column(0).unique().to_pylist())
 
     def fetch(self, mailbox: str, uids: list[int]) -> list[dict]:
         import pyarrow.compute as pc
 
-        return self._some(["uid", "message_id", "subject", "body", "internal_date"], (pc.field("mailbox") == mailbox) & pc.field("uid").isin(uids)).sort_by("uid").to_pylist()
+        near = (pc.field("uid") >= min(uids)) & (pc.field("uid") <= max(uids))  # by which row groups are skipped
+        return self._some(["uid", "message_id", "subject", "body", "internal_date"], (pc.field("mailbox") == mailbox) & near & pc.field("uid").isin(uids)).sort_by("uid").to_pylist()
 
     def close(self) -> None:
         pass
@@ -153,6 +157,12 @@ def runs(start: dict, end: dict, size: int = RUN) -> list[Run]:
     return out
 
 
+def runs_of(box: str, uids: list[int], above: int, until: int, size: int = RUN) -> list[Run]:
+    """What lies above one number and up to another, cut so that each run has `size` of the UIDs (ascending) at most; none where there are no UIDs."""
+    ends = [*uids[size - 1 : len(uids) - 1 : size], until] if uids else []
+    return [Run(box, a, b) for a, b in zip([above, *ends], ends)]
+
+
 class _Reader:
     def __init__(self, options: dict):
         # Spark hands options on in lower case; a constructor's names are.
@@ -165,16 +175,30 @@ class _Reader:
         finally:
             client.close()
 
+    def runs(self, start: dict, end: dict | None = None) -> list[Run]:
+        """The messages between two offsets, or all above one, cut into runs."""
+        client, out = client_of(self.options), []
+        try:
+            for box in sorted(client.mailboxes() if end is None else end):
+                above, until = start.get(box, 0), None if end is None else end[box]
+                if until is None or above < until:
+                    uids = client.uids(box, above, until)
+                    out += runs_of(box, uids, above, max(uids, default=0) if until is None else until)
+            return out
+        finally:
+            client.close()
+
     def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark hands on where there are no partitions
             return
         client, held = client_of(self.options), []
         try:
-            uids = client.uids(partition.mailbox, partition.above, partition.until)
-            for k in range(0, len(uids), 10 * mail.BATCH):
+            uids, size = client.uids(partition.mailbox, partition.above, partition.until), getattr(client, "batch", mail.BATCH)
+            step = max(size, 10 * mail.BATCH)
+            for k in range(0, len(uids), step):
                 if k:
                     mail.time.sleep(client.pause_s)
-                mail.fetch_batched(lambda some: client.fetch(partition.mailbox, some), uids[k : k + 10 * mail.BATCH], held.extend, pause_s=client.pause_s)
+                mail.fetch_batched(lambda some: client.fetch(partition.mailbox, some), uids[k : k + step], held.extend, size=size, pause_s=client.pause_s)
                 rows = [{"account_id": self.options.get("account"), "mailbox": partition.mailbox} | r for r in held]
                 held.clear()
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -190,12 +214,12 @@ class _Stream(_Reader, DataSourceStreamReader):
         return self.latest()
 
     def partitions(self, start: dict, end: dict) -> list[Run]:
-        return runs(start, end)
+        return self.runs(start, end)
 
 
 class _Batch(_Reader, DataSourceReader):
     def partitions(self) -> list[Run]:
-        return runs(json.loads(self.options.get("above", "{}")), self.latest())
+        return self.runs(json.loads(self.options.get("above", "{}")))
 
 
 class MailboxFeed(DataSource):

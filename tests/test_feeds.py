@@ -133,6 +133,22 @@ def test_runs_and_batches(spark, tmp_path):
     assert spark.read.format("mailbox_feed").options(**options | {"path": f"file://{tmp_path}/none"}).load().count() == 0
 
 
+def test_runs_are_cut_by_messages_that_are_there(spark, tmp_path, monkeypatch):
+    """A mailbox with 30 messages among a million numbers is two partitions and two reads, not 500 of each."""
+    assert feed.runs_of("a", [3, 9, 11, 40, 41], 2, 50, 2) == [feed.Run("a", 2, 9), feed.Run("a", 9, 40), feed.Run("a", 40, 50)]
+    assert feed.runs_of("a", [3, 9], 0, 9, 2) == [feed.Run("a", 0, 9)] and feed.runs_of("a", [], 0, 9) == []
+    rows = [("a", box, u * 30_000, f"m{u}", None, "b", None) for box in ("in", "out") for u in range(1, 31)]
+    spark.createDataFrame(rows, ingest.FEED).write.parquet(f"file://{tmp_path}/f")
+    reader = feed._Stream({"client": "hybridmail.sources.feed:FolderClient", "account": "a", "path": f"file://{tmp_path}/f"})
+    fetched = []
+    monkeypatch.setattr(feed.FolderClient, "fetch", lambda self, box, uids, f=feed.FolderClient.fetch: fetched.append(len(uids)) or f(self, box, uids))
+    parts = reader.partitions({"out": 600_000}, reader.latestOffset())
+    assert parts == [feed.Run("in", 0, 900_000), feed.Run("out", 600_000, 900_000)]
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["mailbox"], r["uid"]) for r in got] == [("in", u * 30_000) for u in range(1, 31)] + [("out", u * 30_000) for u in range(21, 31)] and fetched == [30, 10]
+    assert reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+
+
 def test_embedding_stream(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/w")
     add = lambda first, n: e.append("chunks", spark.createDataFrame([(f"c{i}", f"m{i}", 0, "bad" if i == 3 else f"text {i}") for i in range(first, first + n)], "id string, message_id string, chunk_index int, text string").withColumns({"embedding": F.lit(None).cast("array<float>"), "embedding_dim": F.lit(None).cast("int"), "embedding_model": F.lit(None).cast("string"), "created_at": F.current_timestamp()}))
