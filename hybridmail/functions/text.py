@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType
 
 # Fixed values that results depend on.
@@ -17,6 +19,8 @@ RECENCY_TERMS = ("new", "recent", "latest", "newest", "upcoming", "lately", "so
 IMAP_HOSTS = {"@icloud.com": "imap.mail.me.com", "@me.com": "imap.mail.me.com", "@mac.com": "imap.mail.me.com", "@gmail.com": "imap.gmail.com"}
 DEFAULT_IMAP_HOST = "imap.mail.me.com"
 HALF_LIFE_DAYS = 180
+#: Bytes of text of an Arrow batch that are Python objects at once.
+PIECE = 1 << 20
 SNIPPET, BODY, PREVIEW = 200, 8000, 360
 CHUNK, LEAST_CHUNK, LEAST_SENTENCE = 1000, 60, 8
 
@@ -235,11 +239,26 @@ def split_chunks(s: str, most: int = CHUNK, least: int = LEAST_CHUNK) -> list[st
     return [x for x in (y.strip() for y in [*out, held]) if x]
 
 
+def pieces(x: pa.Array | pa.ChunkedArray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, number) of slices of rows of at most `most` (PIECE) bytes of a text or binary column, or of one row."""
+    size = pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else pc.fill_null(pc.binary_length(x), 0).to_numpy()
+    ends, most, first = size.astype("int64").cumsum(), most or PIECE, 0
+    while first < len(size):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(ends.searchsorted(before + most, "right")))
+        yield first, end - first
+        first = end
+
+
 def _text_udf(f: Callable[[str], object], kind: DataType):
-    @F.pandas_udf(kind)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """f over texts, null for null; a batch is taken and handed back by pieces, so that it isn't held in Python as a whole."""
+    to = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield x.map(f, na_action="ignore")
+            for first, n in pieces(x):
+                yield pa.array([None if s is None else f(s) for s in x.slice(first, n).to_pylist()], to)
 
     return apply
 

@@ -180,3 +180,16 @@ def test_strip_css_second_version(s):
 def test_split_chunks_second_version(s, most, least):
     assert T.split_sentences(s) == sentences_by_character(s)
     assert T.split_chunks(s, most, least) == chunks_by_character(s, most, least)
+
+
+def test_texts_are_taken_by_pieces(spark):
+    import pyarrow as pa
+
+    from hybridmail.functions import text
+
+    x = pa.array(["a" * 10, None, "b" * 100, "", "c", "d" * 30])
+    assert list(text.pieces(x, 20)) == [(0, 2), (2, 1), (3, 2), (5, 1)] and list(text.pieces(x, 1000)) == [(0, 6)] and list(text.pieces(x[:0], 5)) == []
+    texts = [None if i % 7 == 0 else "&amp;" * (i % 5) + "x" * 3000 * (i % 11) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = dict(df.select("i", text.decode_entities_udf("t")).collect())
+    assert got == {i: None if t is None else text.decode_entities(t) for i, t in enumerate(texts)}
