@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.parser
 import email.policy
 import html
 import re
@@ -10,8 +11,10 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,21 +73,27 @@ _FROM = re.compile(rb"^From ", re.M)
 _QUOTED_FROM = re.compile(rb"^>(>*From )", re.M)
 
 
+def in_mbox(data: bytes) -> Iterator[bytes]:
+    """Messages between From lines, with quoted ones unquoted, one by one. What stands before the first separator is dropped; without one the whole is a message."""
+    heads = [m.start() for m in _FROM.finditer(data)]
+    ends = [*heads[1:], len(data)]
+    for k, end in enumerate(ends):
+        start = (data.find(b"\n", heads[k], end) + 1 or end) if heads else 0
+        part = data[start:end]
+        if part if end < len(data) else part.strip():
+            yield _QUOTED_FROM.sub(rb"\1", part)
+
+
 def split_mbox(data: bytes) -> list[bytes]:
-    """Messages between From lines, with quoted ones unquoted. What stands before the first separator is dropped; without one the whole is a message."""
-    lines = data.splitlines(keepends=True) if b"\r" not in data else re.findall(rb"[^\n]*\n|[^\n]+", data)
-    heads = [i for i, line in enumerate(lines) if line.startswith(b"From ")]
-    bounds = [*zip([h + 1 for h in heads], [*heads[1:], len(lines)], strict=True)] if heads else [(0, len(lines))]
-    parts = [b"".join(lines[a:b]) for a, b in bounds]
-    out = [p for p in parts[:-1] if p] + [p for p in parts[-1:] if p.strip()]
-    return [_QUOTED_FROM.sub(rb"\1", p) for p in out]
+    """in_mbox as a list."""
+    return list(in_mbox(data))
 
 
 class SplitMbox:
     """split_mbox as a table function: a row for each message of an mbox file's bytes."""
 
     def eval(self, content: bytes):
-        yield from enumerate(split_mbox(bytes(content)) if content else ())
+        yield from enumerate(in_mbox(bytes(content)) if content else ())
 
 
 split_mbox_table = F.udtf(SplitMbox, returnType="msg_index int, message binary", useArrow=True)
@@ -95,16 +104,16 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("split_mbox", split_mbox_table)
 
 
-def messages_of(path: str, data: bytes) -> list[bytes]:
+def messages_of(path: str, data: bytes) -> Iterator[bytes]:
     """By extension, else by the first bytes; messages of white space alone are left out."""
     kind = path.rpartition(".")[2].lower()
     if kind == "emlx":
         found = [parse_emlx(data)]
     elif kind == "mbox" or data.startswith(b"From "):
-        found = split_mbox(data)
+        found = in_mbox(data)
     else:
         found = [data]
-    return [x for x in found if x.strip()]
+    return (x for x in found if x.strip())
 
 
 # -- messages --------------------------------------------------------------------------------------------------------
@@ -137,8 +146,9 @@ def parse(raw: bytes) -> dict:
     message = email.message_from_bytes(raw, policy=email.policy.compat32)
     if not message.keys():
         raise MailParse("no headers")
-    modern = email.message_from_bytes(raw, policy=email.policy.default)
+    modern = email.parser.BytesHeaderParser(policy=email.policy.default).parsebytes(raw)
 
+    @cache  # a header is parsed each time it is asked for
     def header(name: str) -> str | None:
         try:
             value = modern[name]
@@ -189,25 +199,48 @@ def _parsed(path: str, i: int, raw: bytes) -> dict:
         return {"path": path, "msg_index": i, "status": "skipped", "error": str(e)} | dict.fromkeys(_NAMES)
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Dates are handed on without a zone, as pandas' are, and read in the session's.
+_EXPANDED = f"path string, msg_index int, status string, error string, {PARSED.replace('sent_at timestamp', 'sent_at timestamp_ntz')}"
+_KINDS = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "timestamp_ntz": pa.timestamp("us"), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split(" ") for x in _EXPANDED.split(", "))])
+#: Rows of messages are handed on by so many bytes of messages.
+HANDED = 4 << 20
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's files become Python objects one by one, and its messages' rows are handed on by HANDED bytes: neither a batch nor a large file's messages are held as rows."""
+    none = dict.fromkeys(_NAMES)
     for batch in batches:
-        rows, none = [], dict.fromkeys(_NAMES)
-        for path, data in zip(batch["path"], batch["content"], strict=True):
+        rows, size = [], 0
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            path, i = path.as_py(), 0
             try:
-                found = messages_of(path, bytes(data))
+                for i, raw in enumerate(messages_of(path, bytes(content.as_py()))):
+                    rows.append(_parsed(path, i, raw))
+                    size += len(raw)
+                    if size >= HANDED:
+                        yield _batch_of(rows)
+                        rows, size = [], 0
             except MailParse as e:
                 rows.append({"path": path, "msg_index": 0, "status": "error", "error": str(e)} | none)
-                continue
-            rows += [_parsed(path, i, raw) for i, raw in enumerate(found)]
-        yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *_NAMES], dtype=object)
+        if rows:
+            yield _batch_of(rows)
+
+
+def _batch_of(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """A row for each message of the files (path, content): status parsed, skipped (a message that can't be read) or error (a file that can't), and the fields."""
-    df = files.mapInPandas(_expand, f"path string, msg_index int, status string, error string, {PARSED}")
+    df = _expanded(files)
     return df.withColumns({"thread_id": thread_id(df), "received_at": F.col("sent_at")})
 
 
+def _expanded(files: DataFrame) -> DataFrame:
+    return files.select("path", "content").mapInArrow(_expand, _EXPANDED).withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+
+
 def _expand_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Messages of mbox pieces, numbered within their split. A piece waits for the next: one before a separator gets back the line break that the separator took."""
 
@@ -220,14 +253,18 @@ def _expand_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     held, first, k = None, True, 0  # held: path, block, whether the split ends the file, bytes
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for piece in zip(batch["path"], batch["block"], batch["ends"], batch["value"], strict=True):
             if held:
                 same = piece[:2] == held[:2]
                 row = message(held[0], int(held[1]), bytes(held[3]) + (b"\n" if same or not held[2] else b""), first, same, k)
                 if row:
                     rows.append(row)
+                    size += len(held[3])
                 first, k = not same, (k + bool(row) if same else 0)
+                if size >= HANDED:
+                    yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *_NAMES, "block", "untitled"], dtype=object)
+                    rows, size = [], 0
             held = piece
         yield pd.DataFrame(rows, columns=["path", "msg_index", "status", "error", *_NAMES, "block", "untitled"], dtype=object)
     if held:
@@ -260,7 +297,7 @@ def parse_path(spark: SparkSession, path: str, apple: bool = False) -> DataFrame
             F.col("value").cast("binary").alias("value"),
         )
         boxes = pieces.mapInPandas(_expand_pieces, f"{schema}, block long, untitled boolean")
-    parts = [x for x in (boxes, None if whole is None else whole.mapInPandas(_expand, schema).withColumns({"block": F.lit(None).cast("long"), "untitled": F.lit(False)})) if x is not None]
+    parts = [x for x in (boxes, None if whole is None else _expanded(whole).withColumns({"block": F.lit(None).cast("long"), "untitled": F.lit(False)})) if x is not None]
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return df.withColumns({"thread_id": thread_id(df), "received_at": F.col("sent_at")})
 

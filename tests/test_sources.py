@@ -102,3 +102,31 @@ def test_discovery_and_report(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(InvalidInput):
         mail.discover(spark, str(tmp_path / "empty"))
+
+
+def test_a_batch_is_handed_on_by_pieces(monkeypatch):
+    """Rows of many messages don't wait for the batch's or the file's end, and headers are parsed once each."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(mail, "HANDED", 1000)
+    one = b"From: a@x\r\nSubject: s\r\n\r\n" + b"b" * 300
+    box = b"junk\n" + b"".join(b"From a\n" + one + b"\n\n" for _ in range(20)) + b"From a\n" + b"From b\n>From: c@y\n\n>From it\n"
+    files = pa.RecordBatch.from_pydict({"path": ["a.mbox", "b.eml", "c.emlx"], "content": [box, one, b"bad"]})
+    got = list(mail._expand(iter([files])))
+    assert max(len(b) for b in got) <= 4 and len(got) >= 6
+    rows = [(r["path"], r["msg_index"], r["status"]) for b in got for r in b.to_pylist()]
+    assert rows == [("a.mbox", i, "parsed") for i in range(21)] + [("b.eml", 0, "parsed"), ("c.emlx", 0, "error")]
+    calls = []
+    fetch = mail.email.policy.EmailPolicy.header_fetch_parse
+    monkeypatch.setattr(mail.email.policy.EmailPolicy, "header_fetch_parse", lambda self, name, value: calls.append(name) or fetch(self, name, value))
+    mail.parse(b"From: a@x\nTo: b@y\nMessage-ID: <1@x>\nReferences: r\nDate: Mon, 02 Jan 2023 10:00:00 +0100\n\nx")
+    assert len(calls) == len(set(calls))
+
+
+@pytest.mark.parametrize("data", [b"", b"\n", b"x", b"From a", b"From a\n", b"From a\nFrom b\nx", b"y\nFrom a\r\n\r\n", b"From a\nx\n>From y\n>>From z\nFrom b\n\n", b"a\rFrom x\nFrom y\nb", b" From a\nFrom b\nq\nFrom c"])
+def test_mbox_against_lines(data):
+    lines = __import__("re").findall(rb"[^\n]*\n|[^\n]+", data)
+    heads = [i for i, line in enumerate(lines) if line.startswith(b"From ")]
+    bounds = [*zip([h + 1 for h in heads], [*heads[1:], len(lines)], strict=True)] if heads else [(0, len(lines))]
+    parts = [b"".join(lines[a:b]) for a, b in bounds]
+    assert mail.split_mbox(data) == [mail._QUOTED_FROM.sub(rb"\1", p) for p in [*[p for p in parts[:-1] if p], *[p for p in parts[-1:] if p.strip()]]]
