@@ -121,6 +121,8 @@ def messages_of(path: str, data: bytes) -> Iterator[bytes]:
 PARSED = "message_id string, in_reply_to array<string>, refs array<string>, subject string, sender string, sender_email string, sender_domain string, recipients string, sent_at timestamp, body_plain string, body_html string, has_attachments boolean, raw_size long"
 _ID = re.compile(r"<([^<>\s]+)>")
 _MARKUP = re.compile(r"\s*(?:\{|\[\{)")
+#: The blank line at the end of a message that has a body, but an empty one.
+_EMPTY_BODY = re.compile(rb"(?:\r\n|\n|\r(?!\n))(?:\r\n|\n|\r)\Z")
 
 
 def is_markup(text: str) -> bool:
@@ -178,6 +180,8 @@ def parse(raw: bytes) -> dict:
     plain = next((x for x in texts if x.strip() and not is_markup(x)), None)
     if plain is None and pages:
         plain = html_to_text(pages[0])
+    if plain is None and (message.get_payload() or _EMPTY_BODY.search(raw)):  # a blank body is a text; one that ends with its headers has none
+        plain = next((x for x in texts if not x.strip()), None)
     domain = mail.split("@")[1].lower() if "@" in mail else None
     return {
         "message_id": next(iter(ids("Message-ID")), None), "in_reply_to": ids("In-Reply-To"), "refs": ids("References"), "subject": header("Subject"), "sender": name or None, "sender_email": mail or None,

@@ -130,3 +130,37 @@ def test_mbox_against_lines(data):
     bounds = [*zip([h + 1 for h in heads], [*heads[1:], len(lines)], strict=True)] if heads else [(0, len(lines))]
     parts = [b"".join(lines[a:b]) for a, b in bounds]
     assert mail.split_mbox(data) == [mail._QUOTED_FROM.sub(rb"\1", p) for p in [*[p for p in parts[:-1] if p], *[p for p in parts[-1:] if p.strip()]]]
+
+
+@pytest.mark.parametrize(
+    ("raw", "plain"),
+    [(b"From: a@b.c\n\n", ""), (b"From: a@b.c\r\n\r\n", ""), (b"From: a@b.c\n\n \r\n", " \r\n"), (b"From: a@b.c\n", None), (b"From: a@b.c\r\n", None), (b"From: a@b.c", None), (b'From: a@b.c\n\n{"@type": 1}', None)],
+)
+def test_blank_body(raw, plain):
+    """A blank body is a text; a message that ends with its headers has none."""
+    assert mail.parse(raw)["body_plain"] == plain
+
+
+def test_page_instead_of_blank_text():
+    part = b"From: a@b.c\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=B\n\n--B\nContent-Type: text/plain\n\n \n%s--B--\n"
+    assert mail.parse(part % b"--B\nContent-Type: text/html\n\n<p>Hi</p>\n")["body_plain"] == "Hi"
+    assert mail.parse(part % b"")["body_plain"] == " "
+
+
+TEXTS = [None, "", " ", "\r\n", " \n\n", "\xa0", '{"@type": "x"} y', ' [{"@context": 1}]\n ', "\x1c\u2028{@type", "[ {@type", "{ brace", "\rFrom x", "x\x00\x0b\x85\u2028\ufeff y ", "From a\n>From b", "<p>@type &amp; {</p>", "z" * 9000 + "\r"]
+
+
+@pytest.mark.parametrize("name", ["parse_emlx"])
+def test_queries_on_odd_texts(spark, tmp_path, name):
+    """Each text comes back as it was, whatever it holds."""
+    import duckdb
+
+    from hybridmail.plans.catalogue import ORACLE_SQL, QUERIES
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS * 8)], "doc_id long, text string").write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{path}/*.parquet'")
+    wanted = db.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(wanted.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted.fetchall(), key=str)
